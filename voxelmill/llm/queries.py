@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op2_token_output, op3_secrets, op5_quality, op6_decontaminate, op9_token_counts, op10_license
+from . import op1_mixing, op2_token_output, op3_secrets, op5_quality, op6_decontaminate, op7_language, op8_cotraining, op9_token_counts, op10_license
 
-_MODULES = [op2_token_output, op3_secrets, op5_quality, op6_decontaminate, op9_token_counts, op10_license]
+_MODULES = [op1_mixing, op2_token_output, op3_secrets, op5_quality, op6_decontaminate, op7_language, op8_cotraining, op9_token_counts, op10_license]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
