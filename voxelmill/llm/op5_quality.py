@@ -118,10 +118,48 @@ def quality(docs: DataFrame, text: str = "text", limits: dict[int, float] | None
     return map_batches(docs.select("doc_id", text), judge, SCHEMA)
 
 
+def accepted(docs: DataFrame, text: str = "text", limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that quality() keeps, with all their columns, whatever their names."""
+    limits, at = GRAM_LIMITS if limits is None else limits, docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab in slabs(batch.column(at)):
+                kept = verdict(measures(slab, tuple(limits)), limits, line_limit)["kept"]
+                yield batch.slice(slab.first, slab.n).filter(pa.array(kept))
+
+    return map_batches(docs, keep, docs.schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_quality": op5_quality}
-#: The base columns and the method's verdict on explicit word windows.
-ORACLE_SQL: dict[str, str] = {}
+def _covered(n: int) -> str:
+    """Per document: words, and their code points, in n-word windows that occur twice or more."""
+    gram = " || ' ' || ".join(["word", *(f"lead(word, {j}) OVER p" for j in range(1, n))])
+    return f"""g{n} AS (SELECT doc_id, i, word, {gram} AS g FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+    h{n} AS (SELECT doc_id, i, word, g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS hit FROM g{n}),
+    v{n} AS (SELECT doc_id, word, max(CAST(hit AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM h{n}),
+    c{n} AS (SELECT doc_id, count(*) AS k, sum(len(word)) AS chars FROM v{n} WHERE inside = 1 GROUP BY doc_id)"""
+
+
+#: The base columns and the method's verdict, on explicit word windows.
+ORACLE_SQL = {
+    "op5_quality": rf"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    x AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM t),
+    {", ".join(_covered(n) for n in (3, *GRAM_LIMITS))},
+    l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) s WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    d AS (SELECT doc_id, count(*) AS k, sum(list_sum(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: len(x)))) AS chars FROM l WHERE k > 1 GROUP BY doc_id),
+    m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(d.k, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c3.k, 0) AS BIGINT) AS n_repeat_words,
+        coalesce(d.chars, 0) AS line_chars, {", ".join(f"coalesce(c{n}.chars, 0) AS chars_{n}" for n in GRAM_LIMITS)}
+        FROM t LEFT JOIN d USING (doc_id) LEFT JOIN c3 USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in GRAM_LIMITS)}),
+    v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"CAST(chars_{n} AS DOUBLE) / greatest(word_chars, 1) AS s{n}" for n in GRAM_LIMITS)},
+        CAST(line_chars AS DOUBLE) / greatest(word_chars, 1) AS dup_line_share FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT (base_failed OR dup_line_share > CAST({LINE_LIMIT} AS DOUBLE) OR n_symbols > CAST({SYMBOLS_PER_WORD} AS DOUBLE) * n_words OR {" OR ".join(f"s{n} > CAST({x} AS DOUBLE)" for n, x in GRAM_LIMITS.items())}) AS kept,
+        greatest({", ".join(f"s{n}" for n in GRAM_LIMITS)}) AS dup_gram_share, dup_line_share FROM v"""
+}
