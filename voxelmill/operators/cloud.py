@@ -160,7 +160,7 @@ def adaptive_cells(points: DataFrame, most: int, max_depth: int = 40) -> DataFra
         mid = F.when(on_x, (F.col("x0") + F.col("x1")) / 2).otherwise((F.col("z0") + F.col("z1")) / 2)
         flat = F.greatest(F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0")) <= 0
         plans = stats.select("path", (F.col("n") <= most).alias("small"), on_x.alias("on_x"), mid.alias("mid"), flat.alias("flat"), "n")
-    X
+        joined = state.join(plans, "path", "left")
         half = F.when(F.col("flat"), F.when(F.pmod(F.xxhash64("point_id", F.length("path")), F.lit(2)) == 0, "0").otherwise("1")).otherwise(F.when(F.when(F.col("on_x"), F.col("x")).otherwise(F.col("z")) < F.col("mid"), "0").otherwise("1"))
         closed = F.col("leaf") | F.coalesce("small", F.lit(True))
         state = joined.select("point_id", "x", "z", F.when(closed, F.col("path")).otherwise(F.concat("path", half)).alias("path"), closed.alias("leaf")).checkpoint()

@@ -1,0 +1,34 @@
+"""Repair of LAS files whose extra-bytes description was written twice."""
+
+from __future__ import annotations
+
+import struct
+
+from .las import parse_header
+
+
+def repaired(raw: bytes, drop: tuple[str, ...] = ("nx", "ny", "nz")) -> bytes:
+    """One description record in place of all of them, with the first entry of each name that isn't in ``drop``; offsets are patched."""
+    parse_header(raw)
+    start, data, number = struct.unpack_from("<HII", raw, 94)
+    at, others, entries = start, [], {}
+    for _ in range(number):
+        user, record, length = raw[at + 2 : at + 18].rstrip(b"\0"), *struct.unpack_from("<HH", raw, at + 18)
+        whole = raw[at : at + 54 + length]
+        if user == b"LASF_Spec" and record == 4:
+            for k in range(54, len(whole) - 191, 192):
+                entry = whole[k : k + 192]
+                name = entry[4:36].rstrip(b"\0").decode("ascii", "replace")
+                if name not in drop:
+                    entries.setdefault(name, entry)
+        else:
+            others.append(whole)
+        at += len(whole)
+    if entries:
+        body = b"".join(entries.values())
+        head = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(body), b"extra dimensions")
+        others.append(head + body)
+    described = b"".join(others)
+    out = bytearray(raw[:start] + described + raw[at:data] + raw[data:])
+    struct.pack_into("<II", out, 96, start + len(described) + data - at, len(others))
+    return bytes(out)
