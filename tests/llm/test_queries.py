@@ -1,0 +1,47 @@
+"""The corpus queries against their SQL; the pipeline against brute force."""
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from oracle import rows_of_spark, rows_of_sql  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from voxelmill.llm import queries  # noqa: E402
+from voxelmill.llm.bpe import encoder  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_agrees_with_sql(spark, sf_dir, name):
+    assert rows_of_spark(queries.QUERIES[name](spark, sf_dir)) == rows_of_sql(queries.ORACLE_SQL[name], sf_dir)
+
+
+def test_pipeline(spark, sf_dir):
+    from test_operators import ALNUM, SPACE, components, hits, judged, lower
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, steps = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == columns
+        rows = docs.collect()
+        steps.append({r.doc_id: r.text for r in rows})
+        docs = spark.createDataFrame(rows, docs.schema)
+    source = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    kept = {i for i, t in source.items() if judged(t or "")[-1]}
+    assert set(steps[0]) == kept
+    sets = {}
+    for i in kept:
+        w = SPACE.findall(lower(source[i]))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    kept = {i for i, c in components(sets, 80).items() if i == c}
+    assert set(steps[1]) == kept
+    items = {str(r.item_id): ALNUM.findall(lower(r.text or "")) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    kept = {i for i in kept if not hits(ALNUM.findall(lower(source[i])), items, 10)[1]}
+    assert set(steps[2]) == kept
+    assert set(steps[3]) <= kept and len(steps[3]) > 0.7 * len(kept)
+    enc = encoder("byte_bpe_50k.json")
+    out = {r.doc_id: r.n_tokens for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()}
+    assert out == {i: len(enc.whole(t or "")) + 1 for i, t in steps[3].items()}

@@ -11,15 +11,17 @@ holds; texts with special strings go to the library whole.
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 _WHITE = re.compile(r"[\s\x1c-\x1f\x85\xa0]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_BATCH = 128
-_SEP = "\t"
+#: A run of letters, then perhaps signs (no apostrophe): two pre-tokens that the splitting rule always parts.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -31,10 +33,49 @@ def tokenizer_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
+class _Pieces(dict):
+    """Ids of pieces as bytes, asked of the library when first seen.
+
+    A key is a piece without its leading space; \\x02 before it marks a text's
+    first piece, which has no space, and one that begins with a line feed has
+    none either.
+    """
+
+    def __init__(self, whole, model):
+        self.whole, self.tokenize = whole, model.tokenize
+        self.letters = _byte_letters()
+        self.marks = {"": b"", "\n": whole("\n").tobytes()}
+
+    def __missing__(self, key: str) -> bytes:
+        first = key[0]
+        m = _SIMPLE.fullmatch(key, 1 if first in "\x02\n" else 0)
+        if m:
+            core = m[1] if m[1].isascii() else "".join([self.letters[b] for b in m[1].encode()])
+            if first not in "\x02\n":
+                core = self.letters[32] + core
+            if m[2] not in self.marks:
+                self.marks[m[2]] = self.whole(m[2]).tobytes()
+            ids = array("I", [t.id for t in self.tokenize(core)]).tobytes() + self.marks[m[2]]
+            if first == "\n":
+                ids = self.marks["\n"] + ids
+        else:
+            ids = self.whole(key[1:] if first == "\x02" else key if first == "\n" else " " + key).tobytes()
+        self[key] = ids
+        return ids
+
+
 class Encoder:
-    """ids(text) equals the library's encode(text, add_special_tokens=False).ids."""
+    """encode_many(texts) equals the library's encode(text, add_special_tokens=False).ids of each."""
 
-    def __init__(self, path: str, max_pieces: int = 300_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -44,58 +85,41 @@ class Encoder:
             spec = json.load(f)
         rule = spec.get("pre_tokenizer") or {}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        sep = self.whole(_SEP)
         #: Pieces are cut only under the rule for which the proof holds.
-        self.by_piece = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space") and not spec.get("normalizer") and len(sep) == 1
-        self.sep = sep[0] if len(sep) else -1
+        self.by_piece = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
         self.max_pieces = max_pieces
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.whole, self.library.model)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, keys: list[str]) -> None:
-        """Have the library encode unseen pieces, many in one text, a tab between them."""
-        parts = [keys[at : at + _BATCH] for at in range(0, len(keys), _BATCH)]
-        joined = [_SEP.join([k[1:] if k[0] == "\x02" else k if k[0] == "\n" else " " + k for k in part]) for part in parts]
-        for part, coded in zip(parts, self.library.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(coded.ids, "<u4")
-            cuts = (np.flatnonzero(ids == self.sep) * 4).tolist()
-            if len(cuts) != len(part) - 1:
-                raise AssertionError("a separator was merged")
-            raw = ids.tobytes()
-            for k, a, b in zip(part, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)]):
-                self.pieces[k] = raw[a:b]
-
-    def _keys(self, text: str) -> list[str] | None:
-        """The pieces' keys: \\x02 marks a text's first piece, \\x03 a piece with white space inside; None: not cut."""
+    def _keys(self, text: str) -> tuple[list[str] | None, bool]:
+        """The pieces' keys, and whether all may be kept; \\x03 marks a piece with white space inside. None: the text isn't cut."""
         if not self.by_piece or any(s in text for s in self.special) or "\x02" in text or "\x03" in text:
-            return None
-        if not text:
-            return []
-        words, gaps = text.split(), text.count(" ") + text.count("\n")
-        if len(words) == gaps + 1 and len("".join(words)) == len(text) - gaps:  # all white space is lone spaces and line feeds, none at the ends
+            return None, False
+        flat = text.replace("\n", " ")
+        if flat.isprintable() and "  " not in flat and text[:1].strip() and text[-1:].strip():  # all white space is lone spaces and line feeds, none at the ends
             keys = text.replace("\n", " \n").split(" ")
             keys[0] = "\x02" + keys[0]
-            return keys
-        parts = _CUT.split(text)
-        return [f"\x03{' ' if i else ''}{p}" if _WHITE.search(p) or not p else p if i else "\x02" + p for i, p in enumerate(parts)]
+            return keys, True
+        parts = _CUT.split(text) if text else []
+        return [f"\x03{' ' if i else ''}{p}" if _WHITE.search(p) or not p else p if i else "\x02" + p for i, p in enumerate(parts)], False
+
+    def encode(self, text: str) -> bytes:
+        """A text's ids as little-endian unsigned 32-bit integers."""
+        keys, kept = self._keys(text)
+        if keys is None:
+            return self.whole(text).tobytes()
+        get = self.pieces.__getitem__
+        if not kept:
+            return b"".join([self.whole(k[1:]).tobytes() if k[0] == "\x03" else get(k) for k in keys])
+        return b"".join(map(get, keys))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
         if len(self.pieces) > self.max_pieces:
             self.pieces.clear()
-        have = self.pieces
-        keyed = [self._keys(t) for t in texts]
-        new: set[str] = set()
-        new.update(*filter(None, keyed))
-        new.difference_update(have)
-        self._learn([k for k in new if k[0] != "\x03"])
-        alone = {k: self.whole(k[1:]).tobytes() for k in new if k[0] == "\x03"}  # not kept: they may be long
-        return [
-            self.whole(t).tobytes() if keys is None else b"".join([have[k] if k in have else alone[k] for k in keys]) if alone else b"".join(map(have.__getitem__, keys))
-            for t, keys in zip(texts, keyed)
-        ]
+            self.pieces.marks = {k: v for k, v in self.pieces.marks.items() if len(k) < 2}
+        return [self.encode(t) for t in texts]
 
 
 @lru_cache(maxsize=4)

@@ -26,8 +26,6 @@ from .tables import map_batches, read, shared_dir
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK = 1 << 15  #: ids in a block
 CHUNK_IDS = 1 << 19  #: a chunk is closed when it has so many ids
-#: Text bytes for each written part; parts are ranges of doc_id.
-PART_BYTES = 32 << 20
 CHUNK_SCHEMA = "part int, chunk int, chunk_start long, n_ids long, doc_ids array<long>, doc_lens array<long>, block_ids int, plane_kind string, plane_sizes array<int>, planes binary"
 
 
@@ -135,12 +133,11 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("part_start") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def token_output(docs: DataFrame, path: str | None = None, text: str = "text", plane_kind: str = "byte") -> DataFrame:
-    """Write all ids of ``docs`` and return the digest of each document as the files have it."""
+def token_output(docs: DataFrame, path: str | None = None, text: str = "text", plane_kind: str = "byte", parts: int | None = None) -> DataFrame:
+    """Write all ids of ``docs`` and return the digest of each document as the files have it; as many parts as the input has, unless given."""
     spark = docs.sparkSession
     path = path or shared_dir(spark)
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    write_ids(docs, path, max(1, -(-size // PART_BYTES), min(8, size >> 20)), text, plane_kind=plane_kind)
+    write_ids(docs, path, parts or max(1, docs.rdd.getNumPartitions()), text, plane_kind=plane_kind)
     return read_ids(spark, path, with_ids=False)
 
 

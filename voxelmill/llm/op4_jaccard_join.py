@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import map_batches, read, written
@@ -106,29 +106,35 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), sign, "doc_id long, n long, h0 long, h1 long, window array<long>, " + ", ".join(f"{k} long" for k in _SKETCH))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(x, items): the sets, as bytes, of the documents whose id is among ``ids`` (and of a few others that a hash filter lets by)."""
-    slot = F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS))
-    parts = ids.select((slot / 64).cast("long").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(x), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _filter(ids: DataFrame, name: str) -> np.ndarray:
+    """A bit for the hash of each id, set by distributed ORs; its size is fixed."""
+    slot = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    parts = ids.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({name}), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[parts.column("at").to_numpy()] = parts.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def _passing(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, name: str, n: int) -> DataFrame:
+    """(name, items): the sets, as bytes, of the documents among ``ids`` (and of a few others that the filter lets by)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(ids, name))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
         for batch in batches:
+            batch = batch.take(pa.array(_passing(shared.value, batch.column(1).to_numpy())))
             for slab in slabs(batch.column(2)):
-                at = batch.column(1).slice(slab.first, slab.n).to_numpy()
-                pick = np.flatnonzero((wanted[at >> 6] >> (at & 63)) & 1)
-                if len(pick):
-                    found = {i: s for i, s in enumerate(shingle_sets(slab, n))}
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.first, slab.n).take(pa.array(pick)), pa.array([found[i].tobytes() for i in pick.tolist()], pa.binary())], ["x", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.first, slab.n), pa.array([s.tobytes() for s in shingle_sets(slab, n)], pa.binary())], [name, "items"])
 
-    return map_batches(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("x"), F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"), "text"), make, "x long, items binary")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    return map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", slot.alias("slot"), "text"), make, f"{name} long, items binary")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, d, link) of pairs (a, b), from their whole sets."""
+def _measured(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(x, p, d, link) of pairs (x, p), from their whole sets, made anew from the texts: no copy of all sets is kept."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,26 +144,45 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 union = len(x) + len(y) - common
-                d.append(1 - common / union)
-                link.append(100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(link, pa.bool_())], ["a", "b", "d", "link"])
+                d.append(1 - common / union if union else 1.0)
+                link.append(bool(union) and 100 * common >= percent * union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(link, pa.bool_())], ["x", "p", "d", "link"])
 
-    whole = pairs.join(sets.select(F.col("x").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("x").alias("b"), F.col("items").alias("items_b")), "b")
-    found = map_batches(whole.select("a", "b", "items_a", "items_b"), measure, "a long, b long, d double, link boolean")
-    return found.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("link").alias("link"))
+    whole = pairs.join(_sets(docs, pairs, "x", n), "x").withColumnRenamed("items", "items_x").join(_sets(docs, pairs, "p", n), "p")
+    found = map_batches(whole.select("x", "p", "items_x", "items"), measure, "x long, p long, d double, link boolean")
+    return found.groupBy("x", "p").agg(F.min("d").alias("d"), F.max("link").alias("link"))
 
 
-def _apart(n: str, m: str, other: str) -> tuple[Column, Column]:
-    """Two members' lower bound of d, from sizes and sketches, and whether it leaves a link possible; ``m`` and ``other`` name the second's size and sketch."""
-    a, b = F.col(n), F.col(m)
-    hamming = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"{other}{k}"))) for k in _SKETCH), F.lit(0))
-    bound = F.greatest(1 - F.least(a, b) / F.greatest(a, b), 2 * hamming / (a + b + hamming))
-    return bound, hamming
+def _possible(pairs: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, p) that can link: sizes within the ratio, and sketches that differ in no more bits than linked sets may differ in shingles."""
+    other = attributes.select(F.col("x").alias("p"), F.col("n").alias("m"), *(F.col(k).alias(f"p{k}") for k in _SKETCH))
+    hamming = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"p{k}"))) for k in _SKETCH), F.lit(0))
+    can = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * hamming <= (100 - percent) * (F.col("n") + F.col("m")))
+    return pairs.join(attributes, "x").join(other, "p").where(can).select("x", "p").distinct()
+
+
+def _regions(reps: DataFrame) -> DataFrame:
+    """(s, x): the members of every region of two or more; of regions with the same members, one.
+
+    Regions are counted and fingerprinted by partial aggregates; only rows of the
+    regions that stay, by a filter of fixed size, are then dealt out by region.
+    """
+    cells = reps.select(F.explode("window").alias("s"), "x")
+    kinds = cells.groupBy("s").agg(F.count("*").alias("c"), F.min("x").alias("low"), F.bit_xor(F.xxhash64("x")).alias("f")).where("c > 1")
+    kept = written(kinds.groupBy("c", "low", "f").agg(F.min("s").alias("s")).select("s"))
+    shared = reps.sparkSession.sparkContext.broadcast(_filter(kept, "s"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0, 1]).take(pa.array(_passing(shared.value, batch.column(2).to_numpy())))
+
+    slotted = cells.withColumn("slot", F.pmod(F.xxhash64("s"), F.lit(FILTER_BITS)))
+    return map_batches(slotted, pick, "s long, x long").join(kept, "s")
 
 
 def _chosen(members: DataFrame, at_once: int) -> DataFrame:
-    """(s, p, m, sketch): up to ``at_once`` pivots of each region among its members outside, by a hash; a partial minimum for each, never a sorted group."""
-    mark = F.struct(F.xxhash64("x").alias("o"), F.col("x").alias("p"), F.col("n").alias("m"), F.col("comp").alias("q"), *(F.col(k).alias(f"p{k}") for k in _SKETCH))
+    """(s, o, p, q): up to ``at_once`` pivots of each region among its members outside, by a hash; a partial minimum for each, never a sorted group."""
+    mark = F.struct(F.xxhash64("x").alias("o"), F.col("x").alias("p"), F.col("comp").alias("q"))
     turn = F.pmod(F.xxhash64("x", F.lit(3)), F.lit(at_once))
     return written(members.where("out").groupBy("s", turn.alias("g")).agg(F.min(mark).alias("v")).select("s", "v.*"))
 
@@ -178,45 +203,44 @@ def _divided(members: DataFrame, pivots: DataFrame, radius: float) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(x, component) of all representatives that link with another."""
+    """(a, b): links between representatives, enough of them to connect all that links connect."""
     radius = 1 - percent / 100 + 1e-9
-    cells = reps.select(F.explode("window").alias("s"), "x")
-    shared = cells.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+    members = written(_regions(reps).withColumns({"comp": F.col("x"), "out": F.lit(True), "d": F.lit(0.0), "exact": F.lit(False)}))
     attributes = reps.select("x", "n", *_SKETCH)
-    members = written(cells.join(shared, "s").join(attributes, "x").withColumns({"comp": F.col("x"), "out": F.lit(True)}))
-    sets = written(_sets(docs, members.select("x").distinct(), n))
-    labels = reps.sparkSession.createDataFrame([], "x long, component long")
     edges, at_once = None, 1
-    bound, hamming = _apart("n", "m", "p")
-    possible = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * hamming <= (100 - percent) * (F.col("n") + F.col("m")))
     while not members.isEmpty():
         pivots = _chosen(members, at_once)
-        pairs = members.join(pivots, "s").where("comp <> q").where(possible).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
-        tested = written(_measured(pairs, sets, percent))
-        edges = tested.where("link").select("a", "b") if edges is None else edges.unionByName(tested.where("link").select("a", "b"))
-        labels = components(edges)
-        if at_once == 1:  # distances to the region's first pivot hold for all rounds
-            far = members.join(pivots, "s").withColumns({"low": bound, "a": F.least("x", "p"), "b": F.greatest("x", "p")}).join(tested, ["a", "b"], "left")
-            members = far.select("s", "x", "n", *_SKETCH, "comp", "out", F.coalesce("d", "low").alias("d"), F.col("d").isNotNull().alias("exact"))
+        near = members.join(pivots, "s").where("comp <> q")
+        pairs = near.groupBy(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).agg(F.max("p").alias("p")).select(F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("x"), "p")
+        tested = written(_measured(docs, written(_possible(pairs, attributes, percent)), n, percent))
+        found = tested.where("link").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
+        edges = found if edges is None else edges.unionByName(found)
+        if at_once == 1:  # distances to the region's first pivot hold for all rounds; where they weren't measured they are above the radius
+            known = tested.select("x", "p", "d").unionByName(tested.select(F.col("p").alias("x"), F.col("x").alias("p"), "d"))
+            far = members.drop("d", "exact").join(pivots.select("s", "p"), "s").join(known, ["x", "p"], "left")
+            members = far.select("s", "x", "comp", "out", F.coalesce("d", F.lit(radius)).alias("d"), F.col("d").isNotNull().alias("exact"))
+        labels = components(edges, 2)  # what two rounds connect is connected; the rest costs tests
         members = members.join(labels, "x", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
         members = written(_divided(members, pivots, radius))
-        at_once *= 4
-    return labels
+        at_once *= 16
+    return edges if edges is not None else reps.select(F.col("x").alias("a"), F.col("x").alias("b")).limit(0)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(x, component): the smallest id that each end of an edge reaches; labels spread to neighbours and then jump to their label's label, until none changes."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(x, component): the smallest id that each end of an edge reaches; labels spread to neighbours and then jump to their label's label, until none changes or for so many rounds."""
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = written(both.groupBy(F.col("a").alias("x")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
+    labels = written(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("low")).select("x", F.least("low", "x").alias("component")))
+    while rounds is None or rounds > 0:
         heard = both.join(labels, both.b == labels.x).groupBy("a").agg(F.min("component").alias("heard"))
         spread = labels.join(heard, labels.x == heard.a).select("x", "component", F.least("component", "heard").alias("c"))
-        spread = written(spread)
-        jump = spread.select(F.col("x").alias("c"), F.col("c").alias("cc"))
-        moved = written(spread.join(jump, "c", "left").select("x", F.least("c", F.coalesce("cc", "c")).alias("component"), (F.least("c", F.coalesce("cc", "c")) != F.col("component")).alias("moved")))
+        jump = labels.select(F.col("x").alias("c"), F.col("component").alias("cc"))
+        lowest = F.least("c", F.coalesce("cc", "c"))
+        moved = written(spread.join(jump, "c", "left").select("x", lowest.alias("component"), (lowest != F.col("component")).alias("moved")))
         labels = moved.select("x", "component")
-        if moved.where("moved").isEmpty():
-            return labels
+        if rounds is None and moved.where("moved").isEmpty():
+            break
+        rounds = None if rounds is None else rounds - 1
+    return labels
 
 
 def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -231,7 +255,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> D
     signed = written(_signatures(docs, n, percent))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h0", "h1").agg(F.min("doc_id").alias("x"), F.first(F.struct("n", "window", *_SKETCH)).alias("v"))
     reps = written(classes.select("x", "h0", "h1", "v.*"))
-    found = links(docs, reps, n, percent)
+    found = components(links(docs, reps, n, percent))
     named = reps.join(found, "x", "left").select("h0", "h1", F.coalesce("component", "x").alias("component"))
     rows = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h0")).alias("h0"), "h1").join(named, ["h0", "h1"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
