@@ -25,14 +25,19 @@ def cloud_downsample(spark, d):
     return C.downsampled(points(spark, d), 0.5).select("cx", "cy", "cz", "n", *(micros(F.col(c)).alias(c) for c in "xyz"))
 
 
+def _marks(p):
+    """The point with the lowest id of every voxel of half a unit."""
+    return p.join(p.groupBy(*(F.floor(F.col(c) / 0.5).alias(f"c{c}") for c in "xyz")).agg(F.min("point_id").alias("point_id")).select("point_id"), "point_id", "left_semi")
+
+
 def cloud_nearest(spark, d):
     p = points(spark, d)
-    return C.nearest(p.where("point_id % 20 = 0"), p.where("point_id % 20 = 1"), 0.5).select("point_id", "other", micros(F.col("d")).alias("d"))
+    return C.nearest(p, _marks(p), 0.5).select("point_id", "other", micros(F.col("d")).alias("d"))
 
 
 def cloud_within(spark, d):
     p = points(spark, d)
-    return C.within(p.where("point_id % 20 = 0"), p.where("point_id % 20 = 1"), 0.5, 3).select("point_id", "other", micros(F.col("d")).alias("d"))
+    return C.within(p, _marks(p), 0.5, 3).select("point_id", "other", micros(F.col("d")).alias("d"))
 
 
 def cloud_adaptive_cells(spark, d):
@@ -59,21 +64,23 @@ def cloud_without_outliers(spark, d):
 
 
 def cloud_normals(spark, d):
+    """The whole chain: thin by voxels, estimate, orient, turn upwards, and hand the normals to every point."""
     _checkpoints(spark)
-    small = C.thinned(points(spark, d), 1500)
-    n = C.oriented(C.normals(small, 0.6), small, 0.6)
-    return C.normal_stats(C.flipped_up(n, "y")).select((F.col("ny") >= 0).alias("up"), F.round("longest", 6).alias("longest"))
+    p = points(spark, d)
+    small = C.downsampled(p, 0.5).select(((F.col("cx") * 1000 + F.col("cy")) * 1000 + F.col("cz")).alias("point_id"), *"xyz")
+    n = C.flipped_up(C.oriented(C.normals(small, 1.2), small, 1.2), "y")
+    return C.normal_stats(C.transferred(p, small, n, 0.5)).select((F.col("ny") >= 0).alias("up"), F.round("longest", 6).alias("longest"))
 
 
 QUERIES = {f.__name__: f for f in (cloud_thin, cloud_every_tenth, cloud_downsample, cloud_nearest, cloud_within, cloud_adaptive_cells, cloud_missing, cloud_queue, vector_neighbours, cloud_without_outliers, cloud_normals)}
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
-_HALVES = f"{POINTS}, l AS (SELECT * FROM points WHERE point_id % 20 = 0), r AS (SELECT * FROM points WHERE point_id % 20 = 1)"
+_MARKED = f"{POINTS}, l AS (SELECT * FROM points), r AS (SELECT * FROM points WHERE point_id IN (SELECT MIN(point_id) FROM points GROUP BY FLOOR(x / 0.5e0), FLOOR(y / 0.5e0), FLOOR(z / 0.5e0)))"
 ORACLE_SQL = {
     "cloud_thin": f"WITH {POINTS} SELECT point_id FROM points ORDER BY (point_id * 2654435761 + 42) % 4294967296, point_id LIMIT 1000",
     "cloud_every_tenth": f"WITH {POINTS} SELECT point_id, point_id // 10 AS id FROM points WHERE point_id % 10 = 0",
     "cloud_downsample": f"WITH {POINTS} SELECT {', '.join(f'CAST(FLOOR({c} / 0.5e0) AS BIGINT) AS c{c}' for c in 'xyz')}, COUNT(*) AS n, {', '.join(f'{micro(f"AVG({c})")} AS {c}' for c in 'xyz')} FROM points GROUP BY 1, 2, 3",
-    "cloud_nearest": f"WITH {_HALVES} SELECT point_id, other, {micro('d')} AS d FROM (SELECT a.point_id, b.point_id AS other, {_D} AS d, ROW_NUMBER() OVER (PARTITION BY a.point_id ORDER BY {_D}, b.point_id) AS k FROM l a, r b) s WHERE k = 1",
-    "cloud_within": f"WITH {_HALVES} SELECT point_id, other, {micro('d')} AS d FROM (SELECT a.point_id, b.point_id AS other, {_D} AS d, ROW_NUMBER() OVER (PARTITION BY a.point_id ORDER BY {_D}, b.point_id) AS k FROM l a, r b WHERE {_D} <= 0.5e0) s WHERE k <= 3",
+    "cloud_nearest": f"WITH {_MARKED} SELECT point_id, other, {micro('d')} AS d FROM (SELECT a.point_id, b.point_id AS other, {_D} AS d, ROW_NUMBER() OVER (PARTITION BY a.point_id ORDER BY {_D}, b.point_id) AS k FROM l a, r b) s WHERE k = 1",
+    "cloud_within": f"WITH {_MARKED} SELECT point_id, other, {micro('d')} AS d FROM (SELECT a.point_id, b.point_id AS other, {_D} AS d, ROW_NUMBER() OVER (PARTITION BY a.point_id ORDER BY {_D}, b.point_id) AS k FROM l a, r b WHERE {_D} <= 0.5e0) s WHERE k <= 3",
     "cloud_missing": f"WITH {POINTS} SELECT point_id AS image_id FROM points WHERE point_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 5)",
     "cloud_queue": f"WITH {POINTS} SELECT {micro('x')} AS distance, point_id AS seq FROM points",
     "vector_neighbours": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0),

@@ -40,7 +40,7 @@ def _sql_clip() -> str:
     v = [" + ".join(f"({r[i]!r}e0) * {c}" for i, c in enumerate("xyz")) + f" + ({r[3]!r}e0)" for r in rows]
     return f"""{POINTS}, vw AS (SELECT *, {v[0]} AS vx, {v[1]} AS vy, {v[2]} AS vz FROM points),
     clip AS (SELECT *, ({fx!r}e0) * vx AS cx, ({fy!r}e0) * vy AS cy, ({a!r}e0) * vz + ({b!r}e0) AS cz, -vz AS cw, -vz AS d FROM vw),
-    seen AS (SELECT *, LEAST(CAST(FLOOR((cx / cw + 1e0) * {W / 2}e0) AS INT), {W - 1}) AS px, LEAST(CAST(FLOOR((1e0 - cy / cw) * {H / 2}e0) AS INT), {H - 1}) AS py, {micro('cz / cw')} AS z
+    seen AS (SELECT point_id, las_class, LEAST(CAST(FLOOR((cx / cw + 1e0) * {W / 2}e0) AS INT), {W - 1}) AS px, LEAST(CAST(FLOOR((1e0 - cy / cw) * {H / 2}e0) AS INT), {H - 1}) AS py, {micro('cz / cw')} AS z
         FROM clip WHERE cw > 0 AND ABS(cx) <= cw AND ABS(cy) <= cw AND cz >= 0 AND cz <= cw)"""
 
 

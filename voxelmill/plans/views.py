@@ -35,11 +35,16 @@ def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """px, py, v, al of every pixel of a SIDE x SIDE raster; al is 1 where a point with point_id % 7 = 0 falls."""
-    lit = points(spark, sf_dir).where("point_id % 7 = 0").select((F.floor(F.col("x") * 10.0) % SIDE).cast("int").alias("px"), (F.floor(F.col("y") * 12.0) % SIDE).cast("int").alias("py"), "las_class")
-    peak = lit.groupBy("px", "py").agg((F.max("las_class") * F.lit(0.25)).alias("v0"))
+    """px, py, v, al of every pixel of a SIDE x SIDE raster.
+
+    All points are drawn from above; al is 1 where the point with the least z is of
+    class 1 or 2, whose class gives v.  The other pixels are holes.
+    """
+    place = [(F.floor(F.col("x") * 10.0) % SIDE).cast("int").alias("px"), (F.floor(F.col("y") * 12.0) % SIDE).cast("int").alias("py")]
+    top = points(spark, sf_dir).groupBy(*place).agg(F.min(F.struct("z", "point_id", "las_class")).alias("top"))
+    lit = top.where("top.las_class <= 2").select("px", "py", (F.col("top.las_class") * F.lit(0.25)).alias("v0"))
     grid = spark.range(SIDE * SIDE).select((F.col("id") % SIDE).cast("int").alias("px"), F.floor(F.col("id") / SIDE).cast("int").alias("py"))
-    return grid.join(peak, ["px", "py"], "left").select("px", "py", F.coalesce("v0", F.lit(0.0)).alias("v"), F.when(F.col("v0").isNull(), 0.0).otherwise(1.0).alias("al"))
+    return grid.join(lit, ["px", "py"], "left").select("px", "py", F.coalesce("v0", F.lit(0.0)).alias("v"), F.when(F.col("v0").isNull(), 0.0).otherwise(1.0).alias("al"))
 
 
 POINTS = """points AS (SELECT o_orderkey AS point_id, CAST(o_custkey % 1500 AS DOUBLE) * 0.004e0 AS x,
@@ -48,7 +53,9 @@ POINTS = """points AS (SELECT o_orderkey AS point_id, CAST(o_custkey % 1500 AS D
 HITS = """hits AS (SELECT l_orderkey AS point_id, (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) * 2 + (CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END) AS class_id FROM lineitem)"""
 DEPTHS = "depths AS (SELECT l_quantity * 0.2e0 + l_discount * 20.0e0 + 5.0e0 AS d FROM lineitem)"
 RASTER = f"""{POINTS},
-    peak AS (SELECT CAST(FLOOR(x * 10.0e0) AS INT) % {SIDE} AS px, CAST(FLOOR(y * 12.0e0) AS INT) % {SIDE} AS py, MAX(las_class) * 0.25e0 AS v0 FROM points WHERE point_id % 7 = 0 GROUP BY 1, 2),
+    drawn AS (SELECT CAST(FLOOR(x * 10.0e0) AS INT) % {SIDE} AS px, CAST(FLOOR(y * 12.0e0) AS INT) % {SIDE} AS py, z, point_id, las_class FROM points),
+    tops AS (SELECT px, py, las_class, ROW_NUMBER() OVER (PARTITION BY px, py ORDER BY z, point_id) AS k FROM drawn),
+    peak AS (SELECT px, py, las_class * 0.25e0 AS v0 FROM tops WHERE k = 1 AND las_class <= 2),
     raster AS (SELECT g.px, g.py, COALESCE(v0, 0e0) AS v, CASE WHEN v0 IS NULL THEN 0e0 ELSE 1e0 END AS al
         FROM (SELECT CAST(range % {SIDE} AS INT) AS px, CAST(range // {SIDE} AS INT) AS py FROM range({SIDE * SIDE})) g LEFT JOIN peak USING (px, py))"""
 
