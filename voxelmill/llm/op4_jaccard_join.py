@@ -14,15 +14,16 @@ into one region at least.  (With whole documents as first pivots all distances o
 unrelated texts are near 1, every window reaches every cell, and all points would
 be copied everywhere.)
 
-Recursion.  Within a region the pivots are documents.  A round measures the
-members' distances to the region's pivot, exactly where cheap bounds (set sizes,
-parity sketches) leave a link possible.  Members within the radius r of it are in
-one component and need no links among each other; by the triangle inequality such
-a member at distance d can still link to one outside, z, only if |d - d(z)| <= r.
-The members outside and those in that window form the region of the next round,
-whose pivots come from outside and are more at once, until none is left.
-
-Links are joined into components by distributed label propagation, each round.
+Recursion.  Within a region the pivots are documents.  First the region's most
+central member: everybody's distance to it is measured where cheap bounds leave a
+link possible, and what links connect becomes one component.  A region that is in
+one component is done.  In the others two members of different components are
+compared by the same windows: if a region's pivot is the first that both have, at
+places i and j, they differ in i + j shingles before it at least, and in what their
+sizes after it differ by; with the places and parity sketches few pairs are left,
+and those are measured exactly.  Hot regions are dealt out in pairs of blocks.
+
+Links are joined into components by distributed label propagation.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ ORDER_BUCKETS = 1 << 18
 #: Bits of the filter by which a task knows that a set is needed; a full filter costs shuffle, not results.
 FILTER_BITS = 1 << 25
 _SKETCH = [f"k{i}" for i in range(4)]
+#: Members of a region that one task compares with each other, at most.
+BLOCK = 4096
+_AT_ONCE = 1 << 20
 
 
 def shingle_sets(slab: Slab, n: int) -> Iterator[np.ndarray]:
@@ -154,76 +158,112 @@ def _measured(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
 
 
 def _possible(pairs: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, p) that can link: sizes within the ratio, and sketches that differ in no more bits than linked sets may differ in shingles."""
+    """Pairs (x, p) that can link: sketches that differ in no more bits than linked sets may differ in shingles."""
     other = attributes.select(F.col("x").alias("p"), F.col("n").alias("m"), *(F.col(k).alias(f"p{k}") for k in _SKETCH))
     hamming = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"p{k}"))) for k in _SKETCH), F.lit(0))
-    can = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * hamming <= (100 - percent) * (F.col("n") + F.col("m")))
+    can = (100 + percent) * hamming <= (100 - percent) * (F.col("n") + F.col("m"))
     return pairs.join(attributes, "x").join(other, "p").where(can).select("x", "p").distinct()
 
 
 def _regions(reps: DataFrame) -> DataFrame:
-    """(s, x): the members of every region of two or more; of regions with the same members, one.
+    """(s, x, i, n, size): the members of every region of two or more, with their place i of s in pivot order.
 
     Regions are counted and fingerprinted by partial aggregates; only rows of the
-    regions that stay, by a filter of fixed size, are then dealt out by region.
+    regions that stay, by a filter of fixed size, are then dealt out by region.  Of
+    regions with the same members the first in pivot order stays, so a pair's first
+    common pivot is never lost.
     """
-    cells = reps.select(F.explode("window").alias("s"), "x")
-    kinds = cells.groupBy("s").agg(F.count("*").alias("c"), F.min("x").alias("low"), F.bit_xor(F.xxhash64("x")).alias("f")).where("c > 1")
-    kept = written(kinds.groupBy("c", "low", "f").agg(F.min("s").alias("s")).select("s"))
+    cells = reps.select(F.posexplode("window").alias("i", "s"), "x", "n")
+    kinds = cells.groupBy("s").agg(F.count("*").alias("size"), F.min(F.struct("x", "i")).alias("low"), F.bit_xor(F.xxhash64("x")).alias("f")).where("size > 1")
+    kept = written(kinds.groupBy("size", F.col("low.x").alias("low"), "f").agg(F.min_by("s", F.col("low.i")).alias("s")).select("s", "size"))
     shared = reps.sparkSession.sparkContext.broadcast(_filter(kept, "s"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select([0, 1]).take(pa.array(_passing(shared.value, batch.column(2).to_numpy())))
+            yield batch.select([0, 1, 2, 3]).take(pa.array(_passing(shared.value, batch.column(4).to_numpy())))
 
-    slotted = cells.withColumn("slot", F.pmod(F.xxhash64("s"), F.lit(FILTER_BITS)))
-    return map_batches(slotted, pick, "s long, x long").join(kept, "s")
+    slotted = cells.select("s", "x", "i", "n", F.pmod(F.xxhash64("s"), F.lit(FILTER_BITS)).alias("slot"))
+    return map_batches(slotted, pick, "s long, x long, i int, n long").join(kept, "s")
 
 
-def _chosen(members: DataFrame, at_once: int) -> DataFrame:
-    """(s, o, p, q): up to ``at_once`` pivots of each region among its members outside, by a hash; a partial minimum for each, never a sorted group."""
-    mark = F.struct(F.xxhash64("x").alias("o"), F.col("x").alias("p"), F.col("comp").alias("q"))
-    turn = F.pmod(F.xxhash64("x", F.lit(3)), F.lit(at_once))
-    return written(members.where("out").groupBy("s", turn.alias("g")).agg(F.min(mark).alias("v")).select("s", "v.*"))
+def _to_centres(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, p) of each member and its region's centre, the member with the fewest shingles before the pivot, where they can link."""
+    mark = F.min(F.struct("i", F.xxhash64("x").alias("o"), "x", "n")).alias("v")
+    centres = members.groupBy("s").agg(mark).select("s", F.col("v.x").alias("p"), F.col("v.i").alias("j"), F.col("v.n").alias("m"))
+    apart = F.col("i") + F.col("j") + F.abs((F.col("n") - F.col("i")) - (F.col("m") - F.col("j")))
+    can = (F.col("x") != F.col("p")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
+    pairs = members.join(centres, "s").where(can).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("p"))
+    return pairs.distinct()
 
 
-def _divided(members: DataFrame, pivots: DataFrame, radius: float) -> DataFrame:
-    """The regions of the next round.
+def _window_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, p) of members of one region, in different components, within each other's windows.
 
-    A tested pivot leaves.  The home of a region is the component with most of its
-    members; one at home stays only if a member outside may lie within the radius
-    by the triangle inequality over the first pivot (d: its exact distance, or a
-    lower bound).  A region without two members, or with none outside, is done.
+    A region is dealt out in blocks of at most BLOCK members, and pairs of blocks,
+    so a hot region is many tasks' work; a task compares a block's members by their
+    places, sizes and sketches and hands out the few pairs that can still link.
     """
-    left = members.join(pivots.select("s", F.col("p").alias("x")), ["s", "x"], "left_anti")
-    home = left.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", F.col("comp").alias("home"))).alias("v"), F.sum("c").alias("size")).where("size > 1").select("s", "v.home")
-    placed = left.drop("out").join(home, "s").withColumn("out", F.col("comp") != F.col("home")).drop("home")
-    outside = placed.where("out").groupBy("s").agg(F.min("d").alias("z"))
-    return placed.join(outside, "s").where(F.col("out") | ~F.col("exact") | (F.col("d") >= F.col("z") - radius)).drop("z")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("x", F.lit(5)), blocks).cast("int")
+    dealt = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    fields = ["s", "lo", "hi", "own", "x", "comp", "i", "n", *_SKETCH]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * len(fields)
+
+        def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            s, lo, hi, mine, x, comp, i, n = cols[:8]
+            sketch = np.stack(cols[8:], axis=1).view(np.uint64)
+            group = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            end = np.repeat(np.append(group[1:], len(s)), np.diff(np.append(group, len(s))))
+            partners = end - np.arange(len(s)) - 1
+            upto, at = np.cumsum(partners), 0
+            while at < len(s):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _AT_ONCE, "right")))
+                k = partners[at:to]
+                a = np.repeat(np.arange(at, to), k)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+                room = (100 - percent) * (n[a] + n[b])
+                apart = i[a] + i[b] + np.abs((n[a] - i[a]) - (n[b] - i[b]))
+                can = ((100 + percent) * apart <= room) & (comp[a] != comp[b]) & ((lo[a] == hi[a]) | (mine[a] != mine[b]))
+                a, b, room = a[can], b[can], room[can]
+                hamming = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                can = (100 + percent) * hamming <= room
+                a, b = x[a[can]], x[b[can]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["x", "p"])
+                at = to
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield from pairs([c[:cut] for c in cols])
+        if len(held[0]):
+            yield from pairs(held)
+
+    cast = [F.col(c).cast("long").alias(c) for c in fields]
+    sorted_rows = dealt.select(*cast).repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi", "x")
+    return map_batches(sorted_rows, compare, "x long, p long").distinct()
 
 
 def links(docs: DataFrame, reps: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between representatives, enough of them to connect all that links connect."""
-    radius = 1 - percent / 100 + 1e-9
-    members = written(_regions(reps).withColumns({"comp": F.col("x"), "out": F.lit(True), "d": F.lit(0.0), "exact": F.lit(False)}))
+    members = written(_regions(reps))
     attributes = reps.select("x", "n", *_SKETCH)
-    edges, at_once = None, 1
-    while not members.isEmpty():
-        pivots = _chosen(members, at_once)
-        near = members.join(pivots, "s").where("comp <> q")
-        pairs = near.groupBy(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).agg(F.max("p").alias("p")).select(F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("x"), "p")
-        tested = written(_measured(docs, written(_possible(pairs, attributes, percent)), n, percent))
-        found = tested.where("link").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-        if at_once == 1:  # distances to the region's first pivot hold for all rounds; where they weren't measured they are above the radius
-            known = tested.select("x", "p", "d").unionByName(tested.select(F.col("p").alias("x"), F.col("x").alias("p"), "d"))
-            far = members.drop("d", "exact").join(pivots.select("s", "p"), "s").join(known, ["x", "p"], "left")
-            members = far.select("s", "x", "comp", "out", F.coalesce("d", F.lit(radius)).alias("d"), F.col("d").isNotNull().alias("exact"))
-        labels = components(edges, 2)  # what two rounds connect is connected; the rest costs tests
-        members = members.join(labels, "x", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
-        members = written(_divided(members, pivots, radius))
-        at_once *= 16
-    return edges if edges is not None else reps.select(F.col("x").alias("a"), F.col("x").alias("b")).limit(0)
+    ends = [F.col("x").alias("a"), F.col("p").alias("b")]
+    near = written(_possible(_to_centres(members, percent), attributes, percent))
+    first = written(_measured(docs, near, n, percent).where("link").select(*ends))
+    labels = written(components(first))
+    placed = members.join(labels, "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
+    open_ = placed.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
+    rest = placed.join(open_, "s", "left_semi").join(attributes.select("x", *_SKETCH), "x")
+    found = _measured(docs, written(_window_pairs(rest, percent)), n, percent)
+    return written(first.unionByName(found.where("link").select(*ends)))
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
