@@ -91,49 +91,66 @@ def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), judge, "doc_id long, n_tokens long, posterior array<double>")
 
 
+def rates_after(posterior: np.ndarray, steps: np.ndarray, max_rate: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the given steps, and where the next step starts.
+
+    Each step moves along -posterior . step and is projected on [0, max_rate]; it
+    starts ahead of the last rates by a part of the last move (Nesterov's momentum).
+    """
+    rate = ahead = np.ones(len(posterior))
+    for t, step in enumerate(steps):
+        moved = np.clip(ahead - posterior @ step, 0.0, max_rate)
+        rate, ahead = moved, moved + t / (t + 3) * (moved - rate)
+    return rate, ahead
+
+
 def rate_of(posterior: np.ndarray, steps: np.ndarray, max_rate: float | None) -> np.ndarray:
-    """Rates after the given steps: each moves along -posterior . step and is projected on [0, max_rate]."""
-    rate = np.ones(len(posterior))
-    for step in steps:
-        rate = np.clip(rate - posterior @ step, 0.0, max_rate)
-    return rate
+    return rates_after(posterior, steps, max_rate)[0]
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, max_rate: float | None = None, steps: int = STEPS, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of projected gradient descent on sum_k (tokens_k - target_k)^2 / mass_k, and the tokens they lead to.
-
-    Rates start at 1; distances between rates are weighted by tokens.  As a
-    document's posteriors sum to 1 the Hessian's largest eigenvalue is 1 at most,
-    so steps of length 1 descend.  It stops when every domain is within ``close``
-    of the target total, or at the last step (targets may be out of reach).
+    """Steps of projected gradient descent on the squared residuals tokens - targets, and the tokens they lead to.
+
+    Rates start at 1; distances between rates are weighted by tokens, and the
+    residuals are weighted by the inverse of the domains' Gram matrix (the sum of
+    tokens x posterior x posterior), so that the Hessian is the identity where no
+    rate is at a bound and a step of length 1 descends.  It stops when every domain
+    is within ``close`` of the target total, when a step changes nothing, or at the
+    last step (targets may be out of reach).
     """
     k = len(targets)
     done: list[np.ndarray] = []
 
-    def sums(now: np.ndarray) -> np.ndarray:
+    def summed_up(each: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+            total = np.zeros(size)
             for batch in batches:
                 if batch.num_rows:
-                    p = np.array(batch.column(1).flatten().to_numpy()).reshape(-1, k)
-                    total += (rate_of(p, now, max_rate) * batch.column(0).to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total)], ["domain", "tokens"])
-
-        found = map_batches(members.select("n_tokens", "posterior"), add, "domain int, tokens double").groupBy("domain").agg(F.sum("tokens")).collect()
-        out = np.zeros(k)
-        for domain, tokens in found:
-            out[domain] = tokens
+                    total += each(batch.column(0).to_numpy(), np.array(batch.column(1).flatten().to_numpy()).reshape(-1, k))
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["at", "value"])
+
+        out = np.zeros(size)
+        for at, value in map_batches(members.select("n_tokens", "posterior"), add, "at int, value double").groupBy("at").agg(F.sum("value")).collect():
+            out[at] = value
         return out
 
-    mass = np.maximum(sums(np.zeros((0, k))), 1e-9)
-    tokens = mass
+    def tokens_after(now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def each(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            return np.concatenate([(r * n) @ p for r in rates_after(p, now, max_rate)])
+
+        return tuple(summed_up(each, 2 * k).reshape(2, k))
+
+    gram = summed_up(lambda n, p: ((p * n[:, None]).T @ p).ravel(), k * k).reshape(k, k)
+    total = max(gram.sum(), 1e-9)  # posteriors sum to 1, so all entries sum to the tokens
+    weight = np.linalg.inv(gram + 1e-9 * total * np.eye(k))
+    tokens = start = gram.sum(axis=1)
     while len(done) < steps and np.abs(tokens - targets).max() > close * max(targets.sum(), 1e-9):
-        done.append((tokens - targets) / mass)
-        after = sums(np.array(done))
-        if np.abs(after - tokens).max() <= 1e-9 * mass.sum():
-            tokens = after
-            break
+        done.append(weight @ (start - targets))
+        after, start = tokens_after(np.array(done))
+        still = np.abs(after - tokens).max() <= close / 10 * total
         tokens = after
+        if still:
+            break
     return np.array(done).reshape(-1, k), tokens
 
 
