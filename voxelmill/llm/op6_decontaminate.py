@@ -24,7 +24,7 @@ from .textkit import ALNUM, Slab, Words, slabs, span_hashes, words
 WINDOW = 10
 #: Benchmark text that one pass ships to the executors; a larger benchmark takes more passes.
 BLOCK_BYTES = 32 << 20
-_SHARD_BYTES = 4 << 20
+_SHARD_BYTES = 2 << 20
 _FOUND = "n_words long, spans array<long>, items array<string>, longest long"
 
 

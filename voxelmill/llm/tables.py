@@ -30,7 +30,7 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
 
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow over batches bounded in bytes as well as rows, so long texts don't pile up in one batch."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return df.mapInArrow(fn, schema)
 
 
