@@ -83,31 +83,48 @@ def _order_counts(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _parities(s: np.ndarray, width: int) -> bytes:
+    """A bit for each of ``width`` slots (a power of two): is the number of shingles in it odd."""
+    slots = ((s >> np.uint64(16)) & np.uint64(max(width, 1) - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=width) & 1).astype(np.uint8)).tobytes() if width else b""
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Slots in which two sketches differ; the wider one's halves are laid over each other until it is as wide as the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size of its set, a 128-bit digest of it, its window's shingles, and a parity sketch (absent where the set is empty)."""
+    """doc_id, size of its set, a 128-bit digest of it, its window's shingles, and its parity sketches, narrow and wide."""
     order = docs.sparkSession.sparkContext.broadcast(_order_counts(docs, n))
-    names = ["doc_id", "n", "h0", "h1", "window", *_SKETCH]
+    names = ["doc_id", "n", "h0", "h1", "window", "wide", *_SKETCH]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for batch in batches:
             for slab in slabs(batch.column(1)):
-                size, digest, window, sketch = [], [], [], []
+                size, digest, window, wide, sketch = [], [], [], [], []
                 for s in shingle_sets(slab, n):
                     size.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     window.append(s[np.argsort(counts[(s % np.uint64(ORDER_BUCKETS)).astype(np.int64)], kind="stable")[:keep]].view(np.int64))
+                    wide.append(_parities(s, max(256, 1 << (len(s) - 1).bit_length()) if len(s) else 0))
                     sketch.append(np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)))
                 keys = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 bits = np.concatenate(sketch).view("<i8").reshape(-1, 4)
                 lens = np.r_[0, np.cumsum([len(w) for w in window])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(slab.first, slab.n), pa.array(np.array(size, np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(window))), *(pa.array(bits[:, i]) for i in range(4))],
+                    [batch.column(0).slice(slab.first, slab.n), pa.array(np.array(size, np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(window))), pa.array(wide, pa.binary()), *(pa.array(bits[:, i]) for i in range(4))],
                     names,
                 )
 
-    return map_batches(docs.select("doc_id", "text"), sign, "doc_id long, n long, h0 long, h1 long, window array<long>, " + ", ".join(f"{k} long" for k in _SKETCH))
+    return map_batches(docs.select("doc_id", "text"), sign, "doc_id long, n long, h0 long, h1 long, window array<long>, wide binary, " + ", ".join(f"{k} long" for k in _SKETCH))
 
 
 def _filter(ids: DataFrame, name: str) -> np.ndarray:
@@ -158,32 +175,41 @@ def _measured(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
 
 
 def _possible(pairs: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, p) that can link: sketches that differ in no more bits than linked sets may differ in shingles."""
-    other = attributes.select(F.col("x").alias("p"), F.col("n").alias("m"), *(F.col(k).alias(f"p{k}") for k in _SKETCH))
-    hamming = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"p{k}"))) for k in _SKETCH), F.lit(0))
-    can = (100 + percent) * hamming <= (100 - percent) * (F.col("n") + F.col("m"))
-    return pairs.join(attributes, "x").join(other, "p").where(can).select("x", "p").distinct()
+    """Pairs (x, p) that can link: wide sketches that differ in no more slots than linked sets may differ in shingles."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, a, b = (batch.column(k).to_pylist() for k in range(2, 6))
+            can = [(100 + percent) * _differing(u, v) <= (100 - percent) * (i + j) for i, j, u, v in zip(n, m, a, b)]
+            yield batch.select([0, 1]).filter(pa.array(can, pa.bool_()))
+
+    other = attributes.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("wide").alias("wide_p"))
+    both = pairs.join(attributes.select("x", "n", "wide"), "x").join(other, "p").select("x", "p", "n", "m", "wide", "wide_p")
+    return map_batches(both, compare, "x long, p long").distinct()
 
 
 def _regions(reps: DataFrame) -> DataFrame:
     """(s, x, i, n, size): the members of every region of two or more, with their place i of s in pivot order.
 
-    Regions are counted and fingerprinted by partial aggregates; only rows of the
-    regions that stay, by a filter of fixed size, are then dealt out by region.  Of
+    Regions are counted first; only rows of those with two members or more, by a
+    filter of fixed size, are then fingerprinted and dealt out by region.  Of
     regions with the same members the first in pivot order stays, so a pair's first
     common pivot is never lost.
     """
-    cells = reps.select(F.posexplode("window").alias("i", "s"), "x", "n")
-    kinds = cells.groupBy("s").agg(F.count("*").alias("size"), F.min(F.struct("x", "i")).alias("low"), F.bit_xor(F.xxhash64("x")).alias("f")).where("size > 1")
-    kept = written(kinds.groupBy("size", F.col("low.x").alias("low"), "f").agg(F.min_by("s", F.col("low.i")).alias("s")).select("s", "size"))
-    shared = reps.sparkSession.sparkContext.broadcast(_filter(kept, "s"))
+    spark = reps.sparkSession
+    shared = written(reps.select(F.explode("window").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"))
+    bits = spark.sparkContext.broadcast(_filter(shared, "s"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select([0, 1, 2, 3]).take(pa.array(_passing(shared.value, batch.column(4).to_numpy())))
+            yield batch.select([0, 1, 2, 3]).take(pa.array(_passing(bits.value, batch.column(4).to_numpy())))
 
+    cells = reps.select(F.posexplode("window").alias("i", "s"), "x", "n")
     slotted = cells.select("s", "x", "i", "n", F.pmod(F.xxhash64("s"), F.lit(FILTER_BITS)).alias("slot"))
-    return map_batches(slotted, pick, "s long, x long, i int, n long").join(kept, "s")
+    cells = written(map_batches(slotted, pick, "s long, x long, i int, n long"))
+    kinds = cells.groupBy("s").agg(F.count("*").alias("size"), F.min(F.struct("x", "i")).alias("low"), F.bit_xor(F.xxhash64("x")).alias("f")).where("size > 1")
+    kept = kinds.groupBy("size", F.col("low.x").alias("low"), "f").agg(F.min_by("s", F.col("low.i")).alias("s")).select("s", "size")
+    return cells.join(kept, "s")
 
 
 def _to_centres(members: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +280,7 @@ def _window_pairs(members: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between representatives, enough of them to connect all that links connect."""
     members = written(_regions(reps))
-    attributes = reps.select("x", "n", *_SKETCH)
+    attributes = reps.select("x", "n", "wide", *_SKETCH)
     ends = [F.col("x").alias("a"), F.col("p").alias("b")]
     near = written(_possible(_to_centres(members, percent), attributes, percent))
     first = written(_measured(docs, near, n, percent).where("link").select(*ends))
@@ -262,7 +288,8 @@ def links(docs: DataFrame, reps: DataFrame, n: int = SHINGLE, percent: int = PER
     placed = members.join(labels, "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
     open_ = placed.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
     rest = placed.join(open_, "s", "left_semi").join(attributes.select("x", *_SKETCH), "x")
-    found = _measured(docs, written(_window_pairs(rest, percent)), n, percent)
+    near = written(_possible(written(_window_pairs(rest, percent)), attributes, percent))
+    found = _measured(docs, near, n, percent)
     return written(first.unionByName(found.where("link").select(*ends)))
 
 
@@ -293,7 +320,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> D
     threshold only, and components take the smallest id.
     """
     signed = written(_signatures(docs, n, percent))
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h0", "h1").agg(F.min("doc_id").alias("x"), F.first(F.struct("n", "window", *_SKETCH)).alias("v"))
+    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h0", "h1").agg(F.min("doc_id").alias("x"), F.first(F.struct("n", "window", "wide", *_SKETCH)).alias("v"))
     reps = written(classes.select("x", "h0", "h1", "v.*"))
     found = components(links(docs, reps, n, percent))
     named = reps.join(found, "x", "left").select("h0", "h1", F.coalesce("component", "x").alias("component"))
