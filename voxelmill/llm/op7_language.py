@@ -27,11 +27,10 @@ _SLAB_BYTES = 1 << 19
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: is it a letter; its lower case where that is one code point."""
-    points = [chr(c) for c in range(0x110000)]
-    letter = np.array([c.isalpha() for c in points])
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     lower = np.arange(0x110000, dtype=np.uint32)
     for c in range(0x24F0):
-        x = points[c].lower()
+        x = chr(c).lower()
         if len(x) == 1:
             lower[c] = ord(x)
     return letter, lower
@@ -79,14 +78,14 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", buckets: int
 
 
 def predict(docs: DataFrame, model, text: str = "text", buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """The columns of ``docs`` but its text, with lang_pred and score (the posterior of lang_pred, 0 to 1).
+    """The columns of ``docs`` but its text, with lang_pred and score (the posterior of lang_pred, 0 to 1), which replace columns of those names.
 
     A null text, a text without a letter, or a model without classes gives ``und``
     and 0.  Equal posteriors go to the first label in order.  Repeated rows get
     equal results; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
