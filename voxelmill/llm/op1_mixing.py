@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .hashed_nb import Model, count_features, fit, softmax, summed, text_features
 from .tables import map_batches, read, written
-from .textkit import NOT_SPACE, slabs, words
+from .textkit import NOT_SPACE, Slab, slabs, words
 
-BUCKETS, STRENGTH = 1 << 16, 2000.0
+BUCKETS, STRENGTH = 1 << 18, 200.0
+#: Deviations from the expected count by which a feature must stand out in some domain to be used.
+TELLING = 9.0
 #: Labelled rows that the classifier is fitted on at most, taken in the order of a hash of doc_id.
 LABELLED_LIMIT = 20_000
 STEPS, CLOSE = 200, 1e-4
@@ -31,6 +33,21 @@ STEPS, CLOSE = 200, 1e-4
 TARGETS = {"good": 0.85, "poor": 0.08, "toxic": 0.07}
 
 
+def features(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and buckets of each row's distinct features, in row order."""
+    row, bucket = text_features(slab, BUCKETS)
+    both = np.unique(row * BUCKETS + bucket)
+    return both // BUCKETS, both % BUCKETS
+
+
+def telling(model: Model, counts: np.ndarray) -> Model:
+    """The model with all features left out that are about as frequent in every domain: what chance gives them would drown the others in a long text."""
+    total = counts.sum(axis=0)
+    expected = total * (counts.sum(axis=1, keepdims=True) / max(counts.sum(), 1.0))
+    stands_out = (np.abs(counts - expected) / np.sqrt(expected + 1.0)).max(axis=0, initial=0.0) > TELLING
+    return Model(model.labels, np.where(stands_out[:, None], model.log_p, 0.0), model.prior)
+
+
 @dataclass
 class Classifier:
     """Posterior of each domain; ``heat`` is the calibrated weight of the text's log odds."""
@@ -41,8 +58,7 @@ class Classifier:
     def of(self, batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Of each slab: its part of the batch, posteriors, and tokens (words between white space)."""
         for slab in slabs(batch.column(at)):
-            row, bucket = text_features(slab, BUCKETS)
-            x = self.model.totals(row, bucket, slab.n) / np.sqrt(np.bincount(row, minlength=slab.n) + 1.0)[:, None]
+            x = self.model.totals(*features(slab), slab.n)
             yield batch.slice(slab.first, slab.n), softmax(self.heat * x + self.model.prior), words(slab, NOT_SPACE).count()
 
 
@@ -54,10 +70,10 @@ def train(docs: DataFrame, labelled: DataFrame, limit: int = LABELLED_LIMIT) ->
 
     def each(batch: pa.RecordBatch) -> Iterator[tuple]:
         for slab in slabs(batch.column(0)):
-            yield batch.column(1).slice(slab.first, slab.n).to_pylist(), *text_features(slab, BUCKETS)
+            yield batch.column(1).slice(slab.first, slab.n).to_pylist(), *features(slab)
 
     labels, counts, n = summed(count_features(rows.where("NOT cal"), BUCKETS, each), BUCKETS)
-    found = Classifier(fit(counts, n, labels, STRENGTH), 1.0)
+    found = Classifier(telling(fit(counts, n, labels, STRENGTH), counts), 1.0)
     if len(labels) < 2:
         return found
     shared = docs.sparkSession.sparkContext.broadcast(found)
@@ -66,19 +82,34 @@ def train(docs: DataFrame, labelled: DataFrame, limit: int = LABELLED_LIMIT) ->
         m = shared.value.model
         for batch in batches:
             for slab in slabs(batch.column(0)):
-                row, bucket = text_features(slab, BUCKETS)
-                x = m.totals(row, bucket, slab.n) / np.sqrt(np.bincount(row, minlength=slab.n) + 1.0)[:, None]
+                x = m.totals(*features(slab), slab.n)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(slab.first, slab.n), pa.array(list(x), pa.list_(pa.float64()))], ["domain", "x"])
 
     t = map_batches(rows.where("cal"), held, "domain string, x array<double>").orderBy("domain", "x").toArrow()
     known = [(labels.index(d), x) for d, x in zip(t.column(0).to_pylist(), t.column(1).to_pylist()) if d in labels]
     if known:
-        y, x = np.array([k for k, _ in known]), np.array([v for _, v in known])
-        loss = {heat: -np.log(softmax(heat * x + found.model.prior)[np.arange(len(y)), y] + 1e-12).mean() for heat in np.geomspace(0.05, 20, 60)}
-        found.heat = float(min(loss, key=loss.get))
+        found.heat, found.model.prior = calibrated(np.array([v for _, v in known]), np.array([k for k, _ in known]), found.model.prior)
     return found
 
 
+def calibrated(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> tuple[float, np.ndarray]:
+    """The heat and the domains' offsets with the least log loss on held-out log odds x and domains y.
+
+    The offsets tell how likely a domain is where a text has none of its features;
+    a class that isn't held out keeps a share of half a row.
+    """
+    share = (np.bincount(y, minlength=len(prior)) + 0.5) / (len(y) + 0.5 * len(prior))
+    best = (np.inf, 1.0, prior)
+    for heat in np.geomspace(0.05, 20, 40):
+        offset = prior.copy()
+        for _ in range(100):
+            p = softmax(heat * x + offset)
+            offset -= np.clip((p.mean(axis=0) - share) / ((p * (1 - p)).mean(axis=0) + 1e-6), -1.0, 1.0)
+        loss = -np.log(softmax(heat * x + offset)[np.arange(len(y)), y] + 1e-12).mean()
+        best = min(best, (loss, float(heat), offset), key=lambda b: b[0])
+    return best[1:]
+
+
 def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, n_tokens and posterior of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
@@ -111,12 +142,11 @@ def rate_of(posterior: np.ndarray, steps: np.ndarray, max_rate: float | None) ->
 def fit_rates(members: DataFrame, targets: np.ndarray, max_rate: float | None = None, steps: int = STEPS, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray]:
     """Steps of projected gradient descent on the squared residuals tokens - targets, and the tokens they lead to.
 
-    Rates start at 1; distances between rates are weighted by tokens, and the
-    residuals are weighted by the inverse of the domains' Gram matrix (the sum of
-    tokens x posterior x posterior), so that the Hessian is the identity where no
-    rate is at a bound and a step of length 1 descends.  It stops when every domain
-    is within ``close`` of the target total, when a step changes nothing, or at the
-    last step (targets may be out of reach).
+    Rates start at 1; distances between rates are weighted by tokens, residuals by
+    the inverse of the domain's tokens.  As a document's posteriors sum to 1 the
+    Hessian's largest eigenvalue is 1 at most, so steps of length 1 descend.  It
+    stops when every domain is within ``close`` of the target total, when a step
+    changes next to nothing, or at the last step (targets may be out of reach).
     """
     k = len(targets)
     done: list[np.ndarray] = []
@@ -140,12 +170,10 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_rate: float | None =
 
         return tuple(summed_up(each, 2 * k).reshape(2, k))
 
-    gram = summed_up(lambda n, p: ((p * n[:, None]).T @ p).ravel(), k * k).reshape(k, k)
-    total = max(gram.sum(), 1e-9)  # posteriors sum to 1, so all entries sum to the tokens
-    weight = np.linalg.inv(gram + 1e-9 * total * np.eye(k))
-    tokens = start = gram.sum(axis=1)
+    tokens = start = tokens_after(np.zeros((0, k)))[0]
+    mass, total = np.maximum(tokens, 1e-9), max(tokens.sum(), 1e-9)
     while len(done) < steps and np.abs(tokens - targets).max() > close * max(targets.sum(), 1e-9):
-        done.append(weight @ (start - targets))
+        done.append((start - targets) / mass)
         after, start = tokens_after(np.array(done))
         still = np.abs(after - tokens).max() <= close / 10 * total
         tokens = after
