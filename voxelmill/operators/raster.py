@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def _along(axis: str) -> WindowSpec:
-    """A raster line, in order."""
-    return Window.partitionBy("py" if axis == "px" else "px").orderBy(axis)
-
+def _along(axis: str, by: tuple[str, ...] = ()) -> WindowSpec:
+    """A raster line, in order; ``by`` names the keys of several rasters."""
+    return Window.partitionBy(*by, "py" if axis == "px" else "px").orderBy(axis)
 
 
 def neighbours(raster: DataFrame, value: str = "v") -> DataFrame:
@@ -97,9 +96,9 @@ def kernel_weights(radius: int, sigma: float) -> list[float]:
     return [float(np.exp(-(k * k) / (2 * sigma * sigma))) for k in range(-radius, radius + 1)]
 
 
-def blurred(raster: DataFrame, radius: int, sigma: float, axis: str = "px", value: str = "v") -> DataFrame:
+def blurred(raster: DataFrame, radius: int, sigma: float, axis: str = "px", value: str = "v", by: tuple[str, ...] = ()) -> DataFrame:
     """A normalised Gaussian along one axis, the edge pixel repeated beyond the edge; one window over the line."""
-    w = _along(axis)
+    w = _along(axis, by)
     line = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     weights = kernel_weights(radius, sigma)
     total = sum(weights)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster as R
-from .views import RASTER, SIDE, micro, micros, raster
+from .views import RASTER, SIDE, micro, micros, points, raster
 
 
 def jacobi_step(spark, d):
@@ -103,7 +103,30 @@ def alpha_over(spark, d):
     return R.alpha_over(top, bottom).select("px", "py", *(micros(F.col(c)).alias(c) for c in "rgba"))
 
 
-QUERIES = {f.__name__: f for f in (jacobi_step, laplacian, residual, restrict, prolong, correct, blur_rows, blur_density, axpy, dot_product, image_psnr, image_stats, distance_field, sor_two_steps, jacobi_two_steps, jump_flood_distance, multigrid, composite, alpha_over)}
+def reconstructed_view(spark, d):
+    """The whole chain on the fixed camera: depth bins of all points, slices, filled holes, distances and densities, layers over each other."""
+    from ..operators import depth as D
+    from ..operators import projection as P
+    from ..operators import reconstruction as V
+    from . import projection as views
+
+    camera, p = views._fixed_camera(spark), points(spark, d)
+    colours = {"r": F.col("x") / 6.0, "g": F.col("y") / 5.0, "b": F.col("z") / 5.0}
+    samples = P.view_depth(p, camera).select("d")
+    bins = D.bins(D.peaks(D.smoothed(D.histogram(samples, views.NEAR, views.FAR))), views.NEAR, views.FAR)
+    return V.reconstructed(p.withColumns(colours), camera, bins, views.W, views.H, 60).select("px", "py", *(micros(F.col(c)).alias(c) for c in "rgba"))
+
+
+def fill_quality(spark, d):
+    """How well each solver fills the holes of a slanted plane that is known where the raster is captured."""
+    from ..operators import reconstruction as V
+
+    smooth = raster(spark, d).select("px", "py", ((F.col("px") + 2 * F.col("py")) * 1.25).alias("v"), "al")
+    holed = smooth.withColumn("v", F.when(F.col("al") > 0, F.col("v")).otherwise(0.0))
+    return V.compared(holed, smooth, {"jacobi": 50, "sor": 50, "multigrid": 3}).select("method", micros(F.col("mse")).alias("mse"))
+
+
+QUERIES = {f.__name__: f for f in (reconstructed_view, fill_quality, jacobi_step, laplacian, residual, restrict, prolong, correct, blur_rows, blur_density, axpy, dot_product, image_psnr, image_stats, distance_field, sor_two_steps, jacobi_two_steps, jump_flood_distance, multigrid, composite, alpha_over)}
 
 
 def _taps(table: str, name: str, cols: str = "px, py, v, al") -> str:
