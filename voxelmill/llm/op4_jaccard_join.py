@@ -49,7 +49,7 @@ FILTER_BITS = 1 << 25
 _SKETCH = [f"k{i}" for i in range(4)]
 #: Members of a region that one task compares with each other, at most.
 BLOCK = 4096
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 17
 
 
 def shingle_sets(slab: Slab, n: int) -> Iterator[np.ndarray]:
