@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder that the session names (in tests, one under /tmp): later steps start from it, on any executor."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+    return df.checkpoint()
+
+
 def thinned(points: DataFrame, n: int, seed: int = 42, key: str = "point_id") -> DataFrame:
     """Exactly n points without replacement (all, if fewer), the same ones every time: the first by a multiplicative hash of the id."""
     return points.orderBy((F.col(key) * 2654435761 + seed) % 4294967296, key).limit(n)
@@ -55,10 +63,10 @@ def nearest(left: DataFrame, right: DataFrame, size: float, max_rounds: int = 12
     """
     todo, done = left, None
     for _ in range(max_rounds):
-        best = _candidates(todo, right, size).groupBy("point_id").agg(F.min(F.struct("d", "other")).alias("m")).select("point_id", F.col("m.other").alias("other"), F.col("m.d").alias("d"))
+        best = cut(_candidates(todo, right, size).groupBy("point_id").agg(F.min(F.struct("d", "other")).alias("m")).select("point_id", F.col("m.other").alias("other"), F.col("m.d").alias("d")))
         sure = best.where(F.col("d") <= size)
         done = sure if done is None else done.unionByName(sure)
-        todo = todo.join(sure.select("point_id"), "point_id", "left_anti")
+        todo = cut(todo.join(sure.select("point_id"), "point_id", "left_anti"))
         size *= 2
         if todo.isEmpty():
             return done
@@ -116,11 +124,11 @@ def oriented(normal: DataFrame, points: DataFrame, radius: float, most: int = 10
     edges = near.unionByName(near.select(F.col("other").alias("point_id"), F.col("point_id").alias("other"))).distinct()
     n = normal.select("point_id", *(F.col(f"n{c}").alias(f"n{c}") for c in "xyz"))
     dots = edges.join(n, "point_id").join(n.select(F.col("point_id").alias("other"), *(F.col(f"n{c}").alias(f"m{c}") for c in "xyz")), "other")
-    agree = dots.select("point_id", "other", F.when(F.expr("nx * mx + ny * my + nz * mz") < 0, -1).otherwise(1).alias("s")).checkpoint()
-    state = normal.select("point_id", F.col("point_id").alias("root"), F.lit(1).alias("sign")).checkpoint()
+    agree = cut(dots.select("point_id", "other", F.when(F.expr("nx * mx + ny * my + nz * mz") < 0, -1).otherwise(1).alias("s")))
+    state = cut(normal.select("point_id", F.col("point_id").alias("root"), F.lit(1).alias("sign")))
     for _ in range(rounds):
         heard = agree.join(state.select(F.col("point_id").alias("other"), "root", "sign"), "other").groupBy("point_id").agg(F.min(F.struct("root", "other", (F.col("s") * F.col("sign")).alias("sign"))).alias("h"))
-        moved = state.join(heard, "point_id", "left").select("point_id", F.when(F.col("h.root") < F.col("root"), F.col("h.root")).otherwise(F.col("root")).alias("r"), F.when(F.col("h.root") < F.col("root"), F.col("h.sign")).otherwise(F.col("sign")).alias("sign"), (F.coalesce(F.col("h.root") < F.col("root"), F.lit(False))).alias("moved")).checkpoint()
+        moved = cut(state.join(heard, "point_id", "left").select("point_id", F.when(F.col("h.root") < F.col("root"), F.col("h.root")).otherwise(F.col("root")).alias("r"), F.when(F.col("h.root") < F.col("root"), F.col("h.sign")).otherwise(F.col("sign")).alias("sign"), (F.coalesce(F.col("h.root") < F.col("root"), F.lit(False))).alias("moved")))
         state = moved.select("point_id", F.col("r").alias("root"), "sign")
         if moved.where("moved").isEmpty():
             break
@@ -151,7 +159,7 @@ def adaptive_cells(points: DataFrame, most: int, max_depth: int = 40) -> DataFra
     Every level is one aggregate over the open cells and one map; a cell's path of
     0s and 1s orders the cells depth first.  A cell without extent is cut by rank.
     """
-    state = points.select("point_id", "x", "z", F.lit("").alias("path"), F.lit(False).alias("leaf")).checkpoint()
+    state = cut(points.select("point_id", "x", "z", F.lit("").alias("path"), F.lit(False).alias("leaf")))
     for _ in range(max_depth):
         stats = state.where("NOT leaf").groupBy("path").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
         if stats.where(F.col("n") > most).isEmpty():
@@ -163,7 +171,7 @@ def adaptive_cells(points: DataFrame, most: int, max_depth: int = 40) -> DataFra
         joined = state.join(plans, "path", "left")
         half = F.when(F.col("flat"), F.when(F.pmod(F.xxhash64("point_id", F.length("path")), F.lit(2)) == 0, "0").otherwise("1")).otherwise(F.when(F.when(F.col("on_x"), F.col("x")).otherwise(F.col("z")) < F.col("mid"), "0").otherwise("1"))
         closed = F.col("leaf") | F.coalesce("small", F.lit(True))
-        state = joined.select("point_id", "x", "z", F.when(closed, F.col("path")).otherwise(F.concat("path", half)).alias("path"), closed.alias("leaf")).checkpoint()
+        state = cut(joined.select("point_id", "x", "z", F.when(closed, F.col("path")).otherwise(F.concat("path", half)).alias("path"), closed.alias("leaf")))
     cells = state.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("cell_id"))
     return state.join(cells, "path").select("point_id", "cell_id")
 

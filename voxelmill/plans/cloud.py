@@ -8,11 +8,6 @@ from ..operators import cloud as C
 from .views import POINTS, micro, micros, points, table
 
 
-def _checkpoints(spark):
-    """Checkpoints go to the folder that the session names, or to one under /tmp."""
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
-
-
 def cloud_thin(spark, d):
     return C.thinned(points(spark, d), 1000).select("point_id")
 
@@ -41,7 +36,6 @@ def cloud_within(spark, d):
 
 
 def cloud_adaptive_cells(spark, d):
-    _checkpoints(spark)
     return C.adaptive_cells(points(spark, d), 3000).groupBy("cell_id").agg(F.count("*").alias("n"), F.min("point_id").alias("first"), F.max("point_id").alias("last"))
 
 
@@ -65,7 +59,6 @@ def cloud_without_outliers(spark, d):
 
 def cloud_normals(spark, d):
     """The whole chain: thin by voxels, estimate, orient, turn upwards, and hand the normals to every point."""
-    _checkpoints(spark)
     p = points(spark, d)
     small = C.downsampled(p, 0.5).select(((F.col("cx") * 1000 + F.col("cy")) * 1000 + F.col("cz")).alias("point_id"), *"xyz")
     n = C.flipped_up(C.oriented(C.normals(small, 1.2), small, 1.2), "y")
