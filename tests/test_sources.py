@@ -20,6 +20,16 @@ def test_las_round_trip(spark, tmp_path):
     assert back.where("nx IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["0", "3", "7"])
+def test_las_normals(spark, tmp_path, kind):
+    las.register(spark)
+    rows = [(i, -i, 3 * i, i % 19, 1, 2, 3, 0.5, -0.25, i / 8) for i in range(50)]
+    df = spark.createDataFrame(rows, "X int, Y int, Z int, las_class int, red int, green int, blue int, nx float, ny float, nz float")
+    df.write.format("las").mode("append").option("pointformat", kind).option("normals", "true").save(str(tmp_path / "n"))
+    back = spark.read.format("las").load(str(tmp_path / "n")).select("X", "Y", "Z", "las_class", "nx", "ny", "nz")
+    assert sorted(tuple(r) for r in back.collect()) == sorted((*r[:4], *r[7:]) for r in rows)
+
+
 def test_las_header_is_checked():
     with pytest.raises(ValueError):
         las.parse_header(b"LASF" + b"\0" * 100)

@@ -131,10 +131,14 @@ class LasReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array(np.arange(part.first, part.first + n)), *arrays], ["path", "point_id", *kinds])
 
 
+NORMALS = ("nx", "ny", "nz")
+
+
 def encode_records(table: dict[str, np.ndarray], point_format: int, user_data_class: bool = False) -> bytes:
-    """Records of X, Y, Z, las_class and, where the format has it, colour."""
+    """Records of X, Y, Z, las_class, where the format has it colour, and where the table has them normals as extra bytes."""
     n, size = len(table["X"]), RECORD_BYTES[point_format]
-    out = np.zeros((n, size), np.uint8)
+    normals = all(c in table for c in NORMALS)
+    out = np.zeros((n, size + 12 * normals), np.uint8)
 
     def put(at: int, values: np.ndarray, kind: str) -> None:
         width = np.dtype(kind).itemsize
@@ -146,19 +150,28 @@ def encode_records(table: dict[str, np.ndarray], point_format: int, user_data_cl
     if point_format in COLOR_AT:
         for i, c in enumerate(("red", "green", "blue")):
             put(COLOR_AT[point_format] + 2 * i, table[c], "<u2")
+    for i, c in enumerate(NORMALS * normals):
+        put(size + 4 * i, table[c], "<f4")
     return out.tobytes()
 
 
-def header_bytes(point_format: int, count: int, scale: tuple, offset: tuple, low: tuple, high: tuple) -> bytes:
+def _described(names: tuple[str, ...]) -> bytes:
+    """The record that describes float extra bytes of these names: a head of 54 bytes, then 192 for each."""
+    body = b"".join(struct.pack("<HBB32s156x", 0, 9, 0, name.encode()) for name in names)
+    return struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(body), b"extra bytes") + body
+
+
+def header_bytes(point_format: int, count: int, scale: tuple, offset: tuple, low: tuple, high: tuple, normals: bool = False) -> bytes:
     h = bytearray(375 if point_format >= 6 else HEADER_BYTES)
     h[:4] = b"LASF"
     h[24], h[25] = 1, 4 if point_format >= 6 else 2
-    struct.pack_into("<HII", h, 94, len(h), len(h), 0)
+    extra = _described(NORMALS) if normals else b""
+    struct.pack_into("<HII", h, 94, len(h), len(h) + len(extra), int(normals))
     h[104] = point_format
-    struct.pack_into("<HI", h, 105, RECORD_BYTES[point_format], count)
+    struct.pack_into("<HI", h, 105, RECORD_BYTES[point_format] + 12 * normals, count)
     struct.pack_into("<3d3d", h, 131, *scale, *offset)
     struct.pack_into("<6d", h, 179, high[0], low[0], high[1], low[1], high[2], low[2])
-    return bytes(h)
+    return bytes(h) + extra
 
 
 @dataclass
@@ -168,7 +181,7 @@ class _Written(WriterCommitMessage):
 
 
 class LasWriter(DataSourceArrowWriter):
-    """One LAS file for each task; a file appears under its name only when it is whole."""
+    """One LAS file for each task; a file appears under its name only when it is whole.  Option normals adds nx, ny, nz."""
 
     def __init__(self, options: dict):
         self.options = options
@@ -180,14 +193,15 @@ class LasWriter(DataSourceArrowWriter):
         kind = int(o.get("pointformat", "0"))
         scale = tuple(float(v) for v in o.get("scale", "0.001,0.001,0.001").split(","))
         offset = tuple(float(v) for v in o.get("offset", "0,0,0").split(","))
-        columns = ["X", "Y", "Z", "las_class", *(("red", "green", "blue") if kind in COLOR_AT else ())]
+        normals = o.get("normals", "false") == "true"
+        columns = ["X", "Y", "Z", "las_class", *(("red", "green", "blue") if kind in COLOR_AT else ()), *(NORMALS * normals)]
         folder = o["path"].removeprefix("file://")
         os.makedirs(folder, exist_ok=True)
         name = os.path.join(folder, f"part-{context.partitionId():05d}.las")
         temporary = f"{name}.{context.taskAttemptId()}.tmp"
         n, low, high = 0, np.full(3, np.iinfo(np.int32).max), np.full(3, np.iinfo(np.int32).min)
         with open(temporary, "wb") as s:
-            s.write(header_bytes(kind, 0, scale, offset, (0, 0, 0), (0, 0, 0)))
+            s.write(header_bytes(kind, 0, scale, offset, (0, 0, 0), (0, 0, 0), normals))
             for b in batches:
                 t = {c: b.column(b.schema.get_field_index(c)).fill_null(0).to_numpy(zero_copy_only=False) for c in columns}
                 if len(t["X"]):
@@ -197,7 +211,7 @@ class LasWriter(DataSourceArrowWriter):
                     n += len(t["X"])
             box = [[float(v) * k + d for v, k, d in zip(e, scale, offset)] if n else [0.0] * 3 for e in (low, high)]
             s.seek(0)
-            s.write(header_bytes(kind, n, scale, offset, *box))
+            s.write(header_bytes(kind, n, scale, offset, *box, normals))
         os.replace(temporary, name)
         return _Written(name, n)
 
