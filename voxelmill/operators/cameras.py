@@ -20,6 +20,11 @@ def fibonacci(spark: SparkSession, n: int, radius: float = 1.0, target: tuple[fl
     return spark.range(n).where(y >= 0).select(F.col("id").alias("i"), (target[0] + radius * r * F.cos(turn)).alias("x"), (target[1] + radius * y).alias("y"), (target[2] + radius * r * F.sin(turn)).alias("z"))
 
 
+def overhead(spark: SparkSession, n: int, radius: float = 1.0, target: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """(i, x, y, z): n equal poses straight above the target, for trials."""
+    return spark.range(n).select(F.col("id").alias("i"), F.lit(float(target[0])).alias("x"), F.lit(float(target[1] + radius)).alias("y"), F.lit(float(target[2])).alias("z"))
+
+
 def tasks(spark: SparkSession, targets: DataFrame, n: int, radius: float = 1.0) -> DataFrame:
     """(task_id, target_id, i, eye): the first n poses of an oversampled hemisphere around every target (target_id, tx, ty, tz)."""
     poses = fibonacci(spark, max(2 * n, n + 1), radius).where(F.col("i") < n)

@@ -126,7 +126,13 @@ def fill_quality(spark, d):
     return V.compared(holed, smooth, {"jacobi": 50, "sor": 50, "multigrid": 3}).select("method", micros(F.col("mse")).alias("mse"))
 
 
-QUERIES = {f.__name__: f for f in (reconstructed_view, fill_quality, jacobi_step, laplacian, residual, restrict, prolong, correct, blur_rows, blur_density, axpy, dot_product, image_psnr, image_stats, distance_field, sor_two_steps, jacobi_two_steps, jump_flood_distance, multigrid, composite, alpha_over)}
+def image_stretched(spark, d):
+    from ..operators import images as G
+
+    return G.stretched(raster(spark, d), (SIDE, SIDE), 96, 40, ("v", "al")).select("px", "py", *(micros(F.col(c)).alias(c) for c in ("v", "al")))
+
+
+QUERIES = {f.__name__: f for f in (image_stretched, reconstructed_view, fill_quality, jacobi_step, laplacian, residual, restrict, prolong, correct, blur_rows, blur_density, axpy, dot_product, image_psnr, image_stats, distance_field, sor_two_steps, jacobi_two_steps, jump_flood_distance, multigrid, composite, alpha_over)}
 
 
 def _taps(table: str, name: str, cols: str = "px, py, v, al") -> str:
@@ -177,6 +183,9 @@ def _fold(c: str) -> str:
 
 
 ORACLE_SQL = {
+    "image_stretched": f"""WITH {RASTER}, g AS (SELECT CAST(a.range AS INT) AS px, CAST(b.range AS INT) AS py, GREATEST(0e0, LEAST(63e0, (a.range + 0.5e0) * {64 / 96!r}e0 - 0.5e0)) AS x, GREATEST(0e0, LEAST(63e0, (b.range + 0.5e0) * {64 / 40!r}e0 - 0.5e0)) AS y FROM range(96) a, range(40) b),
+        t AS (SELECT px, py, LEAST(FLOOR(x) + i.range, 63) AS sx, LEAST(FLOOR(y) + j.range, 63) AS sy, (CASE i.range WHEN 0 THEN 1 - (x - FLOOR(x)) ELSE x - FLOOR(x) END) * (CASE j.range WHEN 0 THEN 1 - (y - FLOOR(y)) ELSE y - FLOOR(y) END) AS w FROM g, range(2) i, range(2) j)
+        SELECT t.px, t.py, {micro('SUM(w * r.v)')} AS v, {micro('SUM(w * r.al)')} AS al FROM t JOIN raster r ON r.px = t.sx AND r.py = t.sy GROUP BY t.px, t.py""",
     "jacobi_step": f"WITH {_STEP} SELECT px, py, v FROM j",
     "jacobi_two_steps": f"WITH {_STEP}, {_taps('j', 't2')} SELECT px, py, CASE WHEN al > 0 THEN v ELSE 0.25e0 * (((l + r) + d) + u) END AS v FROM t2",
     "sor_two_steps": _sweeps(2),
