@@ -23,8 +23,8 @@ def n_classes(mapping: DataFrame) -> DataFrame:
 def ranked(votes: DataFrame, top: int = TOP) -> DataFrame:
     """Each point's ``top`` classes by votes, capped at 65535; ties go to the lower class.
 
-    A partial aggregate keeps the largest votes as a sorted array, so that a point's
-    votes are never sorted as a window and a hot point is reduced before the shuffle.
+    A point's votes are counted by class before, so what is gathered for a point is
+    one entry for each class, n_classes at most, however many hits it has.
     """
     best = votes.groupBy("point_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("minus"), "class_id"))), 1, top).alias("best"))
     return best.select("point_id", F.posexplode("best").alias("k", "b")).select("point_id", F.col("b.class_id").alias("class_id"), F.least(-F.col("b.minus"), F.lit(MAX_COUNT)).cast("long").alias("cnt"), (F.col("k") + 1).alias("rk"))
