@@ -24,8 +24,9 @@ from .tables import map_batches, read, written
 from .textkit import NOT_SPACE, Slab, slabs, words
 
 BUCKETS, STRENGTH = 1 << 18, 200.0
-#: Deviations from the expected count by which a feature must stand out in some domain to be used.
-TELLING = 9.0
+#: Deviations from the expected count by which a feature must stand out in some domain: so many at least, and
+#: so many times the root of the labelled documents, which is the same strength of a feature at every size.
+CHANCE, TELLING = 4.5, 0.075
 #: Labelled rows that the classifier is fitted on at most, taken in the order of a hash of doc_id.
 LABELLED_LIMIT = 20_000
 STEPS, CLOSE = 200, 1e-4
@@ -40,11 +41,12 @@ def features(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
     return both // BUCKETS, both % BUCKETS
 
 
-def telling(model: Model, counts: np.ndarray) -> Model:
+def telling(model: Model, counts: np.ndarray, docs: np.ndarray) -> Model:
     """The model with all features left out that are about as frequent in every domain: what chance gives them would drown the others in a long text."""
     total = counts.sum(axis=0)
     expected = total * (counts.sum(axis=1, keepdims=True) / max(counts.sum(), 1.0))
-    stands_out = (np.abs(counts - expected) / np.sqrt(expected + 1.0)).max(axis=0, initial=0.0) > TELLING
+    deviation = (np.abs(counts - expected) / np.sqrt(expected + 1.0)).max(axis=0, initial=0.0)
+    stands_out = deviation > max(CHANCE, TELLING * np.sqrt(docs.sum()))
     return Model(model.labels, np.where(stands_out[:, None], model.log_p, 0.0), model.prior)
 
 
@@ -73,7 +75,7 @@ def train(docs: DataFrame, labelled: DataFrame, limit: int = LABELLED_LIMIT) ->
             yield batch.column(1).slice(slab.first, slab.n).to_pylist(), *features(slab)
 
     labels, counts, n = summed(count_features(rows.where("NOT cal"), BUCKETS, each), BUCKETS)
-    found = Classifier(telling(fit(counts, n, labels, STRENGTH), counts), 1.0)
+    found = Classifier(telling(fit(counts, n, labels, STRENGTH), counts, n), 1.0)
     if len(labels) < 2:
         return found
     shared = docs.sparkSession.sparkContext.broadcast(found)
