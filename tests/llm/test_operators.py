@@ -313,3 +313,22 @@ def test_op10(spark, docs, empty):
     assert op10_license.scan(docs).count() == docs.count() and op10_license.scan(empty).count() == 0
     with pytest.raises(ValueError):
         op10_license.Automaton("<<opt>> never closed")
+
+
+def test_op4_rows_with_one_id(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (9, c), (9, c), (9, None), (11, d), (11, d + " more"), (12, ""), (None, a), (None, a.upper()), (None, d), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.component_id) for r in op4_jaccard_join.jaccard_join(df).collect())
+    assert got == Counter((i, {5: 3, 7: 3}.get(i, i)) for i, _ in rows)
+    kept = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in op4_jaccard_join.deduplicated(df).collect()))
+    assert kept == [(0, ""), (0, ""), (0, a), (0, d), (3, a), (9, c), (11, d), (12, "")]
+
+
+def test_op4_one_id_with_many_texts(spark):
+    text = lambda k, *more: " ".join([f"{k}w{i}" for i in range(40)] + [f"m{k}{x}" for x in more])
+    rows = [(1, text(k)) for k in range(40)] + [(1, text(0))] * 20 + [(100 + k, text(k, 1)) for k in range(40)] + [(200 + k, text(k, 1)) for k in range(40, 44)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in op4_jaccard_join.jaccard_join(df).collect()}
+    assert got == {i: i if i >= 200 else 1 for i, _ in rows}
+    assert sorted(r.doc_id for r in op4_jaccard_join.deduplicated(df).collect()) == [1] + [200 + k for k in range(40, 44)]

@@ -111,16 +111,15 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 size, digest, window, wide, sketch = [], [], [], [], []
                 for s in shingle_sets(slab, n):
                     size.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    digest.append(_digest(s))
                     keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     window.append(s[np.argsort(counts[(s % np.uint64(ORDER_BUCKETS)).astype(np.int64)], kind="stable")[:keep]].view(np.int64))
                     wide.append(_parities(s, max(256, 1 << (len(s) - 1).bit_length()) if len(s) else 0))
                     sketch.append(np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)))
-                keys = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 bits = np.concatenate(sketch).view("<i8").reshape(-1, 4)
                 lens = np.r_[0, np.cumsum([len(w) for w in window])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(slab.first, slab.n), pa.array(np.array(size, np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(window))), pa.array(wide, pa.binary()), *(pa.array(bits[:, i]) for i in range(4))],
+                    [batch.column(0).slice(slab.first, slab.n), pa.array(np.array(size, np.int64)), *_digest_columns(digest), pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(window))), pa.array(wide, pa.binary()), *(pa.array(bits[:, i]) for i in range(4))],
                     names,
                 )
 
@@ -140,21 +139,32 @@ def _passing(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, name: str, n: int) -> DataFrame:
-    """(name, items): the sets, as bytes, of the documents among ``ids`` (and of a few others that the filter lets by)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(ids, name))
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _digest_columns(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return pa.array(keys[:, 0]), pa.array(keys[:, 1])
+
+
+def _sets(docs: DataFrame, classes: DataFrame, name: str, n: int) -> DataFrame:
+    """(name, items): the sets, as bytes, of ``classes`` (name, doc, h0, h1), each once, however many rows have it."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(classes, "doc"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.take(pa.array(_passing(shared.value, batch.column(1).to_numpy())))
             for slab in slabs(batch.column(2)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.first, slab.n), pa.array([s.tobytes() for s in shingle_sets(slab, n)], pa.binary())], [name, "items"])
+                found = list(shingle_sets(slab, n))
+                yield pa.RecordBatch.from_arrays([*_digest_columns([_digest(s) for s in found]), pa.array([s.tobytes() for s in found], pa.binary())], ["h0", "h1", "items"])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    return map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", slot.alias("slot"), "text"), make, f"{name} long, items binary")
+    sets = map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", slot.alias("slot"), "text"), make, "h0 long, h1 long, items binary")
+    return classes.join(sets, ["h0", "h1"]).groupBy(name).agg(F.first("items").alias("items"))
 
 
-def _measured(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _measured(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """(x, p, d, link) of pairs (x, p), from their whole sets, made anew from the texts: no copy of all sets is kept."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +179,11 @@ def _measured(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
                 link.append(bool(union) and 100 * common >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(link, pa.bool_())], ["x", "p", "d", "link"])
 
-    whole = pairs.join(_sets(docs, pairs, "x", n), "x").withColumnRenamed("items", "items_x").join(_sets(docs, pairs, "p", n), "p")
+    def sets(name: str) -> DataFrame:
+        wanted = pairs.select(name).distinct().join(reps.select(F.col("x").alias(name), "doc", "h0", "h1"), name)
+        return _sets(docs, written(wanted), name, n)
+
+    whole = pairs.join(sets("x"), "x").withColumnRenamed("items", "items_x").join(sets("p"), "p")
     found = map_batches(whole.select("x", "p", "items_x", "items"), measure, "x long, p long, d double, link boolean")
     return found.groupBy("x", "p").agg(F.min("d").alias("d"), F.max("link").alias("link"))
 
@@ -278,18 +292,18 @@ def _window_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links between representatives, enough of them to connect all that links connect."""
+    """(a, b): links between classes of equal sets, by their numbers x, enough of them to connect all that links connect."""
     members = written(_regions(reps))
     attributes = reps.select("x", "n", "wide", *_SKETCH)
     ends = [F.col("x").alias("a"), F.col("p").alias("b")]
     near = written(_possible(_to_centres(members, percent), attributes, percent))
-    first = written(_measured(docs, near, n, percent).where("link").select(*ends))
+    first = written(_measured(docs, near, reps, n, percent).where("link").select(*ends))
     labels = written(components(first))
     placed = members.join(labels, "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
     open_ = placed.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
     rest = placed.join(open_, "s", "left_semi").join(attributes.select("x", *_SKETCH), "x")
     near = written(_possible(written(_window_pairs(rest, percent)), attributes, percent))
-    found = _measured(docs, near, n, percent)
+    found = _measured(docs, near, reps, n, percent)
     return written(first.unionByName(found.where("link").select(*ends)))
 
 
@@ -310,29 +324,85 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels
 
 
+def _same_id(rows: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the classes (named by their smallest doc_id) of each doc_id that has several."""
+    own = rows.where("doc_id IS NOT NULL AND doc IS NOT NULL").select("doc_id", "doc").distinct()
+    several = own.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    return own.join(several, "doc_id").where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+
+
+def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n, the digest (h0, null for an empty set, and h1) and component_id of each row of ``docs``."""
+    signed = written(_signatures(docs, n, percent))
+    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h0", "h1").agg(F.min("doc_id").alias("doc"), F.first(F.struct("n", "window", "wide", *_SKETCH)).alias("v"))
+    reps = written(classes.select(F.monotonically_increasing_id().alias("x"), "doc", "h0", "h1", "v.*"))
+    found = links(docs, reps, n, percent)
+    number = reps.select("x", "doc")
+    linked = found.join(number.withColumnsRenamed({"x": "a", "doc": "c"}), "a").join(number.withColumnsRenamed({"x": "b", "doc": "d"}), "b")
+    keys = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h0")).alias("h0"), "h1")
+    rows = written(keys.join(reps.select("h0", "h1", "doc"), ["h0", "h1"], "left"))
+    edges = linked.where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).unionByName(_same_id(rows))
+    labels = written(components(edges))
+    named = reps.select("doc").distinct().join(labels.withColumnRenamed("x", "doc"), "doc", "left")
+    with_set = rows.where("doc IS NOT NULL").join(named, "doc").select("doc_id", "n", "h0", "h1", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
+    # A row without words belongs to what its doc_id's other rows belong to.
+    others = with_set.where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
+    without = rows.where("doc IS NULL").join(others, "doc_id", "left").select("doc_id", "n", "h0", "h1", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return with_set.unionByName(without)
+
+
 def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of ``docs``.
 
     A null, empty or wordless text has an empty set and links with nothing.  Rows
-    with the same doc_id are one document, whatever their texts, with a row each;
-    a null doc_id links with nothing and has a null component.  Other columns are
+    with the same doc_id are one document, whatever their texts, with a row each:
+    what any of their texts links with is one component, which all of them have.
+    A null doc_id links with nothing and has a null component.  Other columns are
     ignored; an empty table gives no rows.  Ties need no rule: links have a
     threshold only, and components take the smallest id.
     """
-    signed = written(_signatures(docs, n, percent))
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h0", "h1").agg(F.min("doc_id").alias("x"), F.first(F.struct("n", "window", "wide", *_SKETCH)).alias("v"))
-    reps = written(classes.select("x", "h0", "h1", "v.*"))
-    found = components(links(docs, reps, n, percent))
-    named = reps.join(found, "x", "left").select("h0", "h1", F.coalesce("component", "x").alias("component"))
-    rows = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h0")).alias("h0"), "h1").join(named, ["h0", "h1"], "left")
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return _named(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _with_digests(docs: DataFrame, n: int) -> DataFrame:
+    """The rows of ``docs`` as a struct ``row``, with the size and the digest of their sets."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab in slabs(batch.column(1)):
+                found = list(shingle_sets(slab, n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.first, slab.n), pa.array([len(s) for s in found], pa.int64()), *_digest_columns([_digest(s) for s in found])], ["row", "n", "h0", "h1"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return map_batches(rows, digest, f"row {rows.schema['row'].dataType.simpleString()}, n long, h0 long, h1 long")
+
+
+def _one_of_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows (struct ``row``) with the same keys the first one: texts with words before others, then by the text, then by all columns."""
+    wordless = ~F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    order = F.struct(wordless.alias("wordless"), F.col("row.text").alias("text"), F.xxhash64(F.to_json("row")).alias("hash"))
+    return rows.groupBy(*keys).agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 def deduplicated(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all their columns, of one document of each component: the one with the smallest doc_id."""
-    gone = jaccard_join(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all their columns: one row of each component, of the document with the smallest doc_id.
+
+    A doc_id that stands on several rows gives one of them, with words if one has
+    any.  Rows with a null doc_id link with nothing; of those with equal sets one
+    stays, and all without words.
+    """
+    named = written(_named(docs, n, percent))
+    repeated = written(named.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    gone = named.where("component_id <> doc_id").select("doc_id").distinct().unionByName(repeated)
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    copies = named.where("doc_id IS NULL AND n > 0").groupBy("h0", "h1").agg(F.count("*").alias("k")).where("k > 1")
+    if not copies.isEmpty():
+        unnamed = _with_digests(kept.where("doc_id IS NULL"), n)
+        kept = kept.where("doc_id IS NOT NULL").unionByName(unnamed.where("n = 0").select("row.*")).unionByName(_one_of_each(unnamed.where("n > 0"), "h0", "h1"))
+    if not repeated.isEmpty():
+        rows = docs.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+        kept = kept.unionByName(_one_of_each(rows.withColumn("key", F.col("row.doc_id")), "key"))
+    return kept
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
