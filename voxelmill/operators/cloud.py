@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Query vectors that one pass of nearest_vectors() ships to the executors.
+QUERY_BLOCK = 5000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder that the session names (in tests, one under /tmp): later steps start from it, on any executor."""
@@ -186,30 +191,44 @@ def queue(items: DataFrame) -> DataFrame:
     return items.orderBy("distance", "seq")
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rk, d2): the k nearest vectors of each query, exactly; the query set is a stated, broadcast block of bounded size.
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, rk, d2): the k nearest vectors of each query, exactly, however many queries there are.
 
-    Each task keeps its own k best of every query, so the shuffle has k rows for a
-    query and task.
+    The queries are dealt by a hash into blocks of about ``block`` rows; each block is
+    broadcast and takes one pass over the vectors, so the driver holds one block at a
+    time.  Each batch hands out its own k best of every query.  Repeated query rows
+    are one query.
     """
-    rows = queries.select("vec_id", "embedding").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a block of queries has 10,000 rows at most; give several blocks")
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64)))
-
-    def best(batches):
-        ids, q = shared.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            v = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
-            d2 = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
-            d2 = np.floor(d2 * 1e6 + 0.5).astype(np.int64)
-            names = pdf.vec_id.to_numpy()
-            for i in range(len(ids)):
-                order = np.lexsort((names, d2[i]))[: k + 1]
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": names[order], "d2": d2[i][order]})
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, d2 long").where("query_id <> vec_id")
+    asked = cut(queries.select("vec_id", "embedding").distinct())
+    n = max(1, -(-asked.count() // block))
     w = Window.partitionBy("query_id").orderBy("d2", "vec_id")
-    return found.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("query_id", "vec_id", "rk", "d2")
+
+    def found(b: int) -> DataFrame:
+        rows = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)) == b).collect()
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64)))
+
+        def best(batches):
+            ids, q = shared.value
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                v = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
+                names = pdf.vec_id.to_numpy()
+                for i in range(len(ids)):
+                    if i % 256 == 0:
+                        part = q[i : i + 256]
+                        d2 = (part * part).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * part @ v.T
+                        d2 = np.floor(d2 * 1e6 + 0.5).astype(np.int64)
+                    order = np.lexsort((names, d2[i % 256]))[: k + 1]
+                    yield pd.DataFrame({"query_id": ids[i], "vec_id": names[order], "d2": d2[i % 256][order]})
+
+        pairs = vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, d2 long").where("query_id <> vec_id")
+        top = pairs.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("query_id", "vec_id", "rk", "d2")
+        if n == 1:
+            return top
+        top = cut(top)
+        shared.unpersist()
+        return top
+
+    parts = reduce(DataFrame.unionByName, [found(b) for b in range(n)])
+    return parts if n == 1 else parts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
