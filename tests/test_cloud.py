@@ -20,3 +20,33 @@ def test_nearest_vectors_takes_any_number_of_queries(spark):
     for i, q in queries:
         near = sorted((sum((a - b) ** 2 for a, b in zip(q, v)), j) for j, v in vectors if j != i)[:2]
         assert sorted(got[i]) == [(k + 1, j, round(d * 1e6)) for k, (d, j) in enumerate(near)]
+
+
+def test_nearest_of_far_points(spark):
+    rng = random.Random(5)
+    place = lambda far: tuple(rng.uniform(-1, 1) + far * rng.choice((-1, 1)) for _ in range(3))
+    left = [(i, *place(10.0 ** (i % 4))) for i in range(40)]
+    right = [(100 + i, *place(1)) for i in range(15)]
+    schema = "point_id long, x double, y double, z double"
+    got = {r.point_id: (r.other, r.d) for r in cloud.nearest(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.5).collect()}
+    assert set(got) == {p[0] for p in left}
+    for i, *at in left:
+        d, other = min((float(np.linalg.norm(np.subtract(at, q))), j) for j, *q in right)
+        assert got[i][0] == other and np.isclose(got[i][1], d)
+    assert cloud.nearest(spark.createDataFrame(left, schema), spark.createDataFrame([], schema), 0.5).count() == 0
+
+
+def test_normals_of_a_wide_group_agree(spark):
+    rng = random.Random(6)
+    ids = list(range(84))
+    rng.shuffle(ids)
+    lines = [(i, float(k % 42), 50.0 * (k // 42), 0.0) for k, i in enumerate(ids)]  # two groups, 41 hops wide each
+    turn = lambda x: (float(np.cos(x / 20)), 0.0, float(np.sin(x / 20)))
+    normals = [(i, *(rng.choice((-1, 1)) * np.array(turn(x))).tolist()) for i, x, _, _ in lines]
+    got = {r.point_id: (r.nx, r.ny, r.nz) for r in cloud.oriented(spark.createDataFrame(normals, "point_id long, nx double, ny double, nz double"), spark.createDataFrame(lines, "point_id long, x double, y double, z double"), 1.1).collect()}
+    given = {i: v for i, *v in normals}
+    for y in (0.0, 50.0):
+        group = {i: turn(x) for i, x, y_, _ in lines if y_ == y}
+        first = min(group)
+        side = np.sign(np.dot(given[first], group[first]))
+        assert all(np.allclose(got[i], side * np.array(t)) for i, t in group.items())

@@ -59,24 +59,35 @@ def _candidates(left: DataFrame, right: DataFrame, size: float, rings: int = 1)
     return probe.join(held, ["cx", "cy", "cz"]).select("point_id", "other", F.sqrt(d2).alias("d"))
 
 
-def nearest(left: DataFrame, right: DataFrame, size: float, max_rounds: int = 12) -> DataFrame:
+def _extent(*clouds: DataFrame) -> float:
+    """The longest side of the joint box of the clouds' finite points; 0 without any."""
+    every = reduce(DataFrame.unionByName, [c.select(*(F.col(c_).cast("double").alias(c_) for c_ in "xyz")) for c in clouds])
+    finite = reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in "xyz"])
+    sides = every.where(finite).agg(*(F.max(c) - F.min(c) for c in "xyz")).first()
+    return max((v for v in sides if v is not None), default=0.0)
+
+
+def nearest(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """(point_id, other, d): the nearest right point of every left point, the lowest id at ties.
 
     A point whose best distance within the 27 cells around is at most the cell size
     is done; the others go on with cells twice as large, until none is left.  Cells
-    that hold the whole box end the search.
+    larger than the joint box end the search, as 27 of them hold every right point.
+    Only an empty right side gives no rows.
     """
-    todo, done = left, None
-    for _ in range(max_rounds):
+    extent, done = _extent(left, right), None
+    todo = left
+    while True:
         best = cut(_candidates(todo, right, size).groupBy("point_id").agg(F.min(F.struct("d", "other")).alias("m")).select("point_id", F.col("m.other").alias("other"), F.col("m.d").alias("d")))
-        sure = best.where(F.col("d") <= size)
+        whole = size > 1.001 * extent
+        sure = best if whole else best.where(F.col("d") <= size)
         done = sure if done is None else done.unionByName(sure)
+        if whole:
+            return done
         todo = cut(todo.join(sure.select("point_id"), "point_id", "left_anti"))
         size *= 2
         if todo.isEmpty():
             return done
-    rest = _candidates(todo, right, size).groupBy("point_id").agg(F.min(F.struct("d", "other")).alias("m"))
-    return done.unionByName(rest.select("point_id", F.col("m.other").alias("other"), F.col("m.d").alias("d")))
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, most: int | None = None) -> DataFrame:
@@ -118,26 +129,43 @@ def normals(points: DataFrame, radius: float, most: int = 512) -> DataFrame:
     return moments.mapInPandas(least, "point_id long, nx double, ny double, nz double")
 
 
-def oriented(normal: DataFrame, points: DataFrame, radius: float, most: int = 10, rounds: int = 30) -> DataFrame:
-    """Normals with neighbours on one side: signs spread from each group's lowest id along the neighbour graph.
+def oriented(normal: DataFrame, points: DataFrame, radius: float, most: int = 10) -> DataFrame:
+    """Normals with neighbours on one side, over each connected group of the neighbour graph; a group's lowest id keeps its sign.
 
-    A round gives every point the sign under which it agrees with its neighbour that
-    has the lowest group, so each connected group follows its lowest point; it ends
-    when nothing changes, or after ``rounds``.
+    Signs follow the group's minimum spanning tree, where an edge weighs less the more
+    parallel its normals are, ties by the ids.  In a round every part takes its lightest
+    edge to another part, and all parts that hang together so become one, each with the
+    sign carried along the way to its root by label jumping.  Parts halve at least in a
+    round, so the rounds grow with the logarithm of the points, not with the group's width.
     """
     near = within(points, points, radius, most + 1).where("point_id <> other").select("point_id", "other")
     edges = near.unionByName(near.select(F.col("other").alias("point_id"), F.col("point_id").alias("other"))).distinct()
     n = normal.select("point_id", *(F.col(f"n{c}").alias(f"n{c}") for c in "xyz"))
     dots = edges.join(n, "point_id").join(n.select(F.col("point_id").alias("other"), *(F.col(f"n{c}").alias(f"m{c}") for c in "xyz")), "other")
-    agree = cut(dots.select("point_id", "other", F.when(F.expr("nx * mx + ny * my + nz * mz") < 0, -1).otherwise(1).alias("s")))
+    dot = F.expr("nx * mx + ny * my + nz * mz")
+    agree = cut(dots.select("point_id", "other", F.when(dot < 0, -1).otherwise(1).alias("s"), (-F.abs(dot)).alias("w")))
     state = cut(normal.select("point_id", F.col("point_id").alias("root"), F.lit(1).alias("sign")))
-    for _ in range(rounds):
-        heard = agree.join(state.select(F.col("point_id").alias("other"), "root", "sign"), "other").groupBy("point_id").agg(F.min(F.struct("root", "other", (F.col("s") * F.col("sign")).alias("sign"))).alias("h"))
-        moved = cut(state.join(heard, "point_id", "left").select("point_id", F.when(F.col("h.root") < F.col("root"), F.col("h.root")).otherwise(F.col("root")).alias("r"), F.when(F.col("h.root") < F.col("root"), F.col("h.sign")).otherwise(F.col("sign")).alias("sign"), (F.coalesce(F.col("h.root") < F.col("root"), F.lit(False))).alias("moved")))
-        state = moved.select("point_id", F.col("r").alias("root"), "sign")
-        if moved.where("moved").isEmpty():
+    while True:
+        there = state.select(F.col("point_id").alias("other"), F.col("root").alias("up"), F.col("sign").alias("there"))
+        across = agree.join(state, "point_id").join(there, "other").where("root <> up")
+        edge = F.struct("w", F.least("point_id", "other").alias("lo"), F.greatest("point_id", "other").alias("hi"), "up", (F.col("s") * F.col("sign") * F.col("there")).alias("flip"))
+        best = cut(across.groupBy("root").agg(F.min(edge).alias("m")).select("root", F.col("m.up").alias("up"), F.col("m.flip").alias("flip")))
+        if best.isEmpty():
             break
-    return normal.join(state, "point_id").select("point_id", *((F.col(f"n{c}") * F.col("sign")).alias(f"n{c}") for c in "xyz"))
+        # Edges are ordered, so the only rings are two parts that took the same edge: the lower of them is a root.
+        mutual = best.select(F.col("root").alias("up"), F.col("up").alias("root"), F.lit(True).alias("mutual"))
+        stays = F.coalesce("mutual", F.lit(False)) & (F.col("root") < F.col("up"))
+        hooks = cut(best.join(mutual, ["root", "up"], "left").select("root", F.when(stays, F.col("root")).otherwise(F.col("up")).alias("up"), F.when(stays, 1).otherwise(F.col("flip")).alias("flip")))
+        while True:
+            above = hooks.select(F.col("root").alias("up"), F.col("up").alias("top"), F.col("flip").alias("more"))
+            jumped = cut(hooks.join(above, "up").select("root", F.col("top").alias("up"), (F.col("flip") * F.col("more")).alias("flip"), (F.col("top") != F.col("up")).alias("moved")))
+            hooks = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
+                break
+        state = cut(state.join(hooks, "root", "left").select("point_id", F.coalesce("up", "root").alias("root"), (F.col("sign") * F.coalesce("flip", F.lit(1))).alias("sign")))
+    first = state.groupBy("root").agg(F.min_by("sign", "point_id").alias("first"))
+    signs = state.join(first, "root").select("point_id", (F.col("sign") * F.col("first")).alias("sign"))
+    return normal.join(signs, "point_id").select("point_id", *((F.col(f"n{c}") * F.col("sign")).alias(f"n{c}") for c in "xyz"))
 
 
 def flipped_up(normal: DataFrame, up: str) -> DataFrame:

@@ -62,7 +62,7 @@ def cloud_normals(spark, d):
     p = points(spark, d)
     small = C.downsampled(p, 0.5).select(((F.col("cx") * 1000 + F.col("cy")) * 1000 + F.col("cz")).alias("point_id"), *"xyz")
     n = C.flipped_up(C.oriented(C.normals(small, 1.2), small, 1.2), "y")
-    return C.normal_stats(C.transferred(p, small, n, 0.5)).select((F.col("ny") >= 0).alias("up"), F.round("longest", 6).alias("longest"))
+    return C.transferred(p, small, n, 0.5).select("point_id", *(micros(F.col(f"n{c}")).alias(f"n{c}") for c in "xyz"))
 
 
 QUERIES = {f.__name__: f for f in (cloud_thin, cloud_every_tenth, cloud_downsample, cloud_nearest, cloud_within, cloud_adaptive_cells, cloud_missing, cloud_queue, vector_neighbours, cloud_without_outliers, cloud_normals)}
