@@ -124,3 +124,19 @@ def test_bins_without_peaks(spark):
 def test_voxel_of_flat_cloud(spark):
     flat = spark.createDataFrame([(1, 0.0, 2.0, 0.0), (2, 3.0, 2.0, 1.0)], "point_id long, x double, y double, z double")
     assert {r.point_id: r.vy for r in segmentation.voxel_of(flat).collect()} == {1: 0, 2: 0}
+
+
+def test_votes_of_high_classes(spark):
+    hits = spark.createDataFrame([(1, 130), (1, 130), (1, 5), (2, 187), (3, 0), (4, 300)], "point_id long, class_id int")
+    points = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(1, 5)], "point_id long, x double, y double, z double")
+    want = {(1, 130, 2), (1, 5, 1), (2, 187, 1), (4, 300, 1)}
+    for bound in (None, segmentation.n_classes(hits)):
+        assert {tuple(r) for r in segmentation.vote_histogram(hits, bound).collect()} == want
+    assert {tuple(r) for r in segmentation.vote_histogram(hits, 128).collect()} == {(1, 5, 1)}
+    votes = segmentation.vote_histogram(hits)
+    labels = {1: 130, 2: 187, 3: 0, 4: 300}
+    assert {r.point_id: r.class_id for r in segmentation.label_simple(points, votes).collect()} == labels
+    assert {r.point_id: r.class_id for r in segmentation.spatial_refine(points, votes).collect()} == labels
+    wide = spark.createDataFrame([(i, *[100.0 * i] * 3) for i in range(2)], "point_id long, x double, y double, z double")
+    sides = [segmentation.voxel_of(wide, classes=segmentation.n_classes(spark.createDataFrame([(c,)], "class_id int"))).agg(F.max("vx")).first()[0] for c in (5, 2047)]
+    assert sides == [63, 31]

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 MAX_COUNT, TOP, CELL, GRID_LIMIT, VOTE_BYTES = 65535, 3, 0.5, 64, 256 << 20
 
 
-def vote_histogram(hits: DataFrame, n_classes: int = 128) -> DataFrame:
-    """(point_id, class_id, cnt) of hits with 0 < class < n_classes; counted on the map side before the shuffle."""
-    return hits.where((F.col("class_id") > 0) & (F.col("class_id") < n_classes)).groupBy("point_id", "class_id").agg(F.count("*").alias("cnt"))
+def vote_histogram(hits: DataFrame, n_classes: int | DataFrame | None = None) -> DataFrame:
+    """(point_id, class_id, cnt) of hits with a class above 0, and below n_classes where it's given as a number or as the row of n_classes(); counted on the map side before the shuffle."""
+    if isinstance(n_classes, DataFrame):
+        hits = hits.crossJoin(F.broadcast(n_classes.select(F.col("n_classes").alias("bound")))).where(F.col("class_id") < F.col("bound"))  # one row
+    elif n_classes is not None:
+        hits = hits.where(F.col("class_id") < n_classes)
+    return hits.where(F.col("class_id") > 0).groupBy("point_id", "class_id").agg(F.count("*").alias("cnt"))
 
 
 def n_classes(mapping: DataFrame) -> DataFrame:
@@ -47,16 +51,20 @@ def _grid(points: DataFrame, cell: float) -> DataFrame:
     return box.withColumns(cells)
 
 
-def shrunk_grid(grid: DataFrame, classes: int = 128, budget: int = VOTE_BYTES) -> DataFrame:
+def shrunk_grid(grid: DataFrame, classes: int | Column = 128, budget: int = VOTE_BYTES) -> DataFrame:
     """The grid scaled down by a cube root where its vote table (4 bytes for each class and voxel) would exceed the budget."""
     size = F.col("gx") * F.col("gy") * F.col("gz") * classes * 4
     scale = F.when(size > budget, F.cbrt(F.lit(float(budget)) / size)).otherwise(1.0)
     return grid.withColumns({g: F.greatest(F.lit(1), F.floor(F.col(g) * scale)).cast("long") for g in ("gx", "gy", "gz")})
 
 
-def voxel_of(points: DataFrame, cell: float = CELL, classes: int = 128) -> DataFrame:
-    """points with voxel coordinates vx, vy, vz; an axis without extent has coordinate 0."""
-    grid = shrunk_grid(_grid(points, cell), classes)
+def voxel_of(points: DataFrame, cell: float = CELL, classes: int | DataFrame = 128) -> DataFrame:
+    """points with voxel coordinates vx, vy, vz; an axis without extent has coordinate 0; ``classes`` is a number or the row of n_classes()."""
+    grid = _grid(points, cell)
+    if isinstance(classes, DataFrame):
+        grid = shrunk_grid(grid.crossJoin(F.broadcast(classes.select("n_classes"))), F.col("n_classes")).drop("n_classes")  # one row
+    else:
+        grid = shrunk_grid(grid, classes)
     inside = points.crossJoin(F.broadcast(grid))  # the grid is one row
 
     def coordinate(c: str) -> Column:
@@ -77,14 +85,15 @@ def voxel_winner(votes: DataFrame) -> DataFrame:
     return best.select("vx", "vy", "vz", (-F.col("m.minus")).cast("int").alias("class_id"))
 
 
-def spatial_refine(points: DataFrame, votes: DataFrame, cell: float = CELL) -> DataFrame:
+def spatial_refine(points: DataFrame, votes: DataFrame, cell: float = CELL, classes: int | DataFrame | None = None) -> DataFrame:
     """(point_id, class_id): of a point's three classes, the best by vote share times support in the 27 voxels around.
 
     The support of a voxel and class is counted once for the voxels, which are
     bounded in number, not once for each point: winners spread to their 27
-    neighbours and are summed, and points then look up one row.
+    neighbours and are summed, and points then look up one row.  The grid is made for
+    ``classes``, or for those of the votes where they aren't given.
     """
-    placed = voxel_of(points, cell)
+    placed = voxel_of(points, cell, n_classes(votes) if classes is None else classes)
     top = ranked(votes)
     winners = voxel_winner(voxel_votes(placed, top))
     steps = F.array(*[F.struct(*(F.lit(d).alias(a) for d, a in zip((i, j, k), "xyz"))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])

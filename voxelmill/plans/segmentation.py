@@ -18,7 +18,7 @@ _VOXELS = f"""{POINTS}, {_RANKED},
 
 
 def _votes(spark, d):
-    return S.vote_histogram(hits(spark, d))
+    return S.vote_histogram(hits(spark, d), S.n_classes(hits(spark, d)))
 
 
 def seg_votes(spark, d):
@@ -34,11 +34,11 @@ def seg_top3(spark, d):
 
 
 def seg_voxel_winner(spark, d):
-    return S.voxel_winner(S.voxel_votes(S.voxel_of(points(spark, d)), S.ranked(_votes(spark, d))))
+    return S.voxel_winner(S.voxel_votes(S.voxel_of(points(spark, d), classes=S.n_classes(hits(spark, d))), S.ranked(_votes(spark, d))))
 
 
 def seg_spatial_refine(spark, d):
-    return S.spatial_refine(points(spark, d), _votes(spark, d))
+    return S.spatial_refine(points(spark, d), _votes(spark, d), classes=S.n_classes(hits(spark, d)))
 
 
 def seg_survey_classes(spark, d):
