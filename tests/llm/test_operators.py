@@ -332,3 +332,14 @@ def test_op4_one_id_with_many_texts(spark):
     got = {r.doc_id: r.component_id for r in op4_jaccard_join.jaccard_join(df).collect()}
     assert got == {i: i if i >= 200 else 1 for i, _ in rows}
     assert sorted(r.doc_id for r in op4_jaccard_join.deduplicated(df).collect()) == [1] + [200 + k for k in range(40, 44)]
+
+
+@pytest.mark.parametrize("block", [1 << 25, 60])
+def test_op6_items_without_id(spark, tmp_path, block):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(14)) for k in "abc")
+    spark.createDataFrame([(1, f"x {one} y"), (2, f"{one} {two}"), (3, f"{three} {two} {one}"), (4, "clean text")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, one), (None, two), (7, three), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, bench = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = op6_decontaminate.contamination(docs, bench, block_bytes=block).drop("spans")
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == {1: (14, 1, True), 2: (28, 1, True), 3: (42, 2, True), 4: (0, 0, False)}
+    assert [r.doc_id for r in op6_decontaminate.decontaminate(docs, bench, block_bytes=block).collect()] == [4]

@@ -36,14 +36,14 @@ class Queries:
     width: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    ids: list[str]
+    ids: list[str | None]
 
 
 def query_block(items: list[tuple[object, str | None]], window: int) -> Queries:
     """All item suffixes that are long enough to be a window; a shorter item, but not an empty one, is one window."""
     grid, width, item, place, ids = [], [], [], [], []
     for item_id, text in items:
-        if text is None or item_id is None:
+        if text is None:
             continue
         slab = next(slabs(pa.array([text])))
         w = words(slab, ALNUM)
@@ -58,7 +58,7 @@ def query_block(items: list[tuple[object, str | None]], window: int) -> Queries:
         width += [n] * len(rows)
         item += [len(ids)] * len(rows)
         place += range(len(rows))
-        ids.append(str(item_id))
+        ids.append(None if item_id is None else str(item_id))
     return Queries(np.concatenate(grid) if grid else np.zeros((0, window), np.uint64), np.array(width, np.int64), np.array(item, np.int64), np.array(place, np.int64), ids)
 
 
@@ -153,8 +153,9 @@ def shard_matches(slab: Slab, w: Words, queries: Queries) -> tuple[list[list[int
             r, lo = int(row[a]), int(w.bound[row[a]])
             end = int(word[b] + queries.width[query[b]])
             spans[r] += (int(word[a]) - lo, end - lo)
-            longest[r] = max(longest[r], end - word[a])
             items[r].append(queries.ids[item[a]])
+            if items[r][-1] is not None:
+                longest[r] = max(longest[r], end - word[a])
     return spans, items, longest
 
 
@@ -163,7 +164,7 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tup
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):
-        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield query_block([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], window), k == n - 1
 
 
@@ -190,7 +191,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
                     found = [
                         pa.array(w.count()),
                         pa.array([merge(s) for s in spans], pa.list_(pa.int64())),
-                        pa.array([sorted(set(i)) for i in items], pa.list_(pa.string())),
+                        pa.array([sorted(set(i), key=lambda v: (v is None, v or "")) for i in items], pa.list_(pa.string())),
                         pa.array(longest),
                     ]
                     yield pa.RecordBatch.from_arrays([*(part.column(own.names.index(c)) for c in carried), *found], [*carried, *(f.name for f in new)])
@@ -206,7 +207,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     item words (of all the words of a shorter item).  A null or wordless text or
     item has no words and no windows; an empty benchmark hits nothing; rows with
     equal texts get equal results; an empty table gives no rows; other columns of
-    either table are ignored.
+    either table are ignored.  Items with a null item_id are searched like others:
+    their words are hit and contaminate.  As in the SQL they count as one item in
+    n_items, have no name in the list and don't count for longest.
     """
     found = _found(docs.select("doc_id", "text"), benchmark, window, block_bytes, ["doc_id"])
     hits = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("long"), lambda n, i: n + F.when(i % 2 == 1, F.get("spans", i)).otherwise(-F.get("spans", i)))
