@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import map_batches
 from .textkit import NOT_SPACE, Slab, span_hashes, words
 
 MAX_CLASSES = 256
@@ -106,7 +105,7 @@ def count_features(docs: DataFrame, buckets: int, each: Callable[[pa.RecordBatch
                 tally.add(labels, row, bucket)
         yield from tally.rows()
 
-    return map_batches(docs, count, "label string, bucket long, n long")
+    return docs.mapInArrow(count, "label string, bucket long, n long")
 
 
 def text_features(slab: Slab, buckets: int) -> tuple[np.ndarray, np.ndarray]:

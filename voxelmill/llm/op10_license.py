@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import map_batches, read
+from .tables import read
 from .textkit import ALNUM, Slab, gram_hashes, slabs, span_hashes, words
 
 #: Base phrases and their labels.
@@ -191,7 +191,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
                     ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
                 )
 
-    return map_batches(docs.select("doc_id", text), match, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", text).mapInArrow(match, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashed_nb import Model, count_features, fit, softmax, summed, text_features
-from .tables import map_batches, read, written
+from .tables import read, written
 from .textkit import NOT_SPACE, Slab, slabs, words
 
 BUCKETS, STRENGTH = 1 << 18, 200.0
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labelled: DataFrame, limit: int = LABELLED_LIMIT) ->
                 x = m.totals(*features(slab), slab.n)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(slab.first, slab.n), pa.array(list(x), pa.list_(pa.float64()))], ["domain", "x"])
 
-    t = map_batches(rows.where("cal"), held, "domain string, x array<double>").orderBy("domain", "x").toArrow()
+    t = rows.where("cal").mapInArrow(held, "domain string, x array<double>").orderBy("domain", "x").toArrow()
     known = [(labels.index(d), x) for d, x in zip(t.column(0).to_pylist(), t.column(1).to_pylist()) if d in labels]
     if known:
         found.heat, found.model.prior = calibrated(np.array([v for _, v in known]), np.array([k for k, _ in known]), found.model.prior)
@@ -121,7 +121,7 @@ def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
             for part, p, n in shared.value.of(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "posterior"])
 
-    return map_batches(docs.select("doc_id", "text"), judge, "doc_id long, n_tokens long, posterior array<double>")
+    return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, n_tokens long, posterior array<double>")
 
 
 def rates_after(posterior: np.ndarray, steps: np.ndarray, max_rate: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_rate: float | None =
             yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["at", "value"])
 
         out = np.zeros(size)
-        for at, value in map_batches(members.select("n_tokens", "posterior"), add, "at int, value double").groupBy("at").agg(F.sum("value")).collect():
+        for at, value in members.select("n_tokens", "posterior").mapInArrow(add, "at int, value double").groupBy("at").agg(F.sum("value")).collect():
             out[at] = value
         return out
 
@@ -257,7 +257,7 @@ def rates(docs: DataFrame, mix: Mix | None) -> DataFrame:
                     [part.column(0), pa.array(n), pa.array([m.classifier.model.labels[k] for k in best.tolist()], pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(rate_of(p, m.steps, m.max_rate))], names
                 )
 
-    return map_batches(docs.select("doc_id", "text"), judge, "doc_id long, n_tokens long, domain string, posterior double, rate double")
+    return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, n_tokens long, domain string, posterior double, rate double")
 
 
 def mixed(docs: DataFrame, mix: Mix | None, seed: int = 17) -> DataFrame:
@@ -276,7 +276,7 @@ def mixed(docs: DataFrame, mix: Mix | None, seed: int = 17) -> DataFrame:
                 copies = (np.floor(rate) + (part.column(len(columns)).to_numpy() < rate - np.floor(rate))).astype(np.int64)
                 yield part.select(columns).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
-    return map_batches(seeded, repeat, docs.schema)
+    return seeded.mapInArrow(repeat, docs.schema)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .tables import map_batches, read, shared_dir
+from .tables import read, shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK = 1 << 15  #: ids in a block
@@ -103,7 +103,7 @@ def write_ids(docs: DataFrame, path: str, parts: int, text: str = "text", vocabu
 
     schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("chunk_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("block_ids", pa.int32()), ("plane_kind", pa.string()), ("plane_sizes", pa.list_(pa.int32())), ("planes", pa.binary())])
     ordered = docs.select("doc_id", F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    map_batches(ordered, chunks, CHUNK_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(chunks, CHUNK_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -129,7 +129,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                     ["doc_id", "part", "in_part", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    rows = map_batches(chunks, documents, "doc_id long, part int, in_part long, n_tokens long, ids_crc32 long, ids binary")
+    rows = chunks.mapInArrow(documents, "doc_id long, part int, in_part long, n_tokens long, ids_crc32 long, ids binary")
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("part_start") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

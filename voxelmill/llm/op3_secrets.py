@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import map_batches, read
+from .tables import read
 from .textkit import Slab, char_count, slabs
 
 _FLAGS = re.IGNORECASE | re.ASCII
@@ -259,7 +259,7 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + M
                     ["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans"],
                 )
 
-    return map_batches(docs.select("doc_id", text), find, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", text).mapInArrow(find, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,34 @@
 """Exact n-gram Jaccard join in metric space.
 
 The points are sets of word shingles under Jaccard distance, a metric.  Documents
-with equal sets are one point.
-
-Regions.  The first level's pivots are single shingles.  A point's distance to the
-pivot {s} is 1 - 1/size if it holds s, else 1: its nearest pivots are its own
-shingles, and a fixed order of the pivots (rarest first, by counts over all
-documents) breaks the tie, so every point has one Voronoi cell.  By the triangle
-inequality a link's partners differ in at most size - ceil(t * size) shingles of
-either, so some shingle within that window, counted in pivot order, is common to
-both: replicating each point to the cells of its window's shingles puts every link
-into one region at least.  (With whole documents as first pivots all distances of
-unrelated texts are near 1, every window reaches every cell, and all points would
-be copied everywhere.)
-
-Recursion.  Within a region the pivots are documents.  First the region's most
-central member: everybody's distance to it is measured where cheap bounds leave a
-link possible, and what links connect becomes one component.  A region that is in
-one component is done.  In the others two members of different components are
-compared by the same windows: if a region's pivot is the first that both have, at
-places i and j, they differ in i + j shingles before it at least, and in what their
-sizes after it differ by; with the places and parity sketches few pairs are left,
-and those are measured exactly.  Hot regions are dealt out in pairs of blocks.
-
-Links are joined into components by distributed label propagation.
+with equal sets are one point.  Two points link at a distance of r = 1 - percent / 100
+or less; all that is asked for are the components that links make.
+
+Finding pivots.  Nearly all distances in a corpus are 1, so the distance to a pivot
+drawn anywhere tells nothing.  An inverted list of shingles names the points that can
+be near each other: ordered rarest first, two linked points share one of their first
+size - ceil(t * size) + 1 shingles.  A list's pivot is one of its documents, the one
+with the shared shingle earliest in its order; whole sets are measured against it.
+
+Voronoi cells.  A point within r of a pivot belongs to the cell of its nearest pivot.
+As all of a cell link with its pivot, a cell is connected and never compared within.
+
+Recursion.  Lists whose points all are in one component are done.  In what is left
+the points outside all cells get fresh pivots, their lists are measured again, and so
+on while a list is large; then each point that is still outside is a pivot itself, with
+a cell of its own.
+
+Windows.  A link between x in the cell of p and y means, by the triangle inequality,
+d(y, p) <= d(x, p) + r, and x and y share a list.  So every pivot whose cell has a
+point in a list is measured against the list's points of other components: y within r
+of p links, y within the cell's radius + r is copied to the region of p, and all else
+is out of reach.  In a region x and y can link only if d(y, p) - d(x, p) <= r; these
+are measured exactly, the rest of the cell's shell isn't touched.
+
+Bounds that cost little go before each measurement: sizes, places in the list, and
+parity sketches, all lower bounds of the symmetric difference.  Hot lists and hot
+regions are dealt out in pairs of blocks, hot pivots by salted keys.  Links are joined
+into components by distributed label propagation.
 """
 
 from __future__ import annotations
@@ -33,23 +38,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import map_batches, read, written
+from .tables import Scratch, read, small_batches, written
 from .textkit import NOT_SPACE, Slab, gram_hashes, slabs, span_hashes, words
 
 SHINGLE = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Counters of the shingle order; their number bounds what is broadcast.
-ORDER_BUCKETS = 1 << 18
-#: Bits of the filter by which a task knows that a set is needed; a full filter costs shuffle, not results.
-FILTER_BITS = 1 << 25
+#: Counters of the shingle order, least and most; their number bounds what is broadcast, and is a quarter of the documents in between.
+ORDER_BUCKETS = (1 << 18, 1 << 22)
+#: Bits of the filter by which a task knows that a set is needed, least and most; a full filter costs shuffle, not results.
+FILTER_BITS = (1 << 18, 1 << 27)
 _SKETCH = [f"k{i}" for i in range(4)]
-#: Members of a region that one task compares with each other, at most.
-BLOCK = 4096
-_AT_ONCE = 1 << 17
+#: Members of a list or region that one task compares with each other, at most.
+BLOCK = 1024
+#: A key on more than one in so many rows is hot, so there are fewer hot keys than this; each is dealt to SALTS tasks.
+HOT_KEYS, SALTS = 1000, 64
+#: Lists of more points are measured again with fresh pivots, for so many levels; then all points outside the cells are pivots.
+LARGE, LEVELS = 64, 3
+_SLACK = 1e-6
+
+
+def _power(n: float, bounds: tuple[int, int]) -> int:
+    """The power of two above n, within the bounds."""
+    return min(max(1 << int(n).bit_length(), bounds[0]), bounds[1])
 
 
 def shingle_sets(slab: Slab, n: int) -> Iterator[np.ndarray]:
@@ -67,18 +81,20 @@ def shingle_sets(slab: Slab, n: int) -> Iterator[np.ndarray]:
 
 def _order_counts(docs: DataFrame, n: int) -> np.ndarray:
     """How many documents have a shingle of each bucket, over all documents."""
+    buckets = _power(docs.count() / 4, ORDER_BUCKETS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ORDER_BUCKETS, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for slab in slabs(batch.column(0)):
                 found = list(shingle_sets(slab, n))
-                total += np.bincount((np.concatenate(found) % np.uint64(ORDER_BUCKETS)).astype(np.int64), minlength=ORDER_BUCKETS)
+                total += np.bincount((np.concatenate(found) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    table = map_batches(docs.select("text"), count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(ORDER_BUCKETS, np.int64)
+    with small_batches(docs.sparkSession):
+        table = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(buckets, np.int64)
     out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     return out
 
@@ -113,7 +129,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     size.append(len(s))
                     digest.append(_digest(s))
                     keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                    window.append(s[np.argsort(counts[(s % np.uint64(ORDER_BUCKETS)).astype(np.int64)], kind="stable")[:keep]].view(np.int64))
+                    window.append(s[np.argsort(counts[(s % np.uint64(len(counts))).astype(np.int64)], kind="stable")[:keep]].view(np.int64))
                     wide.append(_parities(s, max(256, 1 << (len(s) - 1).bit_length()) if len(s) else 0))
                     sketch.append(np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)))
                 bits = np.concatenate(sketch).view("<i8").reshape(-1, 4)
@@ -123,16 +139,18 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     names,
                 )
 
-    return map_batches(docs.select("doc_id", "text"), sign, "doc_id long, n long, h0 long, h1 long, window array<long>, wide binary, " + ", ".join(f"{k} long" for k in _SKETCH))
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, h0 long, h1 long, window array<long>, wide binary, " + ", ".join(f"{k} long" for k in _SKETCH))
 
 
-def _filter(ids: DataFrame, name: str) -> np.ndarray:
-    """A bit for the hash of each id, set by distributed ORs; its size is fixed."""
-    slot = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    parts = ids.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({name}), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+def _filter(ids: DataFrame, name: str, n: int) -> tuple[np.ndarray, int]:
+    """A bit for the hash of each of about n ids, set by distributed ORs, and the number of bits: some sixteen for each id while they are few."""
+    size = _power(16 * n, FILTER_BITS)
+    slot = F.pmod(F.xxhash64(name), F.lit(size))
+    words_ = ids.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({name}), {size}) % 64 as int))").alias("bit"))
+    parts = words_.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
     bits[parts.column("at").to_numpy()] = parts.column("bits").to_numpy()
-    return bits
+    return bits, size
 
 
 def _passing(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -148,9 +166,10 @@ def _digest_columns(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(keys[:, 0]), pa.array(keys[:, 1])
 
 
-def _sets(docs: DataFrame, classes: DataFrame, name: str, n: int) -> DataFrame:
-    """(name, items): the sets, as bytes, of ``classes`` (name, doc, h0, h1), each once, however many rows have it."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(classes, "doc"))
+def _sets(docs: DataFrame, classes: DataFrame, count: int, n: int) -> DataFrame:
+    """(x, items): the sets, as bytes, of ``classes`` (x, doc, h0, h1), each once, however many rows have it; made anew from the texts, so no copy of all sets is kept."""
+    bits, size = _filter(classes, "doc", count)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,169 +178,227 @@ def _sets(docs: DataFrame, classes: DataFrame, name: str, n: int) -> DataFrame:
                 found = list(shingle_sets(slab, n))
                 yield pa.RecordBatch.from_arrays([*_digest_columns([_digest(s) for s in found]), pa.array([s.tobytes() for s in found], pa.binary())], ["h0", "h1", "items"])
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    sets = map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", slot.alias("slot"), "text"), make, "h0 long, h1 long, items binary")
-    return classes.join(sets, ["h0", "h1"]).groupBy(name).agg(F.first("items").alias("items"))
-
-
-def _measured(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """(x, p, d, link) of pairs (x, p), from their whole sets, made anew from the texts: no copy of all sets is kept."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, link = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                union = len(x) + len(y) - common
-                d.append(1 - common / union if union else 1.0)
-                link.append(bool(union) and 100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(link, pa.bool_())], ["x", "p", "d", "link"])
-
-    def sets(name: str) -> DataFrame:
-        wanted = pairs.select(name).distinct().join(reps.select(F.col("x").alias(name), "doc", "h0", "h1"), name)
-        return _sets(docs, written(wanted), name, n)
-
-    whole = pairs.join(sets("x"), "x").withColumnRenamed("items", "items_x").join(sets("p"), "p")
-    found = map_batches(whole.select("x", "p", "items_x", "items"), measure, "x long, p long, d double, link boolean")
-    return found.groupBy("x", "p").agg(F.min("d").alias("d"), F.max("link").alias("link"))
-
-
-def _possible(pairs: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, p) that can link: wide sketches that differ in no more slots than linked sets may differ in shingles."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m, a, b = (batch.column(k).to_pylist() for k in range(2, 6))
-            can = [(100 + percent) * _differing(u, v) <= (100 - percent) * (i + j) for i, j, u, v in zip(n, m, a, b)]
-            yield batch.select([0, 1]).filter(pa.array(can, pa.bool_()))
-
-    other = attributes.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("wide").alias("wide_p"))
-    both = pairs.join(attributes.select("x", "n", "wide"), "x").join(other, "p").select("x", "p", "n", "m", "wide", "wide_p")
-    return map_batches(both, compare, "x long, p long").distinct()
-
-
-def _regions(reps: DataFrame) -> DataFrame:
-    """(s, x, i, n, size): the members of every region of two or more, with their place i of s in pivot order.
-
-    Regions are counted first; only rows of those with two members or more, by a
-    filter of fixed size, are then fingerprinted and dealt out by region.  Of
-    regions with the same members the first in pivot order stays, so a pair's first
-    common pivot is never lost.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    sets = docs.where("doc_id IS NOT NULL").select("doc_id", slot.alias("slot"), "text").mapInArrow(make, "h0 long, h1 long, items binary")
+    return classes.join(sets, ["h0", "h1"]).groupBy("x").agg(F.first("items").alias("items"))
+
+
+def _hot(rows: DataFrame, total: int, *keys: str) -> list[list]:
+    """Of each key column, its values on more than one in HOT_KEYS of the ``total`` rows: fewer than HOT_KEYS of them."""
+    each = rows.select(F.inline(F.array(*[F.struct(F.lit(k).alias("at"), F.col(c).alias("value")) for k, c in enumerate(keys)])))
+    found = each.where("value IS NOT NULL").groupBy("at", "value").agg(F.count("*").alias("n")).where(F.col("n") > total / HOT_KEYS).collect()
+    return [[r.value for r in found if r["at"] == k] for k in range(len(keys))]
+
+
+def _attached(rows: DataFrame, table: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """rows with the columns of ``table``, which has one row for each key; the rows of a hot key are dealt to SALTS tasks, its one row to all of them."""
+    if not hot:
+        return rows.join(table, key, how)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
+    salted = rows.withColumn("salt", F.when(F.col(key).isin(hot), salt).otherwise(0))
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(table.withColumn("salt", F.explode(copies.cast("array<long>"))), [key, "salt"], how).drop("salt")
+
+
+def _room(most: Column | float) -> Column:
+    """How many shingles sets of n and m may differ in at a distance of ``most``."""
+    return (F.col("n") + F.col("m")) * (most / (2 - most)) + _SLACK
+
+
+def _apart(i: str, j: str) -> Column:
+    """A lower bound of what sets of n and m differ in, if the first shingle in order that both have is at places i and j."""
+    return F.col(i) + F.col(j) + F.abs((F.col("n") - F.col(i)) - (F.col("m") - F.col(j)))
+
+
+def _sketched() -> Column:
+    """A lower bound of the same from the narrow sketches k0 .. k3 and l0 .. l3."""
+    return sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"l{i}"))) for i in range(1, 4)), F.bit_count(F.col("k0").bitwiseXOR(F.col("l0"))))
+
+
+class _Join:
+    """One run of the join: its documents, classes, threshold and tables."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, n: int, percent: int, scratch: Scratch):
+        self.docs, self.reps, self.n, self.percent, self.keep, self.counted = docs, reps, n, percent, scratch.written, scratch.counted
+        self.scratch, self.reach = scratch, (100 - percent) / 100
+        self.narrow = reps.select("x", "n", *_SKETCH)
+        self.other = reps.select(F.col("x").alias("p"), F.col("n").alias("m"), *(F.col(k).alias(f"l{k[1:]}") for k in _SKETCH))
+
+    def lists(self) -> tuple[DataFrame, int]:
+        """(s, x, i, n, size, p, pi, m), and how many rows: the points of every list of two or more, their place i of s, and the list's pivot p with its place and size.
+
+        Lists are counted first; only rows of those with two points or more, by a
+        filter of bounded size, are then fingerprinted and dealt out by list.  Of
+        lists with the same points the first in order stays, so the first shingle
+        that a pair shares is never lost.
+        """
+        shared, total = self.counted(self.reps.select(F.explode("window").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"))
+        bits, width = _filter(shared, "s", total)
+        bits = self.docs.sparkSession.sparkContext.broadcast(bits)
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.select([0, 1, 2, 3]).take(pa.array(_passing(bits.value, batch.column(4).to_numpy())))
+
+        cells = self.reps.select(F.posexplode("window").alias("i", "s"), "x", "n")
+        slotted = cells.select("s", "x", "i", "n", F.pmod(F.xxhash64("s"), F.lit(width)).alias("slot"))
+        cells, total = self.counted(slotted.mapInArrow(pick, "s long, x long, i int, n long"))
+        kinds = cells.groupBy("s").agg(F.count("*").alias("size"), F.min(F.struct("x", "i")).alias("low"), F.bit_xor(F.xxhash64("x")).alias("f"), F.min(F.struct("i", F.xxhash64("x").alias("o"), "x", "n")).alias("v"))
+        first = kinds.where("size > 1").groupBy("size", F.col("low.x").alias("low"), "f").agg(F.min_by(F.struct("s", "v"), F.col("low.i")).alias("k"))
+        lists = self.keep(first.select("k.s", "size", F.col("k.v.x").alias("p"), F.col("k.v.i").alias("pi"), F.col("k.v.n").alias("m")))
+        return self.counted(_attached(cells, lists, "s", _large(lists, total))) if total else (lists.select("s", F.col("p").alias("x")), 0)
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(x, p, d, link) of the pairs (x, p, most) that may be within ``most``, from their whole sets."""
+        percent = self.percent
+        asked, total = self.counted(pairs.groupBy("x", "p").agg(F.max("most").alias("most")))
+        hot = _hot(asked, total, "x", "p") if total else [[], []]
+        near, total = self.counted(self._possible(asked, hot))
+        ends = near.select("x").unionByName(near.select(F.col("p").alias("x"))).distinct()
+        sets = self.keep(_sets(self.docs, ends.join(self.reps.select("x", "doc", "h0", "h1"), "x"), 2 * total, self.n)) if total else near.select("x", F.lit(b"").alias("items"))
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                d, link = [], []
+                for x, y in zip(batch.column(2), batch.column(3)):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = np.sort(np.concatenate([x, y]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    union = len(x) + len(y) - common
+                    d.append(1 - common / union if union else 1.0)
+                    link.append(bool(union) and 100 * common >= percent * union)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(link, pa.bool_())], ["x", "p", "d", "link"])
+
+        one = _attached(near, sets, "x", hot[0]).withColumnRenamed("items", "items_x")
+        both = _attached(one, sets.withColumnRenamed("x", "p"), "p", hot[1])
+        return self.keep(both.select("x", "p", "items_x", "items").mapInArrow(measure, "x long, p long, d double, link boolean"))
+
+    def _possible(self, pairs: DataFrame, hot: list[list]) -> DataFrame:
+        """Pairs (x, p, most) whose wide sketches differ in no more slots than their sets may differ in shingles."""
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                room, a, b = (batch.column(k).to_pylist() for k in range(2, 5))
+                yield batch.select([0, 1]).filter(pa.array([_differing(u, v) <= most for most, u, v in zip(room, a, b)], pa.bool_()))
+
+        wide = self.reps.select("x", "n", "wide")
+        other = self.reps.select(F.col("x").alias("p"), F.col("n").alias("m"), F.col("wide").alias("wide_p"))
+        both = _attached(_attached(pairs, wide, "x", hot[0]), other, "p", hot[1])
+        return both.select("x", "p", _room(F.col("most")).alias("room"), "wide", "wide_p").mapInArrow(compare, "x long, p long")
+
+    def links(self) -> DataFrame:
+        """(a, b): links between classes of equal sets, by their numbers x, enough of them to connect all that links connect."""
+        rows, total = self.lists()
+        if not total:
+            return rows.select(F.col("x").alias("a"), F.col("x").alias("b"))
+        pairs, edges, cells = rows.where("x <> p").where(_apart("i", "pi") <= _room(self.reach)), None, None
+        for level in range(LEVELS):
+            found = self.measured(pairs.select("x", "p", F.lit(self.reach).alias("most"))).where("link")
+            edges = self.keep(found.select("x", "p") if edges is None else edges.unionByName(found.select("x", "p")))
+            nearest = found.select("x", "p", "d").unionByName(found.select(F.col("p").alias("x"), "p", F.lit(0.0).alias("d"))).groupBy("x").agg(F.min(F.struct("d", "p")).alias("c"))
+            own = nearest.select("x", F.col("c.p").alias("q"), F.col("c.d").alias("d"))
+            cells = self.keep(own if cells is None else cells.unionByName(own.join(cells, "x", "left_anti")))
+            labels = _components(edges, self.scratch)
+            placed = rows.select("s", "x", "i", "n").join(labels, "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component").join(cells, "x", "left")
+            outside = F.min(F.when(F.col("q").isNull(), F.struct("i", F.xxhash64("x").alias("o"), "x", "n", "comp")))
+            large = (F.col("size") > LARGE) & F.col("v").isNotNull()
+            counts = placed.groupBy("s").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), outside.alias("v")).where("lo <> hi").drop("lo", "hi")
+            lists, again = self.counted(counts, large)
+            rows, total = self.counted(_attached(placed, lists, "s", _large(lists, total)))
+            if not again:
+                break
+            fresh = rows.where(large).withColumns({"p": F.col("v.x"), "pi": F.col("v.i"), "m": F.col("v.n")}).where("x <> p AND comp <> v.comp")
+            pairs = fresh.where(_apart("i", "pi") <= _room(self.reach))
+        if total:
+            found = self.measured(self._to_pivots(rows))
+            edges = self.keep(edges.unionByName(found.where("link").select("x", "p")))
+            across = self._in_regions(found.where("NOT link"), cells, edges)
+            if across is not None:
+                edges = self.keep(edges.unionByName(self.measured(across).where("link").select("x", "p")))
+        return edges.select(F.col("x").alias("a"), F.col("p").alias("b"))
+
+    def _to_pivots(self, rows: DataFrame) -> DataFrame:
+        """(x, p, most): points of lists and the pivots of other components whose cells have points in the same list, where x may be in reach of the cell.
+
+        A point outside all cells is a pivot whose cell is itself.
+        """
+        pivots = rows.groupBy("s", "size", F.coalesce("q", "x").alias("p")).agg(F.max(F.coalesce("d", F.lit(0.0))).alias("radius"), F.first("comp").alias("pc"), F.max(F.when(F.col("q").isNull(), F.col("i"))).alias("pi"))
+        pivots, total = self.counted(pivots)
+        pivots = _dealt(_attached(pivots, self.other, "p", *_hot(pivots, total, "p")), "p", _blocks("size"), _blocks("size"), "b", "a").drop("size")
+        points = _dealt(rows.select("s", "x", "i", "comp", "size").join(self.narrow, "x"), "x", _blocks("size"), _blocks("size"), "a", "b").drop("size")
+        most = F.col("radius") + self.reach
+        near = F.abs(F.col("n") - F.col("m")) <= _room(most)
+        placed = F.when(F.col("pi").isNull(), near).otherwise(_apart("i", "pi") <= _room(most))
+        both = points.join(pivots, ["s", "a", "b"]).where(F.col("comp") != F.col("pc")).where(placed).where(_sketched() <= _room(most))
+        return both.select("x", "p", most.alias("most"))
+
+    def _in_regions(self, apart: DataFrame, cells: DataFrame, edges: DataFrame) -> DataFrame | None:
+        """(x, p, most): points of a cell and points in the window of its pivot, in other components, that the triangle inequality lets link; None without any.
+
+        ``apart`` are the measured pairs (x, p, d) without a link.
+        """
+        slack = 1e-9
+        radius = cells.groupBy(F.col("q").alias("p")).agg(F.max("d").alias("radius")).where("radius > 0")
+        window, total = self.counted(apart.join(radius, "p").where(F.col("d") <= F.col("radius") + self.reach + slack).select("p", F.col("x").alias("y"), F.col("d").alias("dy")))
+        if not total:
+            return None
+        hot = _hot(window, total, "y", "p")
+        comp = _components(edges, self.scratch).select("x", F.col("component").alias("comp"))
+        named = _attached(window, comp.select(F.col("x").alias("y"), F.col("comp").alias("cy")), "y", hot[0], "left").withColumn("cy", F.coalesce("cy", "y"))
+        named = _attached(named, comp.select(F.col("x").alias("p"), "comp"), "p", hot[1])  # a pivot of a cell has links, and so a label
+        window, total = self.counted(named.where("cy <> comp").drop("comp", "cy"))
+        if not total:
+            return None
+        low = window.groupBy("p").agg(F.min("dy").alias("low"), F.count("*").alias("w"))
+        members = cells.withColumnRenamed("q", "p").where("d > 0").join(F.broadcast(low) if total <= BLOCK else low, "p")
+        shell = self.keep(members.where(F.col("d") >= F.col("low") - self.reach - slack).select("p", "x", F.col("d").alias("dx"), "w"))
+        size, total = self.counted(shell.groupBy("p").agg(F.count("*").alias("k"), F.first("w").alias("w")))
+        if not total:
+            return None
+        shell = _dealt(shell.drop("w").join(size, "p").join(self.narrow, "x"), "x", _blocks("k"), _blocks("w"), "a", "b").drop("k", "w")
+        beyond = _attached(window.join(size, "p"), self.other.withColumnRenamed("p", "y"), "y", hot[0])
+        beyond = _dealt(beyond, "y", _blocks("w"), _blocks("k"), "b", "a").drop("k", "w")
+        room = _room(self.reach)
+        pairs = shell.join(beyond, ["p", "a", "b"]).where(F.col("dy") - F.col("dx") <= self.reach + slack).where(F.abs(F.col("n") - F.col("m")) <= room).where(_sketched() <= room)
+        return pairs.select("x", F.col("y").alias("p"), F.lit(self.reach).alias("most"))
+
+
+def _large(lists: DataFrame, total: int) -> list:
+    """The lists that hold more than one in HOT_KEYS of the ``total`` rows."""
+    return [r.s for r in lists.where(F.col("size") > total / HOT_KEYS).select("s").collect()]
+
+
+def _blocks(size: str) -> Column:
+    return F.ceil(F.col(size) / BLOCK).cast("int")
+
+
+def _dealt(rows: DataFrame, key: str, mine: Column, others: Column, own: str, other: str) -> DataFrame:
+    """rows with their own block and a copy for each block of the other side, so that a pair of blocks is one task's work."""
+    return rows.withColumns({own: F.pmod(F.xxhash64(key, F.lit(5)), mine).cast("int"), other: F.explode(F.sequence(F.lit(0), others - 1))})
+
+
+def _components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, component): the smallest number that each end of an edge (its two columns) reaches.
+
+    Labels spread to neighbours and then jump to their label's label, two rounds for
+    each table, until none changes.
     """
-    spark = reps.sparkSession
-    shared = written(reps.select(F.explode("window").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"))
-    bits = spark.sparkContext.broadcast(_filter(shared, "s"))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.select([0, 1, 2, 3]).take(pa.array(_passing(bits.value, batch.column(4).to_numpy())))
-
-    cells = reps.select(F.posexplode("window").alias("i", "s"), "x", "n")
-    slotted = cells.select("s", "x", "i", "n", F.pmod(F.xxhash64("s"), F.lit(FILTER_BITS)).alias("slot"))
-    cells = written(map_batches(slotted, pick, "s long, x long, i int, n long"))
-    kinds = cells.groupBy("s").agg(F.count("*").alias("size"), F.min(F.struct("x", "i")).alias("low"), F.bit_xor(F.xxhash64("x")).alias("f")).where("size > 1")
-    kept = kinds.groupBy("size", F.col("low.x").alias("low"), "f").agg(F.min_by("s", F.col("low.i")).alias("s")).select("s", "size")
-    return cells.join(kept, "s")
-
-
-def _to_centres(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, p) of each member and its region's centre, the member with the fewest shingles before the pivot, where they can link."""
-    mark = F.min(F.struct("i", F.xxhash64("x").alias("o"), "x", "n")).alias("v")
-    centres = members.groupBy("s").agg(mark).select("s", F.col("v.x").alias("p"), F.col("v.i").alias("j"), F.col("v.n").alias("m"))
-    apart = F.col("i") + F.col("j") + F.abs((F.col("n") - F.col("i")) - (F.col("m") - F.col("j")))
-    can = (F.col("x") != F.col("p")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
-    pairs = members.join(centres, "s").where(can).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("p"))
-    return pairs.distinct()
-
-
-def _window_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, p) of members of one region, in different components, within each other's windows.
-
-    A region is dealt out in blocks of at most BLOCK members, and pairs of blocks,
-    so a hot region is many tasks' work; a task compares a block's members by their
-    places, sizes and sketches and hands out the few pairs that can still link.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("x", F.lit(5)), blocks).cast("int")
-    dealt = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    fields = ["s", "lo", "hi", "own", "x", "comp", "i", "n", *_SKETCH]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * len(fields)
-
-        def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            s, lo, hi, mine, x, comp, i, n = cols[:8]
-            sketch = np.stack(cols[8:], axis=1).view(np.uint64)
-            group = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            end = np.repeat(np.append(group[1:], len(s)), np.diff(np.append(group, len(s))))
-            partners = end - np.arange(len(s)) - 1
-            upto, at = np.cumsum(partners), 0
-            while at < len(s):
-                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _AT_ONCE, "right")))
-                k = partners[at:to]
-                a = np.repeat(np.arange(at, to), k)
-                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
-                room = (100 - percent) * (n[a] + n[b])
-                apart = i[a] + i[b] + np.abs((n[a] - i[a]) - (n[b] - i[b]))
-                can = ((100 + percent) * apart <= room) & (comp[a] != comp[b]) & ((lo[a] == hi[a]) | (mine[a] != mine[b]))
-                a, b, room = a[can], b[can], room[can]
-                hamming = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
-                can = (100 + percent) * hamming <= room
-                a, b = x[a[can]], x[b[can]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["x", "p"])
-                at = to
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield from pairs([c[:cut] for c in cols])
-        if len(held[0]):
-            yield from pairs(held)
-
-    cast = [F.col(c).cast("long").alias(c) for c in fields]
-    sorted_rows = dealt.select(*cast).repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi", "x")
-    return map_batches(sorted_rows, compare, "x long, p long").distinct()
-
-
-def links(docs: DataFrame, reps: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links between classes of equal sets, by their numbers x, enough of them to connect all that links connect."""
-    members = written(_regions(reps))
-    attributes = reps.select("x", "n", "wide", *_SKETCH)
-    ends = [F.col("x").alias("a"), F.col("p").alias("b")]
-    near = written(_possible(_to_centres(members, percent), attributes, percent))
-    first = written(_measured(docs, near, reps, n, percent).where("link").select(*ends))
-    labels = written(components(first))
-    placed = members.join(labels, "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
-    open_ = placed.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    rest = placed.join(open_, "s", "left_semi").join(attributes.select("x", *_SKETCH), "x")
-    near = written(_possible(written(_window_pairs(rest, percent)), attributes, percent))
-    found = _measured(docs, near, reps, n, percent)
-    return written(first.unionByName(found.where("link").select(*ends)))
-
-
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(x, component): the smallest id that each end of an edge reaches; labels spread to neighbours and then jump to their label's label, until none changes or for so many rounds."""
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = written(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("low")).select("x", F.least("low", "x").alias("component")))
-    while rounds is None or rounds > 0:
-        heard = both.join(labels, both.b == labels.x).groupBy("a").agg(F.min("component").alias("heard"))
-        spread = labels.join(heard, labels.x == heard.a).select("x", "component", F.least("component", "heard").alias("c"))
-        jump = labels.select(F.col("x").alias("c"), F.col("component").alias("cc"))
-        lowest = F.least("c", F.coalesce("cc", "c"))
-        moved = written(spread.join(jump, "c", "left").select("x", lowest.alias("component"), (lowest != F.col("component")).alias("moved")))
-        labels = moved.select("x", "component")
-        if rounds is None and moved.where("moved").isEmpty():
+    a, b = edges.columns
+    both, total = scratch.counted(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))))
+    labels = scratch.written(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("low")).select("x", F.least("low", "x").alias("component"), F.lit(False).alias("moved")))
+    hubs = _hot(both, total, "b")[0] if total else []
+    while total:
+        for _ in range(2):
+            heard = _attached(both, labels.select(F.col("x").alias("b"), "component"), "b", hubs).groupBy("a").agg(F.min("component").alias("heard"))
+            spread = labels.join(heard, labels.x == heard.a).select("x", "component", "moved", F.least("component", "heard").alias("c"))
+            jump = labels.select(F.col("x").alias("c"), F.col("component").alias("cc"))
+            lowest = F.least("c", F.coalesce("cc", "c"))
+            labels = spread.join(jump, "c", "left").select("x", lowest.alias("component"), (F.col("moved") | (lowest != F.col("component"))).alias("moved"))
+        labels, moved = scratch.counted(labels, F.col("moved"))
+        labels = labels.withColumn("moved", F.lit(False))
+        if not moved:
             break
-        rounds = None if rounds is None else rounds - 1
-    return labels
+    return labels.select("x", "component")
 
 
 def _same_id(rows: DataFrame) -> DataFrame:
@@ -332,23 +409,27 @@ def _same_id(rows: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n, the digest (h0, null for an empty set, and h1) and component_id of each row of ``docs``."""
-    signed = written(_signatures(docs, n, percent))
+    """doc_id, n, the digest (h0, null for an empty set, and h1) and component_id of each row of ``docs``, as a table."""
+    scratch = Scratch(docs.sparkSession)
+    keep = scratch.written
+    signed = keep(_signatures(docs, n, percent))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h0", "h1").agg(F.min("doc_id").alias("doc"), F.first(F.struct("n", "window", "wide", *_SKETCH)).alias("v"))
-    reps = written(classes.select(F.monotonically_increasing_id().alias("x"), "doc", "h0", "h1", "v.*"))
-    found = links(docs, reps, n, percent)
+    reps = keep(classes.select(F.monotonically_increasing_id().alias("x"), "doc", "h0", "h1", "v.*"))
+    found = _Join(docs, reps, n, percent, scratch).links()
     number = reps.select("x", "doc")
     linked = found.join(number.withColumnsRenamed({"x": "a", "doc": "c"}), "a").join(number.withColumnsRenamed({"x": "b", "doc": "d"}), "b")
     keys = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h0")).alias("h0"), "h1")
-    rows = written(keys.join(reps.select("h0", "h1", "doc"), ["h0", "h1"], "left"))
+    rows = keep(keys.join(reps.select("h0", "h1", "doc"), ["h0", "h1"], "left"))
     edges = linked.where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).unionByName(_same_id(rows))
-    labels = written(components(edges))
+    labels = _components(keep(edges), scratch)
     named = reps.select("doc").distinct().join(labels.withColumnRenamed("x", "doc"), "doc", "left")
     with_set = rows.where("doc IS NOT NULL").join(named, "doc").select("doc_id", "n", "h0", "h1", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
     # A row without words belongs to what its doc_id's other rows belong to.
     others = with_set.where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
     without = rows.where("doc IS NULL").join(others, "doc_id", "left").select("doc_id", "n", "h0", "h1", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return with_set.unionByName(without)
+    result = written(with_set.unionByName(without))
+    scratch.clear()
+    return result
 
 
 def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -374,7 +455,7 @@ def _with_digests(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.first, slab.n), pa.array([len(s) for s in found], pa.int64()), *_digest_columns([_digest(s) for s in found])], ["row", "n", "h0", "h1"])
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return map_batches(rows, digest, f"row {rows.schema['row'].dataType.simpleString()}, n long, h0 long, h1 long")
+    return rows.mapInArrow(digest, f"row {rows.schema['row'].dataType.simpleString()}, n long, h0 long, h1 long")
 
 
 def _one_of_each(rows: DataFrame, *keys: str) -> DataFrame:
@@ -391,7 +472,7 @@ def deduplicated(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> D
     any.  Rows with a null doc_id link with nothing; of those with equal sets one
     stays, and all without words.
     """
-    named = written(_named(docs, n, percent))
+    named = _named(docs, n, percent)
     repeated = written(named.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
     gone = named.where("component_id <> doc_id").select("doc_id").distinct().unionByName(repeated)
     kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import map_batches, read
+from .tables import read
 from .textkit import NOT_SPACE, Slab, char_count, gram_hashes, row_sums, rows_of_grams, slabs, span_hashes, words
 
 #: n-gram length in words -> largest share of a text's word characters inside repeated n-grams.
@@ -115,7 +115,7 @@ def quality(docs: DataFrame, text: str = "text", limits: dict[int, float] | None
                 m = verdict(measures(slab, tuple(limits)), limits, line_limit)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.first, slab.n), *(pa.array(m[c]) for c in names[1:])], names)
 
-    return map_batches(docs.select("doc_id", text), judge, SCHEMA)
+    return docs.select("doc_id", text).mapInArrow(judge, SCHEMA)
 
 
 def accepted(docs: DataFrame, text: str = "text", limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
@@ -128,7 +128,7 @@ def accepted(docs: DataFrame, text: str = "text", limits: dict[int, float] | Non
                 kept = verdict(measures(slab, tuple(limits)), limits, line_limit)["kept"]
                 yield batch.slice(slab.first, slab.n).filter(pa.array(kept))
 
-    return map_batches(docs, keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import map_batches, read
+from .tables import read
 from .textkit import ALNUM, Slab, Words, slabs, span_hashes, words
 
 WINDOW = 10
@@ -196,7 +196,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
                     ]
                     yield pa.RecordBatch.from_arrays([*(part.column(own.names.index(c)) for c in carried), *found], [*carried, *(f.name for f in new)])
 
-        docs = map_batches(docs, search, schema)
+        docs = docs.mapInArrow(search, schema)
     return docs
 
 

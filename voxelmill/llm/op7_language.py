@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashed_nb import count_features, fit, softmax, summed
-from .tables import map_batches, read
+from .tables import read
 from .textkit import Slab, char_count, mix, slabs
 
 BUCKETS, ORDERS, STRENGTH = 1 << 15, (1, 2, 3), 200.0
@@ -105,7 +105,7 @@ def predict(docs: DataFrame, model, text: str = "text", buckets: int = BUCKETS,
                 yield pa.RecordBatch.from_arrays([*(c.slice(slab.first, slab.n) for c in batch.columns[:-1]), pa.array(pred, pa.string()), pa.array(p)], [*kept, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", lang_pred string, score double"
-    return map_batches(docs.select(*kept, text), score, schema)
+    return docs.select(*kept, text).mapInArrow(score, schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashed_nb import Model, Tally, fit, summed, text_features
-from .tables import map_batches, read
+from .tables import read
 from .textkit import slabs
 
 BUCKETS, STRENGTH = 1 << 16, 2000.0
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_LIMIT, round
                 for found in tally.rows():
                     yield pa.RecordBatch.from_arrays([pa.array([f"{k}{x}" for x in found.column(0).to_pylist()], pa.string()), found.column(1), found.column(2)], ["label", "bucket", "n"])
 
-        counted = map_batches(labelled if r == 0 else rows, count, "label string, bucket long, n long")
+        counted = labelled if r == 0 else rows.mapInArrow(count, "label string, bucket long, n long")
         _, counts, n = summed(counted, BUCKETS, ["00", "01", "10", "11"])
         text = fit(counts[:2], n[:2], ["0", "1"], STRENGTH)
         meta = fit(counts[2:, :_META_BUCKETS], n[2:], ["0", "1"], 20.0)
@@ -148,7 +148,7 @@ def _calibrate(held: DataFrame, state: CoTrained) -> None:
                 y = [float(v) for v in part.column(part.schema.get_field_index("y")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(y, pa.float64())], ["a", "b", "y"])
 
-    t = map_batches(held, odds, "a double, b double, y double").orderBy("a", "b", "y").toArrow()
+    t = held.mapInArrow(odds, "a double, b double, y double").orderBy("a", "b", "y").toArrow()
     a, b, y = (t.column(c).to_numpy() for c in ("a", "b", "y"))
     state.text_cal, state.meta_cal = logistic(a[:, None], y), logistic(b[:, None], y)
     state.joint = logistic(np.column_stack([a, b]), y)
@@ -170,7 +170,7 @@ def score(docs: DataFrame, state: CoTrained, threshold: float = KEEP_FROM) -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(q), pa.array(joint), pa.array(joint >= threshold)], ["doc_id", "p_text", "p_meta", "quality", "kept"])
 
     rows = docs.select("doc_id", "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    return map_batches(rows, judge, f"doc_id long, {SCORES}")
+    return rows.mapInArrow(judge, f"doc_id long, {SCORES}")
 
 
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

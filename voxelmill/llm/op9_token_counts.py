@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import _CUT, Encoder, encoder, tokenizer_path
-from .tables import map_batches, read
+from .tables import read
 
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK, OVERLAP = 32_768, 512
@@ -90,7 +90,7 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     tokenizer_path(name)
-    return map_batches(docs.select("doc_id", text), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", text).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,29 +15,52 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (as in tests), a folder under /tmp is set."""
+    """A new folder under spark.checkpoint.dir; where that is unset, a folder under /tmp, for a local master only: elsewhere each machine has its own /tmp."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/voxelmill-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For actions inside: Arrow batches of 4 MB at most, so that long texts don't pile up in one; the session's own value comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4m")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = folder or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow over batches bounded in bytes as well as rows, so long texts don't pile up in one batch."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-    return df.mapInArrow(fn, schema)
+class Scratch:
+    """The tables of one run of an operator, under one folder; clear() deletes them once the result, written elsewhere, needs them no more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, shared_dir(spark), 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        return written(df, f"{self.folder}/{self.tables}")
 
+    def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+        """The table, and how many rows it has, or how often ``what`` is true in them, as counted while it was written."""
+        seen = Observation()
+        table = self.written(df.observe(seen, F.count_if(F.lit(True) if what is None else what).alias("n")))
+        return table, seen.get["n"]
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table that written() made and no later read needs."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    def clear(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
