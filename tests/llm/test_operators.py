@@ -243,9 +243,12 @@ def test_op6(spark, docs, empty, block):
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(places), len(found), bool(places))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         clean |= set() if places else {i}
+        best = max([(longest_run(w, v)) for v in words.values()] + [0]) if len(w) < 1000 else 30
+        assert r.longest == best
+        starts = [k for k in range(len(w) - best + 1) for v in words.values() if any(w[k : k + best] == v[j : j + best] for j in range(len(v) - best + 1))] if best and len(w) < 1000 else [100]
+        assert r.longest_at == (min(starts) if best else None)
     kept = op6_decontaminate.decontaminate(docs, bench, block_bytes=block)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == clean
-    assert got[9].longest == max(longest_run(long, w) for w in words.values()) == 30
     assert op6_decontaminate.contamination(empty, bench).count() == 0
     assert op6_decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 

@@ -1,9 +1,13 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
 Each slab of documents is a shard with a suffix array over its words.  Every
-suffix of every benchmark item is binary-searched in each shard; the matching
-range holds all places where the item's window stands verbatim, and windows that
-follow each other on one diagonal join into the longest verbatim matches.
+suffix of every benchmark item is binary-searched in each shard: its place there
+tells its longest verbatim match, and a search of its first ``window`` words gives
+all places where that window stands.  A document's own longest match follows from
+the nearest benchmark suffixes before and after its suffixes in the sorted order.
+
+What is shipped of the benchmark is one number for each of its words, and its
+vocabulary; a task compares in place and holds no window of it.
 """
 
 from __future__ import annotations
@@ -25,101 +29,170 @@ WINDOW = 10
 #: Benchmark text that one pass ships to the executors; a larger benchmark takes more passes.
 BLOCK_BYTES = 32 << 20
 _SHARD_BYTES = 2 << 20
-_FOUND = "n_words long, spans array<long>, items array<string>, longest long"
+#: Suffixes that are searched together.
+_AT_ONCE = 1 << 16
+_FOUND = "n_words long, spans array<long>, items array<string>, longest long, longest_at long"
 
 
 @dataclass
 class Queries:
-    """Windows of a block of items: word hashes (0 where none), lengths, item numbers and places."""
+    """A block of items: the sorted hashes of their words, each word's number there and one, a 0 after each item, and each suffix's place, item and width.
+
+    The width is ``window`` or, for an item of fewer words, all of them; suffixes
+    too short to be a window have width 0.
+    """
 
-    grid: np.ndarray
-    width: np.ndarray
+    vocabulary: np.ndarray
+    codes: np.ndarray
     item: np.ndarray
-    place: np.ndarray
+    window: int
     ids: list[str | None]
 
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Place and width of every suffix."""
+        ends = np.flatnonzero(self.codes == 0)
+        size = np.diff(np.r_[-1, ends]) - 1
+        at = np.flatnonzero(self.codes)
+        left = np.repeat(ends, size) - at
+        least = np.minimum(np.repeat(size, size), self.window)
+        return at, np.where(left >= least, least, 0)
+
 
 def query_block(items: list[tuple[object, str | None]], window: int) -> Queries:
-    """All item suffixes that are long enough to be a window; a shorter item, but not an empty one, is one window."""
-    grid, width, item, place, ids = [], [], [], [], []
+    """The items that have a word."""
+    hashes, sizes, ids = [], [], []
     for item_id, text in items:
         if text is None:
             continue
-        slab = next(slabs(pa.array([text])))
-        w = words(slab, ALNUM)
-        h = span_hashes(slab, w.start, w.end, fold=True)
-        if not len(h):
-            continue
-        n = min(window, len(h))
-        rows = np.zeros((len(h) - n + 1, window), np.uint64)
-        for j in range(n):
-            rows[:, j] = h[j : len(h) - n + 1 + j]
-        grid.append(rows)
-        width += [n] * len(rows)
-        item += [len(ids)] * len(rows)
-        place += range(len(rows))
-        ids.append(None if item_id is None else str(item_id))
-    return Queries(np.concatenate(grid) if grid else np.zeros((0, window), np.uint64), np.array(width, np.int64), np.array(item, np.int64), np.array(place, np.int64), ids)
+        for slab in slabs(pa.array([text])):
+            w = words(slab, ALNUM)
+            h = span_hashes(slab, w.start, w.end, fold=True)
+            if len(h):
+                hashes.append(h)
+                sizes.append(len(h))
+                ids.append(None if item_id is None else str(item_id))
+    every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    vocabulary, known = np.unique(every, return_inverse=True)
+    codes, item = np.zeros(len(every) + len(ids), np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), np.array(sizes, np.int64) + 1)
+    codes[np.arange(len(every)) + np.repeat(np.arange(len(ids)), sizes)] = known + 1
+    return Queries(vocabulary, codes, item, window, ids)
 
 
 class SuffixArray:
-    """Suffixes of a shard's word sequence, sorted by their first ``depth`` words or more; rows are kept apart."""
+    """Suffixes of a shard's words, sorted as far as a benchmark item of ``depth`` words can tell them apart.
+
+    Words are numbered by the benchmark's vocabulary; others, and the ends of rows,
+    are 0, where a comparison ends.
+    """
 
-    def __init__(self, h: np.ndarray, row: np.ndarray, n_rows: int, depth: int):
-        self.vocabulary, known = np.unique(h, return_inverse=True)
-        self.pad = 1 << (depth - 1).bit_length()
-        seq = np.zeros(len(h) + n_rows + self.pad, np.int64)  # 0: between rows and past the end
+    def __init__(self, h: np.ndarray, row: np.ndarray, n_rows: int, queries: Queries, depth: int):
+        k = np.minimum(np.searchsorted(queries.vocabulary, h), max(len(queries.vocabulary) - 1, 0))
+        known = queries.vocabulary[k] == h if len(queries.vocabulary) else np.zeros(len(h), bool)
         self.at = np.arange(len(h)) + row
-        seq[self.at] = 2 * known + 2
-        self.seq, self.row = seq, row
-        rank, k = seq, 1
-        order = np.argsort(rank, kind="stable")
-        while k < depth:
-            key = rank * (int(rank.max()) + 1)
-            key[:-k] += rank[k:]
-            order = np.argsort(key)
-            fresh = np.empty(len(key), np.int64)
-            fresh[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-            rank, k = fresh, 2 * k
-        self.order = order
-        self.word_at = np.full(len(seq), -1, np.int64)
+        self.seq = np.zeros(len(h) + n_rows + 1, np.int64)
+        self.seq[self.at] = np.where(known, k + 1, 0)
+        self.word_at = np.full(len(self.seq), -1, np.int64)
         self.word_at[self.at] = np.arange(len(h))
-
-    def _bound(self, q: np.ndarray, width: np.ndarray, upper: bool) -> np.ndarray:
-        """Of each query, the first suffix that isn't below it (or, upper, that is above it)."""
-        low, high = np.zeros(len(q), np.int64), np.full(len(q), len(self.order), np.int64)
-        cols = np.arange(q.shape[1])
-        inside = cols[None, :] < width[:, None]
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
-            mid = (low + high) // 2
-            at = self.order[np.minimum(mid, len(self.order) - 1)]
-            diff = np.where(inside, np.sign(self.seq[np.minimum(at[:, None] + cols, len(self.seq) - 1)] - q), 0)
-            first = np.argmax(diff != 0, axis=1)
-            cmp = diff[np.arange(len(q)), first]
-            right = (cmp < 0) | (upper & (cmp == 0))
-            low = np.where(open_ & right, mid + 1, low)
-            high = np.where(open_ & ~right, mid, high)
-
-    def search(self, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, word number) of every place where a query's words stand."""
-        none = np.empty(0, np.int64)
-        if not len(self.vocabulary) or not len(queries.grid):
-            return none, none
-        k = np.minimum(np.searchsorted(self.vocabulary, queries.grid), len(self.vocabulary) - 1)
-        hit = self.vocabulary[k] == queries.grid
-        cols = np.arange(queries.grid.shape[1])
-        known = np.flatnonzero((hit | (cols[None, :] >= queries.width[:, None])).all(axis=1))  # a window with a word that the shard lacks has no place in it
-        if not len(known):
-            return none, none
-        q, width = 2 * k[known] + 2, queries.width[known]
-        lower = self._bound(q, width, False)
-        n = self._bound(q, width, True) - lower
-        which = np.repeat(np.arange(len(known)), n)
-        at = self.order[np.repeat(lower, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
-        return known[which], self.word_at[at]
+        suffixes = np.flatnonzero(self.seq)
+        self.order = suffixes[np.argsort(self.seq[suffixes], kind="stable")]
+        self._refine(depth)
+
+    def _refine(self, depth: int) -> None:
+        """Prefix doubling of what is still tied; a rank is the slot of its first suffix, and one, so other ranks stay."""
+        n = len(self.order)
+        if not n:
+            return
+        rank = np.zeros(2 * len(self.seq), np.int64)
+        value = self.seq[self.order]
+        slot = np.arange(n)
+        group = np.maximum.accumulate(np.where(np.r_[True, value[1:] != value[:-1]], slot, 0))
+        rank[self.order] = group + 1
+        k = 1
+        while k < depth:
+            first = np.r_[True, group[1:] != group[:-1]]
+            tied = np.flatnonzero(~(first & np.r_[first[1:], True]))
+            if not len(tied):
+                return
+            at = self.order[tied]
+            nxt = rank[at + k]
+            by = np.lexsort((nxt, group[tied]))
+            self.order[tied], nxt = at[by], nxt[by]
+            own = group[tied]
+            fresh = np.r_[True, (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])]
+            group[tied] = np.maximum.accumulate(np.where(fresh, tied, 0))
+            rank[self.order[tied]] = group[tied] + 1
+            k *= 2
+
+    def compare(self, queries: Queries, a: np.ndarray, slots: np.ndarray, width: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each suffix a of the block and the suffix in a slot (none outside the array): words that agree from their start on, and the sign of shard - block after those; ``width`` words are compared at most."""
+        inside = (slots >= 0) & (slots < len(self.order))
+        b = self.order[np.clip(slots, 0, max(len(self.order) - 1, 0))] if len(self.order) else np.zeros(len(a), np.int64)
+        same, sign = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        open_ = np.flatnonzero(inside)
+        j = 0
+        while len(open_):
+            if width is not None:
+                open_ = open_[width[open_] > j]
+            x, y = queries.codes[a[open_] + j], self.seq[b[open_] + j]
+            sign[open_] = np.sign(y - x)
+            open_ = open_[(x == y) & (x > 0)]
+            same[open_] += 1
+            j += 1
+        return same, sign
+
+    def bound(self, queries: Queries, a: np.ndarray, width: np.ndarray | None, upper: bool) -> np.ndarray:
+        """The first slot whose suffix isn't below a's, or (upper) is above it."""
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), len(self.order), np.int64)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            mid = (low[open_] + high[open_]) // 2
+            sign = self.compare(queries, a[open_], mid, None if width is None else width[open_])[1]
+            right = (sign < 0) | (upper & (sign == 0))
+            low[open_[right]] = mid[right] + 1
+            high[open_[~right]] = mid[~right]
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+    def search(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(suffix, width, word) of every place where a suffix's window stands; and the longest match of every word of the shard with any suffix."""
+        at, width = queries.suffixes()
+        present = np.zeros(len(queries.vocabulary) + 1, bool)
+        present[self.seq] = True
+        present[0] = False
+        keep = present[queries.codes[at]]
+        at, width = at[keep], width[keep]
+        found, nearest = [], []
+        for lo in range(0, len(at), _AT_ONCE):
+            a, w = at[lo : lo + _AT_ONCE], width[lo : lo + _AT_ONCE]
+            place = self.bound(queries, a, None, False)
+            before, after = self.compare(queries, a, place - 1)[0], self.compare(queries, a, place)[0]
+            nearest.append(np.stack([place, before, after, a]))
+            hit = np.flatnonzero((w > 0) & (np.maximum(before, after) >= w))
+            lower = self.bound(queries, a[hit], w[hit], False)
+            n = self.bound(queries, a[hit], w[hit], True) - lower
+            which = np.repeat(hit, n)
+            slots = np.repeat(lower, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.stack([a[which], w[which], self.word_at[self.order[slots]]]))
+        longest = np.zeros(len(self.at), np.int64)
+        if nearest and len(self.order):
+            longest[self.word_at[self.order]] = self._longest(queries, np.concatenate(nearest, axis=1))
+        return *(np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)), longest
+
+    def _longest(self, queries: Queries, nearest: np.ndarray) -> np.ndarray:
+        """The longest match of the suffix in each slot: with the nearest block suffix that sorts before it, or the nearest after it.
+
+        ``nearest`` has each block suffix's place and what it shares with the slots
+        before and after; of those at one place the one that shares most stands for all.
+        """
+        place, before, after, a = nearest
+        slot, out = np.arange(len(self.order)), np.zeros(len(self.order), np.int64)
+        for shared, side, step in ((before, "right", 0), (after, "right", -1)):
+            by = np.lexsort((-shared, place))
+            first = by[np.r_[True, place[by][1:] != place[by][:-1]]]
+            k = np.searchsorted(place[first], slot, side) + step
+            some = np.flatnonzero((k >= 0) & (k < len(first)))
+            out[some] = np.maximum(out[some], self.compare(queries, a[first[k[some]]], slot[some])[0])
+        return out
 
 
 def merge(spans: list[int]) -> list[int]:
@@ -134,15 +207,15 @@ def merge(spans: list[int]) -> list[int]:
     return out
 
 
-def shard_matches(slab: Slab, w: Words, queries: Queries) -> tuple[list[list[int]], list[list[str]], np.ndarray]:
-    """Of each row: hit word spans, items found, and words in its longest verbatim match."""
+def shard_matches(slab: Slab, w: Words, queries: Queries) -> tuple[list[list[int]], list[list[str]], np.ndarray, np.ndarray]:
+    """Of each row: hit word spans, items found, words in its longest verbatim match with an item, and the first word where one of that length begins (-1 without any)."""
     spans: list[list[int]] = [[] for _ in range(slab.n)]
     items: list[list[str]] = [[] for _ in range(slab.n)]
-    longest = np.zeros(slab.n, np.int64)
+    depth = int(np.diff(np.r_[-1, np.flatnonzero(queries.codes == 0)]).max(initial=1))
     h = span_hashes(slab, w.start, w.end, fold=True)
-    query, word = SuffixArray(h, w.row, slab.n, queries.grid.shape[1]).search(queries)
-    if len(query):
-        row, item, diagonal = w.row[word], queries.item[query], word - queries.place[query]
+    suffix, width, word, match = SuffixArray(h, w.row, slab.n, queries, depth).search(queries)
+    if len(suffix):
+        row, item, diagonal = w.row[word], queries.item[suffix], word - suffix
         order = np.lexsort((word, diagonal, item))
         follows = np.zeros(len(order), bool)
         o, p = order[1:], order[:-1]
@@ -151,12 +224,16 @@ def shard_matches(slab: Slab, w: Words, queries: Queries) -> tuple[list[list[int
         last = np.append(first[1:], len(order)) - 1
         for a, b in zip(order[first].tolist(), order[last].tolist()):
             r, lo = int(row[a]), int(w.bound[row[a]])
-            end = int(word[b] + queries.width[query[b]])
-            spans[r] += (int(word[a]) - lo, end - lo)
+            spans[r] += (int(word[a]) - lo, int(word[b] + width[b]) - lo)
             items[r].append(queries.ids[item[a]])
-            if items[r][-1] is not None:
-                longest[r] = max(longest[r], end - word[a])
-    return spans, items, longest
+    longest, at = np.zeros(slab.n, np.int64), np.full(slab.n, -1, np.int64)
+    some = np.flatnonzero(np.diff(w.bound))
+    if len(some):
+        longest[some] = np.maximum.reduceat(match, w.bound[:-1][some])
+        best = np.flatnonzero((match == longest[w.row]) & (match > 0))
+        rows, where = np.unique(w.row[best], return_index=True)
+        at[rows] = best[where] - w.bound[:-1][rows]
+    return spans, items, longest, at
 
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Queries, bool]]:
@@ -182,17 +259,20 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
                 for slab in slabs(batch.column(own.names.index("text")), _SHARD_BYTES):
                     part = batch.slice(slab.first, slab.n)
                     w = words(slab, ALNUM)
-                    spans, items, longest = shard_matches(slab, w, queries)
+                    spans, items, longest, at = shard_matches(slab, w, queries)
                     if more:
-                        before = {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in ("spans", "items", "longest")}
+                        before = {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in ("spans", "items", "longest", "longest_at")}
                         spans = [a + b for a, b in zip(before["spans"], spans)]
                         items = [a + b for a, b in zip(before["items"], items)]
-                        longest = np.maximum(longest, before["longest"])
+                        was, place = np.array(before["longest"], np.int64), np.array(before["longest_at"], np.int64)
+                        at = np.where(was > longest, place, np.where((was == longest) & (longest > 0), np.minimum(place, at), at))
+                        longest = np.maximum(longest, was)
                     found = [
                         pa.array(w.count()),
                         pa.array([merge(s) for s in spans], pa.list_(pa.int64())),
                         pa.array([sorted(set(i), key=lambda v: (v is None, v or "")) for i in items], pa.list_(pa.string())),
                         pa.array(longest),
+                        pa.array(at),
                     ]
                     yield pa.RecordBatch.from_arrays([*(part.column(own.names.index(c)) for c in carried), *found], [*carried, *(f.name for f in new)])
 
@@ -201,15 +281,19 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest and the hit word spans of each row.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at and the hit word spans of each row.
 
     Words in lower case; a hit word lies in an occurrence of ``window`` consecutive
-    item words (of all the words of a shorter item).  A null or wordless text or
-    item has no words and no windows; an empty benchmark hits nothing; rows with
-    equal texts get equal results; an empty table gives no rows; other columns of
-    either table are ignored.  Items with a null item_id are searched like others:
-    their words are hit and contaminate.  As in the SQL they count as one item in
-    n_items, have no name in the list and don't count for longest.
+    item words (of all the words of a shorter item).  ``longest`` is the number of
+    words in the longest run that the document shares with one item, however short,
+    and ``longest_at`` the first word where such a run begins, null without any.
+
+    A null or wordless text or item has no words and no windows; an empty benchmark
+    hits nothing; rows with equal texts get equal results, and repeated rows or
+    null doc_ids are rows like others; an empty table gives no rows; other columns
+    of either table are ignored.  Items with a null item_id are searched like
+    others: their words are hit and contaminate.  As in the SQL they count as one
+    item in n_items and have no name in the list.
     """
     found = _found(docs.select("doc_id", "text"), benchmark, window, block_bytes, ["doc_id"])
     hits = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("long"), lambda n, i: n + F.when(i % 2 == 1, F.get("spans", i)).otherwise(-F.get("spans", i)))
@@ -221,12 +305,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
         "longest",
+        F.when(F.col("longest_at") >= 0, F.col("longest_at")).alias("longest_at"),
         "spans",
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all their columns, without those that hold a benchmark window."""
+    """The rows of ``docs``, all their columns, without those that hold a benchmark window.
+
+    Rows without words stay; a row that repeats another shares its fate; an empty
+    benchmark drops nothing, an empty table gives no rows.
+    """
     clash = {f.split()[0] for f in _FOUND.split(", ")} & set(docs.columns)
     kept = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
     kept = _found(kept, benchmark, window, block_bytes, kept.columns).where(F.size("spans") == 0).select(*kept.columns)
@@ -250,12 +339,14 @@ ORACLE_SQL = {
     hit AS (SELECT DISTINCT g.doc_id, g.i, g.k, win.item_id FROM g JOIN win ON g.g = win.g AND g.k = win.k),
     cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) s GROUP BY doc_id),
     it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) s GROUP BY doc_id),
-    starts AS (SELECT DISTINCT hit.doc_id, hit.item_id, hit.i, hit.k, x.j FROM hit JOIN
-        (SELECT item_id, j, array_to_string(w[j + 1 : j + least(10, len(w))], ' ') AS g, least(10, len(w)) AS k FROM (SELECT item_id, w, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS j FROM b WHERE len(w) > 0) s) x
-        ON x.item_id = hit.item_id AND x.k = hit.k JOIN g ON g.doc_id = hit.doc_id AND g.i = hit.i AND g.k = hit.k AND g.g = x.g),
-    runs AS (SELECT doc_id, item_id, k, i - j AS dg, i - row_number() OVER (PARTITION BY doc_id, item_id, k, i - j ORDER BY i) AS grp FROM starts),
-    lng AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, k + count(*) - 1 AS n FROM runs GROUP BY doc_id, item_id, k, dg, grp) s GROUP BY doc_id)
+    pos AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS x FROM d), bpos AS MATERIALIZED (SELECT r, unnest(range(0, len(w))) AS j, unnest(w) AS x FROM (SELECT row_number() OVER () AS r, w FROM b) q),
+    two AS (SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM pos), btwo AS (SELECT r, j, x, lead(x) OVER (PARTITION BY r ORDER BY j) AS y, lead(x, 2) OVER (PARTITION BY r ORDER BY j) AS z FROM bpos),
+    tri AS (SELECT doc_id, r, i, i - j AS dg, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS grp FROM two JOIN btwo ON two.x = btwo.x AND two.y = btwo.y AND two.z = btwo.z),
+    runs AS (SELECT doc_id, 2 + count(*) AS n, min(i) AS at FROM tri GROUP BY doc_id, r, dg, grp
+        UNION ALL SELECT doc_id, 2, min(i) FROM two WHERE (x, y) IN (SELECT (x, y) FROM btwo) GROUP BY doc_id
+        UNION ALL SELECT doc_id, 1, min(i) FROM two WHERE x IN (SELECT x FROM btwo) GROUP BY doc_id),
+    lng AS (SELECT doc_id, n AS longest, min(at) AS longest_at FROM runs WHERE (doc_id, n) IN (SELECT (doc_id, max(n)) FROM runs GROUP BY doc_id) GROUP BY doc_id, n)
     SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(longest_at AS BIGINT) AS longest_at
     FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN lng USING (doc_id)"""
 }
