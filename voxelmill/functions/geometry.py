@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +52,23 @@ def count_for(n: Column, percent: float | None = None, keep: int | None = None,
 
 
 def equirectangular(view: list[Column], far: Column) -> list[Column]:
-    """(u, v, depth) of a view-space point on a sphere around the eye: longitude / pi, latitude / half pi, clamped distance / far."""
-    import math
+    """(u, v, depth) of a view-space point on a sphere around the eye: longitude / pi, latitude / half pi, clamped distance / far.
 
+    A negative zero counts as zero, so straight behind the eye is +1; the eye's own place is (0, 0, 0).
+    """
     x, y, z = view
     d = F.sqrt(x * x + y * y + z * z)
-    lat = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y / d)))
-    return [F.atan2(x, -z) / math.pi, lat / (math.pi / 2), F.greatest(F.lit(0.0), F.least(F.lit(1.0), d / far))]
+    lat = F.when(d > 0, F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y / d)))).otherwise(0.0)
+    lon = F.when(d > 0, F.atan2(x + 0.0, 0.0 - z)).otherwise(0.0)
+    return [lon / math.pi, lat / (math.pi / 2), F.greatest(F.lit(0.0), F.least(F.lit(1.0), d / far))]
 
 
 def unwrapped(lon: Column, centre: Column) -> Column:
     """A longitude within half a turn of ``centre``."""
-    import math
-
     d = lon - centre
     return centre + d - 2 * math.pi * F.rint(d / (2 * math.pi))
+
+
+def swizzled_normal(nx: Column, ny: Column, nz: Column) -> list[Column]:
+    """A survey normal in the scene's axes, with y up: (x, z, -y)."""
+    return [nx, nz, -ny]

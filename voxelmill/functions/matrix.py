@@ -5,7 +5,7 @@ A matrix is 16 columns in column-major order; a quaternion is w, x, y, z.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vector = list
@@ -18,11 +18,6 @@ def held(df: DataFrame, name: str, values: list[Column]) -> tuple[DataFrame, lis
     return df.withColumns(dict(zip(names, values))), [F.col(n) for n in names]
 
 
-def evaluated(spark: SparkSession, values: list[Column]) -> list[Column]:
-    """Literals of formulas without columns: a fixed camera's matrices, worked out once instead of in every row's plan."""
-    return lit(*spark.range(1).select(*(v.alias(f"v{i}") for i, v in enumerate(values))).first())
-
-
 def lit(*values: float) -> list[Column]:
     return [F.lit(float(v)) for v in values]
 
@@ -153,11 +148,23 @@ def rows_of_view(view: Matrix) -> list[list[Column]]:
     return [[view[4 * c + r] for c in range(3)] for r in range(3)]
 
 
-def colmap_pose(view: Matrix, eye: Vector) -> tuple[Vector, Vector]:
-    """(quaternion, translation) of a view in the convention with y down and z forward: half a turn about x before the view; t = -R . eye."""
-    q = quaternion_product(lit(0, 1, 0, 0), quaternion_of(rows_of_view(view)))
-    r = rotation_of(q)
-    return q, [-dot(row, eye) for row in r]
+def colmap_pose(df: DataFrame, view: Matrix, eye: Vector) -> tuple[DataFrame, Vector, Vector]:
+    """df with columns q0 .. q3 and t0 .. t2, and those: the pose of a view in the convention with y down and z forward, half a turn about x before the view; t = -R . eye."""
+    df, view = held(df, "__view", view)
+    df, own = held(df, "__own", quaternion_of(rows_of_view(view)))
+    df, q = held(df, "q", quaternion_product(lit(0, 1, 0, 0), own))
+    df, t = held(df, "t", [-dot(row, eye) for row in rotation_of(q)])
+    return df.drop(*(f"__view{i}" for i in range(16)), *(f"__own{i}" for i in range(4))), q, t
+
+
+def colmap_pose_to_target(df: DataFrame, eye: Vector, target: Vector) -> tuple[DataFrame, Vector, Vector]:
+    """The same of a camera at ``eye`` that looks at ``target`` with y up: rows right, down, ahead."""
+    df, ahead = held(df, "__a", normalize(minus(target, eye)))
+    df, right = held(df, "__r", normalize(cross(ahead, lit(0, 1, 0))))
+    df, down = held(df, "__d", cross(ahead, right))
+    df, q = held(df, "q", quaternion_of([right, down, ahead]))
+    df, t = held(df, "t", [-dot(row, eye) for row in (right, down, ahead)])
+    return df.drop(*(f"__{n}{i}" for n in "ard" for i in range(3))), q, t
 
 
 def view_of_colmap(q: Vector, t: Vector) -> Matrix:

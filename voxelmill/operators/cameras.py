@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matrix as M
+from .cloud import numbered
 
 
 def fibonacci(spark: SparkSession, n: int, radius: float = 1.0, target: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -28,8 +30,8 @@ def overhead(spark: SparkSession, n: int, radius: float = 1.0, target: tuple[flo
 def tasks(spark: SparkSession, targets: DataFrame, n: int, radius: float = 1.0) -> DataFrame:
     """(task_id, target_id, i, eye): the first n poses of an oversampled hemisphere around every target (target_id, tx, ty, tz)."""
     poses = fibonacci(spark, max(2 * n, n + 1), radius).where(F.col("i") < n)
-    w = Window.orderBy("target_id", "i")
-    return targets.crossJoin(F.broadcast(poses)).select((F.row_number().over(w) - 1).alias("task_id"), "target_id", "i", *((F.col(f"t{c}") + F.col(c)).alias(f"e{c}") for c in "xyz"))
+    every = targets.crossJoin(F.broadcast(poses)).select("target_id", "i", *((F.col(f"t{c}") + F.col(c)).alias(f"e{c}") for c in "xyz"))  # n poses of each target, as asked for
+    return numbered(every, "task_id", "target_id", "i")
 
 
 def _corners(box: str) -> list[list[Column]]:
@@ -50,12 +52,17 @@ def up_vector(eye: list[Column], target: list[Column]) -> list[Column]:
     return [F.lit(0.0), F.when(steep, 0.0).otherwise(1.0), F.when(steep, 1.0).otherwise(0.0)]
 
 
-def perspective_camera(eye: list[Column], target: list[Column], width: int, height: int, fov: float = 45.0) -> dict:
-    """view, projection, their product, near and far; needs the box's columns x0 .. z1."""
-    near, far = tight_range(eye, target)
-    view = M.look_at(eye, target, up_vector(eye, target))
+def perspective_camera(df: DataFrame, eye: list[Column], target: list[Column], width: int, height: int, fov: float = 45.0) -> tuple[DataFrame, dict]:
+    """df with the columns of a camera in each row, and that camera: view, projection, their product, near and far; needs the box's columns x0 .. z1."""
+    df, (near, far) = M.held(df, "range", list(tight_range(eye, target)))
+    df, up = M.held(df, "up", up_vector(eye, target))
+    df, z = M.held(df, "back", M.normalize(M.minus(eye, target)))
+    df, x = M.held(df, "right", M.normalize(M.cross(up, z)))
+    df, y = M.held(df, "over", M.cross(z, x))
+    zero, one = M.lit(0, 1)
+    view = [x[0], y[0], z[0], zero, x[1], y[1], z[1], zero, x[2], y[2], z[2], zero, -M.dot(x, eye), -M.dot(y, eye), -M.dot(z, eye), one]
     projection = M.perspective(F.lit(math.radians(fov)), F.lit(width / height), near, far)
-    return {"view": view, "projection": projection, "both": M.multiply(projection, view), "near": near, "far": far}
+    return df, {"view": view, "projection": projection, "both": M.multiply(projection, view), "near": near, "far": far, "eye": eye}
 
 
 def ortho_camera(eye_y: Column, pan_x: Column, pan_z: Column, zoom: Column, width: int, height: int) -> dict:
@@ -89,3 +96,48 @@ def frustum_mesh(q: list[Column], t: list[Column], scale: float = 0.1) -> list[l
 def orbit(target: list[Column], radius: Column, yaw: Column, pitch: Column) -> list[Column]:
     """The eye on a sphere around a target."""
     return [target[0] + radius * F.cos(pitch) * F.sin(yaw), target[1] + radius * F.sin(pitch), target[2] + radius * F.cos(pitch) * F.cos(yaw)]
+
+
+#: Columns of a table of cameras: a view's name, its two matrices (16 numbers, column by column) and its eye.
+CAMERA_SCHEMA = "view int, view_matrix array<double>, both array<double>, ex double, ey double, ez double"
+
+
+def fixed_matrices(eye: tuple[float, ...], target: tuple[float, ...], width: int, height: int, fov: float = 45.0, near: float = 0.1, far: float = 1000.0) -> tuple[list[float], list[float]]:
+    """The view matrix and projection x view of a camera whose numbers are known when a query is built: no job is needed for them."""
+    e, t = np.array(eye, float), np.array(target, float)
+    z = (e - t) / np.linalg.norm(e - t)
+    x = np.cross([0.0, 0.0, 1.0] if abs(z[1]) > 0.99 else [0.0, 1.0, 0.0], z)
+    x /= np.linalg.norm(x)
+    y = np.cross(z, x)
+    view = np.eye(4)
+    view[:3, :3], view[:3, 3] = [x, y, z], [-x @ e, -y @ e, -z @ e]
+    f = 1 / math.tan(math.radians(fov) / 2)
+    projection = np.array([[f / (width / height), 0, 0, 0], [0, f, 0, 0], [0, 0, far / (near - far), far * near / (near - far)], [0, 0, -1, 0]])
+    return view.T.ravel().tolist(), (projection @ view).T.ravel().tolist()
+
+
+def fixed_camera(eye: tuple[float, ...], target: tuple[float, ...], width: int, height: int, fov: float = 45.0, near: float = 0.1, far: float = 1000.0) -> dict:
+    """One such camera with literal matrices."""
+    view, both = fixed_matrices(eye, target, width, height, fov, near, far)
+    return {"view": M.lit(*view), "both": M.lit(*both), "eye": M.lit(*eye)}
+
+
+def camera_rows(spark: SparkSession, eyes: dict[int, tuple[float, ...]], target: tuple[float, ...], width: int, height: int, fov: float = 45.0, near: float = 0.1, far: float = 1000.0) -> DataFrame:
+    """A row of CAMERA_SCHEMA for each view and its eye, all looking at one target."""
+    return spark.createDataFrame([(k, *fixed_matrices(e, target, width, height, fov, near, far), *map(float, e)) for k, e in eyes.items()], CAMERA_SCHEMA)
+
+
+def camera_table(poses: DataFrame, camera: dict, eye: list[Column], view: str = "view") -> DataFrame:
+    """A row of CAMERA_SCHEMA for each row of ``poses``, from a camera of columns."""
+    return poses.select(F.col(view).cast("int").alias("view"), F.array(*camera["view"]).alias("view_matrix"), F.array(*camera["both"]).alias("both"), *(c.alias(f"e{n}") for n, c in zip("xyz", eye)))
+
+
+def camera_of_row() -> dict:
+    """The camera of a row that has the columns of CAMERA_SCHEMA."""
+    return {"view": [F.col("view_matrix")[i] for i in range(16)], "both": [F.col("both")[i] for i in range(16)], "eye": [F.col(f"e{c}") for c in "xyz"]}
+
+
+def colmap_pose_rows(cameras: DataFrame) -> DataFrame:
+    """(view, q0 .. q3, t0 .. t2): each camera's pose with y down and z forward."""
+    df, _, _ = M.colmap_pose(cameras, [F.col("view_matrix")[i] for i in range(16)], [F.col(f"e{c}") for c in "xyz"])
+    return df.select("view", *(f"q{i}" for i in range(4)), *(f"t{i}" for i in range(3)))

@@ -6,24 +6,63 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Query vectors that one pass of nearest_vectors() ships to the executors.
 QUERY_BLOCK = 5000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where none is named, one under /tmp, for a local master only: elsewhere each machine has its own /tmp."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder or "file:///tmp/checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that the session names (in tests, one under /tmp): later steps start from it, on any executor."""
+    """A checkpoint in the shared folder: later steps start from it, on any executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, name: str, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with their number from 0 in some columns' order, within each key of ``by``, by a two-level sum: rows are counted by range, then numbered within each range."""
+    ranged = cut(rows.drop(name).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    before = counts.select(*by, "__part", (F.sum("__n").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+    return ranged.join(before, [*by, "__part"]).select(*ranged.drop("__part").columns, (F.col("__before") + own - 1).alias(name))
+
+
+def _scattered(n: Column, seed: int = 0) -> Column:
+    """A multiplicative hash of whole numbers to 32 bits."""
+    return (F.pmod(n, F.lit(1 << 31)) * 2654435761 + seed) % 4294967296
+
+
 def thinned(points: DataFrame, n: int, seed: int = 42, key: str = "point_id") -> DataFrame:
-    """Exactly n points without replacement (all, if fewer), the same ones every time: the first by a multiplicative hash of the id."""
-    return points.orderBy((F.col(key) * 2654435761 + seed) % 4294967296, key).limit(n)
+    """Exactly n points without replacement (all, if fewer), the same ones every time: the first by a multiplicative hash of the id, then by the id.
+
+    A histogram of the hash tells in which of its 65,536 ranges the n-th point lies;
+    whole ranges below go in, and only that one is sorted.
+    """
+    if n <= 0:
+        return points.limit(0)
+    hashed = points.withColumn("__h", _scattered(F.col(key), seed))
+    level = F.shiftright("__h", 16)
+    before, border = 0, None
+    for r in hashed.groupBy(level.alias("b")).agg(F.count("*").alias("c")).orderBy("b").collect():
+        if before + r.c >= n:
+            border = r.b
+            break
+        before += r.c
+    if border is None:
+        return points
+    last = hashed.where(level == border).orderBy("__h", key).limit(n - before)
+    return hashed.where(level < border).unionByName(last).drop("__h")
 
 
 def every_tenth(points: DataFrame, step: int = 10, index: str = "idx") -> DataFrame:
@@ -31,9 +70,16 @@ def every_tenth(points: DataFrame, step: int = 10, index: str = "idx") -> DataFr
     return points.where(F.col(index) % step == 0).withColumn("id", F.floor(F.col(index) / step).cast("long"))
 
 
-def alpha_masked(pixels: DataFrame, drop: float, seed: int = 0) -> DataFrame:
-    """Pixels with alpha set to 0 for about the share ``drop`` of them."""
-    return pixels.withColumn("a", F.when(F.rand(seed) > drop, F.col("a")).otherwise(0.0))
+def alpha_masked(pixels: DataFrame, drop: float | Column, seed: int = 0) -> DataFrame:
+    """Pixels with alpha set to 0 for about the share ``drop`` of them, the same ones every time: by a multiplicative hash of the place."""
+    chance = _scattered(F.col("px").cast("long") * 73856093 + F.col("py").cast("long") * 19349663 + seed) / 4294967296.0
+    return pixels.withColumn("a", F.when(chance > drop, F.col("a")).otherwise(0.0))
+
+
+def masked_levels(pixels: DataFrame, percents: tuple[int, ...] = (50, 80, 90, 95, 99)) -> DataFrame:
+    """(percent, px, py, ..): the pixels once for each percentage of them to mask."""
+    levels = pixels.withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
+    return alpha_masked(levels, F.col("percent") / 100.0)
 
 
 def _cell(size: float) -> dict[str, Column]:
@@ -45,18 +91,42 @@ def downsampled(points: DataFrame, size: float) -> DataFrame:
     return points.withColumns(_cell(size)).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in "xyz"))
 
 
-def _around(rings: int) -> Column:
-    steps = range(-rings, rings + 1)
+#: A cell with more than one in so many of the right side's points is hot, so there are fewer hot cells than this; its points are dealt to SALTS tasks.
+HOT_CELLS, SALTS = 1000, 16
+
+
+def _around() -> Column:
+    steps = (-1, 0, 1)
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in steps for j in steps for k in steps])
 
 
-def _candidates(left: DataFrame, right: DataFrame, size: float, rings: int = 1) -> DataFrame:
-    """Pairs (point_id, other, d) whose cells are within ``rings``: an equi-join on cells; the left side probes its surroundings."""
-    probe = left.withColumns(_cell(size)).withColumn("o", F.explode(_around(rings)))
-    probe = probe.select("point_id", *"xyz", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.k")).alias("cz"))
+def _candidates(left: DataFrame, right: DataFrame, size: float, reach: float | None = None) -> DataFrame:
+    """Pairs (point_id, other, d, cell, rx, ry, rz) of points whose cells touch: an equi-join on cells; the left side probes its 27 cells, and of those only what begins within ``reach``."""
+    probe = left.select("point_id", *"xyz").withColumns(_cell(size)).withColumn("o", F.explode(_around()))
+    if reach is not None:
+        gaps = [F.greatest((F.col(f"c{c}") + F.col(f"o.{o}")) * size - F.col(c), F.col(c) - (F.col(f"c{c}") + F.col(f"o.{o}") + 1) * size, F.lit(0.0)) for c, o in zip("xyz", "ijk")]
+        probe = probe.where(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2] <= reach * reach * (1 + 1e-9))
+    probe = probe.select("point_id", *"xyz", *((F.col(f"c{c}") + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip("xyz", "ijk")))
     held = right.withColumns(_cell(size)).select(F.col("point_id").alias("other"), *(F.col(c).alias(f"r{c}") for c in "xyz"), "cx", "cy", "cz")
+    counts = held.groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
+    hot = counts.where(F.col("n") > max(right.count() / HOT_CELLS, 4096)).select("cx", "cy", "cz", F.lit(True).alias("hot"))
+    if not hot.isEmpty():
+        few = F.broadcast(hot)  # fewer than HOT_CELLS rows
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        held = held.join(few, ["cx", "cy", "cz"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+        probe = probe.join(few, ["cx", "cy", "cz"], "left").withColumn("salt", F.explode(salts)).drop("hot")
     d2 = sum(((F.col(c) - F.col(f"r{c}")) * (F.col(c) - F.col(f"r{c}")) for c in "xyz"), F.lit(0.0))
-    return probe.join(held, ["cx", "cy", "cz"]).select("point_id", "other", F.sqrt(d2).alias("d"))
+    on = [c for c in probe.columns if c in held.columns]
+    return probe.join(held, on).withColumn("d", F.sqrt(d2))
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """Of each point the k nearest pairs, lower ids first at ties: first of each (point, cell), where the join left them, then of what is left of a point."""
+    on = [c for c in ("cx", "cy", "cz", "salt") if c in pairs.columns]
+    for keys in ([*on, "point_id"], ["point_id"]):
+        w = Window.partitionBy(*keys).orderBy("d", "other")
+        pairs = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+    return pairs
 
 
 def _extent(*clouds: DataFrame) -> float:
@@ -67,43 +137,61 @@ def _extent(*clouds: DataFrame) -> float:
     return max((v for v in sides if v is not None), default=0.0)
 
 
-def nearest(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """(point_id, other, d): the nearest right point of every left point, the lowest id at ties.
+def spacing(points: DataFrame, k: int) -> float:
+    """The side of cells of which a ball of that radius holds about k points, if they were spread evenly over their box."""
+    n = points.count()
+    sides = points.agg(*(F.max(c) - F.min(c) for c in "xyz")).first()
+    volume = 1.0
+    for v in sides:
+        volume *= max(v or 0.0, 1e-3)
+    return max((k * volume / (max(n, 1) * 4.19)) ** (1 / 3), 1e-6)
+
 
-    A point whose best distance within the 27 cells around is at most the cell size
+def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataFrame:
+    """(point_id, other, d): the k nearest right points of every left point, the lowest ids at ties.
+
+    A point whose k-th distance within the 27 cells around is at most the cell size
     is done; the others go on with cells twice as large, until none is left.  Cells
     larger than the joint box end the search, as 27 of them hold every right point.
-    Only an empty right side gives no rows.
+    Fewer right points than k give as many as there are.
     """
     extent, done = _extent(left, right), None
     todo = left
     while True:
-        best = cut(_candidates(todo, right, size).groupBy("point_id").agg(F.min(F.struct("d", "other")).alias("m")).select("point_id", F.col("m.other").alias("other"), F.col("m.d").alias("d")))
         whole = size > 1.001 * extent
-        sure = best if whole else best.where(F.col("d") <= size)
+        best = cut(_best(_candidates(todo, right, size, None if whole else size), k).select("point_id", "other", "d", "k"))
+        sure = best if whole else best.join(best.where((F.col("k") == k) & (F.col("d") <= size)).select("point_id"), "point_id", "left_semi")
+        sure = sure.select("point_id", "other", "d")
         done = sure if done is None else done.unionByName(sure)
         if whole:
             return done
-        todo = cut(todo.join(sure.select("point_id"), "point_id", "left_anti"))
+        todo = cut(todo.join(sure.select("point_id").distinct(), "point_id", "left_anti"))
         size *= 2
         if todo.isEmpty():
             return done
 
 
+def _near(left: DataFrame, right: DataFrame, radius: float, most: int | None) -> DataFrame:
+    pairs = _candidates(left, right, radius, radius).where(F.col("d") <= radius)
+    return pairs if most is None else _best(pairs, most)
+
+
 def within(left: DataFrame, right: DataFrame, radius: float, most: int | None = None) -> DataFrame:
     """(point_id, other, d) of all pairs within the radius, at most the ``most`` nearest of a point; cells have the radius's size."""
-    pairs = _candidates(left, right, radius).where(F.col("d") <= radius)
-    if most is None:
-        return pairs
-    w = Window.partitionBy("point_id").orderBy("d", "other")
-    return pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
+    return _near(left, right, radius, most).select("point_id", "other", "d")
 
 
-def without_outliers(points: DataFrame, radius: float, neighbours: int = 64, sigmas: float = 5.0) -> DataFrame:
-    """Points whose mean distance to their neighbours is within so many deviations of the mean of all; lone points go."""
-    mean = within(points, points, radius, neighbours + 1).where("point_id <> other").groupBy("point_id").agg(F.avg("d").alias("m"))
-    bound = F.broadcast(mean.agg((F.avg("m") + sigmas * F.stddev_pop("m")).alias("top")))  # one row
-    return points.join(mean.crossJoin(bound).where("m <= top").select("point_id"), "point_id", "left_semi")
+def without_outliers(points: DataFrame, neighbours: int = 64, sigmas: float = 5.0, size: float | None = None) -> DataFrame:
+    """Points whose mean distance to their nearest neighbours, themselves included, is above 0 and below the mean of all by so many sample deviations; ``size`` is that of the first search's cells."""
+    mean = cut(nearest(points, points, size or spacing(points, neighbours), neighbours).groupBy("point_id").agg(F.avg("d").alias("m")))
+    bound = F.broadcast(mean.agg((F.avg("m") + sigmas * F.coalesce(F.stddev_samp("m"), F.lit(0.0))).alias("top")))  # one row
+    return points.join(mean.crossJoin(bound).where("m > 0 AND m < top").select("point_id"), "point_id", "left_semi")
+
+
+def covariances(points: DataFrame, radius: float, most: int = 512) -> DataFrame:
+    """(point_id, n, xx, xy, xz, yy, yz, zz): how many neighbours a point has, itself included, and their covariances."""
+    terms = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    return _near(points, points, radius, most).groupBy("point_id").agg(F.count("*").alias("n"), *(F.covar_pop(f"r{a}", f"r{b}").alias(a + b) for a, b in terms))
 
 
 def normals(points: DataFrame, radius: float, most: int = 512) -> DataFrame:
@@ -112,10 +200,7 @@ def normals(points: DataFrame, radius: float, most: int = 512) -> DataFrame:
     The covariance is an aggregate; only the eigenvector of a 3 x 3 matrix is worked
     out in Python, vectorised over a batch.  Fewer than three neighbours give 0.
     """
-    pairs = within(points, points, radius, most)
-    joined = pairs.join(points.select(F.col("point_id").alias("other"), *(F.col(c).alias(f"p{c}") for c in "xyz")), "other")
     terms = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    moments = joined.groupBy("point_id").agg(F.count("*").alias("n"), *(F.covar_pop(f"p{a}", f"p{b}").alias(a + b) for a, b in terms))
 
     def least(batches):
         for pdf in batches:
@@ -126,7 +211,7 @@ def normals(points: DataFrame, radius: float, most: int = 512) -> DataFrame:
             v = np.where((pdf.n.to_numpy() >= 3)[:, None], v, 0.0)
             yield pd.DataFrame({"point_id": pdf.point_id, "nx": v[:, 0], "ny": v[:, 1], "nz": v[:, 2]})
 
-    return moments.mapInPandas(least, "point_id long, nx double, ny double, nz double")
+    return covariances(points, radius, most).mapInPandas(least, "point_id long, nx double, ny double, nz double")
 
 
 def oriented(normal: DataFrame, points: DataFrame, radius: float, most: int = 10) -> DataFrame:
@@ -186,27 +271,39 @@ def normal_stats(normal: DataFrame) -> DataFrame:
     return normal.agg(*(F.avg(f"n{c}").alias(f"n{c}") for c in "xyz"), F.min(length).alias("shortest"), F.max(length).alias("longest"))
 
 
-def adaptive_cells(points: DataFrame, most: int, max_depth: int = 40) -> DataFrame:
+#: Open cells of which a level's plan is broadcast at most; a join by cell beyond.
+FEW_CELLS = 100_000
+
+
+def adaptive_cells(points: DataFrame, most: int) -> DataFrame:
     """(point_id, cell_id): cells of at most ``most`` points, split on x or z at the middle of the longer side, left before right.
 
-    Every level is one aggregate over the open cells and one map; a cell's path of
-    0s and 1s orders the cells depth first.  A cell without extent is cut by rank.
+    A cell whose middle leaves one side empty (equal points, or neighbouring
+    numbers whose middle is one of them) is halved by rank of the id.  Every level
+    is one aggregate over the open cells and one map of their points; a cell's path
+    of 0s and 1s orders the cells depth first.
     """
-    state = cut(points.select("point_id", "x", "z", F.lit("").alias("path"), F.lit(False).alias("leaf")))
-    for _ in range(max_depth):
-        stats = state.where("NOT leaf").groupBy("path").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
-        if stats.where(F.col("n") > most).isEmpty():
+    if most < 1:
+        raise ValueError("a cell holds one point or more")
+    open_, leaves = cut(points.select("point_id", "x", "z", F.lit("").alias("path"))), []
+    while True:
+        stats = open_.groupBy("path").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
+        on_x = F.coalesce((F.col("x1") - F.col("x0")) >= (F.col("z1") - F.col("z0")), F.lit(False))
+        low, high = (F.when(on_x, F.col(f"x{k}")).otherwise(F.col(f"z{k}")) for k in (0, 1))
+        plans = stats.select("path", "n", (F.col("n") <= most).alias("small"), on_x.alias("on_x"), low.alias("low"), high.alias("high"), ((low + high) / 2).alias("mid"))
+        plans = cut(plans.withColumn("flat", ~F.coalesce((F.col("low") < F.col("mid")) & (F.col("high") >= F.col("mid")), F.lit(False))).drop("low", "high"))
+        joined = open_.join(F.broadcast(plans) if plans.count() <= FEW_CELLS else plans, "path")
+        leaves.append(joined.where("small").select("point_id", "path"))
+        if plans.where("NOT small").isEmpty():
             break
-        on_x = (F.col("x1") - F.col("x0")) >= (F.col("z1") - F.col("z0"))
-        mid = F.when(on_x, (F.col("x0") + F.col("x1")) / 2).otherwise((F.col("z0") + F.col("z1")) / 2)
-        flat = F.greatest(F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0")) <= 0
-        plans = stats.select("path", (F.col("n") <= most).alias("small"), on_x.alias("on_x"), mid.alias("mid"), flat.alias("flat"), "n")
-        joined = state.join(plans, "path", "left")
-        half = F.when(F.col("flat"), F.when(F.pmod(F.xxhash64("point_id", F.length("path")), F.lit(2)) == 0, "0").otherwise("1")).otherwise(F.when(F.when(F.col("on_x"), F.col("x")).otherwise(F.col("z")) < F.col("mid"), "0").otherwise("1"))
-        closed = F.col("leaf") | F.coalesce("small", F.lit(True))
-        state = cut(joined.select("point_id", "x", "z", F.when(closed, F.col("path")).otherwise(F.concat("path", half)).alias("path"), closed.alias("leaf")))
-    cells = state.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("cell_id"))
-    return state.join(cells, "path").select("point_id", "cell_id")
+        right = F.coalesce(F.when(F.col("on_x"), F.col("x")).otherwise(F.col("z")) < F.col("mid"), F.lit(False))
+        parts = joined.where("NOT small AND NOT flat").withColumn("half", F.when(right, "0").otherwise("1"))
+        if not plans.where("NOT small AND flat").isEmpty():
+            ranked = numbered(joined.where("NOT small AND flat"), "rank", "point_id", by=("path",))
+            parts = parts.unionByName(ranked.withColumn("half", F.when(F.col("rank") < F.floor(F.col("n") / 2), "0").otherwise("1")).drop("rank"))
+        open_ = cut(parts.select("point_id", "x", "z", F.concat("path", "half").alias("path")))
+    done = reduce(DataFrame.unionByName, leaves)
+    return done.join(numbered(done.select("path").distinct(), "cell_id", "path"), "path").select("point_id", "cell_id")
 
 
 def missing(expected: DataFrame, received: DataFrame, key: str = "image_id") -> DataFrame:
@@ -224,7 +321,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, block: int =
 
     The queries are dealt by a hash into blocks of about ``block`` rows; each block is
     broadcast and takes one pass over the vectors, so the driver holds one block at a
-    time.  Each batch hands out its own k best of every query.  Repeated query rows
+    time.  Each task hands out its own k best of every query.  Repeated query rows
     are one query.
     """
     asked = cut(queries.select("vec_id", "embedding").distinct())
@@ -236,19 +333,23 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, block: int =
         shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64)))
 
         def best(batches):
+            """A task's own k + 1 best of each query, over all its batches."""
             ids, q = shared.value
+            kept = pd.DataFrame({"row": np.empty(0, np.int64), "d2": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64)})
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
-                v = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
-                names = pdf.vec_id.to_numpy()
-                for i in range(len(ids)):
-                    if i % 256 == 0:
-                        part = q[i : i + 256]
-                        d2 = (part * part).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * part @ v.T
-                        d2 = np.floor(d2 * 1e6 + 0.5).astype(np.int64)
-                    order = np.lexsort((names, d2[i % 256]))[: k + 1]
-                    yield pd.DataFrame({"query_id": ids[i], "vec_id": names[order], "d2": d2[i % 256][order]})
+                v, names = np.stack(pdf.embedding.to_numpy()).astype(np.float64), pdf.vec_id.to_numpy()
+                found = [kept]
+                for at in range(0, len(ids), 256):
+                    part = q[at : at + 256]
+                    d2 = (part * part).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * part @ v.T
+                    d2 = np.floor(d2 * 1e6 + 0.5).astype(np.int64)
+                    last = np.partition(d2, min(k, d2.shape[1] - 1), axis=1)[:, min(k, d2.shape[1] - 1)]
+                    rows, cols = np.nonzero(d2 <= last[:, None])
+                    found.append(pd.DataFrame({"row": rows + at, "d2": d2[rows, cols], "vec_id": names[cols]}))
+                kept = pd.concat(found).sort_values(["row", "d2", "vec_id"]).groupby("row").head(k + 1)
+            yield pd.DataFrame({"query_id": ids[kept["row"].to_numpy()], "vec_id": kept.vec_id.to_numpy(), "d2": kept.d2.to_numpy()})
 
         pairs = vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, d2 long").where("query_id <> vec_id")
         top = pairs.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("query_id", "vec_id", "rk", "d2")

@@ -7,11 +7,25 @@ before the shuffle; nothing is ever collected by pixel but for the ordered blend
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import matrix as M
 from ..functions.color import unpack
+from ..functions.geometry import equirectangular, unwrapped
+from .cameras import camera_of_row
+from .cloud import cut
+
+#: Cameras that one pass over the points ships to all tasks.
+VIEWS = 256
+#: Pixels of patches that a task works on at once.
+PIXELS = 1 << 20
 
 
 def _xyz() -> list[Column]:
@@ -24,6 +38,17 @@ def clipped(points: DataFrame, camera: dict) -> DataFrame:
     return points.withColumns({**{f"c{n}": v for n, v in zip("xyzw", clip)}, "d": -M.transform(camera["view"], _xyz())[2]})
 
 
+def seen_by(points: DataFrame, cameras: DataFrame) -> DataFrame:
+    """points once for each row of ``cameras`` (CAMERA_SCHEMA): what camera_of_row() needs to project them in all views at once.
+
+    The cameras are a stated set of queries against all points; they are broadcast,
+    in passes of about VIEWS cameras each.
+    """
+    passes = max(1, -(-cameras.count() // VIEWS))
+    parts = [cameras.where(F.pmod(F.xxhash64("view"), F.lit(passes)) == k) for k in range(passes)]
+    return reduce(DataFrame.unionByName, [points.crossJoin(F.broadcast(part)) for part in parts])
+
+
 def in_frustum() -> Column:
     return F.expr("cw > 0 AND abs(cx) <= cw AND abs(cy) <= cw AND cz >= 0 AND cz <= cw")
 
@@ -49,9 +74,30 @@ def z_buffer(fragments: DataFrame, *carried: str, by: tuple[str, ...] = ("px", "
     return fragments.groupBy(*by).agg(first.alias("f")).select(*by, "f.*")
 
 
-def density(points: DataFrame, camera: dict, width: int, height: int) -> DataFrame:
-    """One row: points in view, and how many of them each pixel has on average."""
-    return clipped(points, camera).agg(F.count_if(in_frustum()).alias("in_view")).withColumn("density", F.col("in_view") / float(width * height))
+def density(points: DataFrame, camera: dict, width: int, height: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each key of ``by``: points in view, and how many of them each pixel has on average."""
+    seen = clipped(points, camera)
+    return (seen.groupBy(*by) if by else seen).agg(F.count_if(in_frustum()).alias("in_view")).withColumn("density", F.col("in_view") / float(width * height))
+
+
+def view_results(cameras: DataFrame, points: DataFrame, width: int, height: int, fov: float) -> DataFrame:
+    """A row for each view: file name, pose (q0 .. q3, t0 .. t2), intrinsics, points in view and their density; a view without points has null for both."""
+    from .cameras import colmap_pose_rows
+
+    counted = density(seen_by(points, cameras), camera_of_row(), width, height, ("view",))
+    k = M.intrinsics(F.lit(float(width)), F.lit(float(height)), F.lit(math.radians(fov)))
+    named = colmap_pose_rows(cameras).join(counted, "view", "left")
+    return named.withColumns({"filename": F.format_string("image_%d.png", F.col("view") + 1), **k})
+
+
+def mean_density(results: DataFrame) -> DataFrame:
+    """One row: the mean of the densities that are known, and how many views have one."""
+    return results.agg(F.avg("density").alias("mean_density"), F.count("density").alias("views"))
+
+
+def completed(results: DataFrame, key: str = "image_id") -> DataFrame:
+    """One row of each id, the first by its ``seq``, and not if it failed (failed is true): images that were delivered twice count once."""
+    return results.where(~F.coalesce(F.col("failed"), F.lit(False))).groupBy(key).agg(F.min("seq").alias("seq"))
 
 
 def sort_key(points: DataFrame, camera: dict, spherical: bool = False) -> DataFrame:
@@ -94,41 +140,48 @@ def gaussians(placed: DataFrame, radius: int, width: int, height: int, sigma: fl
 
 
 def blended(fragments: DataFrame, by: tuple[str, ...] = ("px", "py")) -> DataFrame:
-    """(by, r, g, b, a): fragments (r, g, b, weight) laid over each other from far to near.
+    """(by, r, g, b, a): fragments (r, g, b, weight, z, point_id) laid over each other from far to near, the lower point_id first at equal depths.
 
-    Over isn't commutative, so a pixel's fragments are folded in order (depth
-    descending, then point_id); the fold's input is bounded by what covers a pixel.
+    Over isn't commutative but associative on (colour times alpha, alpha).  So the
+    fragments are dealt by ranges of (pixel, depth), each range of a pixel is folded
+    by itself, and then the few ranges of a pixel in their order: a hot pixel is
+    many tasks' work, and no task holds more than its range.
     """
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("z")).alias("o"), "point_id", "r", "g", "b", "weight")))
+    far_first = [*by, (-F.col("z")).alias("o"), "point_id"]
+    ranged = fragments.select(*far_first, "r", "g", "b", "weight").repartitionByRange(*by, "o", "point_id").withColumn("slab", F.spark_partition_id())
     zero = F.struct(*(F.lit(0.0).alias(c) for c in "rgba"))
 
     def over(below: Column, f: Column) -> Column:
-        w = f["weight"]
-        return F.struct(*((f[c] * w + below[c] * (1 - w)).alias(c) for c in "rgb"), (w + below["a"] * (1 - w)).alias("a"))
+        return F.struct(*((f[c] + below[c] * (1 - f["a"])).alias(c) for c in "rgb"), (f["a"] + below["a"] * (1 - f["a"])).alias("a"))
 
-    return fragments.groupBy(*by).agg(F.aggregate(ordered, zero, over).alias("p")).select(*by, "p.*")
+    light = F.struct("o", "point_id", *((F.col(c) * F.col("weight")).alias(c) for c in "rgb"), F.col("weight").alias("a"))
+    parts = ranged.groupBy(*by, "slab").agg(F.aggregate(F.sort_array(F.collect_list(light)), zero, over).alias("p"))
+    ordered = F.sort_array(F.collect_list(F.struct("slab", "p")))
+    return parts.groupBy(*by).agg(F.aggregate(ordered, zero, lambda below, f: over(below, f["p"])).alias("p")).select(*by, "p.*")
 
 
-def facing_basis(position: list[Column], eye: list[Column]) -> tuple[list[Column], list[Column]]:
-    """(right, up) of a quad that faces the eye; +x stands in for up where the ray is nearly vertical."""
-    ahead = M.normalize(M.minus(eye, position))
+def facing_basis(df: DataFrame, position: list[Column], eye: list[Column]) -> tuple[DataFrame, list[Column], list[Column]]:
+    """df with the columns of (right, up) of a quad that faces the eye, and those; +x stands in for up where the ray is nearly vertical."""
+    df, ahead = M.held(df, "__ahead", M.normalize(M.minus(eye, position)))
     steep = F.abs(ahead[1]) > 0.99
-    up = [F.when(steep, 1.0).otherwise(0.0), F.when(steep, 0.0).otherwise(1.0), F.lit(0.0)]
-    right = M.normalize(M.cross(up, ahead))
-    return right, M.cross(ahead, right)
+    return _spanned(df, ahead, [F.when(steep, 1.0).otherwise(0.0), F.when(steep, 0.0).otherwise(1.0), F.lit(0.0)])
+
 
+def _spanned(df: DataFrame, ahead: list[Column], up: list[Column]) -> tuple[DataFrame, list[Column], list[Column]]:
+    df, right = M.held(df, "__right", M.normalize(M.cross(up, ahead)))
+    df, over = M.held(df, "__over", M.cross(ahead, right))
+    return df, right, over
 
-def normal_basis(normal: list[Column], position: list[Column], eye: list[Column]) -> tuple[list[Column], list[Column]]:
-    """(right, up) of a quad across its normal turned to the eye; without a normal (length under 0.001) it faces the eye."""
-    ahead = M.normalize(M.minus(eye, position))
+
+def normal_basis(df: DataFrame, normal: list[Column], position: list[Column], eye: list[Column]) -> tuple[DataFrame, list[Column], list[Column]]:
+    """The same of a quad across its normal turned to the eye; without a normal (length under 0.001) it faces the eye."""
+    df, ahead = M.held(df, "__ahead", M.normalize(M.minus(eye, position)))
+    df, unit = M.held(df, "__unit", M.normalize(normal))
     known = F.sqrt(M.dot(normal, normal)) >= 0.001
-    unit = M.normalize(normal)
     side = F.when(M.dot(unit, ahead) < 0, -1.0).otherwise(1.0)
-    n = [F.when(known, u * side).otherwise(a) for u, a in zip(unit, ahead)]
+    df, n = M.held(df, "__n", [F.when(known, u * side).otherwise(a) for u, a in zip(unit, ahead)])
     steep = F.abs(n[1]) > 0.99
-    up = [F.lit(0.0), F.when(steep, 0.0).otherwise(1.0), F.when(steep, 1.0).otherwise(0.0)]
-    right = M.normalize(M.cross(up, n))
-    return right, M.cross(n, right)
+    return _spanned(df, n, [F.lit(0.0), F.when(steep, 0.0).otherwise(1.0), F.when(steep, 1.0).otherwise(0.0)])
 
 
 #: The two triangles of a quad.
@@ -140,7 +193,100 @@ def quads(points: DataFrame, right: list[Column], up: list[Column], size: float)
     corners = F.array(*[F.struct(F.lit(k).alias("corner"), F.lit(float(x)).alias("u"), F.lit(float(y)).alias("v")) for k, (x, y) in enumerate(CORNERS)])
     rows = points.withColumns({**{f"r{c}": v for c, v in zip("xyz", right)}, **{f"u{c}": v for c, v in zip("xyz", up)}}).withColumn("k", F.explode(corners))
     spread = {f"q{c}": F.col(c) + (F.col(f"r{c}") * F.col("k.u") + F.col(f"u{c}") * F.col("k.v")) * size for c in "xyz"}
-    return rows.withColumns({"corner": F.col("k.corner"), **spread}).drop("k", *(f"{a}{c}" for a in "ru" for c in "xyz"))
+    return _plain(rows.withColumns({"corner": F.col("k.corner"), **spread}).drop("k", *(f"{a}{c}" for a in "ru" for c in "xyz")))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Without the columns that were held for intermediate values."""
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
+
+
+def facing_patch(df: DataFrame, camera: dict, basis: str = "facing") -> tuple[DataFrame, list[Column], list[Column]]:
+    """df and (right, up) of each point's patch: ``facing`` the eye, across its ``normal``, or across it where it has one (``guarded``)."""
+    if basis == "facing":
+        return facing_basis(df, _xyz(), camera["eye"])
+    return normal_basis(df, [F.col(f"n{c}") for c in "xyz"], _xyz(), camera["eye"])
+
+
+def patches(points: DataFrame, camera: dict, size: float, width: int, height: int, basis: str = "facing", near: float | None = None, far: float | None = None) -> DataFrame:
+    """Fragments (px, py, z, r2) of square patches of half-width ``size`` in the world, at each point: pixels whose centre lies in the patch, with the squared distance r2 from its centre in half-widths.
+
+    A patch's corners are projected; as it is flat, depth and place on it follow from
+    the pixel by an inverse of the projected axes at its centre, without perspective
+    within a patch.  A point outside the frustum, or outside the closed depth range,
+    has none.  Pixels of a patch are bounded by its projected box, cut to the raster;
+    they are spread in numpy, a bounded number at a time.
+    """
+    visible = in_frustum() if near is None else in_frustum() & F.col("d").between(near, far)
+    df, right, up = facing_patch(clipped(points, camera).withColumn("__seen", visible), camera, basis)
+    df, centre = M.held(df, "__c", [(F.col("cx") / F.col("cw") + 1) * (width / 2), (1 - F.col("cy") / F.col("cw")) * (height / 2)])
+    for name, axis in (("__a", right), ("__b", up)):
+        df, tip = M.held(df, f"{name}t", M.transform(camera["both"], [p + a * size for p, a in zip(_xyz(), axis)]))
+        df, _ = M.held(df, name, [(tip[0] / tip[3] + 1) * (width / 2) - centre[0], (1 - tip[1] / tip[3]) * (height / 2) - centre[1]])
+    own = [c for c in df.columns if not c.startswith("__") and c not in ("px", "py", "r2", "z")]
+    placed = df.select(*own, (F.col("cz") / F.col("cw")).alias("z"), "__seen", "__c0", "__c1", "__a0", "__a1", "__b0", "__b1")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cx, cy, ax, ay, bx, by = (pdf[c].to_numpy(float, na_value=np.nan) for c in ("__c0", "__c1", "__a0", "__a1", "__b0", "__b1"))
+            det = ax * by - ay * bx
+            seen = pdf["__seen"].fillna(False).to_numpy(bool) & (np.abs(det) > 1e-12)
+            low, count = [], np.ones(len(pdf), np.int64)
+            for mid, reach, top in ((cx, np.abs(ax) + np.abs(bx), width), (cy, np.abs(ay) + np.abs(by), height)):
+                first = np.clip(np.ceil(np.where(seen, mid - reach, 0) - 0.5), 0, top).astype(np.int64)
+                last = np.clip(np.floor(np.where(seen, mid + reach, -1) - 0.5), -1, top - 1).astype(np.int64)
+                low.append((first, np.maximum(last - first + 1, 0)))
+                count = count * low[-1][1]
+            ends = np.cumsum(count)
+            at = 0
+            while at < len(pdf):  # about PIXELS at a time
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIXELS, "right")))
+                row = np.repeat(np.arange(at, to), count[at:to])
+                k = np.arange(len(row)) - np.repeat(ends[at:to] - count[at:to] - (ends[at - 1] if at else 0), count[at:to])
+                wide = np.maximum(low[0][1][row], 1)
+                px, py = low[0][0][row] + k % wide, low[1][0][row] + k // wide
+                dx, dy = px + 0.5 - cx[row], py + 0.5 - cy[row]
+                u, v = (dx * by[row] - dy * bx[row]) / det[row], (dy * ax[row] - dx * ay[row]) / det[row]
+                on = (np.abs(u) <= 1) & (np.abs(v) <= 1)
+                out = pdf[[*own, "z"]].iloc[row[on]].copy()
+                out["px"], out["py"], out["r2"] = px[on].astype(np.int32), py[on].astype(np.int32), (u * u + v * v)[on]
+                yield out
+                at = to
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*own, "z").schema)
+    return placed.mapInPandas(spread, f"{kinds}, px int, py int, r2 double")
+
+
+def world_disks(points: DataFrame, camera: dict, size: float, width: int, height: int, basis: str = "facing", **depths) -> DataFrame:
+    """Fragments of discs of a radius in the world, ``facing`` the eye, or billboards across the ``guarded`` normal."""
+    return patches(points, camera, size, width, height, basis, **depths).where("r2 <= 1")
+
+
+def world_gaussians(points: DataFrame, camera: dict, size: float, width: int, height: int, sigma: float = 0.4, cut_: float = 0.01, **depths) -> DataFrame:
+    """Fragments of Gaussians across the points' normals, with their weight."""
+    weight = F.exp(-F.col("r2") / (2 * sigma * sigma))
+    return patches(points, camera, size, width, height, "normal", **depths).withColumn("weight", weight).where(F.col("weight") >= cut_)
+
+
+def spherical_pixels(points: DataFrame, camera: dict, far: float | Column, width: int, height: int) -> DataFrame:
+    """Points no farther than ``far`` with their pixel on an equirectangular raster and the depth z."""
+    df, view = M.held(points, "__v", M.transform(camera["view"], _xyz())[:3])
+    far = far if isinstance(far, Column) else F.lit(float(far))
+    df = df.where(M.dot(view, view) <= far * far)
+    u, v, depth = equirectangular(view, far)
+    px = F.least(F.floor((u + 1) * (width / 2)), F.lit(width - 1)).cast("int")
+    py = F.least(F.floor((1 - v) * (height / 2)), F.lit(height - 1)).cast("int")
+    return df.withColumns({"px": px, "py": py, "z": depth}).drop("__v0", "__v1", "__v2")
+
+
+def spherical_corners(corners: DataFrame, camera: dict) -> DataFrame:
+    """Corner rows of quads() with their longitude, within half a turn of their point's, and latitude, in radians."""
+    df, at = M.held(corners, "__p", M.transform(camera["view"], _xyz())[:3])
+    df, q = M.held(df, "__q", M.transform(camera["view"], [F.col(f"q{c}") for c in "xyz"])[:3])
+    one = F.lit(1.0)
+    lon = [equirectangular(v, one)[0] * math.pi for v in (at, q)]
+    lat = equirectangular(q, one)[1] * (math.pi / 2)
+    return df.withColumns({"lon": unwrapped(lon[1], lon[0]), "lat": lat}).drop(*(f"__{a}{i}" for a in "pq" for i in range(3)))
 
 
 def near_target(points: DataFrame, target: tuple[float, float, float], within: float = 0.02) -> DataFrame:
@@ -155,9 +301,13 @@ def coloured(points: DataFrame, word: Column) -> DataFrame:
 
 
 def chunks(points: DataFrame, cell: str = "cell_id") -> DataFrame:
-    """(cell, n, cx, cy, cz, global_start): cells with centroids, and how many points the cells before have."""
+    """(cell, n, cx, cy, cz, global_start): cells with centroids, and how many points the cells before have, by a two-level sum."""
     cells = points.groupBy(cell).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"c{c}") for c in "xyz"))
-    return cells.withColumn("global_start", F.coalesce(F.sum("n").over(Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranged = cut(cells.repartitionByRange(cell).withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy("__part").agg(F.sum("n").alias("m"))
+    before = parts.select("__part", (F.sum("m").over(Window.orderBy("__part")) - F.col("m")).alias("before"))  # one row for each range
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("__part").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(before, "__part").select(*cells.columns, (F.col("before") + own).alias("global_start"))
 
 
 def chunk_order(cells: DataFrame, camera: dict, spherical: bool = False) -> DataFrame:

@@ -142,19 +142,25 @@ def exact_distance(raster: DataFrame, width: int, height: int) -> DataFrame:
     return near.join(columns, "py", "left").select("px", "py", F.when(F.col("s").isNull(), diagonal).otherwise(F.sqrt(best) / diagonal).alias("dist"))
 
 
-def composited(layers: DataFrame, width: int, height: int) -> DataFrame:
-    """(px, py, r, g, b, a): layers (layer, depth, px, py, r, g, b, sdf, density, al) over each other, in layer order (far first).
+def composited(layers: DataFrame, width: int, height: int, by: tuple[str, ...] = (), span: DataFrame | None = None) -> DataFrame:
+    """(by, px, py, r, g, b, a): layers (by, layer, depth, px, py, r, g, b, sdf, density, al) over each other, in layer order (far first).
 
     A captured pixel is opaque; one far from any (distance above 0.3) is clear;
     else alpha falls with the distance, the sharper the closer the layer, and rises
-    with the density here and in four directions.
+    with the density here and in four directions.  ``by`` names the keys of several
+    views; ``span`` (by, d0, d1) is the depths' range, of the layers' own unless
+    given.  A pixel on which no layer shows is 0 in every channel.
     """
-    span = F.broadcast(layers.agg(F.min("depth").alias("d0"), F.max("depth").alias("d1")))  # one row
+    if span is None:
+        ends = [F.min("depth").alias("d0"), F.max("depth").alias("d1")]
+        span = layers.groupBy(*by).agg(*ends) if by else layers.agg(*ends)
+    span = F.broadcast(span)  # one row for each view
     reach = int(max(2.0, width * 0.1))
-    base = layers.crossJoin(span).withColumn("close", 1.0 - (F.col("depth") - F.col("d0")) / F.greatest(F.col("d1") - F.col("d0"), F.lit(1e-5)))
+    base = layers.join(span, list(by)) if by else layers.crossJoin(span)
+    base = base.withColumn("close", 1.0 - (F.col("depth") - F.col("d0")) / F.greatest(F.col("d1") - F.col("d0"), F.lit(1e-5)))
     taps = {}
-    for name, axis, size, k in (("dn", "py", height, -reach), ("ds", "py", height, reach), ("de", "px", width, reach), ("dw", "px", width, -reach)):
-        w = Window.partitionBy("layer", "px" if axis == "py" else "py").orderBy(axis)
+    for name, axis, k in (("dn", "py", -reach), ("ds", "py", reach), ("de", "px", reach), ("dw", "px", -reach)):
+        w = Window.partitionBy(*by, "layer", "px" if axis == "py" else "py").orderBy(axis)
         line = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         taps[name] = F.coalesce(F.lag("density", -k).over(w), F.first("density").over(line)) if k < 0 else F.coalesce(F.lead("density", k).over(w), F.last("density").over(line))
     t = base.withColumns(taps)
@@ -164,17 +170,16 @@ def composited(layers: DataFrame, width: int, height: int) -> DataFrame:
     modulator = 0.3 + 0.7 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), support * 3.0))
     near = (0.7 + 0.29 * F.col("close")) * F.exp(-(F.col("sdf") * F.col("sdf") * (3000.0 + 6000.0 * F.col("close")))) * (0.7 + 0.3 * modulator)
     alpha = F.when(F.col("al") > 0.01, 1.0).when(F.col("sdf") > 0.3, 0.0).otherwise(near)
-    shown = t.withColumn("alpha", alpha).where("alpha >= 0.005")
     zero = F.struct(*(F.lit(0.0).alias(c) for c in "rgba"))
-    stack = F.sort_array(F.collect_list(F.struct("layer", "r", "g", "b", "alpha")))  # a dozen layers
+    shown = F.when(F.col("alpha") >= 0.005, F.struct("layer", "r", "g", "b", "alpha"))
+    stack = F.sort_array(F.collect_list(shown))  # a dozen layers
 
     def over(below: Column, f: Column) -> Column:
         x = f["alpha"]
         return F.struct(*((below[c] + (f[c] - below[c]) * x).alias(c) for c in "rgb"), (x + below["a"] * (1.0 - x)).alias("a"))
 
-    done = shown.groupBy("px", "py").agg(F.aggregate(stack, zero, over).alias("p"))
-    pixels = layers.select("px", "py").distinct()
-    return pixels.join(done, ["px", "py"], "left").select("px", "py", *(F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).alias(c) for c in "rgba"))
+    done = t.withColumn("alpha", alpha).groupBy(*by, "px", "py").agg(F.aggregate(stack, zero, over).alias("p"))
+    return done.select(*by, "px", "py", *(F.col(f"p.{c}").alias(c) for c in "rgba"))
 
 
 def alpha_over(top: DataFrame, bottom: DataFrame) -> DataFrame:
@@ -183,7 +188,7 @@ def alpha_over(top: DataFrame, bottom: DataFrame) -> DataFrame:
     return both.select("px", "py", *((F.col(c) * F.col("a") + F.col(f"{c}_") * (1.0 - F.col("a"))).alias(c) for c in "rgb"), (F.col("a") + F.col("a_") * (1.0 - F.col("a"))).alias("a"))
 
 
-# ---- kernels: one raster of a (view, layer) at a time -------------------------------------------
+# ---- kernels: one raster of a (view, layer) at a time, or a stack of channels over one mask ---------
 
 
 def dense(pdf: pd.DataFrame, column: str) -> np.ndarray:
@@ -192,24 +197,38 @@ def dense(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _padded(v: np.ndarray) -> np.ndarray:
-    return np.pad(v, 1, mode="edge")
-
-
 def _mean4(v: np.ndarray) -> np.ndarray:
-    p = _padded(v)
-    return 0.25 * (((p[1:-1, :-2] + p[1:-1, 2:]) + p[:-2, 1:-1]) + p[2:, 1:-1])
+    """The mean of the four neighbours, the pixel's own value beyond the edges; the last two axes are rows and columns."""
+    p = np.pad(v, [(0, 0)] * (v.ndim - 2) + [(1, 1), (1, 1)], mode="edge")
+    return 0.25 * (((p[..., 1:-1, :-2] + p[..., 1:-1, 2:]) + p[..., :-2, 1:-1]) + p[..., 2:, 1:-1])
 
 
 def sor(v: np.ndarray, al: np.ndarray, steps: int, omega: float = 1.9) -> np.ndarray:
-    """Red-black over-relaxation: pixels with odd x + y, then even ones; captured pixels stay."""
+    """Red-black over-relaxation: pixels with odd x + y, then even ones; captured pixels stay.
+
+    A step works on strided views of every other row and column.  It ends early
+    where a step leaves every bit as it was, as all further ones would.
+    """
+    h, w = al.shape
     free = al <= 0
-    y, x = np.indices(v.shape)
-    for _ in range(steps):
+    p = np.pad(v.reshape(-1, h, w), [(0, 0), (1, 1), (1, 1)], mode="edge")
+    halves = []
+    for parity in (1, 0):
+        for r in (0, 1):
+            c = (parity - r) % 2
+            rows, cols = slice(1 + r, h + 1, 2), slice(1 + c, w + 1, 2)
+            taps = p[:, rows, c:w:2], p[:, rows, 2 + c : w + 2 : 2], p[:, r:h:2, cols], p[:, 2 + r : h + 2 : 2, cols]
+            halves.append((parity, p[:, rows, cols], taps, free[r::2, c::2]))
+    for k in range(steps):
+        before = p.copy() if k % 64 == 63 else None
         for parity in (1, 0):
-            hit = free & ((x + y) % 2 == parity)
-            v = np.where(hit, omega * _mean4(v) + (1.0 - omega) * v, v)
-    return v
+            p[:, 0, :], p[:, -1, :], p[:, :, 0], p[:, :, -1] = p[:, 1, :], p[:, -2, :], p[:, :, 1], p[:, :, -2]
+            for own, at, (left, right, down, up), open_ in halves:
+                if own == parity:
+                    np.copyto(at, omega * (0.25 * (((left + right) + down) + up)) + (1.0 - omega) * at, where=open_)
+        if before is not None and (before[:, 1:-1, 1:-1] == p[:, 1:-1, 1:-1]).all():
+            break
+    return p[:, 1:-1, 1:-1].reshape(v.shape).copy()
 
 
 def jacobi(v: np.ndarray, al: np.ndarray, steps: int) -> np.ndarray:
@@ -218,32 +237,33 @@ def jacobi(v: np.ndarray, al: np.ndarray, steps: int) -> np.ndarray:
     return v
 
 
-def v_cycle(v: np.ndarray, al: np.ndarray, f: np.ndarray, smooth: int = 20, solve: int = 10, least: int = 4) -> np.ndarray:
-    """A multigrid cycle for Laplace(v) = f (in pixel units) on the pixels not captured."""
+def v_cycle(v: np.ndarray, al: np.ndarray, f: np.ndarray, smooth: int = 20, solve: int = 10, least: int = 4, levels: int = 10) -> np.ndarray:
+    """A multigrid cycle for Laplace(v) = f (in pixel units) on the pixels not captured, of so many levels at most."""
     free = al <= 0
 
-    def relax(u: np.ndarray, g: np.ndarray, open_: np.ndarray, n: int) -> np.ndarray:
+    def relax(u: np.ndarray, n: int) -> np.ndarray:
         for _ in range(n):
-            u = np.where(open_, 0.8 * (_mean4(u) - 0.25 * g) + 0.2 * u, u)
+            u = np.where(free, 0.8 * (_mean4(u) - 0.25 * f) + 0.2 * u, u)
         return u
 
-    v = relax(v, f, free, smooth)
+    v = relax(v, smooth)
     h, w = v.shape
-    if min(h, w) >= 2 * least and h % 2 == 0 and w % 2 == 0:
+    if levels > 1 and min(h, w) >= 2 * least and h % 2 == 0 and w % 2 == 0:
         rest = np.where(free, f - 4 * (_mean4(v) - v), 0.0)
-        coarse = 4 * rest.reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
+        quarter = rest.reshape(h // 2, 2, w // 2, 2)
+        coarse = ((quarter[:, 0, :, 0] + quarter[:, 0, :, 1]) + quarter[:, 1, :, 0]) + quarter[:, 1, :, 1]
         closed = al.reshape(h // 2, 2, w // 2, 2).max(axis=(1, 3))
-        e = v_cycle(np.zeros_like(coarse), closed, coarse, smooth, solve, least)
+        e = v_cycle(np.zeros_like(coarse), closed, coarse, smooth, solve, least, levels - 1)
         v = np.where(free, v + np.kron(e, np.ones((2, 2))), v)
     else:
-        v = relax(v, f, free, solve)
-    return relax(v, f, free, smooth)
+        v = relax(v, solve)
+    return relax(v, smooth)
 
 
 def conjugate_gradient(v: np.ndarray, al: np.ndarray, steps: int) -> np.ndarray:
-    """Solves Laplace(v) = 0 on the pixels not captured."""
+    """Solves Laplace(v) = 0 on the pixels not captured; all captured or none: v as it is."""
     free = al <= 0
-    if not (al > 0).any():
+    if free.all() or not free.any():
         return v
 
     def apply(u: np.ndarray) -> np.ndarray:
@@ -264,7 +284,11 @@ def conjugate_gradient(v: np.ndarray, al: np.ndarray, steps: int) -> np.ndarray:
 
 
 def jump_flood(al: np.ndarray) -> np.ndarray:
-    """Distance to the nearest captured pixel over the diagonal, by jump flooding (now and then a little too far)."""
+    """Distance to the nearest captured pixel over the diagonal, by jump flooding (now and then a little too far); the diagonal without any.
+
+    A pixel takes a neighbour's seed where that is nearer than its own, of equally
+    near ones the first, row by row.
+    """
     h, w = al.shape
     diagonal = float(np.hypot(w, h))
     y, x = np.indices(al.shape)
@@ -289,24 +313,39 @@ def jump_flood(al: np.ndarray) -> np.ndarray:
     return np.where(np.isinf(best), diagonal, np.sqrt(np.where(np.isinf(best), 0, best)) / diagonal)
 
 
+def smoothed(v: np.ndarray, radius: int, sigma: float) -> np.ndarray:
+    """The Gaussian of blurred() along rows, then columns."""
+    weights = kernel_weights(radius, sigma)
+    for axis in (1, 0):
+        n, out = v.shape[axis], np.zeros_like(v)
+        for k, x in zip(range(-radius, radius + 1), weights):
+            out += x * np.take(v, np.clip(np.arange(n) + k, 0, n - 1), axis=axis)
+        v = out / sum(weights)
+    return v
+
+
+#: Kernel of each method: (values, mask, steps) -> values.
+METHODS = {
+    "sor": sor,
+    "jacobi": jacobi,
+    "cg": conjugate_gradient,
+    "jfa": lambda v, al, steps: jump_flood(al),
+    "multigrid": lambda v, al, steps: v if not steps else METHODS["multigrid"](v_cycle(v, al, np.zeros_like(v)), al, steps - 1),
+    "two_grid": lambda v, al, steps: v if not steps else METHODS["two_grid"](v_cycle(v, al, np.zeros_like(v), 2, 2, levels=2), al, steps - 1),
+}
+
+
 def solved(raster: DataFrame, method: str, steps: int, keys: tuple[str, ...] = ("view", "layer")) -> DataFrame:
-    """(keys, px, py, v) after ``steps`` of sor, jacobi, cg or multigrid on each raster, or its flooded distance (jfa)."""
-    kernels = {
-        "sor": lambda v, al: sor(v, al, steps),
-        "jacobi": lambda v, al: jacobi(v, al, steps),
-        "cg": lambda v, al: conjugate_gradient(v, al, steps),
-        "jfa": lambda v, al: jump_flood(al),
-    }
-
-    def multigrid(v: np.ndarray, al: np.ndarray) -> np.ndarray:
-        for _ in range(steps):
-            v = v_cycle(v, al, np.zeros_like(v))
-        return v
+    """(keys, px, py, v) after ``steps`` of a method on each raster (keys, px, py, v, al), which has every pixel; jfa gives the flooded distance.
 
-    kernel = kernels.get(method, multigrid)
+    ValueError if there is no such method.
+    """
+    if method not in METHODS:
+        raise ValueError(f"{method!r} is none of {sorted(METHODS)}")
+    kernel = METHODS[method]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = kernel(dense(pdf, "v"), dense(pdf, "al"))
+        out = kernel(dense(pdf, "v"), dense(pdf, "al"), steps)
         pdf = pdf[[*keys, "px", "py"]].copy()
         pdf["v"] = out[pdf.py.to_numpy(), pdf.px.to_numpy()]
         return pdf

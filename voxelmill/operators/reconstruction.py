@@ -7,57 +7,77 @@ over the cluster and nothing depends on how many points a slice has.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import depth as D
 from . import projection as P
 from . import raster as R
+from .cameras import camera_of_row
+from .cloud import cut
 
 CHANNELS = ("r", "g", "b")
+#: Over-relaxation steps that fill a layer's holes.
+STEPS = 5000
+#: Radius and deviation of the Gaussians over the distances and over the mask.
+SDF_BLUR, DENSITY_BLUR = (4, 2.0), (30, 15.0)
 
 
-def slices(points: DataFrame, camera: dict, bins: DataFrame, width: int, height: int) -> DataFrame:
-    """(layer, depth, px, py, r, g, b, al): every pixel of every depth bin, the farthest bin first; al is 1 where a point of the bin is seen.
+def view_bins(points: DataFrame, cameras: DataFrame, near: float, far: float) -> DataFrame:
+    """(view, bin_id, start, end): each view's depth bins, from the depths of the points in its frustum."""
+    seen = P.clipped(P.seen_by(points.select(*"xyz"), cameras), camera_of_row()).where(P.in_frustum()).select("view", "d")
+    by = ("view",)
+    return cut(D.bins(D.peaks(D.smoothed(D.histogram(seen, near, far, by), by), by=by), near, far, by, cameras))
 
-    Points carry r, g, b.  Bins (bin_id, start, end) may overlap: a point in two is drawn in both.
+
+def slices(points: DataFrame, cameras: DataFrame, bins: DataFrame, width: int, height: int) -> DataFrame:
+    """(view, layer, depth, px, py, r, g, b): the captured pixels of every depth bin of every view, the farthest bin first.
+
+    Points carry r, g, b.  Bins (view, bin_id, start, end) may overlap: a point in two is drawn in both.
+    """
+    seen = P.pixels(P.seen_by(points.select("point_id", *"xyz", *CHANNELS), cameras), camera_of_row(), width, height)
+    drawn = seen.join(F.broadcast(bins), "view").where(F.col("d").between(F.col("start"), F.col("end")))  # a dozen bins of each camera
+    near = P.z_buffer(drawn, *CHANNELS, by=("view", "bin_id", "px", "py"))
+    place = bins.select("view", "bin_id", (-F.col("bin_id")).alias("layer"), ((F.col("start") + F.col("end")) / 2).alias("depth"))
+    return near.join(F.broadcast(place), ["view", "bin_id"]).select("view", "layer", "depth", "px", "py", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in CHANNELS))
+
+
+def filled(captured: DataFrame, width: int, height: int, steps: int = STEPS, method: str = "sor") -> DataFrame:
+    """(view, layer, depth, px, py, r, g, b, al, sdf, density): every pixel of each layer that has a captured one.
+
+    One kernel call for each (view, layer) makes all of it on dense arrays: the
+    holes' colours, solved from the captured pixels' (al = 1), sdf, the blurred
+    distance to these, and density, their blurred mask.
     """
-    seen = P.pixels(points, camera, width, height)
-    drawn = seen.join(F.broadcast(bins), F.col("d").between(F.col("start"), F.col("end")))  # a dozen bins
-    near = P.z_buffer(drawn, *CHANNELS, by=("bin_id", "px", "py"))
-    place = bins.select("bin_id", (-F.col("bin_id")).alias("layer"), ((F.col("start") + F.col("end")) / 2).alias("depth"))
-    grid = points.sparkSession.range(width * height).select((F.col("id") % width).cast("int").alias("px"), F.floor(F.col("id") / width).cast("int").alias("py"))
-    every = grid.withColumn("k", F.lit(1)).join(F.broadcast(place.withColumn("k", F.lit(1))), "k").drop("k")
-    found = every.join(near, ["bin_id", "px", "py"], "left")
-    return found.select("layer", "depth", "px", "py", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in CHANNELS), F.when(F.col("point_id").isNull(), 0.0).otherwise(1.0).alias("al"))
-
-
-def filled(layers: DataFrame, steps: int, method: str = "sor", keys: tuple[str, ...] = ("layer",)) -> DataFrame:
-    """The same pixels with the colours of holes solved from the captured ones, channel by channel."""
-    tall = layers.select(*keys, "px", "py", "al", F.explode(F.create_map(*(x for c in CHANNELS for x in (F.lit(c), F.col(c))))).alias("channel", "v"))
-    done = R.solved(tall, method, steps, (*keys, "channel"))
-    wide = done.groupBy(*keys, "px", "py").agg(*(F.max(F.when(F.col("channel") == c, F.col("v"))).alias(c) for c in CHANNELS))
-    return layers.drop(*CHANNELS).join(wide, [*keys, "px", "py"])
-
-
-def supports(layers: DataFrame, sdf: tuple[int, float] = (4, 2.0), density: tuple[int, float] = (30, 15.0), keys: tuple[str, ...] = ("layer",)) -> DataFrame:
-    """Adds sdf, the blurred distance to the captured pixels, and density, their blurred mask."""
-    mask = layers.select(*keys, "px", "py", "al", F.lit(0.0).alias("v"))
-    distance = R.solved(mask, "jfa", 0, keys)
-    soft = distance.withColumnRenamed("v", "sdf").join(mask.select(*keys, "px", "py", F.col("al").alias("density")), [*keys, "px", "py"])
-    for axis in ("px", "py"):
-        soft = R.blurred(soft, *sdf, axis, "sdf", by=keys)
-        soft = R.blurred(soft, *density, axis, "density", by=keys)
-    return layers.join(soft, [*keys, "px", "py"])
-
-
-def reconstructed(points: DataFrame, camera: dict, bins: DataFrame, width: int, height: int, steps: int = 5000) -> DataFrame:
-    """(px, py, r, g, b, a) of a view whose holes between points are filled.
-
-    A view without a point is empty in every pixel; an empty table of bins gives no
-    rows.  Null colours count as 0.
+    kernel = R.METHODS[method]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf.py.to_numpy(), pdf.px.to_numpy()
+        al, colours = np.zeros((height, width)), np.zeros((len(CHANNELS), height, width))
+        al[at] = 1.0
+        for plane, c in zip(colours, CHANNELS):
+            plane[at] = pdf[c]
+        colours = kernel(colours, al, steps) if method == "sor" else np.stack([kernel(plane, al, steps) for plane in colours])
+        py, px = np.indices(al.shape)
+        planes = {**dict(zip(CHANNELS, colours)), "al": al, "sdf": R.smoothed(R.jump_flood(al), *SDF_BLUR), "density": R.smoothed(al, *DENSITY_BLUR)}
+        return pd.DataFrame({"view": pdf["view"].iloc[0], "layer": pdf["layer"].iloc[0], "depth": pdf["depth"].iloc[0], "px": px.ravel().astype(np.int32), "py": py.ravel().astype(np.int32), **{k: v.ravel() for k, v in planes.items()}})
+
+    return captured.groupBy("view", "layer").applyInPandas(run, "view int, layer int, depth double, px int, py int, r double, g double, b double, al double, sdf double, density double")
+
+
+def reconstructed(points: DataFrame, cameras: DataFrame, bins: DataFrame, width: int, height: int, steps: int = STEPS) -> DataFrame:
+    """(view, px, py, r, g, b, a) of each view, whose holes between points are filled.
+
+    All views of ``cameras`` (CAMERA_SCHEMA) are one plan; layers are written once.
+    A layer without a point shows nothing; a view without any has no row.  Null
+    colours count as 0.
     """
-    layers = supports(filled(slices(points, camera, bins, width, height), steps))
-    return R.composited(layers, width, height)
+    layers = cut(filled(slices(points, cameras, bins, width, height), width, height, steps))
+    depth = (F.col("start") + F.col("end")) / 2
+    span = bins.groupBy("view").agg(F.min(depth).alias("d0"), F.max(depth).alias("d1"))
+    return R.composited(layers, width, height, ("view",), span)
 
 
 def compared(holed: DataFrame, truth: DataFrame, methods: dict[str, int]) -> DataFrame:

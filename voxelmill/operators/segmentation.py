@@ -138,3 +138,9 @@ def first_class_of_color(winners: DataFrame, palette: DataFrame) -> DataFrame:
     """Winners renamed to the lowest class with the same palette colour (classes that share a colour can't be told apart by it)."""
     w = Window.partitionBy("rgba")
     return winners.join(F.broadcast(palette.select("class_id", F.min("class_id").over(w).alias("first"))), "class_id").select("point_id", F.col("first").alias("class_id"))
+
+
+def shown_classes(labels: DataFrame, palette: DataFrame) -> DataFrame:
+    """labels with the palette's word of their class; a class beyond the palette's 256 takes that of its low byte."""
+    words = F.broadcast(palette.select(F.col("class_id").alias("low"), "rgba"))
+    return labels.withColumn("low", F.col("class_id").bitwiseAND(F.lit(255))).join(words, "low").drop("low")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cloud, depth, projection, raster, segmentation
+from . import cloud, depth, geometry, projection, raster, segmentation, sources
 
-_MODULES = [segmentation, depth, projection, raster, cloud]
+_MODULES = [segmentation, depth, projection, geometry, raster, cloud, sources]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def _words(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    return lines.select("line", F.trim("value").alias("v")).where("v <> '' AND NOT v LIKE '#%'").select("line", F.split("v", r"\s+").alias("w"))
+    lines = spark.read.text(path).select(F.trim("value").alias("v"))
+    return lines.where("v <> '' AND NOT v LIKE '#%'").select(F.split("v", r"\s+").alias("w"))
 
 
 def read_cameras(spark: SparkSession, path: str) -> DataFrame:
@@ -17,28 +20,65 @@ def read_cameras(spark: SparkSession, path: str) -> DataFrame:
     return w.select(F.col("w")[0].alias("camera_id"), *(F.col("w")[i + 2].cast("double").alias(c) for i, c in enumerate(("width", "height", "fx", "fy", "cx", "cy"))))
 
 
+_POSE = "image_id int, qw double, qx double, qy double, qz double, tx double, ty double, tz double, camera_id string, name string"
+
+
+def _poses(spark: SparkSession, path: str, each: Callable[[str], Iterator[list[str]]]) -> DataFrame:
+    """A row for each pose that ``each`` finds in a file's text, with its file and place; a file is a task."""
+    columns = [c.split() for c in _POSE.split(", ")]
+    cast = {"int": int, "double": float, "string": str}
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [dict(zip([c for c, _ in columns], (cast[k](v) for (_, k), v in zip(columns, w)))) | {"file": file, "place": i} for i, w in enumerate(each(text))]
+                kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("place", pa.int64()), *((c, kinds[k]) for c, k in columns)]))
+
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return texts.mapInArrow(parse, f"file string, place long, {_POSE}")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image poses: every line of ten words or more whose line before isn't one (that would make it a list of 2-D points); of equal names the last."""
-    raw = spark.read.text(path, wholetext=True)  # one model's poses; lines must stay in order to be told apart
-    lines = raw.select(F.posexplode(F.split("value", "\n")).alias("line", "v")).select("line", F.trim("v").alias("v"))
-    split = lines.where("NOT v LIKE '#%'").select("line", F.split("v", r"\s+").alias("w"), (F.col("v") == "").alias("blank"))
-    run = F.row_number().over(Window.orderBy("line"))
-    # lines alternate: a pose, then its points (maybe blank); a short line where a pose is due is passed over alone
-    poses = split.withColumn("k", run).select("line", "k", "w", (F.size("w") >= 10).alias("pose"))
-    flags = F.sort_array(F.collect_list(F.struct("line", "pose", "w")))
-    taken = poses.agg(
-        F.aggregate(
-            flags,
-            F.struct(F.lit(False).alias("skip"), F.array().cast("array<struct<line:int,w:array<string>>>").alias("out")),
-            lambda s, x: F.when(s["skip"], F.struct(F.lit(False).alias("skip"), s["out"].alias("out")))
-            .when(x["pose"], F.struct(F.lit(True).alias("skip"), F.concat(s["out"], F.array(F.struct(x["line"].alias("line"), x["w"].alias("w")))).alias("out")))
-            .otherwise(s),
-        ).alias("s")
-    ).select(F.explode("s.out").alias("x")).select("x.*")
-    names = ("image_id", "qw", "qx", "qy", "qz", "tx", "ty", "tz", "camera_id", "name")
-    kinds = ("int", *["double"] * 7, "string", "string")
-    rows = taken.select("line", *(F.col("w")[i].cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds))))
-    return rows.groupBy("name").agg(F.max_by(F.struct(*names[:-1]), "line").alias("v")).select("v.*", "name")
+    """Image poses: every line of ten words or more whose line before isn't one (that would make it a list of 2-D points); of equal names in a file the last."""
+
+    def each(text: str) -> Iterator[list[str]]:
+        skip = False
+        for line in text.split("\n"):
+            line = line.strip()
+            if line.startswith("#"):
+                continue
+            words = line.split()
+            if skip:
+                skip = False
+            elif len(words) >= 10:
+                skip = True
+                yield words
+
+    columns = [c.split()[0] for c in _POSE.split(", ")]
+    rows = _poses(spark, path, each)
+    return rows.groupBy("file", "name").agg(F.max_by(F.struct(*columns[:-1]), "place").alias("v")).select("v.*", "name")
+
+
+def read_images_plain(spark: SparkSession, path: str) -> DataFrame:
+    """The poses by the plain rule, with the camera's centre (x, y, z): every line of ten fields or more between single spaces counts, comments aside, and 2-D points aren't told apart.
+
+    A line whose first eight fields aren't numbers is no pose.
+    """
+    from ..functions import matrix as M
+
+    def each(text: str) -> Iterator[list[str]]:
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if line.startswith("#") or len(words) < 10:
+                continue
+            try:
+                yield [str(int(words[0])), *(str(float(v)) for v in words[1:8]), *words[8:]]
+            except ValueError:
+                continue
+
+    centre = M.camera_center([F.col(f"q{c}") for c in "wxyz"], [F.col(f"t{c}") for c in "xyz"])
+    return _poses(spark, path, each).drop("file", "place").withColumns(dict(zip("xyz", centre)))
 
 
 def camera_line(camera_id: int, width: Column, height: Column, fx: Column, cx: Column, cy: Column) -> Column:

@@ -5,6 +5,9 @@
 
 A file's records have a fixed length, so a reader partition is a range of records.
 Columns hold the survey integers; functions.geometry.decoded() gives coordinates.
+A point_id is the file's number among the files read, times 2^40, and the record's.
+These two formats list and open files on folders that all machines have mounted;
+read_anywhere() takes any path that Spark's own readers open, a task for each file.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 HEADER_BYTES = 227
@@ -26,6 +30,8 @@ COLOR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 RECORD_BYTES = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
 SCHEMA = "path string, point_id long, X int, Y int, Z int, las_class int, red int, green int, blue int, nx float, ny float, nz float"
 ROWS = 1 << 18
+FILE_BITS = 40
+RAW_SCHEMA = "path string, file long, first long, format int, rec_len int, head binary, records binary, tail binary"
 
 
 @dataclass
@@ -95,8 +101,15 @@ def decode_records(raw: bytes, h: Header, extra: dict[str, int], user_data_class
 @dataclass
 class _Range(InputPartition):
     path: str
+    file: int
     first: int
     rows: int
+    last: bool
+
+
+def _arrays(cols: dict[str, np.ndarray | None], n: int) -> tuple[list[pa.Array], list[str]]:
+    kinds = {"X": pa.int32(), "Y": pa.int32(), "Z": pa.int32(), "las_class": pa.int32(), "red": pa.int32(), "green": pa.int32(), "blue": pa.int32(), "nx": pa.float32(), "ny": pa.float32(), "nz": pa.float32()}
+    return [pa.nulls(n, kinds[c]) if cols[c] is None else pa.array(cols[c], kinds[c]) for c in kinds], list(kinds)
 
 
 class LasReader(DataSourceReader):
@@ -107,13 +120,13 @@ class LasReader(DataSourceReader):
         path = self.options["path"].removeprefix("file://")
         files = sorted(glob.glob(os.path.join(path, "*.las")) if os.path.isdir(path) else glob.glob(path))
         out = []
-        for f in files:
+        for k, f in enumerate(files):
             with open(f, "rb") as s:
                 h = parse_header(s.read(HEADER_BYTES))
             n = max(0, (os.path.getsize(f) - h.data_offset) // h.rec_len)
             n = min(n, h.count) if h.count else n
-            out += [_Range(f, a, min(ROWS, n - a)) for a in range(0, n, ROWS)]
-        return out or [_Range("", 0, 0)]
+            out += [_Range(f, k, a, min(ROWS, n - a), a + ROWS >= n) for a in range(0, n, ROWS)]
+        return out or [_Range("", 0, 0, 0, False)]
 
     def read(self, part: _Range):
         if not part.rows:
@@ -126,9 +139,101 @@ class LasReader(DataSourceReader):
             s.seek(h.data_offset + part.first * h.rec_len)
             cols = decode_records(s.read(part.rows * h.rec_len), h, extra, self.options.get("userdataclass", "false") == "true")
         n = len(cols["X"])
-        kinds = {"X": pa.int32(), "Y": pa.int32(), "Z": pa.int32(), "las_class": pa.int32(), "red": pa.int32(), "green": pa.int32(), "blue": pa.int32(), "nx": pa.float32(), "ny": pa.float32(), "nz": pa.float32()}
-        arrays = [pa.nulls(n, kinds[c]) if cols[c] is None else pa.array(cols[c], kinds[c]) for c in kinds]
-        yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array(np.arange(part.first, part.first + n)), *arrays], ["path", "point_id", *kinds])
+        arrays, names = _arrays(cols, n)
+        yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array((part.file << FILE_BITS) + np.arange(part.first, part.first + n)), *arrays], ["path", "point_id", *names])
+
+
+class LasRawReader(LasReader):
+    """The bytes of a file as they are, a row for each range of records, with all that stands before the first and after the last."""
+
+    def read(self, part: _Range):
+        if not part.rows:
+            return
+        with open(part.path, "rb") as s:
+            h = parse_header(s.read(HEADER_BYTES))
+            s.seek(0)
+            head = s.read(h.data_offset) if not part.first else None
+            s.seek(h.data_offset + part.first * h.rec_len)
+            records = s.read(part.rows * h.rec_len)
+            tail = s.read() if part.last else None
+        row = {"path": part.path, "file": part.file, "first": part.first, "format": h.format, "rec_len": h.rec_len, "head": head, "records": records, "tail": tail}
+        yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("file", pa.int64()), ("first", pa.int64()), ("format", pa.int32()), ("rec_len", pa.int32()), ("head", pa.binary()), ("records", pa.binary()), ("tail", pa.binary())]))
+
+
+def read_anywhere(spark: SparkSession, path: str, user_data_class: bool = False) -> DataFrame:
+    """The columns of SCHEMA of all LAS files at any path that Spark reads; a file is a task, numbered in the order of the paths."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path)
+    order = {p: k for k, p in enumerate(sorted(r.path for r in files.select("path").collect()))}  # names of files only
+
+    def decode(batches):
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = raw.as_buffer().to_pybytes()
+                h = parse_header(raw)
+                n = max(0, (len(raw) - h.data_offset) // h.rec_len)
+                n = min(n, h.count) if h.count else n
+                extra = extra_dimensions(raw[: h.data_offset])
+                for a in range(0, n, ROWS):
+                    m = min(ROWS, n - a)
+                    arrays, names = _arrays(decode_records(raw[h.data_offset + a * h.rec_len : h.data_offset + (a + m) * h.rec_len], h, extra, user_data_class), m)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array((order[name] << FILE_BITS) + np.arange(a, a + m)), *arrays], ["path", "point_id", *names])
+
+    return files.select("path", "content").mapInArrow(decode, SCHEMA)
+
+
+def _with_records(raw: DataFrame, points: DataFrame, column: Column) -> DataFrame:
+    """raw with an array of (record, value) of the points (point_id, ..) in each range: ROWS of them at most."""
+    place = F.pmod("point_id", F.lit(1 << FILE_BITS))
+    own = points.select(F.shiftright("point_id", FILE_BITS).alias("file"), (place - place % ROWS).alias("first"), F.struct((place % ROWS).cast("int").alias("record"), column.cast("int").alias("value")).alias("v"))
+    return raw.join(own.groupBy("file", "first").agg(F.collect_list("v").alias("values")), ["file", "first"], "left")
+
+
+def classified(raw: DataFrame, labels: DataFrame, user_data_class: bool = False) -> DataFrame:
+    """(name, piece, content) of the files of ``raw`` (format las_raw) with the class byte of the points in ``labels`` (point_id, class_id) overwritten, for format("pieces").
+
+    All other bytes stay as they are; a point without a label keeps its class.  Of
+    several labels of a point one is taken.
+    """
+
+    def patch(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                table = np.frombuffer(row["records"], np.uint8).reshape(-1, row["rec_len"]).copy()
+                values = row["values"] or []
+                at = np.array([v["record"] for v in values], np.int64)
+                table[at, class_offset(row["format"], user_data_class)] = np.array([v["value"] for v in values], np.int64) & 255
+                yield _piece(row, "_classified.las", table.tobytes(), row["head"])
+
+    return _with_records(raw, labels, F.col("class_id")).mapInArrow(patch, _PIECES)
+
+
+def _piece(row: dict, ending: str, records: bytes, head: bytes | None) -> pa.RecordBatch:
+    content = (head or b"") + records + (row["tail"] or b"")
+    name = os.path.basename(row["path"]).removesuffix(".las") + ending
+    return pa.RecordBatch.from_pylist([{"name": name, "piece": row["first"], "content": content}], pa.schema([("name", pa.string()), ("piece", pa.int64()), ("content", pa.binary())]))
+
+
+_PIECES = "name string, piece long, content binary"
+
+
+def thinned(raw: DataFrame, kept: DataFrame) -> DataFrame:
+    """(name, piece, content) of the files of ``raw`` with the points of ``kept`` (point_id) only: records and all else as they are, but for the header's count."""
+    counts = kept.groupBy(F.shiftright("point_id", FILE_BITS).alias("file")).agg(F.count("*").alias("n"))
+
+    def pick(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                table = np.frombuffer(row["records"], np.uint8).reshape(-1, row["rec_len"])
+                head = row["head"]
+                if head is not None:
+                    head = bytearray(head)
+                    struct.pack_into("<I", head, 107, row["n"] or 0)
+                    if len(head) >= 255 and head[25] >= 4:
+                        struct.pack_into("<Q", head, 247, row["n"] or 0)
+                yield _piece(row, "_thinned.las", table[sorted(v["record"] for v in row["values"] or [])].tobytes(), bytes(head) if head is not None else None)
+
+    rows = _with_records(raw, kept, F.lit(0)).join(counts, "file", "left")
+    return rows.mapInArrow(pick, _PIECES)
 
 
 NORMALS = ("nx", "ny", "nz")
@@ -231,5 +336,18 @@ class LasSource(DataSource):
         return LasWriter(dict(self.options))
 
 
+class LasRawSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "las_raw"
+
+    def schema(self):
+        return RAW_SCHEMA
+
+    def reader(self, schema):
+        return LasRawReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LasSource)
+    spark.dataSource.register(LasRawSource)

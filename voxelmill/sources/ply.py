@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values of the format: names of property types.
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
@@ -45,27 +46,33 @@ def parse(raw: bytes) -> pd.DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices of all files at a path, a task for each file."""
+    """Vertices of all files at a path, a task for each file; a point_id is the file's number in the order of the paths, times 2^40, and the vertex's."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(path)
+    order = {p: k for k, p in enumerate(sorted(r.path for r in files.select("path").collect()))}  # names of files only
 
     def vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b.path, b.content):
                 v = parse(bytes(content))
-                v.insert(0, "point_id", np.arange(len(v)))
+                v.insert(0, "point_id", (order[name] << 40) + np.arange(len(v)))
                 v.insert(0, "path", name)
                 yield v
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(vertices, SCHEMA)
+    return files.select("path", "content").mapInPandas(vertices, SCHEMA)
 
 
 def encode(points: pd.DataFrame, color: bool) -> bytes:
     """A binary little-endian file of single-precision x, y, z and, if asked for, byte colours."""
     kinds = [(c, "<f4") for c in "xyz"] + ([(c, "u1") for c in ("red", "green", "blue")] if color else [])
-    names = "".join(f"property {'float' if k == '<f4' else 'uchar'} {c}\n" for c, k in kinds)
     table = np.zeros(len(points), np.dtype(kinds))
     for c, _ in kinds:
         table[c] = points[c].to_numpy()
-    return f"ply\nformat binary_little_endian 1.0\nelement vertex {len(points)}\n{names}end_header\n".encode() + table.tobytes()
+    return header(len(points), color) + table.tobytes()
+
+
+def header(n: int, color: bool) -> bytes:
+    names = "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue") if color)
+    return f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\n{names}end_header\n".encode()
 
 
 def side_car(origin: list[float], scale: float, color: bool) -> str:
@@ -74,3 +81,31 @@ def side_car(origin: list[float], scale: float, color: bool) -> str:
 
 def read_side_car(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("origin array<double>, position_scale double, has_color boolean").option("multiLine", True).json(path)
+
+
+def pieces(points: DataFrame, color: bool, name: str = "name") -> DataFrame:
+    """(name, piece, content) of a binary file for each ``name`` of points (x, y, z and red, green, blue), in the order of point_id, for format("pieces").
+
+    Every task encodes its own rows; the header, with the number of vertices, is a piece before all others.
+    """
+    columns = ["x", "y", "z", *(("red", "green", "blue") if color else ())]
+    ranged = points.select(name, "point_id", *columns).repartitionByRange(name, "point_id").sortWithinPartitions(name, "point_id")
+    counts = points.groupBy(name).agg(F.count("*").alias("n"))
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, rows in b.groupby(name, sort=False):
+                yield pd.DataFrame({"name": [key], "piece": [int(rows.point_id.iloc[0]) + 1], "content": [encode(rows, color).split(b"end_header\n", 1)[1]]})
+
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"name": b[name], "piece": -1, "content": [header(n, color) for n in b.n]})
+
+    kind = "name string, piece long, content binary"
+    return ranged.mapInPandas(body, kind).unionByName(counts.mapInPandas(head, kind))
+
+
+def to_survey(points: DataFrame, scale: float = 0.001) -> DataFrame:
+    """X, Y, Z in units of ``scale``, class 0 and 16-bit colours of vertices, for the LAS writer: point format 3 with colour, else 0."""
+    colours = {c: F.coalesce(F.col(c), F.lit(0)) * 257 for c in ("red", "green", "blue")}
+    return points.select(*(F.rint(F.col(c) / scale).cast("int").alias(c.upper()) for c in "xyz"), F.lit(0).alias("las_class"), *(v.cast("int").alias(c) for c, v in colours.items()))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -26,34 +27,26 @@ def chunks(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def unfiltered(data: np.ndarray, filters: np.ndarray, width: int) -> np.ndarray:
-    """Undo the line filters none, sub, up, average and Paeth; ``width`` is bytes of a pixel."""
-    out = np.zeros_like(data)
-    before = np.zeros(data.shape[1], np.uint8)
-    for y, (kind, line) in enumerate(zip(filters, data)):
-        if kind == 0:
-            row = line.copy()
-        elif kind == 1:
-            row = np.cumsum(line.reshape(-1, width), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            row = line + before
-        elif kind in (3, 4):
-            row = line.astype(np.int32)
-            up = before.astype(np.int32)
-            for i in range(len(row)):
-                a = row[i - width] if i >= width else 0
-                if kind == 3:
-                    guess = (a + up[i]) // 2
-                else:
-                    c = up[i - width] if i >= width else 0
-                    p = a + up[i] - c
-                    da, db, dc = abs(p - a), abs(p - up[i]), abs(p - c)
-                    guess = a if da <= db and da <= dc else up[i] if db <= dc else c
-                row[i] = (row[i] + guess) & 255
-            row = row.astype(np.uint8)
-        else:
-            raise ValueError(f"PNG filter {kind}")
-        out[y] = before = row
-    return out
+    """Undo the line filters none, sub, up, average and Paeth; ``width`` is bytes of a pixel.
+
+    A pixel needs its left, upper and upper left neighbours only, so all pixels of a
+    diagonal (line + column) are worked out at once.
+    """
+    if len(filters) and filters.max() > 4:
+        raise ValueError(f"PNG filter {filters.max()}")
+    h, w = data.shape[0], data.shape[1] // width
+    raw = data.reshape(h, w, width).astype(np.int16)
+    out = np.zeros((h + 1, w + 1, width), np.int16)
+    for t in range(h + w - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x, kind = t - y, filters[y][:, None]
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        guess = left + up - corner
+        da, db, dc = np.abs(guess - left), np.abs(guess - up), np.abs(guess - corner)
+        paeth = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+        add = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, paeth], 0)
+        out[y + 1, x + 1] = (raw[y, x] + add) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(h, w * width)
 
 
 def decode(raw: bytes) -> np.ndarray:
@@ -93,14 +86,14 @@ def scaled_bytes(values: np.ndarray, unit: bool) -> np.ndarray:
     return np.clip(np.floor(values * (255.0 if unit else 1.0)), 0, 255).astype(np.uint8)
 
 
-def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, content) of every file in the ZIP archives at a path, a task for each archive."""
+def zip_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """(archive, name, content) of the files in the ZIP archives at a path, sorted by name, a task for each archive; only those with one of the ``suffixes``, in either case, where given."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for archive, content in zip(b.path, b.content):
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    for name in sorted(n for n in z.namelist() if not n.endswith("/")):
+                    for name in sorted(n for n in z.namelist() if not n.endswith("/") and (not suffixes or n.lower().endswith(suffixes))):
                         yield pd.DataFrame({"archive": [archive], "name": [name], "content": [z.read(name)]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, name string, content binary")
@@ -131,3 +124,14 @@ def images(rasters: DataFrame, keys: tuple[str, ...] = ("view_id",)) -> DataFram
 
     kinds = ", ".join(f"{k} {dict(rasters.dtypes)[k]}" for k in keys)
     return rasters.groupBy(*keys).applyInPandas(draw, f"{kinds}, content binary")
+
+
+#: How debugging images show values: factors of each channel, before they are cut to bytes.
+DEBUG_SCALES = {"texture": (255.0, 255.0, 255.0), "normalised": (180.0, 100.0, 200.0), "mask": (255.0, 255.0, 255.0)}
+
+
+def debug_pixels(raster: DataFrame, kind: str, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """px, py and r, g, b, a from 0 to 1 of a raster for images(), by a kind of DEBUG_SCALES; ``mask`` shows its first channel only."""
+    named = [F.col(channels[0])] * 3 if kind == "mask" else [F.col(c) for c in channels]
+    shown = [F.floor(F.greatest(F.least(c * k, F.lit(255.0)), F.lit(0.0))) / 255.0 for c, k in zip(named, DEBUG_SCALES[kind])]
+    return raster.withColumns({**dict(zip("rgb", shown)), "a": F.lit(1.0)})

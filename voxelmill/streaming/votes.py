@@ -8,18 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import segmentation as S
 
 
-def running_votes(hits: DataFrame, checkpoint: str, name: str, n_classes: int | None = None, **trigger) -> StreamingQuery:
-    """Keep (point_id, class_id, cnt) of a stream of hits in the table ``name``.
-
-    The state has a count for each point and class seen; it lives in ``checkpoint``,
-    a shared folder, so a restarted query goes on where it was.  Null classes and
-    class 0 are no votes.  ``trigger`` is Spark's, such as availableNow=True.
-    """
-    votes = S.vote_histogram(hits, n_classes)
-    writer = votes.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
-    return (writer.trigger(**trigger) if trigger else writer).start()
-
-
 def votes_into(hits: DataFrame, checkpoint: str, folder: str, n_classes: int | None = None, **trigger) -> StreamingQuery:
     """Write each batch's changed votes to Parquet under ``folder``, a folder for each batch; a batch that is run again replaces its folder."""
     votes = S.vote_histogram(hits, n_classes)
