@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxelmill.llm import op1_mixing, op2_token_output, op3_secrets, op4_jaccard_join, op5_quality, op6_decontaminate, op7_language, op8_cotraining, op9_token_counts, op10_license
@@ -304,15 +305,62 @@ def test_op1(spark, docs, empty):
     assert op1_mixing.mixed(docs, mix).columns == docs.columns
 
 
+def filled(template, rng, optional):
+    """A text of the template's words: regions left out or not, replaceable ones filled, with odd case and punctuation."""
+    out, skip = [], []
+    for m in re.findall(r"<<opt>>|<</opt>>|<<any:\d+-\d+>>|[^\s<]+", template):
+        if m == "<<opt>>":
+            skip.append(not optional(rng))
+        elif m == "<</opt>>":
+            skip.pop()
+        elif any(skip):
+            continue
+        elif m.startswith("<<any"):
+            low, high = map(int, re.findall(r"\d+", m))
+            out += [f"filler{rng.randrange(9)}" for _ in range(rng.randint(low, high))]
+        else:
+            out.append(rng.choice([m, m.upper(), f"({m})", f"{m},"]))
+    return out
+
+
 def test_op10(spark, docs, empty):
+    import regex
+
+    rng = random.Random(10)
+    every = {**op10_license.LICENSES, **op10_license.STATEMENTS}
     found = [
         "Released under the MIT License.", "under the MIT\nlicense under the mit license", "Licensed under the Apache License, Version 2.0.", "CC-BY-NC", "cc by", None, "", "under the mit licenses",
         "Licensed under a Creative Commons Attribution Share Alike 4.0 International License", "Licensed under the GNU Lesser General Public License, version 3.", "under the terms of the mit license",
     ]
-    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
-    got = by_id(op10_license.scan(df))
+    whole = {}
+    for name, (label, template) in every.items():
+        for optional in (lambda r: True, lambda r: False, lambda r: r.random() < 0.5):
+            text = filled(template, rng, optional)
+            whole[len(found)] = label
+            found.append("before " + " ".join(text) + " after it")
+            missing = list(text)
+            del missing[len(missing) // 2]
+            found.append(" ".join(missing))
+        found.append(" ".join(["word"] * 30_000 + text + ["word"] * 30_000))  # a very long text
+        whole[len(found) - 1] = label
+    found += found[-1:]
+    df = spark.createDataFrame([(i if i else None, t, "x", "y", 1.0) for i, t in enumerate(found)], "doc_id long, text string, labels string, spans string, score double").repartition(3)
+    got = {r.doc_id or 0: r for r in op10_license.scan(df).collect()}
+    assert len(got) == len(found)
     assert [(got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) for i in range(8)] == [(1, 1, 1, "mit"), (2, 0, 4, "mit"), (1, 3, 3, "apache-2"), (1, 0, 0, "cc-by-nc"), (0, None, None, ""), (0, None, None, ""), (0, None, None, ""), (0, None, None, "")]
-    assert got[8].labels == "cc" and got[9].labels == "gpl" and got[10].labels == "mit-named" and got[2].labels == "apache-2,apache-2-named"
+    assert [got[i].labels for i in (2, 8, 9, 10)] == ["apache-2", "cc-by-sa", "gpl", "mit"] and got[0].spans == "mit-named:0:5"
+    for i, t in enumerate(found):
+        w = ALNUM.findall(lower(t or ""))
+        joined = "".join(f"{x} " for x in w)
+        spans, labels, score = [], set(filter(None, got[i].base_labels.split(","))), 0.5 if got[i].n_base else 0.0
+        for name, (label, template) in every.items():
+            for m in regex.finditer(r"(?<=^| )" + op10_license.expression(template), joined, regex.POSIX):
+                spans.append((joined[: m.start()].count(" "), name, joined[: m.end()].count(" ")))
+                labels.add(label)
+                score = max(score, 1.0 if name in op10_license.LICENSES else 0.75)
+        assert got[i].spans == ",".join(f"{n}:{a}:{b}" for a, n, b in sorted(spans)), (i, t[:200])
+        assert (got[i].labels, got[i].score) == (",".join(sorted(labels)), score)
+        assert whole.get(i) is None or whole[i] in labels
     assert op10_license.scan(docs).count() == docs.count() and op10_license.scan(empty).count() == 0
     with pytest.raises(ValueError):
         op10_license.Automaton("<<opt>> never closed")
@@ -346,3 +394,85 @@ def test_op6_items_without_id(spark, tmp_path, block):
     got = op6_decontaminate.contamination(docs, bench, block_bytes=block).drop("spans")
     assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == {1: (14, 1, True), 2: (28, 1, True), 3: (42, 2, True), 4: (0, 0, False)}
     assert [r.doc_id for r in op6_decontaminate.decontaminate(docs, bench, block_bytes=block).collect()] == [4]
+
+
+def test_op7_equals_plain_naive_bayes(spark, docs):
+    rows = {(r.doc_id, r.text or "", r.lang) for r in docs.collect()}
+    grams = {t: op7_language.ngrams(next(op7_language.slabs(pa.array([t]))), op7_language.ORDERS, op7_language.BUCKETS)[1].tolist() for _, t, _ in rows}
+    every = [(r.text, r.lang) for r in docs.collect() if r.text is not None and r.lang is not None]
+    labels = sorted({x for _, x in every})
+    counts, n = {x: Counter() for x in labels}, Counter(x for _, x in every)
+    for t, x in every:
+        counts[x].update(grams[t])
+    total = Counter()
+    for c in counts.values():
+        total.update(c)
+    shared = {b: (total[b] + 1) / (sum(total.values()) + op7_language.BUCKETS) for b in {b for g in grams.values() for b in g}}
+    got = by_id(op7_language.predict(docs.select("doc_id", "text"), op7_language.train(docs)))
+    for i, t, _ in rows:
+        odds = [sum(np.log((counts[x][b] + op7_language.STRENGTH * shared[b]) / (sum(counts[x].values()) + op7_language.STRENGTH)) for b in grams[t]) + np.log((n[x] + 1) / (len(every) + len(labels))) for x in labels]
+        p = np.exp(np.array(odds) - max(odds))
+        if any(c.isalpha() for c in t):
+            assert abs(got[i].score - (p / p.sum()).max()) < 1e-6 and (got[i].score < 0.500001 or got[i].lang_pred == labels[int(np.argmax(p))])
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+
+
+@pytest.mark.parametrize("top", [None, 1.0])
+def test_op1_equals_a_dense_solver(spark, top):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "the"]) for _ in range(rng.randint(0, 50)))) for i in range(120)]
+    df = spark.createDataFrame([*rows, rows[0], (None, None)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, ["x", "y", "z"][t.count("alpha") % 3]) for i, t in rows[:60]], "doc_id long, domain string")
+    mix = op1_mixing.fit_mix(df, labelled, {"x": 0.6, "y": 0.3, "z": 0.1}, max_rate=top)
+    members = op1_mixing.memberships(df, mix.classifier).collect()
+    p, n = np.array([r.posterior for r in members]), np.array([r.n_tokens for r in members], float)
+    rate, scale = np.ones(len(n)), np.maximum((n[:, None] * p).sum(axis=0), 1e-9)
+    for _ in range(20_000):  # plain projected gradient descent, no momentum, on all rates at once
+        rate = np.clip(rate - p @ (((rate * n) @ p - mix.targets) / scale), 0.0, top)
+    loss = lambda tokens: float((((tokens - mix.targets) ** 2) / scale).sum())
+    out = op1_mixing.rates(df, mix).collect()
+    tokens = sum(r.rate * r.n_tokens * np.array(m.posterior) for r, m in zip(sorted(out, key=lambda r: (r.doc_id or -1, r.n_tokens)), sorted(members, key=lambda r: (r.doc_id or -1, r.n_tokens))))
+    assert np.allclose(tokens, mix.tokens, rtol=1e-6) and all(0 <= r.rate <= (top or np.inf) for r in out)
+    assert loss(mix.tokens) <= loss((rate * n) @ p) + 1e-3 * mix.targets.sum()
+    assert [r.domain for r in mix.totals(spark).collect()] == mix.classifier.model.labels
+    odd = df.selectExpr("doc_id", "text", "1 AS chance", "2 AS __u", "3 AS rate")
+    assert op1_mixing.mixed(odd, mix).columns == odd.columns and op1_mixing.mixed(odd.limit(0), mix).count() == 0
+
+
+def test_op8_equals_one_round_by_hand(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["good", "bad", "page", "text"] if i % 2 else ["bad", "bad", "buy", "page"]) for _ in range(12)), f"s{i % 2 if i % 7 else 2}", None if i % 5 == 0 else "en", i % 40 if i % 3 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    sample = {r.doc_id: (r.y, r.cal) for r in op8_cotraining._label_sample(labels, 100).collect()}
+    batch = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "text", "source", "lang", "n_chars"), r)) for r in rows])
+    text = [op8_cotraining.text_features(next(op8_cotraining.slabs(pa.array([r[1]]))), op8_cotraining.BUCKETS)[1] for r in rows]
+    meta = op8_cotraining.meta_features(batch)[1].reshape(-1, 3)
+
+    def model(features, given, buckets, strength):
+        counts, n = np.zeros((2, buckets)), np.zeros(2)
+        for f, y in zip(features, given):
+            if y is not None:
+                np.add.at(counts[int(y)], f, 1)
+                n[int(y)] += 1
+        return op8_cotraining.fit(counts, n, ["0", "1"], strength)
+
+    def odds(m, features):
+        return np.array([(m.log_p[f, 1] - m.log_p[f, 0]).sum() / np.sqrt(len(f) + 1.0) for f in features])
+
+    given = [None if i not in sample or sample[i][1] else sample[i][0] for i in range(80)]
+    held = [i for i in range(80) if i in sample and sample[i][1]]
+    y = np.array([float(sample[i][0]) for i in held])
+    told = {"text": given, "meta": given}
+    for _ in range(2):
+        views = {"text": odds(model(text, told["text"], op8_cotraining.BUCKETS, op8_cotraining.STRENGTH), text), "meta": odds(model(meta, told["meta"], op8_cotraining._META_BUCKETS, 20.0), meta)}
+        p = {k: op8_cotraining.apply_logistic(v[:, None], op8_cotraining.logistic(v[held][:, None], y)) for k, v in views.items()}
+        says = {k: [g if g is not None or i in held else "1" if v >= 0.97 else "0" if v <= 0.03 else None for i, (g, v) in enumerate(zip(given, p[k]))] for k in p}
+        told = {"text": says["meta"], "meta": says["text"]}
+    joint = op8_cotraining.apply_logistic(np.column_stack([views["text"], views["meta"]]), op8_cotraining.logistic(np.column_stack([views["text"][held], views["meta"][held]]), y))
+    got = by_id(op8_cotraining.score(df, op8_cotraining.train(df, labels, rounds=1)))
+    for i in range(80):
+        assert np.allclose([got[i].p_text, got[i].p_meta, got[i].quality], [p["text"][i], p["meta"][i], joint[i]], atol=1e-6)
+    plain = df.select("doc_id", "text")
+    assert op8_cotraining.score(plain, op8_cotraining.train(plain, labels)).count() == 80

@@ -198,7 +198,11 @@ def aims(mass: np.ndarray, labels: list[str], weights: dict[str, float], spare:
 
 @dataclass
 class Mix:
-    """What rates follow from: the classifier and the steps; and the fitted totals."""
+    """What rates follow from: the classifier and the steps; and what was asked for and reached.
+
+    ``targets`` and ``tokens`` are the target and the fitted tokens of each domain of
+    the classifier's labels; ``reached`` tells whether they agree within CLOSE.
+    """
 
     classifier: Classifier
     steps: np.ndarray
@@ -206,6 +210,14 @@ class Mix:
     tokens: np.ndarray
     max_rate: float | None
 
+    @property
+    def reached(self) -> bool:
+        return bool(np.abs(self.tokens - self.targets).max() <= CLOSE * max(self.targets.sum(), 1e-9))
+
+    def totals(self, spark: SparkSession) -> DataFrame:
+        """(domain, target_tokens, tokens): a row for each domain."""
+        return spark.createDataFrame(list(zip(self.classifier.model.labels, self.targets.tolist(), self.tokens.tolist())), "domain string, target_tokens double, tokens double")
+
 
 def halved(*domains: str) -> Callable[[dict[str, float]], dict[str, float]]:
     """Weights that halve the given domains' present tokens and keep the others'."""
@@ -261,12 +273,20 @@ def rates(docs: DataFrame, mix: Mix | None) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix | None, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says: the whole part, and one more with the fraction's probability by a hash of doc_id."""
+    """The rows of ``docs``, all their columns, each as often as its rate says: the whole part, and one more with the fraction's probability by a hash of doc_id.
+
+    A null or empty text is judged by the domains' offsets alone; rows with a null
+    doc_id share one draw; repeated rows are drawn alike; an empty table gives no
+    rows; without a mix every row is kept once.  Columns may have any names.
+    """
     if mix is None:
         return docs
     shared, columns = docs.sparkSession.sparkContext.broadcast(mix), docs.columns
     at = columns.index("text")
-    seeded = docs.withColumn("__u", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30))
+    name = "chance"
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    seeded = docs.withColumn(name, (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30))
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -274,7 +294,7 @@ def mixed(docs: DataFrame, mix: Mix | None, seed: int = 17) -> DataFrame:
             for part, p, _ in m.classifier.of(batch, at):
                 rate = rate_of(p, m.steps, m.max_rate)
                 copies = (np.floor(rate) + (part.column(len(columns)).to_numpy() < rate - np.floor(rate))).astype(np.int64)
-                yield part.select(columns).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+                yield part.select(list(range(len(columns)))).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
     return seeded.mapInArrow(repeat, docs.schema)
 

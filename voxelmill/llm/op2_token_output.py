@@ -114,7 +114,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     """
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
     totals = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # one row for each part file, as many as the writer had tasks
+    # one row for each part file, as many as the writer had tasks: some 100,000 at 100 TB in parts of 1 GB
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,12 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
 
 
 def token_output(docs: DataFrame, path: str | None = None, text: str = "text", plane_kind: str = "byte", parts: int | None = None) -> DataFrame:
-    """Write all ids of ``docs`` and return the digest of each document as the files have it; as many parts as the input has, unless given."""
+    """Write all ids of ``docs`` and return the digest of each document as the files have it; as many parts as the input has, unless given.
+
+    A null or empty text is the end id alone; repeated rows and equal or null
+    doc_ids have a row each (see write_ids() for their order); an empty table gives
+    no rows; columns besides doc_id and the text are ignored.
+    """
     spark = docs.sparkSession
     path = path or shared_dir(spark)
     write_ids(docs, path, parts or max(1, docs.rdd.getNumPartitions()), text, plane_kind=plane_kind)

@@ -99,10 +99,16 @@ def _label_sample(labels: DataFrame, limit: int) -> DataFrame:
     return one.orderBy(order, "doc_id").limit(limit).select("doc_id", F.when(F.col("q") > 0, "1").otherwise("0").alias("y"), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).alias("cal"))
 
 
+def _views(docs: DataFrame) -> DataFrame:
+    """doc_id and what the views read; a metadata column that isn't there is null."""
+    kinds = {"source": "string", "lang": "string", "n_chars": "long"}
+    return docs.select("doc_id", "text", *((F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_LIMIT, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
     """Fit both views; every round's pseudo-labels come from all rows of ``docs``."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")).join(F.broadcast(_label_sample(labels, limit)), "doc_id", "left")
+    rows = _views(docs).join(F.broadcast(_label_sample(labels, limit)), "doc_id", "left")
     labelled = rows.where("y IS NOT NULL")
     state: CoTrained | None = None
     for r in range(rounds + 1):
@@ -129,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_LIMIT, round
                 for found in tally.rows():
                     yield pa.RecordBatch.from_arrays([pa.array([f"{k}{x}" for x in found.column(0).to_pylist()], pa.string()), found.column(1), found.column(2)], ["label", "bucket", "n"])
 
-        counted = labelled if r == 0 else rows.mapInArrow(count, "label string, bucket long, n long")
+        counted = (labelled if r == 0 else rows).mapInArrow(count, "label string, bucket long, n long")
         _, counts, n = summed(counted, BUCKETS, ["00", "01", "10", "11"])
         text = fit(counts[:2], n[:2], ["0", "1"], STRENGTH)
         meta = fit(counts[2:, :_META_BUCKETS], n[2:], ["0", "1"], 20.0)
@@ -158,8 +164,8 @@ def score(docs: DataFrame, state: CoTrained, threshold: float = KEEP_FROM) -> Da
     """doc_id, both views' calibrated probabilities of good quality, the joint one, and whether it reaches the threshold.
 
     A null text has no text features and is judged by its metadata; null metadata
-    counts as a value.  Without labels of both classes nothing is learned and
-    every row is kept.  Repeated rows get equal scores; an empty table gives none.
+    counts as a value, as does a metadata column that is missing; other columns are
+    ignored.  Without labels of both classes nothing is learned and every row is kept.  Repeated rows get equal scores; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(state)
 
@@ -169,8 +175,7 @@ def score(docs: DataFrame, state: CoTrained, threshold: float = KEEP_FROM) -> Da
                 p, q, joint = shared.value.views(a, b)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(q), pa.array(joint), pa.array(joint >= threshold)], ["doc_id", "p_text", "p_meta", "quality", "kept"])
 
-    rows = docs.select("doc_id", "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    return rows.mapInArrow(judge, f"doc_id long, {SCORES}")
+    return _views(docs).mapInArrow(judge, f"doc_id long, {SCORES}")
 
 
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
