@@ -190,14 +190,12 @@ def _hot(rows: DataFrame, total: int, *keys: str) -> list[list]:
     return [[r.value for r in found if r["at"] == k] for k in range(len(keys))]
 
 
-def _attached(rows: DataFrame, table: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
-    """rows with the columns of ``table``, which has one row for each key; the rows of a hot key are dealt to SALTS tasks, its one row to all of them."""
-    if not hot:
-        return rows.join(table, key, how)
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
-    salted = rows.withColumn("salt", F.when(F.col(key).isin(hot), salt).otherwise(0))
-    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(table.withColumn("salt", F.explode(copies.cast("array<long>"))), [key, "salt"], how).drop("salt")
+def _attached(rows: DataFrame, table: DataFrame, key: str, hot: list, how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the columns of ``table``, which has one row for each key (and ``also``); the rows of a hot key are dealt to SALTS tasks, its row to all of them."""
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.when(is_hot, F.lit(SALTS)).otherwise(1)))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(table.withColumn("salt", F.explode(copies.cast("array<long>"))), [key, *also, "salt"], how).drop("salt")
 
 
 def _room(most: Column | float) -> Column:
@@ -416,14 +414,17 @@ def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h0", "h1").agg(F.min("doc_id").alias("doc"), F.first(F.struct("n", "window", "wide", *_SKETCH)).alias("v"))
     reps = keep(classes.select(F.monotonically_increasing_id().alias("x"), "doc", "h0", "h1", "v.*"))
     found = _Join(docs, reps, n, percent, scratch).links()
-    number = reps.select("x", "doc")
-    linked = found.join(number.withColumnsRenamed({"x": "a", "doc": "c"}), "a").join(number.withColumnsRenamed({"x": "b", "doc": "d"}), "b")
-    keys = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h0")).alias("h0"), "h1")
-    rows = keep(keys.join(reps.select("h0", "h1", "doc"), ["h0", "h1"], "left"))
+    number, (found, total) = reps.select("x", "doc"), scratch.counted(found)
+    hot = _hot(found, total, "a", "b") if total else [[], []]
+    linked = _attached(found, number.withColumnsRenamed({"x": "a", "doc": "c"}), "a", hot[0])
+    linked = _attached(linked, number.withColumnsRenamed({"x": "b", "doc": "d"}), "b", hot[1])
+    keys, total = scratch.counted(signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h0")).alias("h0"), "h1"))
+    copies = _hot(keys, total, "h0")[0] if total else []
+    rows = keep(_attached(keys, reps.select("h0", "h1", "doc"), "h0", copies, "left", ("h1",)))
     edges = linked.where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).unionByName(_same_id(rows))
     labels = _components(keep(edges), scratch)
     named = reps.select("doc").distinct().join(labels.withColumnRenamed("x", "doc"), "doc", "left")
-    with_set = rows.where("doc IS NOT NULL").join(named, "doc").select("doc_id", "n", "h0", "h1", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
+    with_set = _attached(rows.where("doc IS NOT NULL"), named, "doc", _hot(rows, total, "doc")[0] if total else []).select("doc_id", "n", "h0", "h1", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
     # A row without words belongs to what its doc_id's other rows belong to.
     others = with_set.where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
     without = rows.where("doc IS NULL").join(others, "doc_id", "left").select("doc_id", "n", "h0", "h1", F.coalesce("component_id", "doc_id").alias("component_id"))
