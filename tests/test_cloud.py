@@ -50,3 +50,53 @@ def test_normals_of_a_wide_group_agree(spark):
         first = min(group)
         side = np.sign(np.dot(given[first], group[first]))
         assert all(np.allclose(got[i], side * np.array(t)) for i, t in group.items())
+
+
+def test_nearest_in_a_gap(spark):
+    schema = "point_id long, x double, y double, z double"
+    left = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 30.0, 0.0, 0.0), (3, 90000.0, 0.0, 0.0)], schema)
+    right = spark.createDataFrame([(10, 0.1, 0.0, 0.0), (11, 31.0, 0.0, 0.0)], schema)
+    assert {r.point_id: r.other for r in cloud.nearest(left, right, 0.5).collect()} == {1: 10, 2: 11, 3: 11}
+    assert sorted((r.point_id, r.other) for r in cloud.nearest(left, right, 0.5, 2).collect()) == [(p, q) for p in (1, 2, 3) for q in (10, 11)]
+
+
+def halves(points, most):
+    """Cells by the plain recursion: {id: cell}."""
+    cells = []
+
+    def split(own):
+        if len(own) <= most:
+            cells.append(own)
+            return
+        sides = [max(p[a] for p in own) - min(p[a] for p in own) for a in (1, 2)]
+        axis = 1 if sides[0] >= sides[1] else 2
+        mid = (min(p[axis] for p in own) + max(p[axis] for p in own)) / 2
+        parts = [p for p in own if p[axis] < mid], [p for p in own if not p[axis] < mid]
+        if not all(parts):
+            own = sorted(own)
+            parts = own[: len(own) // 2], own[len(own) // 2 :]
+        for part in parts:
+            split(part)
+
+    split(points)
+    return {p[0]: k for k, own in enumerate(cells) for p in own}
+
+
+def test_adaptive_cells_of_points_that_hardly_differ(spark):
+    low = 1.0
+    high = float(np.nextafter(low, 2))
+    rng = random.Random(8)
+    rows = [(i, (low, high)[i % 2], 0.0) for i in range(20)] + [(100 + i, 5.0, 5.0) for i in range(23)] + [(200 + i, rng.uniform(0, 9), rng.uniform(0, 4)) for i in range(60)]
+    got = {r.point_id: r.cell_id for r in cloud.adaptive_cells(spark.createDataFrame(rows, "point_id long, x double, z double"), 5).collect()}
+    assert got == halves(rows, 5)
+
+
+def test_outliers_and_exact_samples(spark):
+    rng = random.Random(9)
+    rows = [(i, *(rng.gauss(0, 1) for _ in "xyz")) for i in range(60)] + [(99, 500.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
+    mean = {i: np.mean(sorted(np.linalg.norm(np.subtract(p, q)) for _, *q in rows)[:6]) for i, *p in rows}
+    top = np.mean(list(mean.values())) + 2 * np.std(list(mean.values()), ddof=1)
+    assert {r.point_id for r in cloud.without_outliers(df, 6, 2.0).collect()} == {i for i, m in mean.items() if m < top} and 99 not in {i for i, m in mean.items() if m < top}
+    for n in (0, 1, 17, 61, 100):
+        assert cloud.thinned(df, n).count() == min(n, 61)

@@ -151,9 +151,9 @@ def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataF
     """(point_id, other, d): the k nearest right points of every left point, the lowest ids at ties.
 
     A point whose k-th distance within the 27 cells around is at most the cell size
-    is done; the others go on with cells twice as large, until none is left.  Cells
-    larger than the joint box end the search, as 27 of them hold every right point.
-    Fewer right points than k give as many as there are.
+    is done; the others go on with cells twice as large (eight times where none of them
+    has a candidate), until none is left.  Cells larger than the joint box end the
+    search, as 27 of them hold every right point.  Fewer right points than k give as many as there are.
     """
     extent, done = _extent(left, right), None
     todo = left
@@ -165,6 +165,9 @@ def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataF
         done = sure if done is None else done.unionByName(sure)
         if whole:
             return done
+        if best.isEmpty():  # nothing near anyone who is left: a wide gap
+            size *= 8
+            continue
         todo = cut(todo.join(sure.select("point_id").distinct(), "point_id", "left_anti"))
         size *= 2
         if todo.isEmpty():
