@@ -342,10 +342,10 @@ ORACLE_SQL = {
     pos AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS x FROM d), bpos AS MATERIALIZED (SELECT r, unnest(range(0, len(w))) AS j, unnest(w) AS x FROM (SELECT row_number() OVER () AS r, w FROM b) q),
     two AS (SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM pos), btwo AS (SELECT r, j, x, lead(x) OVER (PARTITION BY r ORDER BY j) AS y, lead(x, 2) OVER (PARTITION BY r ORDER BY j) AS z FROM bpos),
     tri AS (SELECT doc_id, r, i, i - j AS dg, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS grp FROM two JOIN btwo ON two.x = btwo.x AND two.y = btwo.y AND two.z = btwo.z),
-    runs AS (SELECT doc_id, 2 + count(*) AS n, min(i) AS at FROM tri GROUP BY doc_id, r, dg, grp
-        UNION ALL SELECT doc_id, 2, min(i) FROM two WHERE (x, y) IN (SELECT (x, y) FROM btwo) GROUP BY doc_id
-        UNION ALL SELECT doc_id, 1, min(i) FROM two WHERE x IN (SELECT x FROM btwo) GROUP BY doc_id),
-    lng AS (SELECT doc_id, n AS longest, min(at) AS longest_at FROM runs WHERE (doc_id, n) IN (SELECT (doc_id, max(n)) FROM runs GROUP BY doc_id) GROUP BY doc_id, n)
+    runs AS (SELECT doc_id, 2 + count(*) AS n, min(i) AS place FROM tri GROUP BY doc_id, r, dg, grp
+        UNION ALL SELECT doc_id, 2, min(i) FROM two SEMI JOIN btwo ON two.x = btwo.x AND two.y = btwo.y GROUP BY doc_id
+        UNION ALL SELECT doc_id, 1, min(i) FROM two SEMI JOIN btwo ON two.x = btwo.x GROUP BY doc_id),
+    lng AS (SELECT doc_id, n AS longest, min(place) AS longest_at FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM runs) q WHERE n = top GROUP BY doc_id, n)
     SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
         sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(longest_at AS BIGINT) AS longest_at
     FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN lng USING (doc_id)"""
