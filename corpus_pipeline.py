@@ -16,29 +16,39 @@ from voxelmill.llm.op6_decontaminate import decontaminate
 from voxelmill.llm.tables import read, written
 
 
+def _session(spark: SparkSession) -> None:
+    """What this application asks of its session: Arrow batches of 2 MB at most, so that long texts don't pile up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules accept."""
+    """Documents that the quality rules accept; rows with a null, empty or short text go, repeated rows are judged alike."""
+    _session(spark)
     return accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the Jaccard join links, five-word shingles and a similarity of 0.8 or more."""
+    """One document of each group that the Jaccard join links, five-word shingles and a similarity of 0.8 or more; nulls and repeats as deduplicated() says."""
+    _session(spark)
     return deduplicated(docs, 5, 80)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window; an empty benchmark keeps all."""
+    _session(spark)
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at rates that halve the tokens of the toxic domain and keep the others'; no rate is above 1."""
+    """Documents drawn at rates that halve the tokens of the toxic domain and keep the others'; no rate is above 1; without labels all stay."""
+    _session(spark)
     labelled = label_domains(read(spark, sf_dir, "labels"))
     return mixed(docs, fit_mix(docs, labelled, halved("toxic"), max_rate=1.0))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, written and read back."""
+    """Token ids of what is left, written and read back; an empty table gives no rows."""
+    _session(spark)
     return token_output(docs)
 
 
