@@ -100,3 +100,30 @@ def test_outliers_and_exact_samples(spark):
     assert {r.point_id for r in cloud.without_outliers(df, 6, 2.0).collect()} == {i for i, m in mean.items() if m < top} and 99 not in {i for i, m in mean.items() if m < top}
     for n in (0, 1, 17, 61, 100):
         assert cloud.thinned(df, n).count() == min(n, 61)
+
+
+def test_orientation_is_one_spanning_tree_in_rounds_or_at_once(spark):
+    rng = random.Random(8)
+    at = [(i * 7 % 61, rng.uniform(0, 4), rng.uniform(0, 4), rng.uniform(0, 4)) for i in range(60)] + [(100, 50.0, 0.0, 0.0)]
+    normals = [(i, *rng.choice([(1.0, 0.1, 0.2), (-0.3, 0.9, 0.1), (0.2, -0.4, 0.8)])) for i, *_ in at]
+    n, p = spark.createDataFrame(normals, "point_id long, nx double, ny double, nz double"), spark.createDataFrame(at, "point_id long, x double, y double, z double")
+    found = [{r.point_id: (r.nx, r.ny, r.nz) for r in cloud.oriented(n, p, 1.5, few=few).collect()} for few in (100_000, 0)]
+    assert found[0] == found[1] and set(found[0]) == {i for i, *_ in at}
+
+    # the plain rule: Kruskal over each point's eleven nearest within the radius
+    place, unit, near = {i: np.array(v) for i, *v in at}, {i: np.array(v) for i, *v in normals}, set()
+    for i in place:
+        reach = sorted((float(np.linalg.norm(place[i] - place[j])), j) for j in place if np.linalg.norm(place[i] - place[j]) <= 1.5)[:11]
+        near |= {(min(i, j), max(i, j)) for _, j in reach if j != i}
+    group = {i: [i] for i in place}
+    sign = dict.fromkeys(place, 1)
+    for _, i, j in sorted((-abs(float(unit[i] @ unit[j])), i, j) for i, j in near):
+        if group[i] is not group[j]:
+            if (unit[i] * sign[i]) @ (unit[j] * sign[j]) < 0:
+                for k in group[j]:
+                    sign[k] = -sign[k]
+            group[i] += group[j]
+            for k in group[j]:
+                group[k] = group[i]
+    for i in place:
+        assert np.allclose(found[0][i], unit[i] * sign[i] * sign[min(group[i])])

@@ -3,32 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import Tables, cut
+
 #: Query vectors that one pass of nearest_vectors() ships to the executors.
 QUERY_BLOCK = 5000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where none is named, one under /tmp, for a local master only: elsewhere each machine has its own /tmp."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return folder or "file:///tmp/checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: later steps start from it, on any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def numbered(rows: DataFrame, name: str, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
     """rows with their number from 0 in some columns' order, within each key of ``by``, by a two-level sum: rows are counted by range, then numbered within each range."""
     ranged = cut(rows.drop(name).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
@@ -109,9 +96,10 @@ def _candidates(left: DataFrame, right: DataFrame, size: float, reach: float | N
     probe = probe.select("point_id", *"xyz", *((F.col(f"c{c}") + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip("xyz", "ijk")))
     held = right.withColumns(_cell(size)).select(F.col("point_id").alias("other"), *(F.col(c).alias(f"r{c}") for c in "xyz"), "cx", "cy", "cz")
     counts = held.groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") > max(right.count() / HOT_CELLS, 4096)).select("cx", "cy", "cz", F.lit(True).alias("hot"))
-    if not hot.isEmpty():
-        few = F.broadcast(hot)  # fewer than HOT_CELLS rows
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    bound = max(total / HOT_CELLS, 4096)
+    if most > bound:
+        few = F.broadcast(counts.where(F.col("n") > bound).select("cx", "cy", "cz", F.lit(True).alias("hot")))  # fewer than HOT_CELLS rows
         salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         held = held.join(few, ["cx", "cy", "cz"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
         probe = probe.join(few, ["cx", "cy", "cz"], "left").withColumn("salt", F.explode(salts)).drop("hot")
@@ -155,22 +143,24 @@ def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataF
     has a candidate), until none is left.  Cells larger than the joint box end the
     search, as 27 of them hold every right point.  Fewer right points than k give as many as there are.
     """
-    extent, done = _extent(left, right), None
-    todo = left
+    tables = Tables(left.sparkSession)
+    todo, right = (tables.cut(name, df.select("point_id", *"xyz")) for name, df in (("todo", left), ("right", right)))
+    extent, done, k_found = _extent(todo, right), None, 0
     while True:
         whole = size > 1.001 * extent
-        best = cut(_best(_candidates(todo, right, size, None if whole else size), k).select("point_id", "other", "d", "k"))
+        best = tables.cut(f"best{k_found}", _best(_candidates(todo, right, size, None if whole else size), k).select("point_id", "other", "d", "k"))
+        k_found += 1
         sure = best if whole else best.join(best.where((F.col("k") == k) & (F.col("d") <= size)).select("point_id"), "point_id", "left_semi")
         sure = sure.select("point_id", "other", "d")
         done = sure if done is None else done.unionByName(sure)
-        if whole:
-            return done
-        if best.isEmpty():  # nothing near anyone who is left: a wide gap
+        if not whole and best.isEmpty():  # nothing near anyone who is left: a wide gap
             size *= 8
             continue
-        todo = cut(todo.join(sure.select("point_id").distinct(), "point_id", "left_anti"))
-        size *= 2
-        if todo.isEmpty():
+        if not whole:
+            todo = tables.cut("todo", todo.join(sure.select("point_id").distinct(), "point_id", "left_anti"))
+            size *= 2
+        if whole or todo.isEmpty():
+            tables.drop("todo", "right")
             return done
 
 
@@ -217,45 +207,89 @@ def normals(points: DataFrame, radius: float, most: int = 512) -> DataFrame:
     return covariances(points, radius, most).mapInPandas(least, "point_id long, nx double, ny double, nz double")
 
 
-def oriented(normal: DataFrame, points: DataFrame, radius: float, most: int = 10) -> DataFrame:
+#: Edges between parts that one task can finish a spanning tree of.
+FEW_EDGES = 100_000
+
+
+def oriented(normal: DataFrame, points: DataFrame, radius: float, most: int = 10, few: int = FEW_EDGES) -> DataFrame:
     """Normals with neighbours on one side, over each connected group of the neighbour graph; a group's lowest id keeps its sign.
 
     Signs follow the group's minimum spanning tree, where an edge weighs less the more
     parallel its normals are, ties by the ids.  In a round every part takes its lightest
-    edge to another part, and all parts that hang together so become one, each with the
-    sign carried along the way to its root by label jumping.  Parts halve at least in a
-    round, so the rounds grow with the logarithm of the points, not with the group's width.
+    edge to another part, all parts that hang together so become one, and of the edges
+    between two parts the lightest stays.  Parts halve at least in a round, so the rounds
+    grow with the logarithm of the points, not with the group's width.  What is left of a
+    graph with at most ``few`` edges is done in one task, with the same tree.
     """
-    near = within(points, points, radius, most + 1).where("point_id <> other").select("point_id", "other")
-    edges = near.unionByName(near.select(F.col("other").alias("point_id"), F.col("point_id").alias("other"))).distinct()
-    n = normal.select("point_id", *(F.col(f"n{c}").alias(f"n{c}") for c in "xyz"))
-    dots = edges.join(n, "point_id").join(n.select(F.col("point_id").alias("other"), *(F.col(f"n{c}").alias(f"m{c}") for c in "xyz")), "other")
+    tables = Tables(points.sparkSession)
+    normal = tables.cut("normal", normal)
+    near = within(points, points, radius, most + 1).where("point_id <> other")
+    pairs = near.select(F.least("point_id", "other").alias("a"), F.greatest("point_id", "other").alias("b")).distinct()
+    dots = pairs
+    for end, n in (("a", "n"), ("b", "m")):
+        dots = dots.join(normal.select(F.col("point_id").alias(end), *(F.col(f"n{c}").alias(f"{n}{c}") for c in "xyz")), end)
     dot = F.expr("nx * mx + ny * my + nz * mz")
-    agree = cut(dots.select("point_id", "other", F.when(dot < 0, -1).otherwise(1).alias("s"), (-F.abs(dot)).alias("w")))
-    state = cut(normal.select("point_id", F.col("point_id").alias("root"), F.lit(1).alias("sign")))
-    while True:
-        there = state.select(F.col("point_id").alias("other"), F.col("root").alias("up"), F.col("sign").alias("there"))
-        across = agree.join(state, "point_id").join(there, "other").where("root <> up")
-        edge = F.struct("w", F.least("point_id", "other").alias("lo"), F.greatest("point_id", "other").alias("hi"), "up", (F.col("s") * F.col("sign") * F.col("there")).alias("flip"))
-        best = cut(across.groupBy("root").agg(F.min(edge).alias("m")).select("root", F.col("m.up").alias("up"), F.col("m.flip").alias("flip")))
-        if best.isEmpty():
+    lightest = F.struct((-F.abs(dot)).alias("w"), F.col("a").alias("lo"), F.col("b").alias("hi"), F.when(dot < 0, -1).otherwise(1).alias("flip"))
+    edges = tables.cut("edges", dots.select("a", "b", lightest.alias("m")))
+    state = normal.select("point_id", F.col("point_id").alias("root"), F.lit(1).alias("sign"))
+    while left := edges.count():
+        hooks = _finished(edges) if left <= few else _hooked(tables, edges)
+        hooks = tables.cut("roots", hooks)
+        state = tables.cut("state", state.join(hooks, "root", "left").select("point_id", F.coalesce("up", "root").alias("root"), (F.col("sign") * F.coalesce("flip", F.lit(1))).alias("sign")))
+        if left <= few:
             break
-        # Edges are ordered, so the only rings are two parts that took the same edge: the lower of them is a root.
-        mutual = best.select(F.col("root").alias("up"), F.col("up").alias("root"), F.lit(True).alias("mutual"))
-        stays = F.coalesce("mutual", F.lit(False)) & (F.col("root") < F.col("up"))
-        hooks = cut(best.join(mutual, ["root", "up"], "left").select("root", F.when(stays, F.col("root")).otherwise(F.col("up")).alias("up"), F.when(stays, 1).otherwise(F.col("flip")).alias("flip")))
-        while True:
-            above = hooks.select(F.col("root").alias("up"), F.col("up").alias("top"), F.col("flip").alias("more"))
-            jumped = cut(hooks.join(above, "up").select("root", F.col("top").alias("up"), (F.col("flip") * F.col("more")).alias("flip"), (F.col("top") != F.col("up")).alias("moved")))
-            hooks = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
-                break
-        state = cut(state.join(hooks, "root", "left").select("point_id", F.coalesce("up", "root").alias("root"), (F.col("sign") * F.coalesce("flip", F.lit(1))).alias("sign")))
+        moved = edges
+        for end in "ab":
+            moved = moved.join(hooks.select(F.col("root").alias(end), F.col("up").alias(f"{end}_up"), F.col("flip").alias(f"{end}_flip")), end)
+        moved = moved.where("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"), F.col("m").withField("flip", F.expr("m.flip * a_flip * b_flip")).alias("m"))
+        edges = tables.cut("edges", moved.groupBy("a", "b").agg(F.min("m").alias("m")))
     first = state.groupBy("root").agg(F.min_by("sign", "point_id").alias("first"))
     signs = state.join(first, "root").select("point_id", (F.col("sign") * F.col("first")).alias("sign"))
+    tables.drop("edges")
     return normal.join(signs, "point_id").select("point_id", *((F.col(f"n{c}") * F.col("sign")).alias(f"n{c}") for c in "xyz"))
 
 
+def _hooked(tables: Tables, edges: DataFrame) -> DataFrame:
+    """(root, up, flip): of every part at an edge, the part that it and all that hang together by their lightest edges become, and the sign between the two."""
+    ends = edges.select(F.col("a").alias("root"), F.col("b").alias("up"), "m").unionByName(edges.select(F.col("b").alias("root"), F.col("a").alias("up"), "m"))
+    best = tables.cut("best", ends.groupBy("root").agg(F.min(F.struct("m", "up")).alias("e")).select("root", "e.up", "e.m.flip"))
+    # Edges are ordered, so the only rings are two parts that took the same edge: the lower of them is a root.
+    mutual = best.select(F.col("root").alias("up"), F.col("up").alias("root"), F.lit(True).alias("mutual"))
+    stays = F.coalesce("mutual", F.lit(False)) & (F.col("root") < F.col("up"))
+    hooks = tables.cut("hooks", best.join(mutual, ["root", "up"], "left").select("root", F.when(stays, F.col("root")).otherwise(F.col("up")).alias("up"), F.when(stays, 1).otherwise(F.col("flip")).alias("flip"), F.lit(True).alias("moved")))
+    while not hooks.where("moved").isEmpty():
+        above = hooks.select(F.col("root").alias("up"), F.col("up").alias("top"), F.col("flip").alias("more"))
+        hooks = tables.cut("hooks", hooks.join(above, "up").select("root", F.col("top").alias("up"), (F.col("flip") * F.col("more")).alias("flip"), (F.col("top") != F.col("up")).alias("moved")))
+    return hooks.drop("moved")
+
+
+def _finished(edges: DataFrame) -> DataFrame:
+    """(root, up, flip) of every part at an edge, by the spanning tree of all edges that are left; for a bounded number of them."""
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        up, flip = {}, {}
+
+        def top(v: int) -> tuple[int, int]:
+            way, sign = [], 1
+            while up.get(v, v) != v:
+                way.append(v)
+                v = up[v]
+            for u in reversed(way):  # later calls take one step
+                sign *= flip[u]
+                up[u], flip[u] = v, sign
+            return v, sign
+
+        for a, b, s in pdf.sort_values(["w", "lo", "hi"])[["a", "b", "flip"]].itertuples(index=False):
+            (p, p_sign), (q, q_sign) = top(a), top(b)
+            if p != q:
+                up[q], flip[q] = p, p_sign * q_sign * s
+        parts = pd.unique(pdf[["a", "b"]].to_numpy().ravel())
+        ends = [top(int(v)) for v in parts]
+        return pd.DataFrame({"root": parts, "up": [p for p, _ in ends], "flip": [s for _, s in ends]})
+
+    return edges.select("a", "b", "m.*").groupBy().applyInPandas(tree, "root long, up long, flip int")
+
+
 def flipped_up(normal: DataFrame, up: str) -> DataFrame:
     """All normals turned over if they point down on average."""
     mean = F.broadcast(normal.agg(F.avg(f"n{up}").alias("m")))  # one row
@@ -288,13 +322,14 @@ def adaptive_cells(points: DataFrame, most: int) -> DataFrame:
     """
     if most < 1:
         raise ValueError("a cell holds one point or more")
-    open_, leaves = cut(points.select("point_id", "x", "z", F.lit("").alias("path"))), []
-    while True:
+    tables, leaves = Tables(points.sparkSession), []
+    open_ = tables.cut("open0", points.select("point_id", "x", "z", F.lit("").alias("path")))
+    for level in count(1):
         stats = open_.groupBy("path").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
         on_x = F.coalesce((F.col("x1") - F.col("x0")) >= (F.col("z1") - F.col("z0")), F.lit(False))
         low, high = (F.when(on_x, F.col(f"x{k}")).otherwise(F.col(f"z{k}")) for k in (0, 1))
         plans = stats.select("path", "n", (F.col("n") <= most).alias("small"), on_x.alias("on_x"), low.alias("low"), high.alias("high"), ((low + high) / 2).alias("mid"))
-        plans = cut(plans.withColumn("flat", ~F.coalesce((F.col("low") < F.col("mid")) & (F.col("high") >= F.col("mid")), F.lit(False))).drop("low", "high"))
+        plans = tables.cut(f"plans{level}", plans.withColumn("flat", ~F.coalesce((F.col("low") < F.col("mid")) & (F.col("high") >= F.col("mid")), F.lit(False))).drop("low", "high"))
         joined = open_.join(F.broadcast(plans) if plans.count() <= FEW_CELLS else plans, "path")
         leaves.append(joined.where("small").select("point_id", "path"))
         if plans.where("NOT small").isEmpty():
@@ -304,7 +339,7 @@ def adaptive_cells(points: DataFrame, most: int) -> DataFrame:
         if not plans.where("NOT small AND flat").isEmpty():
             ranked = numbered(joined.where("NOT small AND flat"), "rank", "point_id", by=("path",))
             parts = parts.unionByName(ranked.withColumn("half", F.when(F.col("rank") < F.floor(F.col("n") / 2), "0").otherwise("1")).drop("rank"))
-        open_ = cut(parts.select("point_id", "x", "z", F.concat("path", "half").alias("path")))
+        open_ = tables.cut(f"open{level}", parts.select("point_id", "x", "z", F.concat("path", "half").alias("path")))
     done = reduce(DataFrame.unionByName, leaves)
     return done.join(numbered(done.select("path").distinct(), "cell_id", "path"), "path").select("point_id", "cell_id")
 

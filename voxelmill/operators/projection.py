@@ -20,7 +20,7 @@ from ..functions import matrix as M
 from ..functions.color import unpack
 from ..functions.geometry import equirectangular, unwrapped
 from .cameras import camera_of_row
-from .cloud import cut
+from .tables import cut
 
 #: Cameras that one pass over the points ships to all tasks.
 VIEWS = 256

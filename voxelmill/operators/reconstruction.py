@@ -16,7 +16,7 @@ from . import depth as D
 from . import projection as P
 from . import raster as R
 from .cameras import camera_of_row
-from .cloud import cut
+from .tables import cut
 
 CHANNELS = ("r", "g", "b")
 #: Over-relaxation steps that fill a layer's holes.

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import cloud
+from ..operators.tables import shared_folder
 from ..sources import colmap, files, las, ply, png
 from .views import POINTS, RASTER, micro, micros, points, raster
 
@@ -15,7 +15,7 @@ from .views import POINTS, RASTER, micro, micros, points, raster
 def _folder(spark) -> str:
     files.register(spark)
     las.register(spark)
-    return f"{cloud.shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _survey(spark, d):
