@@ -93,7 +93,7 @@ def fill_in_middle(docs: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS), s
             for batch in batches:
                 for slab in slabs(batch.column(1), _SLAB_BYTES):
                     con.register("slab", pa.table({"doc_id": batch.column(0).slice(slab.first, slab.n), "text": batch.column(1).slice(slab.first, slab.n)}))
-                    yield from con.execute(sql).to_arrow_table().cast(kinds).to_batches()
+                    yield from con.sql(sql).to_arrow_table().cast(kinds).to_batches()
                     con.unregister("slab")
 
     return docs.select("doc_id", "text").mapInArrow(examples, schema)
