@@ -34,6 +34,8 @@ def _quoted(s: str) -> str:
 
 def _checked(sentinels: tuple[str, str, str]) -> list[str]:
     """The sentinels as SQL; none may hold another, or end as one begins, so that none is found where two parts meet."""
+    if len(set(sentinels)) < 3:
+        raise ValueError("three different sentinels are needed")
     for a in sentinels:
         for b in sentinels:
             if not a or (a != b and a in b) or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + (a != b))):
