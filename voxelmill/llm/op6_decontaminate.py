@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import read
-from .textkit import ALNUM, Slab, Words, slabs, span_hashes, words
+from .textkit import ALNUM, Slab, Words, mix, slabs, span_hashes, words
 
 WINDOW = 10
 #: Benchmark text that one pass ships to the executors; a larger benchmark takes more passes.
@@ -31,9 +31,34 @@ BLOCK_BYTES = 32 << 20
 _SHARD_BYTES = 2 << 20
 #: Suffixes that are searched together.
 _AT_ONCE = 1 << 16
+#: Pairs of a row and an item that are held before equal ones become one.
+_PAIRS = 1 << 20
+#: Words that a comparison walks one by one; longer matches are measured by halving.
+_WALK = 24
+_PRIMES, _BASES = (2147483647, 2147483629), (1103515245, 1664525)
 _FOUND = "n_words long, spans array<long>, items array<string>, longest long, longest_at long"
 
 
+def stretches(codes: np.ndarray, more: int = 0) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Where the first 0 at or after each place stands; and, by two primes, the sums before each place of code * base ** place, and the powers, of which there are ``more`` at least: two stretches are equal if their sums are, each times the power of the other's place."""
+    n = len(codes)
+    stop = np.where(codes == 0, np.arange(n), n)
+    stop = np.minimum.accumulate(stop[::-1])[::-1]
+    value = mix(codes.astype(np.uint64))
+    sums, powers = [], []
+    for p, base in zip(_PRIMES, _BASES):
+        power = np.ones(max(n, more) + 1, np.int64)
+        have, step = 1, base
+        while have < len(power):
+            power[have : 2 * have] = power[: min(have, len(power) - have)] * step % p
+            have, step = 2 * have, step * step % p
+        total = np.zeros(n + 1, np.int64)
+        np.cumsum((value % np.uint64(p)).astype(np.int64) * power[:n] % p, out=total[1:])
+        sums.append(total)
+        powers.append(power)
+    return stop, sums, powers
+
+
 @dataclass
 class Queries:
     """A block of items: the sorted hashes of their words, each word's number there and one, a 0 after each item, and each suffix's place, item and width.
@@ -47,6 +72,13 @@ class Queries:
     item: np.ndarray
     window: int
     ids: list[str | None]
+    _stretches: tuple | None = None
+
+    def stretches(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The block's stretches(), made when a task first needs them."""
+        if self._stretches is None:
+            self._stretches = stretches(self.codes)
+        return self._stretches
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
         """Place and width of every suffix."""
@@ -89,11 +121,12 @@ class SuffixArray:
         k = np.minimum(np.searchsorted(queries.vocabulary, h), max(len(queries.vocabulary) - 1, 0))
         known = queries.vocabulary[k] == h if len(queries.vocabulary) else np.zeros(len(h), bool)
         self.at = np.arange(len(h)) + row
-        self.seq = np.zeros(len(h) + n_rows + 1, np.int64)
+        self.seq = np.zeros(len(h) + n_rows + 1, np.int32)
         self.seq[self.at] = np.where(known, k + 1, 0)
-        self.word_at = np.full(len(self.seq), -1, np.int64)
+        self.word_at = np.full(len(self.seq), -1, np.int32)
         self.word_at[self.at] = np.arange(len(h))
-        suffixes = np.flatnonzero(self.seq)
+        self.sums = None
+        suffixes = np.flatnonzero(self.seq).astype(np.int32)
         self.order = suffixes[np.argsort(self.seq[suffixes], kind="stable")]
         self._refine(depth)
 
@@ -102,15 +135,15 @@ class SuffixArray:
         n = len(self.order)
         if not n:
             return
-        rank = np.zeros(2 * len(self.seq), np.int64)
+        rank = np.zeros(2 * len(self.seq), np.int32)
         value = self.seq[self.order]
-        slot = np.arange(n)
+        slot = np.arange(n, dtype=np.int32)
         group = np.maximum.accumulate(np.where(np.r_[True, value[1:] != value[:-1]], slot, 0))
         rank[self.order] = group + 1
         k = 1
         while k < depth:
             first = np.r_[True, group[1:] != group[:-1]]
-            tied = np.flatnonzero(~(first & np.r_[first[1:], True]))
+            tied = np.flatnonzero(~(first & np.r_[first[1:], True])).astype(np.int32)
             if not len(tied):
                 return
             at = self.order[tied]
@@ -133,6 +166,11 @@ class SuffixArray:
         while len(open_):
             if width is not None:
                 open_ = open_[width[open_] > j]
+            if j == _WALK and len(open_):
+                most = None if width is None else width[open_] - j
+                same[open_], sign[open_] = self._far(queries, a[open_] + j, b[open_] + j, most)
+                same[open_] += j
+                break
             x, y = queries.codes[a[open_] + j], self.seq[b[open_] + j]
             sign[open_] = np.sign(y - x)
             open_ = open_[(x == y) & (x > 0)]
@@ -140,6 +178,28 @@ class SuffixArray:
             j += 1
         return same, sign
 
+    def _far(self, queries: Queries, a: np.ndarray, b: np.ndarray, most: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """compare() for long matches: the length by halving, as the sums of any two stretches tell whether they are equal; so it takes the logarithm of the length."""
+        if self.sums is None:
+            self.sums = stretches(self.seq, len(queries.codes))
+        theirs, (stop, own, power) = queries.stretches(), self.sums
+        high = np.minimum(theirs[0][a] - a, stop[b] - b)
+        high = high if most is None else np.minimum(high, most)
+        low, high = np.zeros(len(a), np.int64), high.copy()
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                break
+            mid = (low[open_] + high[open_] + 1) // 2
+            x, y = a[open_], b[open_]
+            equal = np.ones(len(open_), bool)
+            for p, s, t, w in zip(_PRIMES, theirs[1], own, power):
+                equal &= (s[x + mid] - s[x]) % p * w[y] % p == (t[y + mid] - t[y]) % p * w[x] % p
+            low[open_[equal]] = mid[equal]
+            high[open_[~equal]] = mid[~equal] - 1
+        sign = np.sign(self.seq[b + low] - queries.codes[a + low])
+        return low, sign if most is None else np.where(low >= most, 0, sign)
+
     def bound(self, queries: Queries, a: np.ndarray, width: np.ndarray | None, upper: bool) -> np.ndarray:
         """The first slot whose suffix isn't below a's, or (upper) is above it."""
         low, high = np.zeros(len(a), np.int64), np.full(len(a), len(self.order), np.int64)
@@ -153,15 +213,19 @@ class SuffixArray:
             open_ = open_[low[open_] < high[open_]]
         return low
 
-    def search(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(suffix, width, word) of every place where a suffix's window stands; and the longest match of every word of the shard with any suffix."""
+    def search(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows found, as columns (first slot, slots, width) and their items as (window, item) columns; and the longest match of every word of the shard with any suffix.
+
+        Suffixes that begin with the same window find the same slots, and windows of
+        one width share no slot, so what is found is bounded by the shard and the block, not by their product.
+        """
         at, width = queries.suffixes()
         present = np.zeros(len(queries.vocabulary) + 1, bool)
         present[self.seq] = True
         present[0] = False
         keep = present[queries.codes[at]]
         at, width = at[keep], width[keep]
-        found, nearest = [], []
+        found, nearest = [np.empty((4, 0), np.int64)], []
         for lo in range(0, len(at), _AT_ONCE):
             a, w = at[lo : lo + _AT_ONCE], width[lo : lo + _AT_ONCE]
             place = self.bound(queries, a, None, False)
@@ -170,13 +234,20 @@ class SuffixArray:
             hit = np.flatnonzero((w > 0) & (np.maximum(before, after) >= w))
             lower = self.bound(queries, a[hit], w[hit], False)
             n = self.bound(queries, a[hit], w[hit], True) - lower
-            which = np.repeat(hit, n)
-            slots = np.repeat(lower, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([a[which], w[which], self.word_at[self.order[slots]]]))
+            found.append(np.unique(np.stack([lower, n, w[hit], queries.item[a[hit]]]), axis=1))
         longest = np.zeros(len(self.at), np.int64)
         if nearest and len(self.order):
             longest[self.word_at[self.order]] = self._longest(queries, np.concatenate(nearest, axis=1))
-        return *(np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)), longest
+        rows = np.unique(np.concatenate(found, axis=1), axis=1)
+        windows, which = np.unique(rows[:3], axis=1, return_inverse=True)
+        return windows, np.stack([which.ravel(), rows[3]]), longest
+
+    def places(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, word) of every place where a window stands."""
+        n = windows[1]
+        which = np.repeat(np.arange(len(n)), n)
+        slots = np.repeat(windows[0], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        return which, self.word_at[self.order[slots]]
 
     def _longest(self, queries: Queries, nearest: np.ndarray) -> np.ndarray:
         """The longest match of the suffix in each slot: with the nearest block suffix that sorts before it, or the nearest after it.
@@ -207,25 +278,40 @@ def merge(spans: list[int]) -> list[int]:
     return out
 
 
+def _pairs(windows: np.ndarray, rows: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Distinct (row, item) columns of those that share a window; ``rows`` and ``items`` are (window, row) and (window, item) columns, distinct and sorted by window.  About _PAIRS are held at once before they are told apart."""
+    row_at, item_at = (np.searchsorted(x[0], np.arange(windows.shape[1] + 1)) for x in (rows, items))
+    ends = np.cumsum(np.diff(row_at) * np.diff(item_at))
+    out, at = np.empty((2, 0), np.int64), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
+        wide = np.diff(item_at)[rows[0, row_at[at] : row_at[to]]]  # items that each (window, row) meets
+        first = item_at[rows[0, row_at[at] : row_at[to]]]
+        k = np.repeat(first - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
+        out = np.unique(np.concatenate([out, np.stack([np.repeat(rows[1, row_at[at] : row_at[to]], wide), items[1, k]])], axis=1), axis=1)
+        at = to
+    return out
+
+
 def shard_matches(slab: Slab, w: Words, queries: Queries) -> tuple[list[list[int]], list[list[str]], np.ndarray, np.ndarray]:
     """Of each row: hit word spans, items found, words in its longest verbatim match with an item, and the first word where one of that length begins (-1 without any)."""
     spans: list[list[int]] = [[] for _ in range(slab.n)]
     items: list[list[str]] = [[] for _ in range(slab.n)]
     depth = int(np.diff(np.r_[-1, np.flatnonzero(queries.codes == 0)]).max(initial=1))
     h = span_hashes(slab, w.start, w.end, fold=True)
-    suffix, width, word, match = SuffixArray(h, w.row, slab.n, queries, depth).search(queries)
-    if len(suffix):
-        row, item, diagonal = w.row[word], queries.item[suffix], word - suffix
-        order = np.lexsort((word, diagonal, item))
-        follows = np.zeros(len(order), bool)
-        o, p = order[1:], order[:-1]
-        follows[1:] = (item[o] == item[p]) & (diagonal[o] == diagonal[p]) & (word[o] == word[p] + 1) & (row[o] == row[p])
-        first = np.flatnonzero(~follows)
-        last = np.append(first[1:], len(order)) - 1
-        for a, b in zip(order[first].tolist(), order[last].tolist()):
-            r, lo = int(row[a]), int(w.bound[row[a]])
-            spans[r] += (int(word[a]) - lo, int(word[b] + width[b]) - lo)
-            items[r].append(queries.ids[item[a]])
+    array = SuffixArray(h, w.row, slab.n, queries, depth)
+    windows, owners, match = array.search(queries)
+    if windows.shape[1]:
+        which, word = array.places(windows)
+        edge = np.bincount(word, minlength=len(h) + 1) - np.bincount(word + windows[2][which], minlength=len(h) + 1)
+        hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        parted = np.r_[True, (np.diff(hit) > 1) | (np.diff(w.row[hit]) > 0)]
+        first, last = hit[parted], hit[np.r_[parted[1:], True]]
+        low = w.bound[w.row[first]]
+        for r, a, b in zip(w.row[first].tolist(), (first - low).tolist(), (last + 1 - low).tolist()):
+            spans[r] += (a, b)
+        for r, item in _pairs(windows, np.unique(np.stack([which, w.row[word]]), axis=1), owners).T.tolist():
+            items[r].append(queries.ids[item])
     longest, at = np.zeros(slab.n, np.int64), np.full(slab.n, -1, np.int64)
     some = np.flatnonzero(np.diff(w.bound))
     if len(some):
