@@ -45,3 +45,25 @@ def test_pipeline(spark, sf_dir):
     enc = encoder("byte_bpe_50k.json")
     out = {r.doc_id: r.n_tokens for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()}
     assert out == {i: len(enc.whole(t or "")) + 1 for i, t in steps[3].items()}
+
+
+def test_pipeline_run_on_odd_tables(spark, sf_dir, tmp_path):
+    """Nulls in every column, repeated rows, empty and very long texts, an empty table, columns with clashing names."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    good = docs.where("length(text) > 600").orderBy("doc_id").first()
+    n = lambda i, text: (i, text, None, None, None)
+    long = "\n".join(f"{good.text} {k} {k * k} {k + 7}" for k in range(60))
+    odd = spark.createDataFrame([n(None, None), n(None, good.text), n(9001, None), n(9002, ""), n(9003, long), n(9003, long), n(9004, "a" * 100_000)], docs.schema)
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").write.parquet(f"{tmp_path}/odd/{table}.parquet")
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{table}.parquet")
+    extra = {c: F.lit(1) for c in ("spans", "items", "n_words", "chance", "kept", "x", "part")}
+    docs.unionByName(odd).withColumns(extra).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = [r.doc_id for r in found]
+    assert len(ids) == len(set(ids)) and not {9001, 9002, 9004} & set(ids) and len(ids) > 10
+    assert sorted(r.start for r in found) == [sum(r.n_tokens for r in sorted(found, key=lambda r: r.start)[:k]) for k in range(len(found))]
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

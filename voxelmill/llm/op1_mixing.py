@@ -246,14 +246,15 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | Ca
 
 
 def rates(docs: DataFrame, mix: Mix | None) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), posterior (its), rate of each row.
+    """doc_id, n_tokens, domain (the likeliest), posterior (its), rate of each row, and whether the fitted rates reach the targets (targets may be out of reach, or STEPS too few).
 
     A null or empty text has no tokens; its posterior is the prior and its rate
-    follows from that.  Repeated rows get equal rates.  Without labels domain and
-    posterior are null and the rate is 1.  An empty table gives no rows.
+    follows from that.  Repeated rows get equal rates.  Without labels domain,
+    posterior and reached are null and the rate is 1.  An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(mix)
     names = ["doc_id", "n_tokens", "domain", "posterior", "rate"]
+    reached = F.lit(None if mix is None else mix.reached).cast("boolean").alias("reached")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -269,7 +270,7 @@ def rates(docs: DataFrame, mix: Mix | None) -> DataFrame:
                     [part.column(0), pa.array(n), pa.array([m.classifier.model.labels[k] for k in best.tolist()], pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(rate_of(p, m.steps, m.max_rate))], names
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, n_tokens long, domain string, posterior double, rate double")
+    return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, n_tokens long, domain string, posterior double, rate double").select("*", reached)
 
 
 def mixed(docs: DataFrame, mix: Mix | None, seed: int = 17) -> DataFrame:

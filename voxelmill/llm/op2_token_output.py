@@ -26,6 +26,8 @@ from .tables import read, shared_dir
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK = 1 << 15  #: ids in a block
 CHUNK_IDS = 1 << 19  #: a chunk is closed when it has so many ids
+#: Characters of a text by which rows with one doc_id are ordered.
+FIRST = 32
 CHUNK_SCHEMA = "part int, chunk int, chunk_start long, n_ids long, doc_ids array<long>, doc_lens array<long>, block_ids int, plane_kind string, plane_sizes array<int>, planes binary"
 
 
@@ -68,8 +70,10 @@ def write_ids(docs: DataFrame, path: str, parts: int, text: str = "text", vocabu
     """Encode every row's text, append end_id, and write the ids in ascending doc_id order.
 
     A null text is an empty one: its ids are just the end id.  Rows with equal
-    doc_id stand beside each other, ordered by text; a null doc_id comes first.
-    An empty table writes a dataset without chunks.  Other columns are ignored.
+    doc_id stand beside each other, ordered by the text's first characters, then by
+    a hash of it; a null doc_id comes first.  Rows of one doc_id, and even equal
+    rows, can be many tasks' work, as parts are cut by all of these.  An empty table
+    writes a dataset without chunks.  Other columns are ignored.
     """
     tokenizer_path(vocabulary)
 
@@ -102,7 +106,10 @@ def write_ids(docs: DataFrame, path: str, parts: int, text: str = "text", vocabu
             yield chunk()
 
     schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("chunk_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("block_ids", pa.int32()), ("plane_kind", pa.string()), ("plane_sizes", pa.list_(pa.int32())), ("planes", pa.binary())])
-    ordered = docs.select("doc_id", F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Short keys, as a sample of them goes to the driver; the last tells equal rows apart, whose order doesn't matter.
+    order = [F.col("doc_id"), F.substring("text", 1, FIRST).alias("first"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("tie")]
+    keyed = docs.select("doc_id", F.col(text).alias("text")).select("text", *order)
+    ordered = keyed.repartitionByRange(parts, "doc_id", "first", "hash", "tie").sortWithinPartitions("doc_id", "first", "hash", "tie").select("doc_id", "text")
     ordered.mapInArrow(chunks, CHUNK_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 

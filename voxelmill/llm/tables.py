@@ -9,6 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of an Arrow batch in all actions of these operators.
+BATCH_BYTES = "2m"
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """For actions inside: Arrow batches of 4 MB at most, so that long texts don't pile up in one; the session's own value comes back afterwards."""
+    """For actions inside: Arrow batches of BATCH_BYTES at most, so that long texts don't pile up in one; the session's own value comes back afterwards."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, "4m")
+    spark.conf.set(name, BATCH_BYTES)
     try:
         yield
     finally:
