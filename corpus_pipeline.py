@@ -13,12 +13,12 @@ from voxelmill.llm.op2_token_output import token_output
 from voxelmill.llm.op4_jaccard_join import deduplicated
 from voxelmill.llm.op5_quality import accepted
 from voxelmill.llm.op6_decontaminate import decontaminate
-from voxelmill.llm.tables import read, written
+from voxelmill.llm.tables import BATCH_BYTES, read, written
 
 
 def _session(spark: SparkSession) -> None:
-    """What this application asks of its session: Arrow batches of 2 MB at most, so that long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    """What this application asks of its session, for the actions that its caller starts: small Arrow batches, so that long texts don't pile up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,20 +34,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window; an empty benchmark keeps all."""
+    """Documents without a benchmark window; an empty benchmark keeps all, and so do null and empty texts; repeated rows share their fate."""
     _session(spark)
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at rates that halve the tokens of the toxic domain and keep the others'; no rate is above 1; without labels all stay."""
+    """Documents drawn at rates that halve the tokens of the toxic domain and keep the others'; no rate is above 1; without labels all stay.
+
+    Null and empty texts are judged by the domains' offsets; repeated rows are drawn alike, and rows without doc_id share one draw.
+    """
     _session(spark)
     labelled = label_domains(read(spark, sf_dir, "labels"))
     return mixed(docs, fit_mix(docs, labelled, halved("toxic"), max_rate=1.0))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, written and read back; an empty table gives no rows."""
+    """Token ids of what is left, written and read back, a row for each document; a null text is the end id alone, repeated rows count each, an empty table gives no rows."""
     _session(spark)
     return token_output(docs)
 
