@@ -197,14 +197,14 @@ def dense(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _mean4(v: np.ndarray) -> np.ndarray:
+def mean4(v: np.ndarray) -> np.ndarray:
     """The mean of the four neighbours, the pixel's own value beyond the edges; the last two axes are rows and columns."""
     p = np.pad(v, [(0, 0)] * (v.ndim - 2) + [(1, 1), (1, 1)], mode="edge")
     return 0.25 * (((p[..., 1:-1, :-2] + p[..., 1:-1, 2:]) + p[..., :-2, 1:-1]) + p[..., 2:, 1:-1])
 
 
-def sor(v: np.ndarray, al: np.ndarray, steps: int, omega: float = 1.9) -> np.ndarray:
-    """Red-black over-relaxation: pixels with odd x + y, then even ones; captured pixels stay.
+def sor(v: np.ndarray, al: np.ndarray, steps: int, omega: float = 1.9, first: int = 1) -> np.ndarray:
+    """Red-black over-relaxation: pixels with odd x + y (even ones, if ``first`` is 0), then the others; captured pixels stay.
 
     A step works on strided views of every other row and column.  It ends early
     where a step leaves every bit as it was, as all further ones would.
@@ -221,7 +221,7 @@ def sor(v: np.ndarray, al: np.ndarray, steps: int, omega: float = 1.9) -> np.nda
             halves.append((parity, p[:, rows, cols], taps, free[r::2, c::2]))
     for k in range(steps):
         before = p.copy() if k % 64 == 63 else None
-        for parity in (1, 0):
+        for parity in (first, 1 - first):
             p[:, 0, :], p[:, -1, :], p[:, :, 0], p[:, :, -1] = p[:, 1, :], p[:, -2, :], p[:, :, 1], p[:, :, -2]
             for own, at, (left, right, down, up), open_ in halves:
                 if own == parity:
@@ -233,31 +233,50 @@ def sor(v: np.ndarray, al: np.ndarray, steps: int, omega: float = 1.9) -> np.nda
 
 def jacobi(v: np.ndarray, al: np.ndarray, steps: int) -> np.ndarray:
     for _ in range(steps):
-        v = np.where(al > 0, v, _mean4(v))
+        v = np.where(al > 0, v, mean4(v))
     return v
 
 
 def v_cycle(v: np.ndarray, al: np.ndarray, f: np.ndarray, smooth: int = 20, solve: int = 10, least: int = 4, levels: int = 10) -> np.ndarray:
     """A multigrid cycle for Laplace(v) = f (in pixel units) on the pixels not captured, of so many levels at most."""
-    free = al <= 0
-
-    def relax(u: np.ndarray, n: int) -> np.ndarray:
-        for _ in range(n):
-            u = np.where(free, 0.8 * (_mean4(u) - 0.25 * f) + 0.2 * u, u)
-        return u
-
-    v = relax(v, smooth)
-    h, w = v.shape
-    if levels > 1 and min(h, w) >= 2 * least and h % 2 == 0 and w % 2 == 0:
-        rest = np.where(free, f - 4 * (_mean4(v) - v), 0.0)
-        quarter = rest.reshape(h // 2, 2, w // 2, 2)
-        coarse = ((quarter[:, 0, :, 0] + quarter[:, 0, :, 1]) + quarter[:, 1, :, 0]) + quarter[:, 1, :, 1]
-        closed = al.reshape(h // 2, 2, w // 2, 2).max(axis=(1, 3))
+    v = relaxed(v, al, f, smooth)
+    if coarser(*v.shape, least, levels):
+        coarse, closed = halved(v, al, f)
         e = v_cycle(np.zeros_like(coarse), closed, coarse, smooth, solve, least, levels - 1)
-        v = np.where(free, v + np.kron(e, np.ones((2, 2))), v)
+        v = doubled(v, al, e)
     else:
-        v = relax(v, solve)
-    return relax(v, smooth)
+        v = relaxed(v, al, f, solve)
+    return relaxed(v, al, f, smooth)
+
+
+def coarser(h: int, w: int, least: int, levels: int) -> bool:
+    """Whether a multigrid cycle goes on to half the size."""
+    return levels > 1 and min(h, w) >= 2 * least and h % 2 == 0 and w % 2 == 0
+
+
+def relaxed(v: np.ndarray, al: np.ndarray, f: np.ndarray, steps: int) -> np.ndarray:
+    """Damped Jacobi steps of Laplace(v) = f on the pixels not captured."""
+    for _ in range(steps):
+        v = np.where(al <= 0, 0.8 * (mean4(v) - 0.25 * f) + 0.2 * v, v)
+    return v
+
+
+def halved(v: np.ndarray, al: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of f, summed over 2 x 2 pixels, and where one of them is captured."""
+    return summed_up(np.where(al <= 0, f - 4 * (mean4(v) - v), 0.0), al)
+
+
+def summed_up(rest: np.ndarray, al: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of 2 x 2 pixels, and where one of them is captured."""
+    h, w = rest.shape
+    quarter = rest.reshape(h // 2, 2, w // 2, 2)
+    coarse = ((quarter[:, 0, :, 0] + quarter[:, 0, :, 1]) + quarter[:, 1, :, 0]) + quarter[:, 1, :, 1]
+    return coarse, al.reshape(h // 2, 2, w // 2, 2).max(axis=(1, 3))
+
+
+def doubled(v: np.ndarray, al: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """v with a correction of half the size added to the pixels not captured."""
+    return np.where(al <= 0, v + np.kron(e, np.ones((2, 2))), v)
 
 
 def conjugate_gradient(v: np.ndarray, al: np.ndarray, steps: int) -> np.ndarray:
@@ -267,7 +286,7 @@ def conjugate_gradient(v: np.ndarray, al: np.ndarray, steps: int) -> np.ndarray:
         return v
 
     def apply(u: np.ndarray) -> np.ndarray:
-        return np.where(free, 4 * (u - _mean4(u)), 0.0)
+        return np.where(free, 4 * (u - mean4(u)), 0.0)
 
     r = -apply(v)
     p, rr = r.copy(), float((r * r).sum())
@@ -290,27 +309,38 @@ def jump_flood(al: np.ndarray) -> np.ndarray:
     near ones the first, row by row.
     """
     h, w = al.shape
-    diagonal = float(np.hypot(w, h))
     y, x = np.indices(al.shape)
     sx, sy = np.where(al > 0, x, -1), np.where(al > 0, y, -1)
-    best = np.where(al > 0, 0.0, np.inf)
     stride = 1 << (max(w, h).bit_length() - 1)
     while stride >= 1:
-        nx, ny, nb = sx.copy(), sy.copy(), best.copy()
-        for oy in (-1, 0, 1):
-            for ox in (-1, 0, 1):
-                if ox == oy == 0:
-                    continue
-                yy, xx = y + oy * stride, x + ox * stride
-                inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
-                cx = np.where(inside, sx[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)], -1)
-                cy = np.where(inside, sy[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)], -1)
-                d = np.where(cx >= 0, (cx - x) ** 2.0 + (cy - y) ** 2.0, np.inf)
-                better = d < nb
-                nx, ny, nb = np.where(better, cx, nx), np.where(better, cy, ny), np.where(better, d, nb)
-        sx, sy, best = nx, ny, nb
+        near = []
+        for oy, ox in AROUND:
+            yy, xx = y + oy * stride, x + ox * stride
+            inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
+            near.append(tuple(np.where(inside, s[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)], -1) for s in (sx, sy)))
+        sx, sy = nearer(sx, sy, near, x, y)
         stride //= 2
-    return np.where(np.isinf(best), diagonal, np.sqrt(np.where(np.isinf(best), 0, best)) / diagonal)
+    return seed_distance(sx, sy, x, y, float(np.hypot(w, h)))
+
+
+#: Steps to the eight neighbours, row by row.
+AROUND = [(oy, ox) for oy in (-1, 0, 1) for ox in (-1, 0, 1) if ox or oy]
+
+
+def nearer(sx: np.ndarray, sy: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pixel's seed (-1: none) and its neighbours' the nearest one to its place, the first at ties."""
+    away = lambda cx, cy: np.where(cx >= 0, (cx - x) ** 2.0 + (cy - y) ** 2.0, np.inf)
+    best = away(sx, sy)
+    for cx, cy in near:
+        d = away(cx, cy)
+        better = d < best
+        sx, sy, best = np.where(better, cx, sx), np.where(better, cy, sy), np.where(better, d, best)
+    return sx, sy
+
+
+def seed_distance(sx: np.ndarray, sy: np.ndarray, x: np.ndarray, y: np.ndarray, diagonal: float) -> np.ndarray:
+    """Distance to the seed over the diagonal; the diagonal without one."""
+    return np.where(sx < 0, diagonal, np.sqrt((sx - x) ** 2.0 + (sy - y) ** 2.0) / diagonal)
 
 
 def smoothed(v: np.ndarray, radius: int, sigma: float) -> np.ndarray:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import depth as D
 from . import projection as P
 from . import raster as R
+from . import tiles as T
 from .cameras import camera_of_row
 from .tables import cut
 
@@ -80,11 +81,11 @@ def reconstructed(points: DataFrame, cameras: DataFrame, bins: DataFrame, width:
     return R.composited(layers, width, height, ("view",), span)
 
 
-def compared(holed: DataFrame, truth: DataFrame, methods: dict[str, int]) -> DataFrame:
-    """(method, mse, psnr) of filling a raster's holes by each method with so many steps, against the true raster (px, py, v from 0 to 255)."""
+def compared(holed: DataFrame, truth: DataFrame, width: int, height: int, methods: dict[str, int], tile: int = T.TILE) -> DataFrame:
+    """(method, mse, psnr) of filling a raster's holes by each method with so many steps, on tiles, against the true raster (px, py, v from 0 to 255)."""
     out = None
     for method, steps in methods.items():
-        done = R.solved(holed.withColumn("view", F.lit(0)), method, steps, ("view",)).select("px", "py", "v")
+        done = T.solved(holed.withColumn("view", F.lit(0)), method, steps, width, height, tile, ("view",)).select("px", "py", "v")
         score = R.psnr(truth.select("px", "py", "v"), done, ("v",)).select(F.lit(method).alias("method"), "mse", "psnr")
         out = score if out is None else out.unionByName(score)
     return out

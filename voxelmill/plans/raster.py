@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster as R
+from ..operators import tiles as T
 from .views import POINTS, RASTER, SIDE, micro, micros, points, raster
 
 
@@ -69,30 +70,38 @@ def distance_field(spark, d):
     return R.exact_distance(raster(spark, d), SIDE, SIDE).select("px", "py", micros(F.col("dist")).alias("dist"))
 
 
+#: Side of a tile of the solver queries: the raster is 4 x 4 of them.
+TILE = SIDE // 4
+
+
+def _solved(spark, d, method, steps):
+    return T.solved(raster(spark, d).withColumn("view", F.lit(0)), method, steps, SIDE, SIDE, TILE, ("view",))
+
+
 def sor_two_steps(spark, d):
-    return R.solved(raster(spark, d).withColumn("view", F.lit(0)), "sor", 2, ("view",)).select("px", "py", "v")
+    return _solved(spark, d, "sor", 2).select("px", "py", "v")
 
 
 def jacobi_two_steps(spark, d):
-    return R.solved(raster(spark, d).withColumn("view", F.lit(0)), "jacobi", 2, ("view",)).select("px", "py", "v")
+    return _solved(spark, d, "jacobi", 2).select("px", "py", "v")
 
 
 def jump_flood_distance(spark, d):
-    return R.solved(raster(spark, d).withColumn("view", F.lit(0)), "jfa", 0, ("view",)).select("px", "py", micros(F.col("v")).alias("dist"))
+    return _solved(spark, d, "jfa", 0).select("px", "py", micros(F.col("v")).alias("dist"))
 
 
 def multigrid(spark, d):
-    return R.solved(raster(spark, d).withColumn("view", F.lit(0)), "multigrid", 2, ("view",)).select("px", "py", "v")
+    return _solved(spark, d, "multigrid", 2).select("px", "py", "v")
 
 
 def two_grid(spark, d):
     """One multigrid cycle of two levels with two smoothing steps each."""
-    return R.solved(raster(spark, d).withColumn("view", F.lit(0)), "two_grid", 1, ("view",)).select("px", "py", micros(F.col("v")).alias("v"))
+    return _solved(spark, d, "two_grid", 1).select("px", "py", micros(F.col("v")).alias("v"))
 
 
 def conjugate_gradient(spark, d):
     """Two steps of conjugate gradients."""
-    return R.solved(raster(spark, d).withColumn("view", F.lit(0)), "cg", 2, ("view",)).select("px", "py", micros(F.col("v")).alias("v"))
+    return _solved(spark, d, "cg", 2).select("px", "py", micros(F.col("v")).alias("v"))
 
 
 def restrict_boundary(spark, d):
@@ -173,14 +182,14 @@ def fill_quality(spark, d):
     """How well each solver fills the holes of a slanted plane that is known where the raster is captured."""
     from ..operators import reconstruction as V
 
-    return V.compared(*_holed(spark, d), {"jacobi": 50, "sor": 50, "multigrid": 3}).select("method", micros(F.col("mse")).alias("mse"), micros(F.col("psnr")).alias("psnr"))
+    return V.compared(*_holed(spark, d), SIDE, SIDE, {"jacobi": 50, "sor": 50, "multigrid": 3}, TILE).select("method", micros(F.col("mse")).alias("mse"), micros(F.col("psnr")).alias("psnr"))
 
 
 def fill_quality_few_steps(spark, d):
     """The same after the few steps that SQL can follow."""
     from ..operators import reconstruction as V
 
-    return V.compared(*_holed(spark, d), {"jacobi": 2, "sor": 2, "two_grid": 1}).select("method", micros(F.col("mse")).alias("mse"), micros(F.col("psnr")).alias("psnr"))
+    return V.compared(*_holed(spark, d), SIDE, SIDE, {"jacobi": 2, "sor": 2, "two_grid": 1}, TILE).select("method", micros(F.col("mse")).alias("mse"), micros(F.col("psnr")).alias("psnr"))
 
 
 def image_stretched(spark, d):
