@@ -20,10 +20,12 @@ from ..functions import matrix as M
 from ..functions.color import unpack
 from ..functions.geometry import equirectangular, unwrapped
 from .cameras import camera_of_row
-from .tables import cut
+from .tables import Tables, cut
 
 #: Cameras that one pass over the points ships to all tasks.
 VIEWS = 256
+#: Cells along a cloud's longest side when views are culled, and (cell, view) pairs that are broadcast at most.
+CELLS, FEW_PAIRS = 48, 200_000
 #: Pixels of patches that a task works on at once.
 PIXELS = 1 << 20
 
@@ -38,15 +40,55 @@ def clipped(points: DataFrame, camera: dict) -> DataFrame:
     return points.withColumns({**{f"c{n}": v for n, v in zip("xyzw", clip)}, "d": -M.transform(camera["view"], _xyz())[2]})
 
 
-def seen_by(points: DataFrame, cameras: DataFrame) -> DataFrame:
-    """points once for each row of ``cameras`` (CAMERA_SCHEMA): what camera_of_row() needs to project them in all views at once.
+def seen_by(points: DataFrame, cameras: DataFrame, cells: int = CELLS) -> DataFrame:
+    """points once for each row of ``cameras`` (CAMERA_SCHEMA) that may see them: what camera_of_row() needs to project them in all views at once.
 
-    The cameras are a stated set of queries against all points; they are broadcast,
-    in passes of about VIEWS cameras each.
+    Points share a grid cell, so many along the cloud's longest side; cells meet
+    cameras, and a point follows only where its cell's box touches a frustum.
+    The test is one of planes: it may let a point through that no pixel shows, but
+    keeps back none that one does.  Points with a null or infinite coordinate, which
+    no frustum holds, are left out.  Cameras are a stated set of queries against all
+    points; they are broadcast, in passes of about VIEWS cameras each.
     """
+    tables = Tables(points.sparkSession)
+    celled = _celled(points, cells)
+    boxes = celled.groupBy("__cell").agg(*(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("low_", F.min), ("high_", F.max))))
+    boxes = tables.cut("boxes", boxes)  # at most cells ** 3 rows
     passes = max(1, -(-cameras.count() // VIEWS))
-    parts = [cameras.where(F.pmod(F.xxhash64("view"), F.lit(passes)) == k) for k in range(passes)]
-    return reduce(DataFrame.unionByName, [points.crossJoin(F.broadcast(part)) for part in parts])
+    found = []
+    for k in range(passes):
+        part = F.broadcast(cameras.where(F.pmod(F.xxhash64("view"), F.lit(passes)) == k))
+        touching = tables.cut(f"touching{k}", boxes.crossJoin(part).where(may_touch(camera_of_row())).select("__cell", "view"))
+        few = touching.count() <= FEW_PAIRS
+        found.append(celled.join(F.broadcast(touching) if few else touching, "__cell").join(part, "view").drop("__cell"))
+    return reduce(DataFrame.unionByName, found).select(*points.columns, *cameras.columns)
+
+
+def _celled(points: DataFrame, cells: int) -> DataFrame:
+    """points with finite coordinates, with the number of their cell of a cubic grid over them."""
+    finite = reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in "xyz"])
+    held = points.where(finite)
+    box = F.broadcast(held.agg(*(F.min(c).alias(f"__{c}0") for c in "xyz"), F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("__side")))  # one row
+    step = F.greatest(F.col("__side") / cells, F.lit(1e-300))
+    at = [F.least(F.floor((F.col(c) - F.col(f"__{c}0")) / step), F.lit(cells - 1)) for c in "xyz"]
+    return held.crossJoin(box).withColumn("__cell", (at[0] * cells + at[1]) * cells + at[2]).drop("__x0", "__y0", "__z0", "__side")
+
+
+def may_touch(camera: dict) -> Column:
+    """Whether a box (low_x .. high_z) is not wholly beyond one of the planes of the camera's frustum, with some room for rounding."""
+    row = [[camera["both"][4 * c + r] for c in range(4)] for r in range(4)]  # matrices are stored column by column
+    minus, plus = (lambda a, b: [x - y for x, y in zip(a, b)]), (lambda a, b: [x + y for x, y in zip(a, b)])
+    planes = [row[3], row[2], minus(row[3], row[2]), *(f(row[3], row[k]) for k in (0, 1) for f in (minus, plus))]
+    ends = [(F.col(f"low_{c}"), F.col(f"high_{c}")) for c in "xyz"]
+
+    def reached(plane: list[Column]) -> Column:
+        most, size = plane[3], F.abs(plane[3])
+        for k, (low, high) in zip(plane, ends):
+            most = most + F.greatest(k * low, k * high)
+            size = size + F.abs(k) * F.greatest(F.abs(low), F.abs(high))
+        return most >= size * -1e-9
+
+    return reduce(lambda a, b: a & b, map(reached, planes))
 
 
 def in_frustum() -> Column:
@@ -81,12 +123,14 @@ def density(points: DataFrame, camera: dict, width: int, height: int, by: tuple[
 
 
 def view_results(cameras: DataFrame, points: DataFrame, width: int, height: int, fov: float) -> DataFrame:
-    """A row for each view: file name, pose (q0 .. q3, t0 .. t2), intrinsics, points in view and their density; a view without points has null for both."""
+    """A row for each view: file name, pose (q0 .. q3, t0 .. t2), intrinsics, points in view and their density; where there are no points at all both are null."""
     from .cameras import colmap_pose_rows
 
     counted = density(seen_by(points, cameras), camera_of_row(), width, height, ("view",))
     k = M.intrinsics(F.lit(float(width)), F.lit(float(height)), F.lit(math.radians(fov)))
-    named = colmap_pose_rows(cameras).join(counted, "view", "left")
+    some = F.broadcast(points.agg((F.count("*") > 0).alias("some")))  # one row
+    named = colmap_pose_rows(cameras).join(counted, "view", "left").crossJoin(some)
+    named = named.withColumns({c: F.when(F.col("some"), F.coalesce(c, F.lit(0))) for c in ("in_view", "density")}).drop("some")
     return named.withColumns({"filename": F.format_string("image_%d.png", F.col("view") + 1), **k})
 
 

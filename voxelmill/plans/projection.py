@@ -142,6 +142,16 @@ def view_results(spark, d):
     return out.select("view", "filename", "in_view", *(micros(F.col(c)).alias(c) for c in ("density", "fx", "fy", "cx", "cy")), *(micros(F.abs(c)).alias(c) for c in ("q0", "q1", "q2", "q3")), *(micros(F.col(c)).alias(c) for c in ("t0", "t1", "t2")))
 
 
+#: Ten eyes within the cloud, so that each sees a part of it.
+INNER_EYES = {k: (3.0 + 0.3 * k - 1.5, 2.0 + 0.1 * (k * 7 % 10), 2.5 + (1.0 if k % 2 else -1.0) * (0.4 + 0.15 * k)) for k in range(10)}
+
+
+def culled_views(spark, d):
+    """How many points ten views within the cloud have in their frusta, and the nearest and farthest of them."""
+    seen = P.clipped(P.seen_by(points(spark, d), C.camera_rows(spark, INNER_EYES, TARGET, W, H, FOV, NEAR, FAR)), C.camera_of_row()).where(P.in_frustum())
+    return seen.groupBy("view").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"), micros(F.min("d")).alias("nearest"), micros(F.max("d")).alias("farthest"))
+
+
 def mean_density(spark, d):
     out = P.mean_density(P.view_results(two_cameras(spark), points(spark, d), W, H, FOV))
     return out.select(micros(F.col("mean_density")).alias("mean_density"), "views")
@@ -284,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cloud_bbox, cloud_recentred, cloud_up_axis, cloud_pack_color, cloud_unpack_color, cloud_quantised, camera_fibonacci, camera_tasks, camera_tight_range, camera_spherical_far, camera_poses, camera_poses_to_target, camera_intrinsics,
-        view_results, mean_density, frustum_pixels, frustum_density, frustum_depths, depth_range_pixels, sort_keys, sort_keys_spherical, equirectangular, spherical_raster, index_raster, disk_raster, gaussian_blend,
+        view_results, culled_views, mean_density, frustum_pixels, frustum_density, frustum_depths, depth_range_pixels, sort_keys, sort_keys_spherical, equirectangular, spherical_raster, index_raster, disk_raster, gaussian_blend,
         world_disk_raster, billboard_raster, world_gaussian_weights, quad_corners, spherical_corners, chunk_table, chunk_order, class_palette,
     )
 }
@@ -365,6 +375,7 @@ ORACLE_SQL = {
     "camera_poses": f"WITH {_POSES}, {_ROT} SELECT i, {_ENTRIES}, {micro('ex')} AS x, {micro('ey')} AS y, {micro('ez')} AS z FROM rot",
     "camera_poses_to_target": f"WITH {_POSES}, {_ROT} SELECT i, {_ENTRIES} FROM rot WHERE i > 0",
     "view_results": " UNION ALL ".join(_result_sql(k, e) for k, e in EYES.items()),
+    "culled_views": " UNION ALL ".join(f"SELECT * FROM (WITH {POINTS}, {sql_clip(eye=e)} SELECT {k} AS view, COUNT(*) AS n, CAST(SUM(point_id) AS BIGINT) AS ids, {micro('MIN(d)')} AS nearest, {micro('MAX(d)')} AS farthest FROM clip WHERE {SEEN} HAVING COUNT(*) > 0) s{k}" for k, e in INNER_EYES.items()),
     "mean_density": f"SELECT {micro('AVG(density)')} AS mean_density, COUNT(density) AS views FROM ({' UNION ALL '.join(f'(WITH {POINTS}, {sql_clip(eye=e)} SELECT COUNT(*) / {float(W * H)}e0 AS density FROM clip WHERE {SEEN} HAVING COUNT(*) > 0)' for e in EYES.values())}) s",
     "camera_intrinsics": f"SELECT 30 + 5 * range AS fov, {micro('256e0 / tan(radians(30 + 5 * range) / 2)')} AS fx, {micro('256e0 / tan(radians(30 + 5 * range) / 2)')} AS fy, 512000000 AS cx, 256000000 AS cy FROM range(14)",
     "frustum_pixels": f"WITH {_sql_clip()} SELECT px, py, point_id, z FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY px, py ORDER BY z, point_id) AS k FROM seen) s WHERE k = 1",
