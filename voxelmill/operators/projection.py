@@ -252,53 +252,143 @@ def facing_patch(df: DataFrame, camera: dict, basis: str = "facing") -> tuple[Da
     return normal_basis(df, [F.col(f"n{c}") for c in "xyz"], _xyz(), camera["eye"])
 
 
-def patches(points: DataFrame, camera: dict, size: float, width: int, height: int, basis: str = "facing", near: float | None = None, far: float | None = None) -> DataFrame:
-    """Fragments (px, py, z, r2) of square patches of half-width ``size`` in the world, at each point: pixels whose centre lies in the patch, with the squared distance r2 from its centre in half-widths.
-
-    A patch's corners are projected; as it is flat, depth and place on it follow from
-    the pixel by an inverse of the projected axes at its centre, without perspective
-    within a patch.  A point outside the frustum, or outside the closed depth range,
-    has none.  Pixels of a patch are bounded by its projected box, cut to the raster;
-    they are spread in numpy, a bounded number at a time.
-    """
-    visible = in_frustum() if near is None else in_frustum() & F.col("d").between(near, far)
-    df, right, up = facing_patch(clipped(points, camera).withColumn("__seen", visible), camera, basis)
-    df, centre = M.held(df, "__c", [(F.col("cx") / F.col("cw") + 1) * (width / 2), (1 - F.col("cy") / F.col("cw")) * (height / 2)])
-    for name, axis in (("__a", right), ("__b", up)):
-        df, tip = M.held(df, f"{name}t", M.transform(camera["both"], [p + a * size for p, a in zip(_xyz(), axis)]))
-        df, _ = M.held(df, name, [(tip[0] / tip[3] + 1) * (width / 2) - centre[0], (1 - tip[1] / tip[3]) * (height / 2) - centre[1]])
-    own = [c for c in df.columns if not c.startswith("__") and c not in ("px", "py", "r2", "z")]
-    placed = df.select(*own, (F.col("cz") / F.col("cw")).alias("z"), "__seen", "__c0", "__c1", "__a0", "__a1", "__b0", "__b1")
+def _spread(placed: DataFrame, own: list[str], boxes, width: int, height: int, solve) -> DataFrame:
+    """Fragments (own, z, px, py, r2): ``boxes`` gives the first column (which may run over the right edge, to go on at the left) and row and the extents that each of a batch's patches may cover, ``solve`` whether, where and how deep given pixels lie on given patches.  A bounded number of pixels is worked on at a time."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cx, cy, ax, ay, bx, by = (pdf[c].to_numpy(float, na_value=np.nan) for c in ("__c0", "__c1", "__a0", "__a1", "__b0", "__b1"))
-            det = ax * by - ay * bx
-            seen = pdf["__seen"].fillna(False).to_numpy(bool) & (np.abs(det) > 1e-12)
-            low, count = [], np.ones(len(pdf), np.int64)
-            for mid, reach, top in ((cx, np.abs(ax) + np.abs(bx), width), (cy, np.abs(ay) + np.abs(by), height)):
-                first = np.clip(np.ceil(np.where(seen, mid - reach, 0) - 0.5), 0, top).astype(np.int64)
-                last = np.clip(np.floor(np.where(seen, mid + reach, -1) - 0.5), -1, top - 1).astype(np.int64)
-                low.append((first, np.maximum(last - first + 1, 0)))
-                count = count * low[-1][1]
+            x0, y0, wide, high = boxes(pdf)
+            count = wide * high
             ends = np.cumsum(count)
             at = 0
-            while at < len(pdf):  # about PIXELS at a time
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIXELS, "right")))
+            while at < len(pdf):
+                done = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + PIXELS, "right")))
                 row = np.repeat(np.arange(at, to), count[at:to])
-                k = np.arange(len(row)) - np.repeat(ends[at:to] - count[at:to] - (ends[at - 1] if at else 0), count[at:to])
-                wide = np.maximum(low[0][1][row], 1)
-                px, py = low[0][0][row] + k % wide, low[1][0][row] + k // wide
-                dx, dy = px + 0.5 - cx[row], py + 0.5 - cy[row]
-                u, v = (dx * by[row] - dy * bx[row]) / det[row], (dy * ax[row] - dx * ay[row]) / det[row]
-                on = (np.abs(u) <= 1) & (np.abs(v) <= 1)
-                out = pdf[[*own, "z"]].iloc[row[on]].copy()
-                out["px"], out["py"], out["r2"] = px[on].astype(np.int32), py[on].astype(np.int32), (u * u + v * v)[on]
+                k = np.arange(len(row)) - np.repeat(ends[at:to] - count[at:to] - done, count[at:to])
+                px, py = (x0[row] + k % np.maximum(wide[row], 1)) % width, y0[row] + k // np.maximum(wide[row], 1)
+                u, v, z, on = solve(pdf, row, px, py)
+                on = np.flatnonzero(on & (np.abs(u) <= 1) & (np.abs(v) <= 1))
+                out = pdf[own].iloc[row[on]].copy()
+                out["z"], out["px"], out["py"], out["r2"] = z[on], px[on].astype(np.int32), py[on].astype(np.int32), (u * u + v * v)[on]
                 yield out
                 at = to
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*own, "z").schema)
-    return placed.mapInPandas(spread, f"{kinds}, px int, py int, r2 double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*own).schema)
+    return placed.mapInPandas(spread, f"{kinds}, z double, px int, py int, r2 double")
+
+
+def _numbers(pdf: pd.DataFrame, name: str, n: int) -> np.ndarray:
+    """Held columns of a batch as n rows of numbers."""
+    return np.stack([pdf[f"{name}{i}"].to_numpy(float, na_value=np.nan) for i in range(n)])
+
+
+def _whole(low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First pixel and number of pixels whose centre lies in [low, high], cut to the raster; none for NaN."""
+    ok = low <= high
+    first = np.clip(np.ceil(np.where(ok, low, size) - 0.5), 0, size).astype(np.int64)
+    last = np.clip(np.floor(np.where(ok, high, -1) - 0.5), -1, size - 1).astype(np.int64)
+    return first, np.maximum(last - first + 1, 0)
+
+
+def _turned(matrix: list[Column], v: list[Column]) -> list[Column]:
+    """A direction (not a place) by a matrix."""
+    return [sum((matrix[4 * c + r] * v[c] for c in range(1, 3)), matrix[r] * v[0]) for r in range(4)]
+
+
+def patches(points: DataFrame, camera: dict, size: float, width: int, height: int, basis: str = "facing", near: float | None = None, far: float | None = None) -> DataFrame:
+    """Fragments (px, py, z, r2) of square patches of half-width ``size`` in the world, at each point: pixels whose centre sees the patch, with the depth z = clip z / w there and the squared distance r2 from the patch's centre in half-widths.
+
+    Exact in perspective: a place on the patch, centre + u right + v up, has the clip
+    coordinates C + u A + v B, and a pixel at x, y of the screen sees the one with
+    (C + u A + v B).x = x (C + u A + v B).w and the same for y; depth follows from u and v.
+    A patch counts as a whole if its point's linear depth lies in the closed range
+    ``near`` to ``far``, if given; apart from that only what lies before the near plane,
+    beyond the far one or off the raster is cut off, wherever the centre is.  One
+    seen edge-on has no fragment, nor has one with a null coordinate.
+    """
+    df = clipped(points, camera)
+    df = df if near is None else df.where(F.col("d").between(near, far))
+    df, right, up = facing_patch(df, camera, basis)
+    sized = [[a * size for a in axis] for axis in (right, up)]
+    for name, values in (("__C", [F.col(f"c{c}") for c in "xyzw"]), ("__A", _turned(camera["both"], sized[0])), ("__B", _turned(camera["both"], sized[1]))):
+        df, _ = M.held(df, name, values)
+    own = [c for c in df.columns if not c.startswith("__") and c not in ("px", "py", "r2", "z")]
+    placed = df.select(*own, *(f"__{k}{i}" for k in "CAB" for i in range(4)))
+
+    def boxes(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        c, a, b = (_numbers(pdf, f"__{k}", 4) for k in "CAB")
+        corners = np.stack([c + u * a + v * b for u, v in ((-1, -1), (1, -1), (1, 1), (-1, 1))])  # corner, x y z w, row
+        following = np.roll(corners, -1, axis=0)
+        with np.errstate(all="ignore"):
+            t = corners[:, 2] / (corners[:, 2] - following[:, 2])
+            cut_ = corners + t[:, None] * (following - corners)  # where an edge meets the near plane
+            tips = np.concatenate([corners, cut_])
+            seen = np.concatenate([corners[:, 2] >= 0, (corners[:, 2] < 0) != (following[:, 2] < 0)]) & (tips[:, 3] > 0)
+            sx, sy = (tips[:, 0] / tips[:, 3] + 1) * (width / 2), (1 - tips[:, 1] / tips[:, 3]) * (height / 2)
+            ends = [(np.where(seen, v, np.inf).min(0) - 1e-6, np.where(seen, v, -np.inf).max(0) + 1e-6) for v in (sx, sy)]
+        (x0, wide), (y0, high) = _whole(*ends[0], width), _whole(*ends[1], height)
+        return x0, y0, wide, high
+
+    def solve(pdf: pd.DataFrame, row: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, ...]:
+        c, a, b = (_numbers(pdf, f"__{k}", 4)[:, row] for k in "CAB")
+        x, y = (px + 0.5) / (width / 2) - 1, 1 - (py + 0.5) / (height / 2)
+        a0, b0, c0 = a[0] - x * a[3], b[0] - x * b[3], x * c[3] - c[0]
+        a1, b1, c1 = a[1] - y * a[3], b[1] - y * b[3], y * c[3] - c[1]
+        det = a0 * b1 - a1 * b0
+        with np.errstate(all="ignore"):
+            u, v = (c0 * b1 - c1 * b0) / det, (a0 * c1 - a1 * c0) / det
+            w = c[3] + u * a[3] + v * b[3]
+            z = (c[2] + u * a[2] + v * b[2]) / w
+        return u, v, z, (np.abs(det) > 1e-12) & (w > 0) & (z >= 0) & (z <= 1)
+
+    return _spread(placed, own, boxes, width, height, solve)
+
+
+def spherical_patches(points: DataFrame, camera: dict, size: float, far: float, width: int, height: int, basis: str = "facing") -> DataFrame:
+    """The same on an equirectangular raster around the eye, with z = distance / far; what is farther than ``far`` isn't drawn.
+
+    A pixel is a direction, so a patch over the seam shows on both sides, and one over
+    a pole in every column; no patch is bent.  Rows that a patch may cover follow
+    from its angle as seen from the eye, columns from that and its latitude.
+    """
+    df, right, up = facing_patch(points, camera, basis)
+    for name, values in (("__C", M.transform(camera["view"], _xyz())[:3]), ("__A", _turned(camera["view"], right)[:3]), ("__B", _turned(camera["view"], up)[:3])):
+        df, _ = M.held(df, name, values)
+    own = [c for c in df.columns if not c.startswith("__") and c not in ("px", "py", "r2") and c != "depth"]
+    placed = df.select(*own, *(f"__{k}{i}" for k in "CAB" for i in range(3)))
+    own = [c for c in own if c != "z"]
+
+    def boxes(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        x, y, z = _numbers(pdf, "__C", 3)
+        with np.errstate(all="ignore"):
+            away = np.sqrt(x * x + y * y + z * z)
+            angle = np.where(away > size * math.sqrt(2), np.arcsin(np.minimum(1, size * math.sqrt(2) / away)), math.pi) + 1e-9
+            lat = np.where(away > 0, np.arcsin(np.clip(y / away, -1, 1)), 0.0)
+            over_pole = np.abs(lat) + angle >= math.pi / 2
+            reach = np.where(over_pole, math.pi, np.arcsin(np.minimum(1, np.sin(angle) / np.maximum(np.cos(lat), 1e-300))))
+            lon = np.arctan2(x, -z)
+            known = np.isfinite(away)
+            top, bottom = (1 - (lat + angle) / (math.pi / 2)) * (height / 2), (1 - (lat - angle) / (math.pi / 2)) * (height / 2)
+            y0, high = _whole(np.where(known, top, np.nan), bottom, height)
+            left = np.where(known, np.ceil(((lon - reach) / math.pi + 1) * (width / 2) - 0.5), 0)
+            last = np.where(known, np.floor(((lon + reach) / math.pi + 1) * (width / 2) - 0.5), -1)
+        wide = np.where(over_pole, width, np.clip(last - left + 1, 0, width)).astype(np.int64)
+        return np.where(over_pole, 0, left).astype(np.int64), y0, np.where(known, wide, 0), high
+
+    def solve(pdf: pd.DataFrame, row: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, ...]:
+        c, a, b = (_numbers(pdf, f"__{k}", 3)[:, row] for k in "CAB")
+        lon, lat = ((px + 0.5) / (width / 2) - 1) * math.pi, (1 - (py + 0.5) / (height / 2)) * (math.pi / 2)
+        ray = np.stack([np.cos(lat) * np.sin(lon), np.sin(lat), -np.cos(lat) * np.cos(lon)])
+        across = np.cross(a, b, axis=0)
+        slope = (ray * across).sum(0)
+        with np.errstate(all="ignore"):
+            t = (c * across).sum(0) / slope
+            place = t * ray - c
+            u, v = (place * a).sum(0) / size, (place * b).sum(0) / size
+        return u, v, t / far, (np.abs(slope) > 1e-12) & (t > 0) & (t <= far)
+
+    return _spread(placed, own, boxes, width, height, solve)
 
 
 def world_disks(points: DataFrame, camera: dict, size: float, width: int, height: int, basis: str = "facing", **depths) -> DataFrame:
@@ -306,6 +396,17 @@ def world_disks(points: DataFrame, camera: dict, size: float, width: int, height
     return patches(points, camera, size, width, height, basis, **depths).where("r2 <= 1")
 
 
+def panorama_disks(points: DataFrame, camera: dict, size: float, far: float, width: int, height: int, basis: str = "facing") -> DataFrame:
+    """Fragments of discs on an equirectangular raster."""
+    return spherical_patches(points, camera, size, far, width, height, basis).where("r2 <= 1")
+
+
+def panorama_gaussians(points: DataFrame, camera: dict, size: float, far: float, width: int, height: int, sigma: float = 0.4, cut_: float = 0.01) -> DataFrame:
+    """Fragments of Gaussians across the points' normals on an equirectangular raster, with their weight."""
+    weight = F.exp(-F.col("r2") / (2 * sigma * sigma))
+    return spherical_patches(points, camera, size, far, width, height, "normal").withColumn("weight", weight).where(F.col("weight") >= cut_)
+
+
 def world_gaussians(points: DataFrame, camera: dict, size: float, width: int, height: int, sigma: float = 0.4, cut_: float = 0.01, **depths) -> DataFrame:
     """Fragments of Gaussians across the points' normals, with their weight."""
     weight = F.exp(-F.col("r2") / (2 * sigma * sigma))

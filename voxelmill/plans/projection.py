@@ -16,6 +16,8 @@ from .views import POINTS, micro, micros, points
 
 W, H, FOV, NEAR, FAR = 64, 48, 60.0, 0.1, 50.0
 EYE, TARGET = (9.0, 6.0, 11.0), (3.0, 2.5, 2.5)
+#: An eye within the cloud; half-width of patches, and how far a panorama reaches.
+INNER_EYE, SIZE, REACH = (0.3, 2.2, 3.0), 0.4, 2.0
 
 
 EYES = {0: EYE, 1: (-4.0, 5.0, 9.0)}
@@ -211,8 +213,8 @@ def _with_normals(spark, d):
     return points(spark, d).withColumns(dict(zip(("nx", "ny", "nz"), n)))
 
 
-def _world(spark, d, basis, draw=P.world_disks):
-    out = draw(_with_normals(spark, d), _fixed_camera(spark), 0.4, W, H, basis) if basis else draw(_with_normals(spark, d).where("point_id % 5 > 0"), _fixed_camera(spark), 0.4, W, H)
+def _world(spark, d, basis=None, draw=P.world_disks):
+    out = draw(_with_normals(spark, d), _fixed_camera(spark), SIZE, W, H, *[basis] * bool(basis))
     return out.withColumn("z", micros(F.col("z")))
 
 
@@ -228,7 +230,28 @@ def billboard_raster(spark, d):
 
 def world_gaussian_weights(spark, d):
     """How many Gaussian fragments across normals each pixel has, and their weights' sum."""
-    return _world(spark, d, None, P.world_gaussians).groupBy("px", "py").agg(F.count("*").alias("n"), micros(F.sum("weight")).alias("weight"))
+    return _world(spark, d, draw=P.world_gaussians).groupBy("px", "py").agg(F.count("*").alias("n"), micros(F.sum("weight")).alias("weight"))
+
+
+def _inner_camera():
+    """A camera within the cloud, so that some patches cross its near plane, the seam behind it, and its poles."""
+    return C.fixed_camera(INNER_EYE, TARGET, W, H, FOV, NEAR, FAR)
+
+
+def inner_disk_raster(spark, d):
+    """Discs of a radius of 0.4 that face an eye among them."""
+    return P.z_buffer(P.world_disks(points(spark, d), _inner_camera(), SIZE, W, H).withColumn("z", micros(F.col("z")))).select("px", "py", "point_id", "z")
+
+
+def panorama_disk_raster(spark, d):
+    """The same discs on a panorama around that eye, up to a distance of 2."""
+    return P.z_buffer(P.panorama_disks(points(spark, d), _inner_camera(), SIZE, REACH, W, H).withColumn("z", micros(F.col("z")))).select("px", "py", "point_id", "z")
+
+
+def panorama_gaussian_weights(spark, d):
+    """How many Gaussian fragments across normals each pixel of that panorama has, and their weights' sum."""
+    out = P.panorama_gaussians(_with_normals(spark, d), _inner_camera(), SIZE, REACH, W, H)
+    return out.groupBy("px", "py").agg(F.count("*").alias("n"), micros(F.sum("weight")).alias("weight"))
 
 
 def quad_corners(spark, d):
@@ -295,7 +318,7 @@ QUERIES = {
     for f in (
         cloud_bbox, cloud_recentred, cloud_up_axis, cloud_pack_color, cloud_unpack_color, cloud_quantised, camera_fibonacci, camera_tasks, camera_tight_range, camera_spherical_far, camera_poses, camera_poses_to_target, camera_intrinsics,
         view_results, culled_views, mean_density, frustum_pixels, frustum_density, frustum_depths, depth_range_pixels, sort_keys, sort_keys_spherical, equirectangular, spherical_raster, index_raster, disk_raster, gaussian_blend,
-        world_disk_raster, billboard_raster, world_gaussian_weights, quad_corners, spherical_corners, chunk_table, chunk_order, class_palette,
+        world_disk_raster, billboard_raster, world_gaussian_weights, inner_disk_raster, panorama_disk_raster, panorama_gaussian_weights, quad_corners, spherical_corners, chunk_table, chunk_order, class_palette,
     )
 }
 _SPLAT = f"""{_sql_clip()}, o AS (SELECT a.range - 2 AS dx, b.range - 2 AS dy FROM range(5) a, range(5) b WHERE (a.range - 2) ** 2 + (b.range - 2) ** 2 <= 4),
@@ -319,45 +342,62 @@ def _result_sql(view, eye) -> str:
         {', '.join(micro(e) + f' AS q{k}' for k, e in enumerate(q))}, {', '.join(micro(e) + f' AS t{k}' for k, e in enumerate(t))} FROM clip WHERE {SEEN}) s{view}"""
 
 
-_AHEAD = f"e0 AS (SELECT *, {', '.join(f'({EYE[k]}e0 - {c}) AS g{c}' for k, c in enumerate('xyz'))} FROM points), e1 AS (SELECT *, {', '.join(f'g{c} / sqrt(gx * gx + gy * gy + gz * gz) AS a{c}' for c in 'xyz')} FROM e0)"
+def _ahead(eye=EYE) -> str:
+    return f"e0 AS (SELECT *, {', '.join(f'({eye[k]}e0 - {c}) AS g{c}' for k, c in enumerate('xyz'))} FROM points), e1 AS (SELECT *, {', '.join(f'g{c} / sqrt(gx * gx + gy * gy + gz * gz) AS a{c}' for c in 'xyz')} FROM e0)"
 
 
-def _basis(ahead: str, up: str) -> str:
+def _basis(ahead: str, up: str, eye=EYE) -> str:
     """right = up x ahead, made a unit vector, and ahead x right, of a table e2 with ahead m and up w."""
-    return f"""{_AHEAD}, e2 AS (SELECT *, {ahead}, {up} FROM (SELECT *, {', '.join(f'CASE WHEN point_id % 5 = 0 THEN 0e0 ELSE ((point_id * {m}) % 41 - 20) / 20e0 END AS n{c}' for c, m in zip('xyz', (7, 13, 29)))} FROM e1) q),
+    return f"""{_ahead(eye)}, e2 AS (SELECT *, {ahead}, {up} FROM (SELECT *, {', '.join(f'CASE WHEN point_id % 5 = 0 THEN 0e0 ELSE ((point_id * {m}) % 41 - 20) / 20e0 END AS n{c}' for c, m in zip('xyz', (7, 13, 29)))} FROM e1) q),
     e3 AS (SELECT *, wy * mz - wz * my AS sx, wz * mx - wx * mz AS sy, wx * my - wy * mx AS sz FROM e2),
     e4 AS (SELECT *, {', '.join(f's{c} / sqrt(sx * sx + sy * sy + sz * sz) AS r{c}' for c in 'xyz')} FROM e3),
     based AS (SELECT *, my * rz - mz * ry AS ux, mz * rx - mx * rz AS uy, mx * ry - my * rx AS uz FROM e4)"""
 
 
-_FACING = _basis("ax AS mx, ay AS my, az AS mz", "CASE WHEN ABS(ay) > 0.99e0 THEN 1e0 ELSE 0e0 END AS wx, CASE WHEN ABS(ay) > 0.99e0 THEN 0e0 ELSE 1e0 END AS wy, 0e0 AS wz")
+def _facing(eye=EYE) -> str:
+    return _basis("ax AS mx, ay AS my, az AS mz", "CASE WHEN ABS(ay) > 0.99e0 THEN 1e0 ELSE 0e0 END AS wx, CASE WHEN ABS(ay) > 0.99e0 THEN 0e0 ELSE 1e0 END AS wy, 0e0 AS wz", eye)
+
+
+_FACING = _facing()
 _LEN = "sqrt(nx * nx + ny * ny + nz * nz)"
 _TURNED = {c: f"CASE WHEN {_LEN} >= 0.001e0 THEN n{c} / {_LEN} * CASE WHEN nx / {_LEN} * ax + ny / {_LEN} * ay + nz / {_LEN} * az < 0 THEN -1e0 ELSE 1e0 END ELSE a{c} END" for c in "xyz"}
-_GUARDED = _basis(", ".join(f"{e} AS m{c}" for c, e in _TURNED.items()), f"0e0 AS wx, CASE WHEN ABS({_TURNED['y']}) > 0.99e0 THEN 0e0 ELSE 1e0 END AS wy, CASE WHEN ABS({_TURNED['y']}) > 0.99e0 THEN 1e0 ELSE 0e0 END AS wz")
+
+
+def _guarded(eye=EYE) -> str:
+    return _basis(", ".join(f"{e} AS m{c}" for c, e in _TURNED.items()), f"0e0 AS wx, CASE WHEN ABS({_TURNED['y']}) > 0.99e0 THEN 0e0 ELSE 1e0 END AS wy, CASE WHEN ABS({_TURNED['y']}) > 0.99e0 THEN 1e0 ELSE 0e0 END AS wz", eye)
+
+
+_GUARDED = _guarded()
 _CORNER_ROWS = "(VALUES (0, -1, -1), (1, 1, -1), (2, -1, 1), (3, -1, 1), (4, 1, -1), (5, 1, 1)) c(k, u, v)"
 
 
-def _patches(basis: str) -> str:
-    """Fragments fr (point_id, px, py, z, u, v) of patches with a half-width of 0.4, found among all pixels around the centre."""
-    _, fx, fy, a, b = _constants()
+def _patches(basis: str, eye=EYE, panorama: bool = False) -> str:
+    """Fragments fr (point_id, px, py, z, u, v) of patches with a half-width of SIZE: a pixel's ray meets the patch's plane."""
+    view, fx, fy, a, b = _constants(eye)
+    turned = lambda k: ", ".join(" + ".join(f"({row[i]!r}e0) * {k}{c}" for i, c in enumerate("xyz")) + f" AS {k}{n}" for n, row in enumerate(view))
+    reach = SIZE * math.sqrt(2) * 1.000001
+    x, y = f"((gx.range + 0.5e0) / {W / 2}e0 - 1e0)", f"(1e0 - (gy.range + 0.5e0) / {H / 2}e0)"
+    if panorama:
+        rays = f"cos({y} * pi() / 2) * sin({x} * pi()) AS d0, sin({y} * pi() / 2) AS d1, -cos({y} * pi() / 2) * cos({x} * pi()) AS d2"
+        depth, shown = f"t / {REACH}e0", f"t <= {REACH}e0"
+    else:
+        rays = f"{x} / ({fx!r}e0) AS d0, {y} / ({fy!r}e0) AS d1, -1e0 AS d2"
+        depth, shown = f"(({a!r}e0) * (-t) + ({b!r}e0)) / t", f"({a!r}e0) * (-t) + ({b!r}e0) BETWEEN 0 AND t"
+    dot = lambda p, q: " + ".join(f"{p}{i} * {q}{i}" for i in range(3))
+    return f"""{POINTS}, {basis}, vw AS (SELECT point_id, las_class, {', '.join(f'{v} AS c{k}' for k, v in enumerate(sql_view(eye)))}, {turned('r')}, {turned('u')} FROM based),
+    pl AS (SELECT *, r1 * u2 - r2 * u1 AS n0, r2 * u0 - r0 * u2 AS n1, r0 * u1 - r1 * u0 AS n2 FROM vw), py_ AS (SELECT gx.range AS px, gy.range AS py, {rays} FROM range({W}) gx, range({H}) gy),
+    near AS (SELECT * FROM pl JOIN py_ ON {dot('c', 'c')} <= {reach * reach!r}e0 OR {dot('c', 'c')} - ({dot('c', 'd')}) * ABS({dot('c', 'd')}) / ({dot('d', 'd')}) <= {reach * reach!r}e0),
+    hit AS (SELECT *, ({dot('c', 'n')}) / ({dot('d', 'n')}) AS t FROM near WHERE ABS({dot('d', 'n')}) > 1e-12),
+    uv AS (SELECT *, ((t * d0 - c0) * r0 + (t * d1 - c1) * r1 + (t * d2 - c2) * r2) / {SIZE}e0 AS u, ((t * d0 - c0) * u0 + (t * d1 - c1) * u1 + (t * d2 - c2) * u2) / {SIZE}e0 AS v FROM hit WHERE t > 0 AND {shown}),
+    fr AS (SELECT point_id, px, py, {micro(depth)} AS z, u, v FROM uv WHERE ABS(u) <= 1 AND ABS(v) <= 1)"""
 
-    def clip(at) -> list[str]:
-        v = sql_view(at=at)
-        return [f"(({fx!r}e0) * ({v[0]}))", f"(({fy!r}e0) * ({v[1]}))", f"(-({v[2]}))"]
 
-    tips = {k: clip([f"({c} + {k}{c} * 0.4e0)" for c in "xyz"]) for k in "ru"}
-    at = {k: (f"(({t[0]}) / ({t[2]}) + 1e0) * {W / 2}e0", f"(1e0 - ({t[1]}) / ({t[2]})) * {H / 2}e0") for k, t in tips.items()}
-    return f"""{POINTS}, {basis}, {sql_clip("based")},
-    pc AS (SELECT *, (cx / cw + 1e0) * {W / 2}e0 AS mx0, (1e0 - cy / cw) * {H / 2}e0 AS my0 FROM clip WHERE {SEEN}),
-    ax0 AS (SELECT point_id, las_class, mx0, my0, cz / cw AS zz, ({at['r'][0]}) - mx0 AS p0, ({at['r'][1]}) - my0 AS p1, ({at['u'][0]}) - mx0 AS q0, ({at['u'][1]}) - my0 AS q1 FROM pc),
-    ax1 AS (SELECT *, p0 * q1 - p1 * q0 AS det FROM ax0 WHERE ABS(p0 * q1 - p1 * q0) > 1e-12),
-    cand AS (SELECT a.*, gx.range AS px, gy.range AS py FROM ax1 a JOIN range({W}) gx ON gx.range + 0.5e0 BETWEEN mx0 - ABS(p0) - ABS(q0) - 1 AND mx0 + ABS(p0) + ABS(q0) + 1 JOIN range({H}) gy ON gy.range + 0.5e0 BETWEEN my0 - ABS(p1) - ABS(q1) - 1 AND my0 + ABS(p1) + ABS(q1) + 1),
-    uv AS (SELECT *, ((px + 0.5e0 - mx0) * q1 - (py + 0.5e0 - my0) * q0) / det AS u, ((py + 0.5e0 - my0) * p0 - (px + 0.5e0 - mx0) * p1) / det AS v FROM cand),
-    fr AS (SELECT point_id, px, py, {micro('zz')} AS z, u, v FROM uv WHERE ABS(u) <= 1 AND ABS(v) <= 1)"""
+def _patch_sql(patches: str, *more: str) -> str:
+    return f"WITH {patches} SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, point_id{''.join(', ' + c for c in more)} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY px, py ORDER BY z, point_id) AS k FROM fr WHERE u * u + v * v <= 1) s WHERE k = 1"
 
 
-def _patch_sql(basis: str, where: str) -> str:
-    return f"WITH {_patches(basis)} SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, point_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY px, py ORDER BY z, point_id) AS k FROM fr {where}) s WHERE k = 1"
+def _weight_sql(patches: str) -> str:
+    return f"WITH {patches} SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, COUNT(*) AS n, {micro('SUM(exp(-(u * u + v * v) / 0.32e0))')} AS weight FROM fr WHERE exp(-(u * u + v * v) / 0.32e0) >= 0.01 GROUP BY px, py"
 
 
 ORACLE_SQL = {
@@ -395,9 +435,12 @@ ORACLE_SQL = {
         acc AS (SELECT px, py, k, r * w AS r, g * w AS g, b * w AS b, w AS a FROM fr WHERE k = 1
             UNION ALL SELECT f.px, f.py, f.k, f.r * f.w + c.r * (1 - f.w), f.g * f.w + c.g * (1 - f.w), f.b * f.w + c.b * (1 - f.w), f.w + c.a * (1 - f.w) FROM acc c JOIN fr f ON f.px = c.px AND f.py = c.py AND f.k = c.k + 1)
         SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, {micro('r')} AS r, {micro('g')} AS g, {micro('b')} AS b, {micro('a')} AS a FROM (SELECT *, MAX(k) OVER (PARTITION BY px, py) AS top FROM acc) s WHERE k = top""",
-    "world_disk_raster": _patch_sql(_FACING, "WHERE u * u + v * v <= 1"),
-    "billboard_raster": _patch_sql(_GUARDED, "WHERE u * u + v * v <= 1"),
-    "world_gaussian_weights": f"WITH {_patches(_GUARDED)} SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, COUNT(*) AS n, {micro('SUM(exp(-(u * u + v * v) / 0.32e0))')} AS weight FROM fr WHERE point_id % 5 > 0 AND exp(-(u * u + v * v) / 0.32e0) >= 0.01 GROUP BY px, py",
+    "world_disk_raster": _patch_sql(_patches(_FACING)),
+    "billboard_raster": _patch_sql(_patches(_GUARDED)),
+    "world_gaussian_weights": _weight_sql(_patches(_GUARDED)),
+    "inner_disk_raster": _patch_sql(_patches(_facing(INNER_EYE), INNER_EYE), "z"),
+    "panorama_disk_raster": _patch_sql(_patches(_facing(INNER_EYE), INNER_EYE, True), "z"),
+    "panorama_gaussian_weights": _weight_sql(_patches(_guarded(INNER_EYE), INNER_EYE, True)),
     "quad_corners": " UNION ALL ".join(
         f"SELECT * FROM (WITH {POINTS}, {basis} SELECT '{kind}' AS kind, point_id, CAST(c.k AS INT) AS corner, {', '.join(micro(f'{a} + (r{a} * c.u + u{a} * c.v) * 0.1e0') + f' AS q{a}' for a in 'xyz')} FROM based, {_CORNER_ROWS}) s" for kind, basis in (("facing", _FACING), ("normal", _GUARDED))
     ),
