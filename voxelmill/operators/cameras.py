@@ -22,9 +22,20 @@ def fibonacci(spark: SparkSession, n: int, radius: float = 1.0, target: tuple[fl
     return spark.range(n).where(y >= 0).select(F.col("id").alias("i"), (target[0] + radius * r * F.cos(turn)).alias("x"), (target[1] + radius * y).alias("y"), (target[2] + radius * r * F.sin(turn)).alias("z"))
 
 
-def overhead(spark: SparkSession, n: int, radius: float = 1.0, target: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """(i, x, y, z): n equal poses straight above the target, for trials."""
-    return spark.range(n).select(F.col("id").alias("i"), F.lit(float(target[0])).alias("x"), F.lit(float(target[1] + radius)).alias("y"), F.lit(float(target[2])).alias("z"))
+def hemispheres(targets: DataFrame) -> DataFrame:
+    """(target_id, i, x, y, z): around each target (target_id, tx, ty, tz, n, radius) the upper half of its n points on a sphere; a target that asks for fewer than two has none."""
+    y = 1.0 - F.col("i") / (F.col("n") - 1) * 2.0
+    turn = F.col("i") * F.lit(math.pi * (3.0 - math.sqrt(5.0)))
+    r = F.sqrt(1.0 - F.col("up") * F.col("up"))
+    rows = targets.where("n >= 2").withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 2).cast("int")))).withColumn("up", y)
+    placed = {"x": F.col("tx") + F.col("radius") * r * F.cos(turn), "y": F.col("ty") + F.col("radius") * F.col("up"), "z": F.col("tz") + F.col("radius") * r * F.sin(turn)}
+    return rows.select("target_id", "i", *(v.alias(c) for c, v in placed.items()))
+
+
+def overhead(targets: DataFrame) -> DataFrame:
+    """(target_id, i, x, y, z): for each target (target_id, tx, ty, tz, n, radius) n equal poses straight above it, for trials."""
+    rows = targets.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return rows.select("target_id", "i", F.col("tx").alias("x"), (F.col("ty") + F.col("radius")).alias("y"), F.col("tz").alias("z"))
 
 
 def tasks(spark: SparkSession, targets: DataFrame, n: int, radius: float = 1.0) -> DataFrame:

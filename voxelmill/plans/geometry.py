@@ -51,9 +51,11 @@ def near_target(spark, d):
 
 
 def counts_to_keep(spark, d):
+    """How many of each customer's orders some ways of thinning keep."""
     n = F.col("n")
     ways = {"half": geometry.count_for(n, percent=50), "quarter": geometry.count_for(n, percent=25), "few": geometry.count_for(n, keep=7), "less": geometry.count_for(n, remove=12)}
-    return spark.range(60).select(F.col("id").alias("n")).select("n", *(c.cast("long").alias(k) for k, c in ways.items()))
+    clouds = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return clouds.select("o_custkey", "n", *(c.cast("long").alias(k) for k, c in ways.items()))
 
 
 def file_names(spark, d):
@@ -110,31 +112,39 @@ def perspective_cameras(spark, d):
     return _named(df, ["i"], (("near", "far"), [camera["near"], camera["far"]]), (("cx", "cy", "cz", "cw"), clip))
 
 
+def _eyes(spark, d):
+    """Each point with an eye of its own, not above the target."""
+    k = F.col("point_id")
+    eye = {"x": TARGET[0] + 4.0 + k % 5, "y": TARGET[1] + k % 9 * 0.5, "z": TARGET[2] + k % 7 - 3.0}
+    return points(spark, d).withColumnsRenamed({c: f"p{c}" for c in "xyz"}).withColumns(eye)
+
+
 def pose_projections(spark, d):
-    """Clip coordinates of points by a pose and intrinsics in the convention with y down, built from each camera's own."""
-    eye = _xyz()
-    df, q, t = M.colmap_pose_to_target(C.fibonacci(spark, 20, 8.0, TARGET).where("i > 0"), eye, M.lit(*TARGET))
+    """Clip coordinates of points by a pose and intrinsics in the convention with y down, built from each point's own camera."""
+    df, q, t = M.colmap_pose_to_target(_eyes(spark, d), _xyz(), M.lit(*TARGET))
     k = M.intrinsics(F.lit(float(W)), F.lit(float(H)), F.lit(math.radians(FOV)))
     projection = M.projection_of_colmap(k["fx"], k["fy"], k["cx"], k["cy"], F.lit(float(W)), F.lit(float(H)), F.lit(NEAR), F.lit(FAR))
-    clip = M.transform(M.multiply(projection, M.view_of_colmap(q, t)), M.lit(1, 2, 3))
-    return _named(df, ["i"], (("cx", "cy", "cz", "cw"), clip))
+    clip = M.transform(M.multiply(projection, M.view_of_colmap(q, t)), [F.col(f"p{c}") for c in "xyz"])
+    return _named(df, ["point_id"], (("cx", "cy", "cz", "cw"), clip))
 
 
 def frustum_corners(spark, d):
-    """Five vertices of each camera's pyramid."""
-    eye = _xyz()
-    df, q, t = M.colmap_pose_to_target(C.fibonacci(spark, 20, 8.0, TARGET).where("i > 0"), eye, M.lit(*TARGET))
-    vertices = C.frustum_mesh(q, t, 0.5)
-    return _named(df, ["i"], *[([f"{c}{k}" for c in "xyz"], v) for k, v in enumerate(vertices)])
+    """Five vertices of the pyramid of each of those cameras."""
+    df, q, t = M.colmap_pose_to_target(_eyes(spark, d), _xyz(), M.lit(*TARGET))
+    return _named(df, ["point_id"], *[([f"{c}{k}" for c in "xyz"], v) for k, v in enumerate(C.frustum_mesh(q, t, 0.5))])
 
 
 def overhead_poses(spark, d):
-    return _named(C.overhead(spark, 5, 3.0, TARGET), ["i"], ("xyz", _xyz()))
+    """Poses above each supplier's target, for trials."""
+    k = F.col("s_suppkey")
+    targets = table(spark, d, "supplier").select(k.alias("target_id"), (k % 7 * 0.5).alias("tx"), F.lit(1.5).alias("ty"), (k % 11 * 0.25).alias("tz"), (k % 4).cast("int").alias("n"), (k % 3 + 1.0).alias("radius"))
+    return _named(C.overhead(targets), ["target_id", "i"], ("xyz", _xyz()))
 
 
 def orbit_eyes(spark, d):
-    k = F.col("id").cast("double")
-    return _named(spark.range(90), ["id"], ("xyz", C.orbit(M.lit(*TARGET), F.lit(4.0) + k / 10, k / 7, k / 100)))
+    """Eyes around each point, by its id's turns."""
+    k = (F.col("point_id") % 628).cast("double")
+    return _named(points(spark, d), ["point_id"], ("xyz", C.orbit(_xyz(), F.lit(4.0) + k / 10, k / 7, k / 100)))
 
 
 QUERIES = {f.__name__: f for f in (survey_decoded, swizzled_normals, color_depths, drawn_color, near_target, counts_to_keep, file_names, matrix_products, quaternion_turns, inverse_projections, ortho_pixels, perspective_cameras, pose_projections, frustum_corners, overhead_poses, orbit_eyes)}
@@ -159,6 +169,7 @@ def _axes(source: str, steep: bool) -> str:
     axes AS (SELECT *, ay * sz - az * sy AS wx, az * sx - ax * sz AS wy, ax * sy - ay * sx AS wz FROM a3)"""
 
 
+_EYES = f"{POINTS}, e AS (SELECT *, {TARGET[0]}e0 + 4 + point_id % 5 AS ex, {TARGET[1]}e0 + point_id % 9 * 0.5e0 AS ey, {TARGET[2]}e0 + point_id % 7 - 3 AS ez FROM points)"
 _F = 1 / math.tan(math.radians(FOV) / 2)
 _PACK = " + ".join(f"(CAST(FLOOR({c} / {m}e0 * 255 + 0.5e0) AS BIGINT) & 255) * {k}" for c, m, k in (("x", 6.0, 1), ("y", 5.0, 256), ("z", 5.0, 65536))) + f" + {255 << 24}"
 _ALONG = [f"((x{i} - ex) * ax + (y{j} - ey) * ay + (z{k} - ez) * az)" for i in (0, 1) for j in (0, 1) for k in (0, 1)]
@@ -171,7 +182,7 @@ ORACLE_SQL = {
     "drawn_color": f"""WITH {POINTS}, w AS (SELECT point_id, CASE point_id % 3 WHEN 1 THEN point_id % 256 + point_id % 100 * 256 + point_id % 7 * 65536 + {255 << 24} WHEN 2 THEN 9 + point_id % 50 * 256 + 200 * 65536 + {255 << 24} ELSE {_PACK} END AS word FROM points)
         SELECT point_id, word, {_millionths(r='(word & 255) / 255e0', g='((word >> 8) & 255) / 255e0', b='((word >> 16) & 255) / 255e0')} FROM w""",
     "near_target": f"WITH {POINTS} SELECT sqrt((x - {TARGET[0]}e0) ** 2 + (y - {TARGET[1]}e0) ** 2 + (z - {TARGET[2]}e0) ** 2) < 0.7e0 AS is_target, COUNT(*) AS n FROM points GROUP BY 1",
-    "counts_to_keep": "SELECT range AS n, GREATEST(1, CAST(round_even(range * 0.5e0, 0) AS BIGINT)) AS half, GREATEST(1, CAST(round_even(range * 0.25e0, 0) AS BIGINT)) AS quarter, LEAST(range, 7) AS few, GREATEST(0, range - 12) AS less FROM range(60)",
+    "counts_to_keep": "SELECT o_custkey, n, GREATEST(1, CAST(round_even(n * 0.5e0, 0) AS BIGINT)) AS half, GREATEST(1, CAST(round_even(n * 0.25e0, 0) AS BIGINT)) AS quarter, LEAST(n, 7) AS few, GREATEST(0, n - 12) AS less FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) c",
     "file_names": f"WITH {POINTS} SELECT point_id, 'image_' || (point_id + 1) || '_' || x || '_' || y || '_' || z || '.png' AS image, 'cloud' || point_id || '_classified.las' AS cloud FROM points",
     "matrix_products": f"""WITH {POINTS}, a AS (SELECT *, x * cos(0.5e0) - y * sin(0.5e0) AS xa, x * sin(0.5e0) + y * cos(0.5e0) AS ya, z AS za FROM points), b AS (SELECT *, xa * cos(-0.4e0) + za * sin(-0.4e0) AS xb, ya AS yb, za * cos(-0.4e0) - xa * sin(-0.4e0) AS zb FROM a),
         c AS (SELECT *, xb AS x2, yb * cos(0.3e0) - zb * sin(0.3e0) AS y2, yb * sin(0.3e0) + zb * cos(0.3e0) AS z2 FROM b) SELECT point_id, {_millionths(**_RX)} FROM c""",
@@ -183,9 +194,9 @@ ORACLE_SQL = {
         s AS (SELECT point_id, {PIXEL}, {micro('cz')} AS z FROM (SELECT point_id, -cx AS cx, cy, cz, cw FROM o) o2 WHERE {SEEN}) SELECT px, py, point_id, z FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY px, py ORDER BY z, point_id) AS k FROM s) q WHERE k = 1""",
     "perspective_cameras": f"""WITH {POINTS}, {_BOX}, {_fibonacci(64)}, {_axes('e', True)}, m AS (SELECT *, GREATEST(LEAST({', '.join(_ALONG)}) / 1.1e0, 0.001e0) AS nr, GREATEST({', '.join(_ALONG)}) * 1.1e0 AS fr0 FROM axes, b), m2 AS (SELECT *, GREATEST(fr0, nr + 0.01e0) AS fr, (x0 - ex) * sx + (y0 - ey) * sy + (z0 - ez) * sz AS p, (x0 - ex) * wx + (y0 - ey) * wy + (z0 - ez) * wz AS q, (x0 - ex) * ax + (y0 - ey) * ay + (z0 - ez) * az AS o FROM m)
         SELECT i, {_millionths(near='nr', far='fr', cx=f'p * {_F / (W / H)!r}e0', cy=f'-q * {_F!r}e0', cz='(o - nr) * fr / (fr - nr)', cw='o')} FROM m2""",
-    "pose_projections": f"""WITH {_fibonacci(20)}, {_axes('e', False)}, m AS (SELECT *, (1 - ex) * sx + (2 - ey) * sy + (3 - ez) * sz AS p, (1 - ex) * wx + (2 - ey) * wy + (3 - ez) * wz AS q, (1 - ex) * ax + (2 - ey) * ay + (3 - ez) * az AS o FROM axes WHERE i > 0)
-        SELECT i, {_millionths(cx=f'p * {_F / (W / H)!r}e0', cy=f'-q * {_F!r}e0', cz=f'(o - {NEAR}e0) * {FAR}e0 / ({FAR}e0 - {NEAR}e0)', cw='o')} FROM m""",
-    "frustum_corners": f"""WITH {_fibonacci(20)}, {_axes('e', False)} SELECT i, {_millionths(**{f'{c}{k}': f'e{c} + 0.5e0 * ({u} * {r}x + {v} * {r}y + {2 if k else 0} * {r}z)' for k, (u, v) in enumerate(((0, 0), (1, 1), (1, -1), (-1, -1), (-1, 1))) for c, r in zip('xyz', 'swa')})} FROM axes WHERE i > 0""",
-    "overhead_poses": f"SELECT range AS i, {_millionths(x=f'{TARGET[0]}e0', y=f'{TARGET[1] + 3.0}e0', z=f'{TARGET[2]}e0')} FROM range(5)",
-    "orbit_eyes": f"SELECT range AS id, {_millionths(x=f'{TARGET[0]}e0 + (4 + range / 10e0) * cos(range / 100e0) * sin(range / 7e0)', y=f'{TARGET[1]}e0 + (4 + range / 10e0) * sin(range / 100e0)', z=f'{TARGET[2]}e0 + (4 + range / 10e0) * cos(range / 100e0) * cos(range / 7e0)')} FROM range(90)",
+    "pose_projections": f"""WITH {_EYES}, {_axes('e', False)}, m AS (SELECT *, (x - ex) * sx + (y - ey) * sy + (z - ez) * sz AS p, (x - ex) * wx + (y - ey) * wy + (z - ez) * wz AS q, (x - ex) * ax + (y - ey) * ay + (z - ez) * az AS o FROM axes)
+        SELECT point_id, {_millionths(cx=f'p * {_F / (W / H)!r}e0', cy=f'-q * {_F!r}e0', cz=f'(o - {NEAR}e0) * {FAR}e0 / ({FAR}e0 - {NEAR}e0)', cw='o')} FROM m""",
+    "frustum_corners": f"""WITH {_EYES}, {_axes('e', False)} SELECT point_id, {_millionths(**{f'{c}{k}': f'e{c} + 0.5e0 * ({u} * {r}x + {v} * {r}y + {2 if k else 0} * {r}z)' for k, (u, v) in enumerate(((0, 0), (1, 1), (1, -1), (-1, -1), (-1, 1))) for c, r in zip('xyz', 'swa')})} FROM axes""",
+    "overhead_poses": f"SELECT s_suppkey AS target_id, CAST(i AS INT) AS i, {_millionths(x='s_suppkey % 7 * 0.5e0', y='2.5e0 + s_suppkey % 3', z='s_suppkey % 11 * 0.25e0')} FROM (SELECT s_suppkey, unnest(range(s_suppkey % 4)) AS i FROM supplier) s",
+    "orbit_eyes": f"WITH {POINTS} SELECT point_id, {_millionths(x='x + (4 + k / 10) * cos(k / 100) * sin(k / 7)', y='y + (4 + k / 10) * sin(k / 100)', z='z + (4 + k / 10) * cos(k / 100) * cos(k / 7)')} FROM (SELECT *, point_id % 628 * 1e0 AS k FROM points) p",
 }

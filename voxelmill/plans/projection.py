@@ -12,7 +12,7 @@ from ..functions import matrix as M
 from ..operators import cameras as C
 from ..operators import projection as P
 from ..operators.cloud import numbered
-from .views import POINTS, micro, micros, points
+from .views import POINTS, micro, micros, points, table
 
 W, H, FOV, NEAR, FAR = 64, 48, 60.0, 0.1, 50.0
 EYE, TARGET = (9.0, 6.0, 11.0), (3.0, 2.5, 2.5)
@@ -99,13 +99,20 @@ def cloud_quantised(spark, d):
     return q.select("point_id", "qx", "qy", "qz", *(micros(geometry.from_mm(F.col(f"q{c}"), F.col(f"{c}0"))).alias(c) for c in "xyz"))
 
 
+def _targets(spark, d):
+    """A target for each supplier, how many poses it asks for and how far away."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(k.cast("int").alias("target_id"), (k % 7 * 0.5).alias("tx"), (k % 3 * 1.0).alias("ty"), (k % 11 * 0.25).alias("tz"), (k % 40 + 1).cast("int").alias("n"), (k % 3 + 1.0).alias("radius"))
+
+
 def camera_fibonacci(spark, d):
-    return C.fibonacci(spark, 64).select("i", *(micros(F.col(c)).alias(c) for c in "xyz"))
+    """Poses around each supplier's target."""
+    return C.hemispheres(_targets(spark, d)).select("target_id", "i", *(micros(F.col(c)).alias(c) for c in "xyz"))
 
 
 def camera_tasks(spark, d):
-    targets = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.5, 2.0)], "target_id int, tx double, ty double, tz double")
-    return C.tasks(spark, targets, 5, 2.0).select("task_id", "target_id", "i", *(micros(F.col(f"e{c}")).alias(f"e{c}") for c in "xyz"))
+    """Five poses around each target, numbered."""
+    return C.tasks(spark, _targets(spark, d), 5, 2.0).select("task_id", "target_id", "i", *(micros(F.col(f"e{c}")).alias(f"e{c}") for c in "xyz"))
 
 
 def _poses(spark, d):
@@ -160,8 +167,9 @@ def mean_density(spark, d):
 
 
 def camera_intrinsics(spark, d):
-    k = M.intrinsics(F.lit(1024.0), F.lit(512.0), F.radians(F.col("fov").cast("double")))
-    return spark.range(30, 100, 5).withColumnRenamed("id", "fov").select("fov", *(micros(v).alias(n) for n, v in k.items()))
+    """Intrinsics of each customer's camera."""
+    size, fov = F.col("c_custkey") % 7 * 128.0 + 256, F.radians(F.col("c_custkey") % 90 + 20.0)
+    return table(spark, d, "customer").select("c_custkey", *(micros(v).alias(n) for n, v in M.intrinsics(2 * size, size, fov).items()))
 
 
 def frustum_pixels(spark, d):
@@ -290,12 +298,17 @@ def chunk_order(spark, d):
 
 
 def class_palette(spark, d):
-    return color.palette(spark).select("class_id", "r", "g", "b", "rgba")
+    """How many points each colour of the palette shows, of which each nation sets one of its own."""
+    k = F.col("n_nationkey")
+    own = table(spark, d, "nation").select((k * 9).cast("int").alias("class_id"), *(((k * m) % 256).cast("int").alias(c) for c, m in zip("rgb", (11, 23, 37))))
+    n = points(spark, d).groupBy((F.col("point_id") % 256).cast("int").alias("class_id")).agg(F.count("*").alias("n"))
+    return color.palette(spark, own).join(n, "class_id").select("class_id", "r", "g", "b", "rgba", "n")
 
 
 _BOX = f"{POINTS}, b AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1, MIN(z) AS z0, MAX(z) AS z1 FROM points)"
 _PACK = " + ".join(f"(CAST(FLOOR({c} / {m}e0 * 255 + 0.5e0) AS BIGINT) & 255) * {k}" for c, m, k in (("x", 6.0, 1), ("y", 5.0, 256), ("z", 5.0, 65536))) + f" + {255 << 24}"
 _FIB = "SELECT range AS i, sqrt(1e0 - yy * yy) * cos(range * th) AS ux, yy AS uy, sqrt(1e0 - yy * yy) * sin(range * th) AS uz FROM (SELECT range, 1e0 - CAST(range AS DOUBLE) / ({n} - 1) * 2e0 AS yy, pi() * (3e0 - sqrt(5e0)) AS th FROM range({n})) s WHERE yy >= 0"
+_TARGETS = "(SELECT CAST(s_suppkey AS INT) AS target_id, s_suppkey % 7 * 0.5e0 AS tx, s_suppkey % 3 * 1e0 AS ty, s_suppkey % 11 * 0.25e0 AS tz, s_suppkey % 40 + 1 AS n, s_suppkey % 3 + 1e0 AS radius FROM supplier)"
 _POSES = f"{_BOX}, f AS ({_FIB.format(n=64)}), e AS (SELECT i, {TARGET[0]}e0 + 8e0 * ux AS ex, {TARGET[1]}e0 + 8e0 * uy AS ey, {TARGET[2]}e0 + 8e0 * uz AS ez FROM f)"
 _CORNERS = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
 _RAY = f"r AS (SELECT *, ({TARGET[0]}e0 - ex) / n AS dx, ({TARGET[1]}e0 - ey) / n AS dy, ({TARGET[2]}e0 - ez) / n AS dz FROM (SELECT *, sqrt(({TARGET[0]}e0 - ex) ** 2 + ({TARGET[1]}e0 - ey) ** 2 + ({TARGET[2]}e0 - ez) ** 2) AS n FROM e) s)"
@@ -407,8 +420,9 @@ ORACLE_SQL = {
     "cloud_pack_color": f"WITH {POINTS} SELECT point_id, {_PACK} AS rgba FROM points",
     "cloud_unpack_color": f"WITH {POINTS}, w AS (SELECT point_id, {_PACK} AS v FROM points) SELECT point_id, {', '.join(micro(f'((v >> {8 * k}) & 255) / 255e0') + f' AS {n}' for k, n in enumerate('rgba'))} FROM w",
     "cloud_quantised": f"WITH {_BOX} SELECT point_id, {', '.join(f'{q} AS q{c}, {micro(f"{q} / 1000e0 + {c}0")} AS {c}' for c, q in ((c, f"CAST(round_even(CAST(({c} - {c}0) * 1000 AS FLOAT), 0) AS INT)") for c in "xyz"))} FROM points, b",
-    "camera_fibonacci": f"WITH f AS ({_FIB.format(n=64)}) SELECT i, {micro('ux')} AS x, {micro('uy')} AS y, {micro('uz')} AS z FROM f",
-    "camera_tasks": f"""WITH f AS ({_FIB.format(n=10)}), t AS (SELECT * FROM (VALUES (0, 0e0, 0e0, 0e0), (1, 1e0, 0.5e0, 2e0)) v(target_id, tx, ty, tz))
+    "camera_fibonacci": f"""WITH p AS (SELECT *, 1e0 - i * 2e0 / (n - 1) AS yy, i * pi() * (3e0 - sqrt(5e0)) AS th FROM (SELECT *, unnest(range(n)) AS i FROM {_TARGETS} t WHERE n > 1) s)
+        SELECT target_id, CAST(i AS INT) AS i, {micro('tx + radius * sqrt(1e0 - yy * yy) * cos(th)')} AS x, {micro('ty + radius * yy')} AS y, {micro('tz + radius * sqrt(1e0 - yy * yy) * sin(th)')} AS z FROM p WHERE yy >= 0""",
+    "camera_tasks": f"""WITH f AS ({_FIB.format(n=10)}), t AS (SELECT * FROM {_TARGETS} s)
         SELECT CAST(ROW_NUMBER() OVER (ORDER BY target_id, i) - 1 AS INT) AS task_id, target_id, i, {micro('tx + 2e0 * ux')} AS ex, {micro('ty + 2e0 * uy')} AS ey, {micro('tz + 2e0 * uz')} AS ez FROM t, f WHERE i < 5""",
     "camera_tight_range": f"WITH {_POSES}, {_RAY}, m AS (SELECT i, GREATEST(LEAST({_ALONG}) / 1.1e0, 0.001e0) AS nr, GREATEST({_ALONG}) * 1.1e0 AS fr FROM r, b) SELECT i, {micro('nr')} AS near, {micro('GREATEST(fr, nr + 0.01e0)')} AS far FROM m",
     "camera_spherical_far": f"WITH {_POSES} SELECT i, {micro(f'GREATEST(GREATEST({_REACH}) * 1.05e0, 0.01e0)')} AS far FROM e, b",
@@ -417,7 +431,7 @@ ORACLE_SQL = {
     "view_results": " UNION ALL ".join(_result_sql(k, e) for k, e in EYES.items()),
     "culled_views": " UNION ALL ".join(f"SELECT * FROM (WITH {POINTS}, {sql_clip(eye=e)} SELECT {k} AS view, COUNT(*) AS n, CAST(SUM(point_id) AS BIGINT) AS ids, {micro('MIN(d)')} AS nearest, {micro('MAX(d)')} AS farthest FROM clip WHERE {SEEN} HAVING COUNT(*) > 0) s{k}" for k, e in INNER_EYES.items()),
     "mean_density": f"SELECT {micro('AVG(density)')} AS mean_density, COUNT(density) AS views FROM ({' UNION ALL '.join(f'(WITH {POINTS}, {sql_clip(eye=e)} SELECT COUNT(*) / {float(W * H)}e0 AS density FROM clip WHERE {SEEN} HAVING COUNT(*) > 0)' for e in EYES.values())}) s",
-    "camera_intrinsics": f"SELECT 30 + 5 * range AS fov, {micro('256e0 / tan(radians(30 + 5 * range) / 2)')} AS fx, {micro('256e0 / tan(radians(30 + 5 * range) / 2)')} AS fy, 512000000 AS cx, 256000000 AS cy FROM range(14)",
+    "camera_intrinsics": f"SELECT c_custkey, {micro('s / 2 / tan(radians(f) / 2)')} AS fx, {micro('s / 2 / tan(radians(f) / 2)')} AS fy, {micro('s')} AS cx, {micro('s / 2')} AS cy FROM (SELECT c_custkey, c_custkey % 7 * 128e0 + 256 AS s, c_custkey % 90 + 20e0 AS f FROM customer) c",
     "frustum_pixels": f"WITH {_sql_clip()} SELECT px, py, point_id, z FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY px, py ORDER BY z, point_id) AS k FROM seen) s WHERE k = 1",
     "frustum_density": f"WITH {_sql_clip()} SELECT COUNT(*) AS in_view, {micro(f'COUNT(*) / {float(W * H)}e0')} AS density FROM seen",
     "frustum_depths": f"WITH {_sql_clip()} SELECT point_id, {micro('CASE WHEN cw > 0 AND ABS(cx) <= cw AND ABS(cy) <= cw AND cz >= 0 AND cz <= cw THEN d ELSE -1e0 END')} AS d FROM clip",
@@ -454,5 +468,7 @@ ORACLE_SQL = {
         SELECT cell_id, n, {micro('cx')} AS cx, {micro('cy')} AS cy, {micro('cz')} AS cz, CAST(COALESCE(SUM(n) OVER (ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS global_start FROM c""",
     "chunk_order": f"""WITH {POINTS}, c AS (SELECT CAST(FLOOR(x / 2) * 3 + FLOOR(z / 2) AS BIGINT) AS cell_id, AVG(x) AS x, AVG(y) AS y, AVG(z) AS z FROM points GROUP BY 1), {sql_clip("c")}
         SELECT cell_id, {micro('cz / cw')} AS key, ROW_NUMBER() OVER (ORDER BY cz / cw DESC, cell_id) - 1 AS place FROM clip""",
-    "class_palette": PALETTE,
+    "class_palette": f"""WITH {POINTS}, o AS (SELECT n_nationkey * 9 AS class_id, {', '.join(f'n_nationkey * {m} % 256 AS {c}' for c, m in zip('rgb', (11, 23, 37)))} FROM nation), p AS ({PALETTE}),
+        c AS (SELECT p.class_id, {', '.join(f'CAST(COALESCE(o.{c}, p.{c}) AS INT) AS {c}' for c in 'rgb')} FROM p LEFT JOIN o USING (class_id)), n AS (SELECT point_id % 256 AS class_id, COUNT(*) AS n FROM points GROUP BY 1)
+        SELECT class_id, r, g, b, r + CAST(g AS BIGINT) * 256 + CAST(b AS BIGINT) * 65536 + {255 << 24} AS rgba, n FROM c JOIN n USING (class_id)""",
 }

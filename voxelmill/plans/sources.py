@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..operators import cloud
 from ..operators.tables import shared_folder
 from ..sources import colmap, files, las, ply, png
-from .views import POINTS, RASTER, micro, micros, points, raster
+from .views import POINTS, RASTER, micro, micros, points, raster, table
 
 
 def _folder(spark) -> str:
@@ -85,43 +86,52 @@ def ply_to_las(spark, d):
     return spark.read.format("las").load(to).select("X", "Y", "Z", "las_class", "red", "green", "blue")
 
 
-def _text(spark, line: str, name: str):
-    """A folder with one text."""
-    path = f"{_folder(spark)}/{name}"
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(path)
-    return path
+def _put(spark, pieces, ending: str) -> str:
+    """Pieces written as files of a folder; where they are."""
+    out = _folder(spark)
+    pieces.transform(files.by_file("name", "piece")).write.format("pieces").mode("append").save(out)
+    return f"{out}/*{ending}"
+
+
+def _texts(rows, name, text):
+    """Pieces of a file for each row."""
+    return rows.select(name.alias("name"), F.lit(0).cast("long").alias("piece"), F.encode(text, "utf-8").alias("content"))
 
 
 def side_cars(spark, d):
-    """Origin and scale as they were written beside a vertex file."""
-    back = ply.read_side_car(spark, _text(spark, ply.side_car([1.5, -2.0, 3.25], 1000.0, True), "meta"))
-    return back.select(F.col("origin")[0].alias("x"), F.col("origin")[1].alias("y"), F.col("origin")[2].alias("z"), "position_scale", "has_color")
+    """Origin and scale of each survey class's part of the cloud, as they were written beside it."""
+    clouds = points(spark, d).groupBy("las_class").agg(F.array(*(F.min(c) for c in "xyz")).alias("origin"))
+    clouds = clouds.select(F.format_string("class%d", "las_class").alias("cloud"), "origin", (F.lit(1000.0) + F.col("las_class")).alias("position_scale"), (F.col("las_class") % 2 == 1).alias("has_color"))
+    back = ply.read_side_car(spark, _put(spark, ply.side_cars(clouds, "cloud"), ".json"))
+    return back.select(*(micros(F.col("origin")[i]).alias(c) for i, c in enumerate("xyz")), "position_scale", "has_color")
 
 
 def model_cameras(spark, d):
-    """The pinhole camera of a written model; other models and comments are passed over."""
-    path = f"{_folder(spark)}/cameras"
-    line = spark.range(1).select(colmap.camera_line(1, *(F.lit(v) for v in (1024, 512, 618.5, 512.0, 256.0))).alias("value"))
-    other = spark.createDataFrame([("# cameras",), ("",), ("2 RADIAL 1 1 1 1 1 1",)], "value string")
-    line.unionByName(other).coalesce(1).write.text(path)
+    """The pinhole camera of each customer's model; other models and comments are passed over."""
+    path, k = f"{_folder(spark)}/cameras", F.col("c_custkey")
+    pinhole = colmap.camera_line(k, *(F.lit(v) for v in (1024, 512)), F.lit(600.0) + k / 4, F.lit(512.0), F.lit(256.0))
+    lines = F.array(pinhole, F.lit("# cameras"), F.lit(""), F.concat_ws(" ", k, F.lit("RADIAL 1 1 1 1 1 1")))
+    table(spark, d, "customer").select(F.explode(lines).alias("value")).write.text(path)
     return colmap.read_cameras(spark, path)
 
 
 def _images(spark, d):
-    path = f"{_folder(spark)}/images"
-    k = F.col("id")
-    poses = spark.range(40).select((k + 1).cast("int").alias("image_id"), F.lit(1.0).alias("qw"), *(F.lit(0.0).alias(f"q{c}") for c in "xyz"), (k * 0.5).alias("tx"), (k * 0.25).alias("ty"), (-k).cast("double").alias("tz"), F.format_string("v%d.png", k % 30).alias("name"))
-    colmap.image_lines(poses).withColumnRenamed("line", "value").coalesce(1).write.text(path)
-    return path
+    """A pose for each customer, in a model for each nation."""
+    k = F.col("c_custkey")
+    poses = table(spark, d, "customer").select(
+        F.format_string("nation%d", "c_nationkey").alias("model"), (k + 1).cast("int").alias("image_id"), F.lit(1.0).alias("qw"), *(F.lit(0.0).alias(f"q{c}") for c in "xyz"),
+        (k * 0.5).alias("tx"), (k * 0.25).alias("ty"), (-k).cast("double").alias("tz"), F.format_string("v%d.png", k % 30).alias("name"),
+    )
+    return _put(spark, colmap.image_files(poses, "model"), "_images.txt")
 
 
 def model_images(spark, d):
-    """Poses of a written model; of equal names the last."""
+    """Poses of written models; of equal names in a model the last."""
     return colmap.read_images(spark, _images(spark, d)).select("image_id", "camera_id", "name", *(micros(F.col(f"t{c}")).alias(f"t{c}") for c in "xyz"))
 
 
 def model_centres(spark, d):
-    """Camera centres of the same file by the plain rule."""
+    """Camera centres of the same files by the plain rule."""
     return colmap.read_images_plain(spark, _images(spark, d)).select("image_id", "name", *(micros(F.col(c)).alias(c) for c in "xyz"))
 
 
@@ -135,17 +145,25 @@ def model_points(spark, d):
 
 
 def class_maps(spark, d):
-    """Whole class numbers of a map, and how many classes there are."""
-    found = colmap.class_mapping(spark, _text(spark, '{"label_to_id": {"road": 3, "tree": 140, "sky": 1.5, "none": "x"}}', "map"))
+    """Whole class numbers of a map for each region, bare or not, and how many classes there are."""
     from ..operators import segmentation as S
 
+    number = F.when(F.col("n_nationkey") % 7 == 3, "1.5").otherwise((F.col("n_nationkey") * 8).cast("string"))
+    maps = table(spark, d, "nation").groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_name", number))).alias("m"))  # a region's nations
+    text = F.when(F.col("n_regionkey") % 2 == 0, F.to_json("m")).otherwise(F.to_json(F.struct(F.col("m").alias("label_to_id"))))
+    found = colmap.class_mapping(spark, _put(spark, _texts(maps, F.format_string("map%d.json", "n_regionkey"), text), ".json"))
     return found.crossJoin(F.broadcast(S.n_classes(found)))  # one row
 
 
 def capture_tasks(spark, d):
-    """Cameras of a capture config, with defaults."""
-    config = '{"canvasWidth": 640, "models": [{"lasFile": "a.las", "cameras": [{"eye": [1, 2, 3]}, {"technique": "DISKS", "pointSize": 0.5}]}, {"lasFile": "b.las", "cameras": [{"projection": "SPHERICAL", "useReconstruction": false}]}]}'
-    return colmap.capture_tasks(spark, _text(spark, config, "config")).select("model", "camera", "lasFile", "canvasWidth", "canvasHeight", "projection", "technique", "pointSize", "useReconstruction")
+    """Cameras of a capture config for each nation, its suppliers', with defaults."""
+    k = F.col("s_suppkey")
+    camera = F.struct(k, F.when(k % 2 == 0, F.array(k.cast("double"), F.lit(2.0), F.lit(3.0))).alias("eye"), F.when(k % 3 == 0, "DISKS").alias("technique"), F.when(k % 5 == 0, k / 8).alias("pointSize"), F.when(k % 7 == 0, False).alias("useReconstruction"))
+    own = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(camera)).alias("cameras"))  # a config's cameras
+    models = F.array(F.struct(F.format_string("n%d.las", "s_nationkey").alias("lasFile"), F.transform("cameras", lambda c: c.dropFields("s_suppkey")).alias("cameras")))
+    text = F.to_json(F.struct(F.when(F.col("s_nationkey") % 2 == 0, 640).alias("canvasWidth"), models.alias("models")))
+    path = _put(spark, _texts(own, F.format_string("config%d.json", "s_nationkey"), text), ".json")
+    return colmap.capture_tasks(spark, path).select("model", "camera", "lasFile", "canvasWidth", "canvasHeight", "projection", "technique", "pointSize", "useReconstruction", micros(F.col("eye")[0]).alias("ex"))
 
 
 def image_archives(spark, d):
@@ -177,13 +195,14 @@ ORACLE_SQL = {
     "las_thinned": f"WITH {_S} SELECT {_XYZ}, las_class, red FROM s WHERE ix % 3 = 0",
     "ply_files": f"WITH {POINTS} SELECT {', '.join(micro(f'CAST(CAST({c} AS FLOAT) AS DOUBLE)') + f' AS {c}' for c in 'xyz')}, CAST(point_id % 256 AS INT) AS red, 3 AS green, CAST(point_id % 7 AS INT) AS blue FROM points",
     "ply_to_las": f"WITH {POINTS} SELECT {', '.join(f'CAST(round_even(CAST(CAST({c} AS FLOAT) AS DOUBLE) / 0.001e0, 0) AS INT) AS {c.upper()}' for c in 'xyz')}, 0 AS las_class, CAST(point_id % 256 * 257 AS INT) AS red, 771 AS green, 65535 AS blue FROM points",
-    "side_cars": "SELECT 1.5e0 AS x, -2e0 AS y, 3.25e0 AS z, 1000e0 AS position_scale, TRUE AS has_color",
-    "model_cameras": "SELECT '1' AS camera_id, 1024e0 AS width, 512e0 AS height, 618.5e0 AS fx, 618.5e0 AS fy, 512e0 AS cx, 256e0 AS cy",
-    "model_images": "SELECT CAST(i + 1 AS INT) AS image_id, '1' AS camera_id, 'v' || (i % 30) || '.png' AS name, CAST(i * 500000 AS BIGINT) AS tx, CAST(i * 250000 AS BIGINT) AS ty, CAST(-i * 1000000 AS BIGINT) AS tz FROM (SELECT MAX(range) AS i FROM range(40) GROUP BY range % 30) s",
-    "model_centres": "SELECT CAST(range + 1 AS INT) AS image_id, 'v' || (range % 30) || '.png' AS name, CAST(-range * 500000 AS BIGINT) AS x, CAST(-range * 250000 AS BIGINT) AS y, CAST(range * 1000000 AS BIGINT) AS z FROM range(40)",
+    "side_cars": f"WITH {POINTS} SELECT {', '.join(micro(f'MIN({c})') + f' AS {c}' for c in 'xyz')}, 1000e0 + las_class AS position_scale, las_class % 2 = 1 AS has_color FROM points GROUP BY las_class",
+    "model_cameras": "SELECT CAST(c_custkey AS VARCHAR) AS camera_id, 1024e0 AS width, 512e0 AS height, 600e0 + c_custkey / 4e0 AS fx, 600e0 + c_custkey / 4e0 AS fy, 512e0 AS cx, 256e0 AS cy FROM customer",
+    "model_images": "SELECT CAST(max(k) + 1 AS INT) AS image_id, '1' AS camera_id, name, CAST(max(k) * 500000 AS BIGINT) AS tx, CAST(max(k) * 250000 AS BIGINT) AS ty, CAST(-max(k) * 1000000 AS BIGINT) AS tz FROM (SELECT c_custkey AS k, c_nationkey, 'v' || (c_custkey % 30) || '.png' AS name FROM customer) c GROUP BY c_nationkey, name",
+    "model_centres": "SELECT CAST(c_custkey + 1 AS INT) AS image_id, 'v' || (c_custkey % 30) || '.png' AS name, CAST(-c_custkey * 500000 AS BIGINT) AS x, CAST(-c_custkey * 250000 AS BIGINT) AS y, CAST(c_custkey * 1000000 AS BIGINT) AS z FROM customer",
     "model_points": f"WITH {POINTS} SELECT point_id // 10 AS id, {', '.join(f'{micro(c)} AS {c}' for c in 'xyz')}, {', '.join(f'CAST(FLOOR({c} / {m}e0 * 255 + 0.5e0) AS INT) AS {n}' for c, m, n in (('x', 6, 'r'), ('y', 5, 'g'), ('z', 5, 'b')))}, 0 AS error FROM points WHERE point_id % 10 = 0",
-    "class_maps": "SELECT * FROM (VALUES ('road', 3, CAST(141 AS BIGINT)), ('tree', 140, 141)) v(name, class_id, n_classes)",
-    "capture_tasks": "SELECT * FROM (VALUES (0, 0, 'a.las', 640, 512, 'PERSPECTIVE', 'POINTS', 0.2e0, TRUE), (0, 1, 'a.las', 640, 512, 'PERSPECTIVE', 'DISKS', 0.5e0, TRUE), (1, 0, 'b.las', 640, 512, 'SPHERICAL', 'POINTS', 0.2e0, FALSE)) v(model, camera, \"lasFile\", \"canvasWidth\", \"canvasHeight\", projection, technique, \"pointSize\", \"useReconstruction\")",
+    "class_maps": "SELECT n_name AS name, CAST(n_nationkey * 8 AS INT) AS class_id, GREATEST(128, (SELECT max(n_nationkey * 8) + 1 FROM nation WHERE n_nationkey % 7 <> 3)) AS n_classes FROM nation WHERE n_nationkey % 7 <> 3",
+    "capture_tasks": """SELECT 0 AS model, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS camera, 'n' || s_nationkey || '.las' AS lasFile, CASE WHEN s_nationkey % 2 = 0 THEN 640 ELSE 1024 END AS canvasWidth, 512 AS canvasHeight, 'PERSPECTIVE' AS projection,
+        CASE WHEN s_suppkey % 3 = 0 THEN 'DISKS' ELSE 'POINTS' END AS technique, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey / 8e0 ELSE 0.2e0 END AS pointSize, s_suppkey % 7 <> 0 AS useReconstruction, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 1000000 AS BIGINT) END AS ex FROM supplier""",
     "image_archives": f"WITH {RASTER} SELECT CAST(p.percent AS INT) AS percent, px, py, CAST(FLOOR(v * 255e0) AS INT) AS red FROM raster, (VALUES (50), (80), (90), (95), (99)) p(percent)",
     "debug_images": f"WITH {RASTER} SELECT px, py, CAST(FLOOR(FLOOR(px / 64e0 * 100e0) / 255e0 * 255e0) AS INT) AS green FROM raster",
 }

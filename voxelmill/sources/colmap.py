@@ -81,8 +81,8 @@ def read_images_plain(spark: SparkSession, path: str) -> DataFrame:
     return _poses(spark, path, each).drop("file", "place").withColumns(dict(zip("xyz", centre)))
 
 
-def camera_line(camera_id: int, width: Column, height: Column, fx: Column, cx: Column, cy: Column) -> Column:
-    return F.concat_ws(" ", F.lit(camera_id), F.lit("PINHOLE"), width, height, fx, fx, cx, cy)
+def camera_line(camera_id: int | Column, width: Column, height: Column, fx: Column, cx: Column, cy: Column) -> Column:
+    return F.concat_ws(" ", camera_id if isinstance(camera_id, Column) else F.lit(camera_id), F.lit("PINHOLE"), width, height, fx, fx, cx, cy)
 
 
 def image_lines(poses: DataFrame) -> DataFrame:
@@ -91,6 +91,19 @@ def image_lines(poses: DataFrame) -> DataFrame:
     return poses.orderBy("image_id").select(F.explode(F.array(text, F.lit(""))).alias("line"))
 
 
+#: Images whose lines are one piece of a model's file.
+BLOCK = 10_000
+
+
+def image_files(poses: DataFrame, model: str, ending: str = "_images.txt") -> DataFrame:
+    """(name, piece, content) of a text of image_lines() for each ``model`` of poses, for format("pieces")."""
+    text = F.concat_ws(" ", "image_id", *(F.col(c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")), F.lit(1), "name")
+    block = F.floor(F.col("image_id") / BLOCK)
+    lines = F.sort_array(F.collect_list(F.struct("image_id", text.alias("line"))))  # as many as a block has ids
+    whole = F.concat(F.array_join(F.transform(lines, lambda v: v["line"]), "\n\n"), F.lit("\n\n"))
+    return poses.groupBy(F.concat(F.col(model), F.lit(ending)).alias("name"), block.alias("piece")).agg(F.encode(whole, "utf-8").alias("content"))
+
+
 def points3d_lines(points: DataFrame, step: int = 10) -> DataFrame:
     """(id, line) of every step-th point (idx, x, y, z, r, g, b), colours as bytes, error 0."""
     byte = [F.floor(F.col(c) * 255 + 0.5).cast("int") for c in "rgb"]

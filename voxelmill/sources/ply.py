@@ -79,6 +79,12 @@ def side_car(origin: list[float], scale: float, color: bool) -> str:
     return json.dumps({"origin": list(origin), "position_scale": scale, "has_color": color})
 
 
+def side_cars(clouds: DataFrame, name: str) -> DataFrame:
+    """(name, piece, content) of a side-car beside each cloud (``name``, origin, position_scale, has_color), for format("pieces")."""
+    text = F.to_json(F.struct("origin", "position_scale", "has_color"))
+    return clouds.select(F.concat(F.col(name), F.lit(".json")).alias("name"), F.lit(0).cast("long").alias("piece"), F.encode(text, "utf-8").alias("content"))
+
+
 def read_side_car(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("origin array<double>, position_scale double, has_color boolean").option("multiLine", True).json(path)
 
