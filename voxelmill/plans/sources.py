@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..operators import cloud
 from ..operators.tables import shared_folder
-from ..sources import colmap, files, las, ply, png
+from ..sources import archives, colmap, files, las, ply, png
 from .views import POINTS, RASTER, micro, micros, points, raster, table
 
 
@@ -177,6 +177,23 @@ def image_archives(spark, d):
     return found.select(F.col("name").cast("int").alias("percent"), "px", "py", F.col("class_id").alias("red"))
 
 
+def model_bundles(spark, d):
+    """An archive for each nation's model, of an image of the raster and the texts of its cameras, poses and points, read back by their directories: members, lines and, for images, lit pixels."""
+    k, model = F.col("c_custkey"), lambda c: F.format_string("nation%d", c)
+    nations = table(spark, d, "nation").select("n_nationkey", model("n_nationkey").alias("model"))
+    r = raster(spark, d).select("px", "py", F.col("v").alias("r"), F.lit(0.0).alias("g"), F.lit(1.0).alias("b"), F.col("al").alias("a"))
+    images = png.images(r.withColumn("view_id", F.lit(0))).crossJoin(F.broadcast(nations)).select("model", F.concat("model", F.lit(".png")).alias("name"), "content")  # 25 nations
+    cameras = nations.select("model", colmap.camera_line(F.col("n_nationkey"), F.lit(64), F.lit(64), F.lit(50.5), F.lit(32.0), F.lit(32.0)).alias("line"))
+    poses = table(spark, d, "customer").select(model("c_nationkey").alias("model"), (k + 1).cast("int").alias("image_id"), F.lit(1.0).alias("qw"), *(F.lit(0.0).alias(f"q{c}") for c in "xyz"), *((k * m).cast("double").alias(f"t{c}") for c, m in zip("xyz", (1, 2, 3))), F.format_string("v%d.png", k).alias("name"))
+    cloud_ = points(spark, d).select(model(F.col("point_id") % 25).alias("model"), F.col("point_id").alias("idx"), *"xyz", *(F.lit(0.5).alias(c) for c in "rgb"))
+    out = _folder(spark)
+    archives.write(archives.bundles(images, cameras, poses, cloud_), out)
+    found = archives.contents(archives.entries(spark, f"{out}/*.zip", (".txt", ".png"))).withColumn("model", F.regexp_extract("archive", r"(\w+)\.zip", 1))
+    texts = found.where("name LIKE '%.txt'").select("model", "name", F.size(F.filter(F.split(F.decode("content", "utf-8"), "\n"), lambda v: v != "")).cast("long").alias("n"))
+    lit = png.mask_pixels(found.where("name LIKE '%.png'").select(F.concat_ws("/", "model", "name").alias("name"), "content")).where("class_id > 0").groupBy("name").agg(F.count("*").alias("n"))
+    return texts.unionByName(lit.select(F.split("name", "/")[0].alias("model"), F.expr("substr(name, instr(name, '/') + 1)").alias("name"), "n"))
+
+
 def debug_images(spark, d):
     """A debugging image's green channel, by its own scale."""
     r = raster(spark, d).select("px", "py", F.col("v").alias("r"), (F.col("px") / 64.0).alias("g"), F.col("al").alias("b"))
@@ -184,7 +201,7 @@ def debug_images(spark, d):
     return png.mask_pixels(png.images(shown).withColumn("name", F.lit("debug"))).select("px", "py", F.col("class_id").alias("green"))
 
 
-QUERIES = {f.__name__: f for f in (las_files, las_anywhere, las_normals, las_classified, las_thinned, ply_files, ply_to_las, side_cars, model_cameras, model_images, model_centres, model_points, class_maps, capture_tasks, image_archives, debug_images)}
+QUERIES = {f.__name__: f for f in (las_files, las_anywhere, las_normals, las_classified, las_thinned, ply_files, ply_to_las, side_cars, model_cameras, model_images, model_centres, model_points, class_maps, capture_tasks, image_archives, model_bundles, debug_images)}
 _S = f"{POINTS}, s AS (SELECT point_id, {', '.join(f'CAST(round_even({c} * 1000, 0) AS INT) AS i{c}' for c in 'xyz')}, x, y, z, las_class, CAST(point_id % 65536 AS INT) AS red FROM points)"
 _XYZ = "ix AS X, iy AS Y, iz AS Z"
 ORACLE_SQL = {
@@ -203,6 +220,9 @@ ORACLE_SQL = {
     "class_maps": "SELECT n_name AS name, CAST(n_nationkey * 8 AS INT) AS class_id, GREATEST(128, (SELECT max(n_nationkey * 8) + 1 FROM nation WHERE n_nationkey % 7 <> 3)) AS n_classes FROM nation WHERE n_nationkey % 7 <> 3",
     "capture_tasks": """SELECT 0 AS model, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS camera, 'n' || s_nationkey || '.las' AS lasFile, CASE WHEN s_nationkey % 2 = 0 THEN 640 ELSE 1024 END AS canvasWidth, 512 AS canvasHeight, 'PERSPECTIVE' AS projection,
         CASE WHEN s_suppkey % 3 = 0 THEN 'DISKS' ELSE 'POINTS' END AS technique, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey / 8e0 ELSE 0.2e0 END AS pointSize, s_suppkey % 7 <> 0 AS useReconstruction, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 1000000 AS BIGINT) END AS ex FROM supplier""",
+    "model_bundles": f"""WITH {RASTER}, m AS (SELECT 'nation' || n_nationkey AS model, n_nationkey FROM nation) SELECT model, 'cameras.txt' AS name, CAST(1 AS BIGINT) AS n FROM m
+        UNION ALL SELECT 'nation' || c_nationkey, 'images.txt', COUNT(*) FROM customer GROUP BY c_nationkey UNION ALL SELECT 'nation' || (point_id % 25), 'points3D.txt', COUNT(*) FROM points WHERE point_id % 10 = 0 GROUP BY point_id % 25
+        UNION ALL SELECT model, 'images/' || model || '.png', (SELECT COUNT(*) FROM raster WHERE FLOOR(v * 255e0) > 0) FROM m""",
     "image_archives": f"WITH {RASTER} SELECT CAST(p.percent AS INT) AS percent, px, py, CAST(FLOOR(v * 255e0) AS INT) AS red FROM raster, (VALUES (50), (80), (90), (95), (99)) p(percent)",
     "debug_images": f"WITH {RASTER} SELECT px, py, CAST(FLOOR(FLOOR(px / 64e0 * 100e0) / 255e0 * 255e0) AS INT) AS green FROM raster",
 }

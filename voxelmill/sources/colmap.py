@@ -87,8 +87,12 @@ def camera_line(camera_id: int | Column, width: Column, height: Column, fx: Colu
 
 def image_lines(poses: DataFrame) -> DataFrame:
     """(line) pairs of each pose in id order: the pose, then an empty line."""
-    text = F.concat_ws(" ", "image_id", *(F.col(c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")), F.lit(1), "name")
-    return poses.orderBy("image_id").select(F.explode(F.array(text, F.lit(""))).alias("line"))
+    return image_text(poses).orderBy("image_id").select(F.explode(F.array("line", F.lit(""))).alias("line"))
+
+
+def image_text(poses: DataFrame) -> DataFrame:
+    """poses with the ``line`` of each."""
+    return poses.withColumn("line", F.concat_ws(" ", "image_id", *(F.col(c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")), F.lit(1), "name"))
 
 
 #: Images whose lines are one piece of a model's file.
@@ -97,18 +101,17 @@ BLOCK = 10_000
 
 def image_files(poses: DataFrame, model: str, ending: str = "_images.txt") -> DataFrame:
     """(name, piece, content) of a text of image_lines() for each ``model`` of poses, for format("pieces")."""
-    text = F.concat_ws(" ", "image_id", *(F.col(c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")), F.lit(1), "name")
     block = F.floor(F.col("image_id") / BLOCK)
-    lines = F.sort_array(F.collect_list(F.struct("image_id", text.alias("line"))))  # as many as a block has ids
+    lines = F.sort_array(F.collect_list(F.struct("image_id", "line")))  # as many as a block has ids
     whole = F.concat(F.array_join(F.transform(lines, lambda v: v["line"]), "\n\n"), F.lit("\n\n"))
-    return poses.groupBy(F.concat(F.col(model), F.lit(ending)).alias("name"), block.alias("piece")).agg(F.encode(whole, "utf-8").alias("content"))
+    return image_text(poses).groupBy(F.concat(F.col(model), F.lit(ending)).alias("name"), block.alias("piece")).agg(F.encode(whole, "utf-8").alias("content"))
 
 
-def points3d_lines(points: DataFrame, step: int = 10) -> DataFrame:
-    """(id, line) of every step-th point (idx, x, y, z, r, g, b), colours as bytes, error 0."""
+def points3d_lines(points: DataFrame, step: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, id, line) of every step-th point (idx, x, y, z, r, g, b), colours as bytes, error 0."""
     byte = [F.floor(F.col(c) * 255 + 0.5).cast("int") for c in "rgb"]
     kept = points.where(F.col("idx") % step == 0).withColumn("id", F.floor(F.col("idx") / step).cast("long"))
-    return kept.select("id", F.concat_ws(" ", "id", "x", "y", "z", *byte, F.lit(0)).alias("line"))
+    return kept.select(*keys, "id", F.concat_ws(" ", "id", "x", "y", "z", *byte, F.lit(0)).alias("line"))
 
 
 def class_mapping(spark: SparkSession, path: str) -> DataFrame:
