@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voxelmill.sources import colmap, extra_bytes, las, ply, png
+from voxelmill.sources import colmap, las, ply, png
 
 
 def test_las_round_trip(spark, tmp_path):
@@ -46,7 +46,7 @@ def test_repeated_extra_bytes():
     head = bytearray(las.header_bytes(0, 1, (1,) * 3, (0,) * 3, (0,) * 3, (0,) * 3))
     described = record("nx", "height") + record("height", "ny")
     struct.pack_into("<II", head, 96, len(head) + len(described), 2)
-    fixed = extra_bytes.repaired(bytes(head) + described + b"P" * 20)
+    fixed = las.repaired(bytes(head) + described + b"P" * 20)
     h = las.parse_header(fixed)
     assert list(las.extra_dimensions(fixed)) == ["height"] and fixed[h.data_offset :] == b"P" * 20
 

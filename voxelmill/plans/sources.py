@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import struct
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -51,6 +54,39 @@ def las_normals(spark, d):
     return spark.read.format("las").load(path).select("X", "Y", "Z", "las_class", *(micros(F.col(c).cast("double")).alias(c) for c in ("nx", "ny", "nz")))
 
 
+def las_repaired(spark, d):
+    """Normals of files whose description of extra bytes stands twice, as they are and mended: both read by ranges."""
+    path, broken, mended = _folder(spark), _folder(spark), _folder(spark)
+    _survey(spark, d).withColumns({f"n{c}": (F.col(c.upper()) / 1000.0).cast("float") for c in "xyz"}).write.format("las").mode("append").option("normals", "true").save(path)
+
+    def twice(head):
+        body = head[las.HEADER_BYTES :]
+        return head[:96] + struct.pack("<II", len(head) + len(body), 2) + head[104:] + body
+
+    def put(raw, change, out):
+        def pieces(batches):
+            for b in batches:
+                heads = [change(bytes(v)) if v is not None else b"" for v in b["head"]]
+                yield pd.DataFrame({"name": [os.path.basename(p) for p in b.path], "piece": b["first"], "content": [h + bytes(r) + bytes(t or b"") for h, r, t in zip(heads, b.records, b["tail"])]})
+
+        raw.mapInPandas(pieces, "name string, piece long, content binary").transform(files.by_file("name", "piece")).write.format("pieces").mode("append").save(out)
+
+    put(spark.read.format("las_raw").load(path), twice, broken)
+    put(spark.read.format("las_raw").option("repair", "").load(broken), bytes, mended)
+
+    def records(raw):
+        """How many records each file's header says to stand before its points (below 256)."""
+        return raw.where("head IS NOT NULL").select(F.conv(F.hex(F.substring("head", 101, 1)), 16, 10).cast("int").alias("described"))
+
+    out = None
+    for kind, folder in (("broken", broken), ("mended", mended)):
+        n = records(spark.read.format("las_raw").load(folder)).agg(F.min("described").alias("described"))
+        back = spark.read.format("las").load(folder).crossJoin(F.broadcast(n))  # one row
+        back = back.select(F.lit(kind).alias("kind"), "described", "X", "Y", "Z", *(micros(F.col(c).cast("double")).alias(c) for c in ("nx", "ny", "nz")))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 def las_classified(spark, d):
     """Files whose class bytes were overwritten, all other bytes kept; every ninth point keeps its class."""
     path, out = _written(spark, d, pointformat="3"), _folder(spark)
@@ -74,7 +110,19 @@ def ply_files(spark, d):
     k = F.col("point_id")
     named = points(spark, d).withColumns({"name": F.format_string("part%d.ply", k % 2), "red": (k % 256).cast("int"), "green": F.lit(3), "blue": (k % 7).cast("int")})
     ply.pieces(named, True).transform(files.by_file("name", "piece")).write.format("pieces").mode("append").save(out)
-    return ply.read(spark, out).select(*(micros(F.col(c)).alias(c) for c in "xyz"), "red", "green", "blue")
+    return ply.read_ranges(spark, out, 1000).select(*(micros(F.col(c)).alias(c) for c in "xyz"), "red", "green", "blue")
+
+
+def ply_texts(spark, d):
+    """A text file of vertices and faces, read in ranges of 10,000 bytes: as many ids as vertices, from 0."""
+    out, n = _folder(spark), points(spark, d).count()
+    lines = points(spark, d).select(F.concat_ws(" ", "x", "y", "z", (F.col("point_id") % 256), F.lit(1), F.lit(2)).alias("line"), F.col("point_id").alias("piece"))
+    head_ = f"ply\nformat ascii 1.0\nelement vertex {n}\n" + "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue")) + "element face 2\nproperty list uchar int vertex_indices\nend_header\n"
+    ends = spark.createDataFrame([(head_, -1), ("3 0 1 2\n3 1 2 3\n", 1 << 40)], "line string, piece long")
+    pieces = lines.withColumn("line", F.concat("line", F.lit("\n"))).unionByName(ends).select(F.lit("cloud.ply").alias("name"), "piece", F.encode("line", "utf-8").alias("content"))
+    pieces.transform(files.by_file("name", "piece")).write.format("pieces").mode("append").save(out)
+    back = ply.read_ranges(spark, out, range_bytes=10_000)
+    return back.groupBy("red", "green", "blue").agg(F.count("*").alias("n"), F.countDistinct("point_id").alias("ids"), F.max(F.col("point_id") < n).alias("within"), *(micros(F.sum(c)).alias(c) for c in "xyz"))
 
 
 def ply_to_las(spark, d):
@@ -201,13 +249,15 @@ def debug_images(spark, d):
     return png.mask_pixels(png.images(shown).withColumn("name", F.lit("debug"))).select("px", "py", F.col("class_id").alias("green"))
 
 
-QUERIES = {f.__name__: f for f in (las_files, las_anywhere, las_normals, las_classified, las_thinned, ply_files, ply_to_las, side_cars, model_cameras, model_images, model_centres, model_points, class_maps, capture_tasks, image_archives, model_bundles, debug_images)}
+QUERIES = {f.__name__: f for f in (las_files, las_anywhere, las_normals, las_repaired, las_classified, las_thinned, ply_files, ply_texts, ply_to_las, side_cars, model_cameras, model_images, model_centres, model_points, class_maps, capture_tasks, image_archives, model_bundles, debug_images)}
 _S = f"{POINTS}, s AS (SELECT point_id, {', '.join(f'CAST(round_even({c} * 1000, 0) AS INT) AS i{c}' for c in 'xyz')}, x, y, z, las_class, CAST(point_id % 65536 AS INT) AS red FROM points)"
 _XYZ = "ix AS X, iy AS Y, iz AS Z"
 ORACLE_SQL = {
     "las_files": f"WITH {_S} SELECT ix, iy, iz, las_class, red, 65535 AS blue, {micro('ix * 0.001e0')} AS scene_x, {micro('iz * 0.001e0')} AS scene_y, {micro('-iy * 0.001e0')} AS scene_z FROM s",
     "las_anywhere": f"WITH {_S} SELECT las_class, COUNT(*) AS n, COUNT(*) AS ids, CAST(SUM(ix) AS BIGINT) AS x, CAST(SUM(red) AS BIGINT) AS red FROM s GROUP BY las_class",
     "las_normals": f"WITH {_S} SELECT {_XYZ}, las_class, {', '.join(micro(f'CAST(CAST(i{c} / 1000e0 AS FLOAT) AS DOUBLE)') + f' AS n{c}' for c in 'xyz')} FROM s",
+    "las_repaired": f"WITH {_S} SELECT kind, described, {_XYZ}, {', '.join(micro(f'CAST(CAST(i{c} / 1000e0 AS FLOAT) AS DOUBLE)') + f' AS n{c}' for c in 'xyz')} FROM s, (VALUES ('broken', 2), ('mended', 1)) k(kind, described)",
+    "ply_texts": f"WITH {POINTS} SELECT CAST(point_id % 256 AS INT) AS red, 1 AS green, 2 AS blue, COUNT(*) AS n, COUNT(*) AS ids, TRUE AS within, {', '.join(f'{micro(f'SUM({c})')} AS {c}' for c in 'xyz')} FROM points GROUP BY 1",
     "las_classified": f"WITH {_S} SELECT {_XYZ}, CASE WHEN ix % 9 > 0 THEN ix % 31 ELSE las_class END AS las_class, red FROM s",
     "las_thinned": f"WITH {_S} SELECT {_XYZ}, las_class, red FROM s WHERE ix % 3 = 0",
     "ply_files": f"WITH {POINTS} SELECT {', '.join(micro(f'CAST(CAST({c} AS FLOAT) AS DOUBLE)') + f' AS {c}' for c in 'xyz')}, CAST(point_id % 256 AS INT) AS red, 3 AS green, CAST(point_id % 7 AS INT) AS blue FROM points",

@@ -78,6 +78,33 @@ def extra_dimensions(raw: bytes) -> dict[str, int]:
     return out
 
 
+def repaired(raw: bytes, drop: tuple[str, ...] = ("nx", "ny", "nz")) -> bytes:
+    """A file, or what of it stands before its records, with one description of extra bytes in place of all of them, with the first entry of each name that isn't in ``drop``; offsets are patched."""
+    parse_header(raw)
+    start, data, number = struct.unpack_from("<HII", raw, 94)
+    at, others, entries = start, [], {}
+    for _ in range(number):
+        user, record, length = raw[at + 2 : at + 18].rstrip(b"\0"), *struct.unpack_from("<HH", raw, at + 18)
+        whole = raw[at : at + 54 + length]
+        if user == b"LASF_Spec" and record == 4:
+            for k in range(54, len(whole) - 191, 192):
+                entry = whole[k : k + 192]
+                name = entry[4:36].rstrip(b"\0").decode("ascii", "replace")
+                if name not in drop:
+                    entries.setdefault(name, entry)
+        else:
+            others.append(whole)
+        at += len(whole)
+    if entries:
+        body = b"".join(entries.values())
+        head = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(body), b"extra dimensions")
+        others.append(head + body)
+    described = b"".join(others)
+    out = bytearray(raw[:start] + described + raw[at:data] + raw[data:])
+    struct.pack_into("<II", out, 96, start + len(described) + data - at, len(others))
+    return bytes(out)
+
+
 def decode_records(raw: bytes, h: Header, extra: dict[str, int], user_data_class: bool = False) -> dict[str, np.ndarray | None]:
     """Columns of whole records."""
     n = len(raw) // h.rec_len
@@ -144,7 +171,12 @@ class LasReader(DataSourceReader):
 
 
 class LasRawReader(LasReader):
-    """The bytes of a file as they are, a row for each range of records, with all that stands before the first and after the last."""
+    """The bytes of a file as they are, a row for each range of records, with all that stands before the first and after the last.
+
+    With option repair, which names extra dimensions to drop from their description
+    (none: an empty string), the head is that of a mended file: one description, each
+    name once, and the offset that follows from it.  The records are read where they are.
+    """
 
     def read(self, part: _Range):
         if not part.rows:
@@ -153,6 +185,8 @@ class LasRawReader(LasReader):
             h = parse_header(s.read(HEADER_BYTES))
             s.seek(0)
             head = s.read(h.data_offset) if not part.first else None
+            if head is not None and "repair" in self.options:
+                head = repaired(head, tuple(filter(None, self.options["repair"].split(","))))
             s.seek(h.data_offset + part.first * h.rec_len)
             records = s.read(part.rows * h.rec_len)
             tail = s.read() if part.last else None

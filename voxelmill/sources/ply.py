@@ -4,19 +4,60 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cloud import numbered
+from ..operators.tables import cut
+from .archives import local_path
+
 # Fixed values of the format: names of property types.
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
 SCHEMA = "path string, point_id long, x double, y double, z double, red int, green int, blue int"
 
 
-def parse(raw: bytes) -> pd.DataFrame:
-    """Vertices: x, y, z and colour, null where the file has none; other properties are passed over."""
+#: Vertices of a binary body, and bytes of a text body, that are one range.
+ROWS, RANGE_BYTES = 1 << 18, 16 << 20
+#: Most bytes of a header.
+_HEAD = 1 << 16
+
+
+@dataclass(frozen=True)
+class Head:
+    """What a file's header says: binary or not, where the body starts, how many vertices it has and their properties (name, type)."""
+
+    binary: bool
+    start: int
+    count: int
+    names: tuple[tuple[str, str], ...]
+
+    def columns(self, table) -> pd.DataFrame:
+        """x, y, z and colour of the properties, null where there is none."""
+        own = [n for n, _ in self.names]
+        out = pd.DataFrame({c: np.asarray(table[c], float) for c in "xyz"})
+        for c in ("red", "green", "blue"):
+            out[c] = pd.array(np.asarray(table[c]).astype(int), "Int32") if c in own else pd.array([None] * len(out), "Int32")
+        return out
+
+    def vertices(self, raw: bytes) -> pd.DataFrame:
+        """Of whole records, or whole lines."""
+        if self.binary:
+            return self.columns(np.frombuffer(raw, np.dtype(list(self.names))))
+        words, lines = raw.split(), raw.decode("ascii").split("\n")
+        lines = lines[:-1] if lines[-1] == "" else lines
+        if len(words) == len(lines) * len(self.names):
+            table = np.array(words, float).reshape(-1, len(self.names))
+        else:  # lines with more than the properties
+            table = np.array([line.split()[: len(self.names)] for line in lines], float).reshape(-1, len(self.names))
+        return self.columns({n: table[:, i] for i, (n, _) in enumerate(self.names)})
+
+
+def head(raw: bytes) -> Head:
+    """The header at the start of a file's bytes."""
     end = raw.index(b"end_header")
     start = raw.index(b"\n", end) + 1
     lines = raw[:end].decode("ascii").split("\n")
@@ -31,18 +72,17 @@ def parse(raw: bytes) -> pd.DataFrame:
             count = int(words[2]) if inside else count
         elif words[:1] == ["property"] and inside:
             names.append((words[-1], TYPES[words[1]]))
-    if kind == "ascii":
-        rows = [line.split()[: len(names)] for line in raw[start:].decode("ascii").split("\n")[:count]]
-        cols = {n: np.array([r[i] for r in rows], float) for i, (n, _) in enumerate(names)}
-    elif kind == "binary_little_endian":
-        table = np.frombuffer(raw, np.dtype(names), count, start)
-        cols = {n: table[n] for n, _ in names}
-    else:
+    if kind not in ("ascii", "binary_little_endian"):
         raise ValueError(f"PLY format {kind!r}")
-    out = pd.DataFrame({c: np.asarray(cols[c], float) for c in "xyz"})
-    for c in ("red", "green", "blue"):
-        out[c] = pd.array(cols[c].astype(int), "Int32") if c in cols else pd.array([None] * count, "Int32")
-    return out
+    return Head(kind != "ascii", start, count, tuple(names))
+
+
+def parse(raw: bytes) -> pd.DataFrame:
+    """Vertices: x, y, z and colour, null where the file has none; other properties are passed over."""
+    h = head(raw)
+    if h.binary:
+        return h.vertices(raw[h.start : h.start + h.count * np.dtype(list(h.names)).itemsize])
+    return h.vertices(b"".join(raw[h.start :].splitlines(True)[: h.count]))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +101,81 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(vertices, SCHEMA)
 
 
+def read_ranges(spark: SparkSession, path: str, rows: int = ROWS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The same rows with the same ids as read(), of files in folders that all machines have mounted, a file in many ranges.
+
+    A first small job reads the headers.  A range of a binary body is some records.  A
+    range of a text body is the lines that begin in it; a second job counts
+    these, so that each range knows the number of its first line: what follows the
+    last vertex is passed over.
+    """
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, size in zip(b.path, b.length):
+                with open(local_path(name), "rb") as f:
+                    h = head(f.read(_HEAD))
+                yield pd.DataFrame({"path": [name], "start": [h.start], "length": [size], "binary": [h.binary], "count": [h.count], "names": [[{"name": n, "kind": k} for n, k in h.names]]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(path).select("path", "length")
+    heads = numbered(files.mapInPandas(headed, "path string, start long, length long, binary boolean, count long, names array<struct<name: string, kind: string>>"), "file", "path")
+    end, step = F.when(F.col("binary"), F.col("count")).otherwise(F.col("length")), F.when(F.col("binary"), F.lit(rows)).otherwise(F.lit(range_bytes))
+    first = F.when(F.col("binary"), F.lit(0)).otherwise(F.col("start"))
+    ranges = heads.where("count > 0").withColumn("low", F.explode(F.sequence(first.cast("long"), end - 1, step.cast("long")))).withColumn("high", F.least(F.col("low") + step, end))
+    ranges = cut(ranges.select("path", "file", ((F.col("low") - first) / step).cast("long").alias("range"), "low", "high", "start", "binary", "count", "names"))
+    tasks = max(1, min(ranges.count(), 100_000))  # the ranges are small rows of much work: Spark must not put them together
+
+    def began(f, low: int, start: int) -> int:
+        """Where the first line that begins at ``low`` or after it does."""
+        f.seek(max(low - 1, start))
+        if low > start:
+            f.readline()
+        return f.tell()
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in b.itertuples(index=False):
+                n = 0
+                with open(local_path(k.path), "rb") as f:
+                    at = began(f, k.low, k.start)
+                    while at < k.high:
+                        part = f.read(min(1 << 20, k.high - at))
+                        n += part.count(b"\n")
+                        at += len(part)
+                        if at >= k.high and not part.endswith(b"\n"):
+                            n += 1  # a line that began here and ends beyond
+                yield pd.DataFrame({"path": [k.path], "range": [k.range], "n": [n]})
+
+    lines = ranges.where("NOT binary").repartition(tasks, "path", "range").mapInPandas(counted, "path string, range long, n long")
+    before = lines.select("path", "range", (F.sum("n").over(Window.partitionBy("path").orderBy("range")) - F.col("n")).alias("before"))  # a row for each range of a file
+    placed = ranges.join(before, ["path", "range"], "left").repartition(tasks, "path", "range")
+
+    def vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in b.itertuples(index=False):
+                names = tuple((v["name"], v["kind"]) for v in k.names)
+                h = Head(bool(k.binary), k.start, k.count, names)
+                with open(local_path(k.path), "rb") as f:
+                    if h.binary:
+                        size, index = np.dtype(list(names)).itemsize, int(k.low)
+                        f.seek(h.start + k.low * size)
+                        raw = f.read((k.high - k.low) * size)
+                    else:
+                        index, at = int(k.before), began(f, k.low, k.start)
+                        if at >= k.high or index >= k.count:
+                            continue
+                        raw = f.read(k.high - at)
+                        raw += b"" if raw.endswith(b"\n") else f.readline()
+                        if index + raw.count(b"\n") > k.count:
+                            raw = b"".join(raw.splitlines(True)[: int(k.count) - index])
+                v = h.vertices(raw)
+                v.insert(0, "point_id", (int(k.file) << 40) + index + np.arange(len(v)))
+                v.insert(0, "path", k.path)
+                yield v
+
+    return placed.mapInPandas(vertices, SCHEMA)
+
+
 def encode(points: pd.DataFrame, color: bool) -> bytes:
     """A binary little-endian file of single-precision x, y, z and, if asked for, byte colours."""
     kinds = [(c, "<f4") for c in "xyz"] + ([(c, "u1") for c in ("red", "green", "blue")] if color else [])
