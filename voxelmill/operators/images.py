@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +28,40 @@ def stretched(raster: DataFrame, size: tuple[int, int], width: int, height: int,
     return sums.agg(*(F.sum(F.col("w") * F.coalesce(c, F.lit(0.0))).alias(c) for c in channels))
 
 
+def resampled(raster: DataFrame, size: tuple[int, int], width: int, height: int, channels: tuple[str, ...] = ("r", "g", "b", "a"), lobes: int = 3, alpha: str | None = None) -> DataFrame:
+    """The raster of ``size`` (width, height) as width x height pixels by a windowed sinc of so many lobes, wider by as much as an axis shrinks.
+
+    Columns, then rows: each pass is an equi-join with a table of weights, a few for
+    each new pixel, and a sum.  Weights of a new pixel add up to 1, with what lies over
+    the edge left out; results may lie a little outside the channels' range.
+    With ``alpha`` the other channels count by that one.  A source pixel that isn't
+    there, or a null channel, counts as 0.
+    """
+    colours = [c for c in channels if c != alpha]
+    out = raster.select("px", "py", *channels)
+    if alpha is not None:
+        out = out.withColumns({c: F.col(c) * F.col(alpha) for c in colours})
+    for axis, other, old, new in (("px", "py", size[0], width), ("py", "px", size[1], height)):
+        sums = out.join(sinc_weights(raster.sparkSession, old, new, lobes).withColumnRenamed("old", axis), axis).groupBy("new", other)
+        out = sums.agg(*(F.sum(F.col("w") * F.coalesce(c, F.lit(0.0))).alias(c) for c in channels)).withColumnRenamed("new", axis)
+    if alpha is not None:
+        out = out.withColumns({c: F.when(F.col(alpha) > 0, F.col(c) / F.col(alpha)).otherwise(0.0) for c in colours})
+    return out.select("px", "py", *channels)
+
+
+def sinc_weights(spark: SparkSession, old: int, new: int, lobes: int = 3) -> DataFrame:
+    """(new, old, w): which pixels of a line of ``old`` make up each of ``new`` pixels, and their weights."""
+    scale = old / new
+    wide = max(scale, 1.0)
+    centre = (F.col("new") + 0.5) * scale
+    first, last = F.greatest(F.floor(centre - lobes * wide + 0.5), F.lit(0)), F.least(F.floor(centre + lobes * wide + 0.5), F.lit(old)) - 1
+    rows = spark.range(new).select(F.col("id").cast("int").alias("new")).withColumn("old", F.explode(F.sequence(first, last)))
+    x = (F.col("old") + 0.5 - centre) / wide
+    sinc = lambda v: F.when(v == 0, 1.0).otherwise(F.sin(v * math.pi) / (v * math.pi))
+    raw = rows.withColumn("w", F.when(F.abs(x) < lobes, sinc(x) * sinc(x / lobes)).otherwise(0.0))
+    return raw.select("new", F.col("old").cast("int").alias("old"), (F.col("w") / F.sum("w").over(Window.partitionBy("new"))).alias("w"))
+
+
 def swizzled(raster: DataFrame) -> DataFrame:
     """Red and blue change places."""
     return raster.withColumns({"r": F.col("b"), "b": F.col("r")})

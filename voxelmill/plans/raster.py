@@ -198,7 +198,23 @@ def image_stretched(spark, d):
     return G.stretched(raster(spark, d), (SIDE, SIDE), 96, 40, ("v", "al")).select("px", "py", *(micros(F.col(c)).alias(c) for c in ("v", "al")))
 
 
-QUERIES = {f.__name__: f for f in (image_stretched, reconstructed_views, reconstructed_one_step, fill_quality, fill_quality_few_steps, two_grid, conjugate_gradient, restrict_boundary, byte_values, alpha_levels, background, jacobi_step, laplacian, residual, restrict, prolong, correct, blur_rows, blur_density, axpy, dot_product, image_psnr, image_stats, distance_field, sor_two_steps, jacobi_two_steps, jump_flood_distance, multigrid, composite, alpha_over)}
+def image_resampled(spark, d):
+    """The raster at 96 x 40 pixels by a windowed sinc: wider and lower."""
+    from ..operators import images as G
+
+    return G.resampled(raster(spark, d), (SIDE, SIDE), 96, 40, ("v", "al")).select("px", "py", *(micros(F.col(c)).alias(c) for c in ("v", "al")))
+
+
+def _sinc(old: int, new: int, lobes: int = 3) -> str:
+    """Rows (new, old, w) of the weights, by a distance between centres."""
+    wide = max(old / new, 1.0)
+    x = f"(o.range + 0.5e0 - (n.range + 0.5e0) * {old / new!r}e0) / {wide!r}e0"
+    part = lambda v: f"CASE WHEN {v} = 0 THEN 1e0 ELSE sin(pi() * ({v})) / (pi() * ({v})) END"
+    inside = f"o.range >= FLOOR((n.range + 0.5e0) * {old / new!r}e0 - {lobes * wide!r}e0 + 0.5e0) AND o.range < FLOOR((n.range + 0.5e0) * {old / new!r}e0 + {lobes * wide!r}e0 + 0.5e0)"
+    return f"SELECT new, old, w / SUM(w) OVER (PARTITION BY new) AS w FROM (SELECT n.range AS new, o.range AS old, CASE WHEN ABS({x}) < {lobes} THEN ({part(x)}) * ({part(f'({x}) / {lobes}')}) ELSE 0e0 END AS w FROM range({new}) n JOIN range({old}) o ON {inside}) s"
+
+
+QUERIES = {f.__name__: f for f in (image_stretched, image_resampled, reconstructed_views, reconstructed_one_step, fill_quality, fill_quality_few_steps, two_grid, conjugate_gradient, restrict_boundary, byte_values, alpha_levels, background, jacobi_step, laplacian, residual, restrict, prolong, correct, blur_rows, blur_density, axpy, dot_product, image_psnr, image_stats, distance_field, sor_two_steps, jacobi_two_steps, jump_flood_distance, multigrid, composite, alpha_over)}
 
 
 _OVER = {"l": ("py", "px", "LAG"), "r": ("py", "px", "LEAD"), "d": ("px", "py", "LAG"), "u": ("px", "py", "LEAD")}
@@ -373,6 +389,8 @@ def _solved_sql(made: tuple[str, str], select: str = "v") -> str:
 
 
 ORACLE_SQL = {
+    "image_resampled": f"""WITH {RASTER}, cw AS ({_sinc(SIDE, 96)}), rw AS ({_sinc(SIDE, 40)})
+        SELECT CAST(cw.new AS INT) AS px, CAST(rw.new AS INT) AS py, {micro('SUM(cw.w * rw.w * v)')} AS v, {micro('SUM(cw.w * rw.w * al)')} AS al FROM raster JOIN cw ON cw.old = px JOIN rw ON rw.old = py GROUP BY cw.new, rw.new""",
     "image_stretched": f"""WITH {RASTER}, g AS (SELECT CAST(a.range AS INT) AS px, CAST(b.range AS INT) AS py, GREATEST(0e0, LEAST(63e0, (a.range + 0.5e0) * {64 / 96!r}e0 - 0.5e0)) AS x, GREATEST(0e0, LEAST(63e0, (b.range + 0.5e0) * {64 / 40!r}e0 - 0.5e0)) AS y FROM range(96) a, range(40) b),
         t AS (SELECT px, py, LEAST(FLOOR(x) + i.range, 63) AS sx, LEAST(FLOOR(y) + j.range, 63) AS sy, (CASE i.range WHEN 0 THEN 1 - (x - FLOOR(x)) ELSE x - FLOOR(x) END) * (CASE j.range WHEN 0 THEN 1 - (y - FLOOR(y)) ELSE y - FLOOR(y) END) AS w FROM g, range(2) i, range(2) j)
         SELECT t.px, t.py, {micro('SUM(w * r.v)')} AS v, {micro('SUM(w * r.al)')} AS al FROM t JOIN raster r ON r.px = t.sx AND r.py = t.sy GROUP BY t.px, t.py""",

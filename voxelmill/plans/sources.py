@@ -6,6 +6,7 @@ import os
 import struct
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -225,6 +226,26 @@ def image_archives(spark, d):
     return found.select(F.col("name").cast("int").alias("percent"), "px", "py", F.col("class_id").alias("red"))
 
 
+#: Bits, colours in a palette, interlacing and filters of the files that mask_kinds writes.
+KINDS = {"grey1": (1, 0, False, (0,)), "grey2": (2, 0, True, (1, 2)), "grey4": (4, 0, False, (4,)), "colour2": (2, 4, False, (0,)), "colour8": (8, 256, True, (3,)), "grey8": (8, 0, False, (0, 1, 2, 3, 4)), "grey16": (16, 0, True, (4, 3, 2, 1, 0))}
+
+
+def mask_kinds(spark, d):
+    """Masks of the raster's values in files of several depths, palettes and filters, plain and interlaced, read back."""
+    values = raster(spark, d).select("px", "py", F.floor(F.col("v") * 8 + F.col("px") * F.col("py")).cast("int").alias("n"))
+    kinds = spark.createDataFrame([(k, depth) for k, (depth, *_) in KINDS.items()], "kind string, depth int")
+
+    def write(pdf):
+        depth, colours, interlaced, filters = KINDS[pdf.kind.iloc[0]]
+        mask = np.zeros((int(pdf.py.max()) + 1, int(pdf.px.max()) + 1), np.int64)
+        mask[pdf.py, pdf.px] = pdf.n % (1 << depth)
+        palette = np.stack([255 - np.arange(colours), np.arange(colours), np.zeros(colours)], axis=1) if colours else None
+        return pd.DataFrame({"name": pdf.kind.iloc[:1], "content": [png.encode(mask, depth, palette, interlaced, filters)]})
+
+    drawn = values.crossJoin(F.broadcast(kinds)).groupBy("kind").applyInPandas(write, "name string, content binary")  # seven kinds of one image
+    return png.mask_pixels(drawn)
+
+
 def model_bundles(spark, d):
     """An archive for each nation's model, of an image of the raster and the texts of its cameras, poses and points, read back by their directories: members, lines and, for images, lit pixels."""
     k, model = F.col("c_custkey"), lambda c: F.format_string("nation%d", c)
@@ -249,7 +270,7 @@ def debug_images(spark, d):
     return png.mask_pixels(png.images(shown).withColumn("name", F.lit("debug"))).select("px", "py", F.col("class_id").alias("green"))
 
 
-QUERIES = {f.__name__: f for f in (las_files, las_anywhere, las_normals, las_repaired, las_classified, las_thinned, ply_files, ply_texts, ply_to_las, side_cars, model_cameras, model_images, model_centres, model_points, class_maps, capture_tasks, image_archives, model_bundles, debug_images)}
+QUERIES = {f.__name__: f for f in (las_files, las_anywhere, las_normals, las_repaired, las_classified, las_thinned, ply_files, ply_texts, ply_to_las, side_cars, model_cameras, model_images, model_centres, model_points, class_maps, capture_tasks, image_archives, mask_kinds, model_bundles, debug_images)}
 _S = f"{POINTS}, s AS (SELECT point_id, {', '.join(f'CAST(round_even({c} * 1000, 0) AS INT) AS i{c}' for c in 'xyz')}, x, y, z, las_class, CAST(point_id % 65536 AS INT) AS red FROM points)"
 _XYZ = "ix AS X, iy AS Y, iz AS Z"
 ORACLE_SQL = {
@@ -270,6 +291,9 @@ ORACLE_SQL = {
     "class_maps": "SELECT n_name AS name, CAST(n_nationkey * 8 AS INT) AS class_id, GREATEST(128, (SELECT max(n_nationkey * 8) + 1 FROM nation WHERE n_nationkey % 7 <> 3)) AS n_classes FROM nation WHERE n_nationkey % 7 <> 3",
     "capture_tasks": """SELECT 0 AS model, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS camera, 'n' || s_nationkey || '.las' AS lasFile, CASE WHEN s_nationkey % 2 = 0 THEN 640 ELSE 1024 END AS canvasWidth, 512 AS canvasHeight, 'PERSPECTIVE' AS projection,
         CASE WHEN s_suppkey % 3 = 0 THEN 'DISKS' ELSE 'POINTS' END AS technique, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey / 8e0 ELSE 0.2e0 END AS pointSize, s_suppkey % 7 <> 0 AS useReconstruction, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 1000000 AS BIGINT) END AS ex FROM supplier""",
+    "mask_kinds": f"""WITH {RASTER}, n AS (SELECT px, py, CAST(FLOOR(v * 8 + px * py) AS BIGINT) AS n FROM raster)
+        SELECT name, px, py, CAST(CASE WHEN colours > 0 THEN 255 - n % (1 << depth) WHEN depth < 8 THEN n % (1 << depth) * (255 // ((1 << depth) - 1)) ELSE n % (1 << depth) END AS INT) AS class_id
+        FROM n, (VALUES {', '.join(f"('{k}', {depth}, {colours})" for k, (depth, colours, *_) in KINDS.items())}) k(name, depth, colours)""",
     "model_bundles": f"""WITH {RASTER}, m AS (SELECT 'nation' || n_nationkey AS model, n_nationkey FROM nation) SELECT model, 'cameras.txt' AS name, CAST(1 AS BIGINT) AS n FROM m
         UNION ALL SELECT 'nation' || c_nationkey, 'images.txt', COUNT(*) FROM customer GROUP BY c_nationkey UNION ALL SELECT 'nation' || (point_id % 25), 'points3D.txt', COUNT(*) FROM points WHERE point_id % 10 = 0 GROUP BY point_id % 25
         UNION ALL SELECT model, 'images/' || model || '.png', (SELECT COUNT(*) FROM raster WHERE FLOOR(v * 255e0) > 0) FROM m""",

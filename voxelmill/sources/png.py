@@ -1,4 +1,4 @@
-"""PNG masks and images: grey masks of 8 or 16 bits to pixels, pixels to RGBA files; members of ZIP files."""
+"""PNG masks and images of all depths, with palettes and interlaced ones, to pixels; pixels to files; members of ZIP files."""
 
 from __future__ import annotations
 
@@ -49,36 +49,88 @@ def unfiltered(data: np.ndarray, filters: np.ndarray, width: int) -> np.ndarray:
     return out[1:, 1:].astype(np.uint8).reshape(h, w * width)
 
 
+# Fixed values of the format: samples of a pixel by colour type; first column and row and steps of the seven passes of an interlaced image.
+SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
+def _parts(w: int, h: int, interlaced: bool) -> Iterator[tuple[slice, slice, int, int]]:
+    """Rows and columns of each pass, and how many: one pass of all, or seven."""
+    for x, y, dx, dy in PASSES if interlaced else [(0, 0, 1, 1)]:
+        cols, rows = len(range(x, w, dx)), len(range(y, h, dy))
+        if cols and rows:
+            yield slice(y, None, dy), slice(x, None, dx), rows, cols
+
+
 def decode(raw: bytes) -> np.ndarray:
-    """height x width x samples, 8 or 16 bits; no interlacing."""
-    head, body = None, b""
+    """height x width x samples; samples of 1, 2 and 4 bits spread over 0 to 255, palette colours as three samples, or four if some aren't opaque."""
+    head, body, palette, clear = None, b"", None, b""
     for kind, data in chunks(raw):
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", data)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
+        elif kind == b"tRNS":
+            clear = data
         elif kind == b"IDAT":
             body += data
     w, h, depth, color, _, _, interlaced = head
-    if interlaced or depth not in (8, 16):
-        raise ValueError("only 8 and 16 bits without interlacing")
-    samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    size = samples * depth // 8
-    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * size + 1)
-    flat = unfiltered(lines[:, 1:], lines[:, 0], size)
-    return (flat.copy().view(">u2") if depth == 16 else flat).astype(np.int32).reshape(h, w, samples)
-
-
-def encode(pixels: np.ndarray) -> bytes:
-    """A file of height x width (grey, 8 or 16 bits by type) or height x width x 4 (8 bits)."""
+    if depth not in (1, 2, 4, 8, 16) or color not in SAMPLES or (color == 3 and palette is None):
+        raise ValueError(f"PNG of {depth} bits and colour type {color}")
+    samples, data, at = SAMPLES[color], zlib.decompress(body), 0
+    out = np.zeros((h, w, samples), np.int32)
+    for rows, cols, high, wide in _parts(w, h, bool(interlaced)):
+        size = -(-wide * samples * depth // 8)
+        lines = np.frombuffer(data, np.uint8, high * (size + 1), at).reshape(high, size + 1)
+        at += lines.size
+        flat = unfiltered(lines[:, 1:], lines[:, 0], max(1, samples * depth // 8))
+        if depth < 8:
+            bits = np.unpackbits(flat, axis=1).reshape(high, -1, depth)
+            flat = (bits << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(axis=2)[:, : wide * samples]
+        elif depth == 16:
+            flat = flat.copy().view(">u2")
+        out[rows, cols] = flat.astype(np.int32).reshape(high, wide, samples)
+    if color == 3:
+        alpha = np.full(len(palette), 255, np.int32)
+        alpha[: len(clear)] = np.frombuffer(clear, np.uint8)[: len(palette)]
+        return (np.column_stack([palette, alpha]) if clear else palette)[out[:, :, 0]]
+    return out * (255 // ((1 << depth) - 1)) if depth < 8 else out
+
+
+def filtered(lines: np.ndarray, filters: tuple[int, ...], width: int) -> bytes:
+    """Lines of bytes under the filters, in turn, each behind its filter's number."""
+    up = np.vstack([np.zeros_like(lines[:1]), lines[:-1]]).astype(np.int16)
+    left, corner = np.zeros_like(up), np.zeros_like(up)
+    left[:, width:], corner[:, width:] = lines[:, :-width], up[:, :-width]
+    guess = left + up - corner
+    da, db, dc = np.abs(guess - left), np.abs(guess - up), np.abs(guess - corner)
+    paeth = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+    kind = np.resize(np.array(filters, np.uint8), len(lines))
+    less = np.select([kind[:, None] == k for k in range(5)], [np.zeros_like(up), left, up, (left + up) // 2, paeth])
+    return np.column_stack([kind, ((lines.astype(np.int16) - less) & 255).astype(np.uint8)]).tobytes()
+
+
+def encode(pixels: np.ndarray, depth: int | None = None, palette: np.ndarray | None = None, interlaced: bool = False, filters: tuple[int, ...] = (0,)) -> bytes:
+    """A file of height x width (grey, or numbers of colours in a ``palette``) or height x width x 4 (8 bits); grey has 8 or 16 bits by type, or as many as ``depth`` says.  ``filters`` are used line by line, in turn."""
     h, w = pixels.shape[:2]
-    wide = pixels.dtype.itemsize == 2
-    raw = pixels.astype(">u2" if wide else "u1").reshape(h, -1).view(np.uint8)
-    body = zlib.compress(np.concatenate([np.zeros((h, 1), np.uint8), raw.reshape(h, -1)], axis=1).tobytes())
+    depth = depth or (16 if pixels.dtype.itemsize == 2 else 8)
+    samples, body = 4 if pixels.ndim == 3 else 1, b""
+    for rows, cols, high, _ in _parts(w, h, interlaced):
+        part = pixels[rows, cols].reshape(high, -1)
+        if depth < 8:
+            bits = (part[:, :, None].astype(np.uint8) >> np.arange(depth - 1, -1, -1, dtype=np.uint8)) & 1
+            lines = np.packbits(bits.reshape(high, -1), axis=1)
+        else:
+            lines = np.ascontiguousarray(part.astype(">u2" if depth == 16 else "u1")).view(np.uint8).reshape(high, -1)
+        body += filtered(lines, filters, max(1, samples * depth // 8))
+    body = zlib.compress(body)
 
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    head = struct.pack(">IIBBBBB", w, h, 16 if wide else 8, 6 if pixels.ndim == 3 else 0, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+    head = struct.pack(">IIBBBBB", w, h, depth, 3 if palette is not None else 6 if pixels.ndim == 3 else 0, 0, 0, int(interlaced))
+    colours = chunk(b"PLTE", palette.astype(np.uint8).tobytes()) if palette is not None else b""
+    return SIGNATURE + chunk(b"IHDR", head) + colours + chunk(b"IDAT", body) + chunk(b"IEND", b"")
 
 
 def scaled_bytes(values: np.ndarray, unit: bool) -> np.ndarray:
