@@ -92,6 +92,17 @@ def dot(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("px", "py", "v").join(b.select("px", "py", F.col("v").alias("w")), ["px", "py"]).agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
 
 
+def products(a: DataFrame, b: DataFrame, channels: tuple[str, ...] = ("r", "g", "b", "a")) -> DataFrame:
+    """(px, py, channels): products by pixel and channel; a pixel that one of the rasters lacks has none."""
+    both = a.select("px", "py", *channels).join(b.select("px", "py", *(F.col(c).alias(f"{c}_") for c in channels)), ["px", "py"])
+    return both.select("px", "py", *((F.col(c) * F.col(f"{c}_")).alias(c) for c in channels))
+
+
+def dots(a: DataFrame, b: DataFrame, channels: tuple[str, ...] = ("r", "g", "b", "a")) -> DataFrame:
+    """One row: the sum of products of each channel."""
+    return products(a, b, channels).agg(*(F.sum(c).alias(c) for c in channels))
+
+
 def kernel_weights(radius: int, sigma: float) -> list[float]:
     return [float(np.exp(-(k * k) / (2 * sigma * sigma))) for k in range(-radius, radius + 1)]
 

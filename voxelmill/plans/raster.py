@@ -55,6 +55,22 @@ def dot_product(spark, d):
     return R.dot(r, r).select(micros(F.col("dot")).alias("dot"))
 
 
+def _colours(spark, d):
+    r = raster(spark, d)
+    own = r.select("px", "py", F.col("v").alias("r"), F.col("al").alias("g"), (F.col("px") / 64.0).alias("b"), F.lit(1.0).alias("a"))
+    return own, own.select("px", "py", F.col("g").alias("r"), F.col("b").alias("g"), F.col("r").alias("b"), (F.col("py") / 64.0).alias("a"))
+
+
+def channel_products(spark, d):
+    """Products of two images by pixel and channel."""
+    return R.products(*_colours(spark, d))
+
+
+def channel_dots(spark, d):
+    """Their sums."""
+    return R.dots(*_colours(spark, d)).select(*(micros(F.col(c)).alias(c) for c in "rgba"))
+
+
 def image_psnr(spark, d):
     r = raster(spark, d)
     own = r.select("px", "py", *(F.floor(F.col("v") * k).alias(c) for c, k in zip("rgba", (100.0, 80.0, 60.0, 40.0))))
@@ -214,7 +230,7 @@ def _sinc(old: int, new: int, lobes: int = 3) -> str:
     return f"SELECT new, old, w / SUM(w) OVER (PARTITION BY new) AS w FROM (SELECT n.range AS new, o.range AS old, CASE WHEN ABS({x}) < {lobes} THEN ({part(x)}) * ({part(f'({x}) / {lobes}')}) ELSE 0e0 END AS w FROM range({new}) n JOIN range({old}) o ON {inside}) s"
 
 
-QUERIES = {f.__name__: f for f in (image_stretched, image_resampled, reconstructed_views, reconstructed_one_step, fill_quality, fill_quality_few_steps, two_grid, conjugate_gradient, restrict_boundary, byte_values, alpha_levels, background, jacobi_step, laplacian, residual, restrict, prolong, correct, blur_rows, blur_density, axpy, dot_product, image_psnr, image_stats, distance_field, sor_two_steps, jacobi_two_steps, jump_flood_distance, multigrid, composite, alpha_over)}
+QUERIES = {f.__name__: f for f in (image_stretched, image_resampled, reconstructed_views, reconstructed_one_step, fill_quality, fill_quality_few_steps, two_grid, conjugate_gradient, restrict_boundary, byte_values, alpha_levels, background, jacobi_step, laplacian, residual, restrict, prolong, correct, blur_rows, blur_density, axpy, dot_product, channel_products, channel_dots, image_psnr, image_stats, distance_field, sor_two_steps, jacobi_two_steps, jump_flood_distance, multigrid, composite, alpha_over)}
 
 
 _OVER = {"l": ("py", "px", "LAG"), "r": ("py", "px", "LEAD"), "d": ("px", "py", "LAG"), "u": ("px", "py", "LEAD")}
@@ -417,6 +433,8 @@ ORACLE_SQL = {
     "blur_rows": f"WITH {RASTER}, {_blur('raster', 'h', 'v', 4, 2.0, 'px')} SELECT px, py, {micro('v')} AS v FROM h",
     "blur_density": f"WITH {RASTER}, {_blur('raster', 'h', 'al', 30, 15.0, 'px')}, {_blur('h', 'g', 'al', 30, 15.0, 'py')} SELECT px, py, {micro('al')} AS al FROM g",
     "axpy": f"WITH {RASTER} SELECT px, py, v + 0.5e0 * al AS v FROM raster",
+    "channel_products": f"WITH {RASTER} SELECT px, py, v * al AS r, al * (px / 64e0) AS g, (px / 64e0) * v AS b, py / 64e0 AS a FROM raster",
+    "channel_dots": f"WITH {RASTER} SELECT {micro('SUM(v * al)')} AS r, {micro('SUM(al * (px / 64e0))')} AS g, {micro('SUM((px / 64e0) * v)')} AS b, {micro('SUM(py / 64e0)')} AS a FROM raster",
     "dot_product": f"WITH {RASTER} SELECT {micro('SUM(v * v)')} AS dot FROM raster",
     "image_psnr": f"""WITH {_STEP}, e AS (SELECT {' + '.join(f'(FLOOR(a.v * {k}e0) - FLOOR(b.v * {k}e0)) ** 2' for k in (100.0, 80.0, 60.0, 40.0))} AS s FROM raster a JOIN j b USING (px, py)), m AS (SELECT AVG(s / 4) AS mse FROM e)
         SELECT {micro('mse')} AS mse, {micro('10 * log10(255e0 * 255e0 / mse)')} AS psnr FROM m""",
