@@ -205,3 +205,17 @@ def test_adapted_scores_fit_texts_that_were_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = [sum(r.score for r in scores.lattice_scores(docs, rounds=k).collect() if r.held_out) for k in (0, 1)]
     assert held[1] > 0.9 * held[0]  # log probabilities: nearer to 0
+
+
+def test_token_counts_of_huge_texts_with_special_strings():
+    from voxelmill.llm.bpe import encoder
+    from voxelmill.llm.op9_token_counts import VOCABULARY, count_huge
+
+    enc, rng = encoder(VOCABULARY), random.Random(9)
+    pieces = ["word", " another", "\n", "  ", "<|endoftext|>", "<|endoftext", "|>", "é", " 12", "'s"]
+    for chunk, overlap in ((40, 8), (500, 60)):
+        for _ in range(40):
+            text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 400)))
+            assert count_huge(enc, text, chunk, overlap) == len(enc.library.encode(text, add_special_tokens=False).ids)
+    long = "some words and more of them " * 5000 + "<|endoftext|>" + "the rest of it\n" * 5000
+    assert count_huge(enc, long) == len(enc.library.encode(long, add_special_tokens=False).ids)

@@ -85,6 +85,9 @@ class Encoder:
             spec = json.load(f)
         rule = spec.get("pre_tokenizer") or {}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        #: The special strings as they are cut out of a text before all else, the longest at a place; None if any takes white space or only whole words with it.
+        plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in spec.get("added_tokens", []))
+        self.special_rule = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if plain and self.special else None
         #: Pieces are cut only under the rule for which the proof holds.
         self.by_piece = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
         self.max_pieces = max_pieces

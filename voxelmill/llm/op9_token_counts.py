@@ -24,9 +24,24 @@ CHUNK, OVERLAP = 32_768, 512
 
 
 def count_huge(enc: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text, from overlapping chunks of ``chunk`` characters."""
-    if not enc.by_piece or any(s in text for s in enc.special):
+    """Tokens of a text, from overlapping chunks of ``chunk`` characters.
+
+    Special strings are tokens of their own, and what stands between them is encoded
+    apart.  Under a splitting rule without stable boundaries, or with special strings
+    that take their surroundings with them, a text is encoded whole.
+    """
+    if not enc.by_piece:
         return len(enc.whole(text))
+    if any(s in text for s in enc.special):
+        if enc.special_rule is None:
+            return len(enc.whole(text))
+        total, at = 0, 0
+        for m in enc.special_rule.finditer(text):
+            total += count_huge(enc, text[at : m.start()], chunk, overlap) + 1
+            at = m.end()
+        return total + count_huge(enc, text[at:], chunk, overlap)
+    if not text:
+        return 0
     total, at, width = 0, 0, overlap
     coded = None  # (start, offsets) of the chunk that begins at a proven boundary
     while True:
