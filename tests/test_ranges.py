@@ -38,3 +38,22 @@ def test_no_files_and_bad_ones(spark, tmp_path):
     (tmp_path / "big.ply").write_bytes(b"ply\nformat binary_big_endian 1.0\nelement vertex 1\nproperty float x\nend_header\n")
     with pytest.raises(Exception, match="binary_big_endian"):
         ply.read_ranges(spark, str(tmp_path)).collect()
+
+
+def test_survey_files_in_ranges(spark, tmp_path):
+    from voxelmill.sources import las
+
+    las.register(spark)
+    points = spark.range(500).selectExpr("cast(id AS int) AS X", "cast(id * 2 AS int) AS Y", "cast(-id AS int) AS Z", "cast(id % 30 AS int) AS las_class", "cast(id AS int) AS red", "7 AS green", "9 AS blue", "cast(id AS float) AS nx", "cast(0 AS float) AS ny", "cast(1 AS float) AS nz")
+    points.repartition(3).write.format("las").mode("append").option("pointformat", "3").option("normals", "true").save(str(tmp_path))
+    (tmp_path / "short.las").write_bytes(next(tmp_path.glob("part*.las")).read_bytes()[:300])  # a header that promises more than there is
+    want = sorted(map(tuple, spark.read.format("las").load(str(tmp_path)).select("point_id", "X", "Y", "Z", "red", "nx").collect()))
+    for rows in (7, 100, 10**6):
+        got = las.read_ranges(spark, str(tmp_path), rows=rows)
+        assert sorted(map(tuple, got.select("point_id", "X", "Y", "Z", "red", "nx").collect())) == want
+    (tmp_path / "tiny.las").write_bytes(b"LASF")
+    with pytest.raises(Exception, match="227 bytes"):
+        las.read_ranges(spark, str(tmp_path)).collect()
+    for f in tmp_path.glob("*.las"):
+        f.unlink()
+    assert las.read_ranges(spark, str(tmp_path)).count() == 0

@@ -7,7 +7,8 @@ A file's records have a fixed length, so a reader partition is a range of record
 Columns hold the survey integers; functions.geometry.decoded() gives coordinates.
 A point_id is the file's number among the files read, times 2^40, and the record's.
 These two formats list and open files on folders that all machines have mounted;
-read_anywhere() takes any path that Spark's own readers open, a task for each file.
+read_ranges() does the same with the headers read by a first small job, for very many
+files; read_anywhere() takes any path that Spark's own readers open, a task for each file.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..operators.cloud import numbered
+from ..operators.tables import cut
+from .archives import local_path
+
 HEADER_BYTES = 227
 # Fixed values of the format: byte offset of red, green, blue by point format; formats without colour are absent.
 COLOR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
@@ -194,6 +199,43 @@ class LasRawReader(LasReader):
         yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("file", pa.int64()), ("first", pa.int64()), ("format", pa.int32()), ("rec_len", pa.int32()), ("head", pa.binary()), ("records", pa.binary()), ("tail", pa.binary())]))
 
 
+def read_ranges(spark: SparkSession, path: str, user_data_class: bool = False, rows: int = ROWS) -> DataFrame:
+    """The columns of SCHEMA of all LAS files at a path in folders that all machines have mounted, a file in many ranges; files are numbered in the order of the paths.
+
+    A first small job reads the headers, so that the driver opens no file, however many there are.
+    """
+
+    def headed(batches):
+        for batch in batches:
+            found = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(local_path(name), "rb") as s:
+                    h = parse_header(s.read(HEADER_BYTES))
+                n = max(0, (size - h.data_offset) // h.rec_len)
+                found.append((name, min(n, h.count) if h.count else n))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["path", "n"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path).select("path", "length")
+    heads = numbered(files.mapInArrow(headed, "path string, n long"), "file", "path").where("n > 0")
+    ranges = cut(heads.select("path", "file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(rows).cast("long"))).alias("first"), "n"))
+    tasks = max(1, min(ranges.count(), 100_000))  # the ranges are small rows of much work: Spark must not put them together
+
+    def decode(batches):
+        for batch in batches:
+            for name, file, first, n in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(local_path(name), "rb") as s:
+                    h = parse_header(s.read(HEADER_BYTES))
+                    s.seek(0)
+                    extra = extra_dimensions(s.read(h.data_offset))
+                    s.seek(h.data_offset + first * h.rec_len)
+                    cols = decode_records(s.read(min(rows, n - first) * h.rec_len), h, extra, user_data_class)
+                m = len(cols["X"])
+                arrays, names = _arrays(cols, m)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array((file << FILE_BITS) + np.arange(first, first + m)), *arrays], ["path", "point_id", *names])
+
+    return ranges.repartition(tasks, "path", "first").select("path", "file", "first", "n").mapInArrow(decode, SCHEMA)
+
+
 def read_anywhere(spark: SparkSession, path: str, user_data_class: bool = False) -> DataFrame:
     """The columns of SCHEMA of all LAS files at any path that Spark reads; a file is a task, numbered in the order of the paths."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path)
@@ -222,6 +264,15 @@ def _with_records(raw: DataFrame, points: DataFrame, column: Column) -> DataFram
     return raw.join(own.groupBy("file", "first").agg(F.collect_list("v").alias("values")), ["file", "first"], "left")
 
 
+def _rows(batch: pa.RecordBatch):
+    """Each row without its ``values``, and these as two arrays: records and values."""
+    names = [n for n in batch.schema.names if n != "values"]
+    lists = batch.column(batch.schema.get_field_index("values"))
+    for k, row in enumerate(batch.select(names).to_pylist()):
+        own = lists[k].values
+        yield row, *(np.zeros(0, np.int64) if own is None else own.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("record", "value"))
+
+
 def classified(raw: DataFrame, labels: DataFrame, user_data_class: bool = False) -> DataFrame:
     """(name, piece, content) of the files of ``raw`` (format las_raw) with the class byte of the points in ``labels`` (point_id, class_id) overwritten, for format("pieces").
 
@@ -231,11 +282,9 @@ def classified(raw: DataFrame, labels: DataFrame, user_data_class: bool = False)
 
     def patch(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row, at, values in _rows(batch):
                 table = np.frombuffer(row["records"], np.uint8).reshape(-1, row["rec_len"]).copy()
-                values = row["values"] or []
-                at = np.array([v["record"] for v in values], np.int64)
-                table[at, class_offset(row["format"], user_data_class)] = np.array([v["value"] for v in values], np.int64) & 255
+                table[at, class_offset(row["format"], user_data_class)] = values & 255
                 yield _piece(row, "_classified.las", table.tobytes(), row["head"])
 
     return _with_records(raw, labels, F.col("class_id")).mapInArrow(patch, _PIECES)
@@ -256,7 +305,7 @@ def thinned(raw: DataFrame, kept: DataFrame) -> DataFrame:
 
     def pick(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row, at, _ in _rows(batch):
                 table = np.frombuffer(row["records"], np.uint8).reshape(-1, row["rec_len"])
                 head = row["head"]
                 if head is not None:
@@ -264,7 +313,7 @@ def thinned(raw: DataFrame, kept: DataFrame) -> DataFrame:
                     struct.pack_into("<I", head, 107, row["n"] or 0)
                     if len(head) >= 255 and head[25] >= 4:
                         struct.pack_into("<Q", head, 247, row["n"] or 0)
-                yield _piece(row, "_thinned.las", table[sorted(v["record"] for v in row["values"] or [])].tobytes(), bytes(head) if head is not None else None)
+                yield _piece(row, "_thinned.las", table[np.sort(at)].tobytes(), bytes(head) if head is not None else None)
 
     rows = _with_records(raw, kept, F.lit(0)).join(counts, "file", "left")
     return rows.mapInArrow(pick, _PIECES)
