@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .tables import read, shared_dir
+from .tables import gone_at_exit, read, shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK = 1 << 15  #: ids in a block
@@ -141,16 +141,18 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
 
 
 def token_output(docs: DataFrame, path: str | None = None, text: str = "text", plane_kind: str = "byte", parts: int | None = None) -> DataFrame:
-    """Write all ids of ``docs`` and return the digest of each document as the files have it; as many parts as the input has, unless given.
+    """Write all ids of ``docs`` and return the digest of each document as the files have it; as many parts as the input has, unless given.  Without a ``path`` the files stay until the application ends.
 
     A null or empty text is the end id alone; repeated rows and equal or null
     doc_ids have a row each (see write_ids() for their order); an empty table gives
     no rows; columns besides doc_id and the text are ignored.
     """
     spark = docs.sparkSession
-    path = path or shared_dir(spark)
-    write_ids(docs, path, parts or max(1, docs.rdd.getNumPartitions()), text, plane_kind=plane_kind)
-    return read_ids(spark, path, with_ids=False)
+    own = path or shared_dir(spark)
+    write_ids(docs, own, parts or max(1, docs.rdd.getNumPartitions()), text, plane_kind=plane_kind)
+    if path is None:
+        gone_at_exit(spark, own)
+    return read_ids(spark, own, with_ids=False)
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

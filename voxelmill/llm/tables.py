@@ -39,12 +39,20 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder that exists deleted when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back: cuts lineage and outlives executors."""
+    """The rows as a Parquet table in a folder, read back: cuts lineage and outlives executors.  Without a folder it is one in the shared folder, for as long as the application runs."""
     spark = df.sparkSession
     path = folder or shared_dir(spark)
     with small_batches(spark):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    if folder is None:
+        gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,7 +64,10 @@ class Scratch:
 
     def written(self, df: DataFrame) -> DataFrame:
         self.tables += 1
-        return written(df, f"{self.folder}/{self.tables}")
+        table = written(df, f"{self.folder}/{self.tables}")
+        if self.tables == 1:
+            gone_at_exit(self.spark, self.folder)
+        return table
 
     def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
         """The table, and how many rows it has, or how often ``what`` is true in them, as counted while it was written."""
