@@ -62,3 +62,39 @@ def test_sinc_against_the_plain_rule(spark):
                 assert np.isclose(r.r, want[r.py, r.px]) if not alpha or r.a > 0 else r.r == 0.0
     same = images.resampled(df, (1, 6), 1, 6, ("r",)).collect()
     assert all(np.isclose(r.r, v[r.py, r.px]) for r in same)
+
+
+def test_photos_within_one_level():
+    from voxelmill.sources import jpeg
+
+    y, x = np.indices((67, 91))
+    smooth = np.clip(128 + 100 * np.sin(x / 9) * np.cos(y / 7), 0, 255)
+    grey = smooth.astype(np.uint8)
+    for restart in (0, 1, 5, 1000):
+        back = jpeg.decode(jpeg.encode(grey, restart=restart))
+        assert back.shape == (67, 91, 1) and np.abs(back[:, :, 0].astype(int) - grey).max() <= 1
+    rgb = np.stack([smooth, smooth[::-1], 255 - smooth], axis=2).astype(np.uint8)
+    assert np.abs(jpeg.decode(jpeg.encode(rgb, restart=3)).astype(int) - rgb).max() <= 2  # one level in each of three planes
+    noise = np.random.default_rng(1).integers(0, 256, (40, 24)).astype(np.uint8)
+    assert np.abs(jpeg.decode(jpeg.encode(noise))[:, :, 0].astype(int) - noise).max() <= 1
+    kr, kb = 1 - jpeg.RED / 2, 1 - jpeg.BLUE / 2
+    light = kr * rgb[:, :, 0] + kb * rgb[:, :, 2] + (1 - kr - kb) * rgb[:, :, 1]
+    coarse = jpeg.decode(jpeg.encode(rgb, coarse=2))
+    assert np.abs(kr * coarse[:, :, 0] + kb * coarse[:, :, 2] + (1 - kr - kb) * coarse[:, :, 1] - light)[light.round() % 255 > 60].mean() < 2
+    even = np.repeat(np.repeat(np.random.default_rng(2).integers(40, 200, (3, 5, 3)), 16, axis=0), 16, axis=1).astype(np.uint8)
+    assert np.abs(jpeg.decode(jpeg.encode(even, coarse=2)).astype(int) - even).max() <= 2  # colours that are even over 16 x 16 pixels
+    for bad in (b"no photo", b"\xff\xd8\xff\xd9", jpeg.encode(grey).replace(b"\xff\xc0", b"\xff\xc2", 1)):
+        with pytest.raises(ValueError, match="JPEG"):
+            jpeg.decode(bad)
+
+
+def test_bitmaps_of_both_kinds(spark):
+    from voxelmill.sources import bitmaps, jpeg
+
+    grey = np.full((8, 8), 100, np.uint8)
+    rgba = np.zeros((2, 3, 4), np.uint8)
+    rgba[0, 1] = 255, 0, 51, 102
+    files = spark.createDataFrame([("a", bytearray(jpeg.encode(grey))), ("b", bytearray(png.encode(rgba))), ("c", bytearray(png.encode(np.full((1, 1), 65535), 16))), ("d", None)], "name string, content binary")
+    got = {(r.name, r.px, r.py): (r.r, r.g, r.b, r.a) for r in bitmaps.pixels(files).collect()}
+    assert len(got) == 64 + 6 + 1 and got["a", 7, 7] == (100 / 255, 100 / 255, 100 / 255, 1.0)
+    assert got["b", 1, 0] == (1.0, 0.0, 0.2, 0.4) and got["c", 0, 0] == (1.0, 1.0, 1.0, 1.0)

@@ -52,3 +52,18 @@ def test_a_hot_pixel_is_blended_in_order(spark):
     for k, _, _, _, *rgb, w in sorted(rows[:500], key=lambda r: (-r[3], r[0])):
         want = [c * w + b * (1 - w) for c, b in zip(rgb, want)] + [w + want[3] * (1 - w)]
     assert all(abs(a - b) < 1e-9 for a, b in zip((got[3, 4].r, got[3, 4].g, got[3, 4].b, got[3, 4].a), want)) and got[1, 1].g == 0.5
+
+
+def test_all_steps_leave_next_to_no_residual(spark):
+    """After the full steps the holes are harmonic: each is the mean of its neighbours."""
+    import numpy as np
+
+    from voxelmill.operators import raster as R
+
+    layers = V.filled(V.slices(cloud(spark), cameras(spark), bins(spark, (1.0, 9.0)), W, H), W, H).toPandas()
+    assert set(layers["view"]) == {0, 7}
+    for _, own in layers.groupby(["view", "layer"]):
+        al = R.dense(own, "al")
+        for c in V.CHANNELS:
+            v = R.dense(own, c)
+            assert np.abs(np.where(al <= 0, R.mean4(v) - v, 0.0)).max() < 1e-9 and v.min() >= -1e-9

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..operators import cloud
 from ..operators.tables import shared_folder
-from ..sources import archives, colmap, files, las, ply, png
+from ..sources import archives, bitmaps, colmap, files, jpeg, las, ply, png
 from .views import POINTS, RASTER, micro, micros, points, raster, table
 
 
@@ -129,9 +129,9 @@ def ply_texts(spark, d):
 def ply_to_las(spark, d):
     """Vertices as survey files, colours in 16 bits."""
     out, to = _folder(spark), _folder(spark)
-    named = points(spark, d).withColumns({"name": F.lit("all.ply"), "red": (F.col("point_id") % 256).cast("int"), "green": F.lit(3), "blue": F.lit(255)})
+    named = points(spark, d).withColumns({"name": F.format_string("part%d.ply", F.col("point_id") % 4), "red": (F.col("point_id") % 256).cast("int"), "green": F.lit(3), "blue": F.lit(255)})
     ply.pieces(named, True).transform(files.by_file("name", "piece")).write.format("pieces").mode("append").save(out)
-    ply.to_survey(ply.read(spark, out)).write.format("las").mode("append").option("pointformat", "3").save(to)
+    ply.to_survey(ply.read_ranges(spark, out)).write.format("las").mode("append").option("pointformat", "3").save(to)
     return spark.read.format("las").load(to).select("X", "Y", "Z", "las_class", "red", "green", "blue")
 
 
@@ -246,6 +246,24 @@ def mask_kinds(spark, d):
     return png.mask_pixels(drawn)
 
 
+def photo_pixels(spark, d):
+    """Five grey photos of the raster, darker by the first, each 8 x 8 pixels as its first one (which a photo's coding keeps), in an archive of photos and drawings, and read back."""
+    values = raster(spark, d).select("px", "py", F.col("v")).crossJoin(F.broadcast(spark.range(1, 6).withColumnRenamed("id", "k")))  # five photos of one image
+
+    def draw(pdf):
+        grey = np.zeros((int(pdf.py.max()) + 1, int(pdf.px.max()) + 1), np.uint8)
+        grey[pdf.py, pdf.px] = np.floor(pdf.v * 51.0 * pdf.k)
+        blocks = grey[::8, ::8].repeat(8, axis=0).repeat(8, axis=1)
+        k = int(pdf.k.iloc[0])
+        kinds = [(f"photo{k}.JPG", jpeg.encode(blocks, restart=k)), (f"drawing{k}.png", png.encode(grey))]
+        return pd.DataFrame({"archive": "all.zip", "name": [n for n, _ in kinds], "piece": 0, "content": [c for _, c in kinds]})
+
+    out = _folder(spark)
+    archives.write(values.groupBy("k").applyInPandas(draw, "archive string, name string, piece long, content binary"), out)
+    found = bitmaps.pixels(archives.contents(archives.entries(spark, f"{out}/*.zip", (".jpg", ".png"))))
+    return found.select(F.split("name", r"\.")[0].alias("name"), "px", "py", *(F.rint(F.col(c) * 255).cast("int").alias(c) for c in "rgba"))
+
+
 def model_bundles(spark, d):
     """An archive for each nation's model, of an image of the raster and the texts of its cameras, poses and points, read back by their directories: members, lines and, for images, lit pixels."""
     k, model = F.col("c_custkey"), lambda c: F.format_string("nation%d", c)
@@ -270,7 +288,7 @@ def debug_images(spark, d):
     return png.mask_pixels(png.images(shown).withColumn("name", F.lit("debug"))).select("px", "py", F.col("class_id").alias("green"))
 
 
-QUERIES = {f.__name__: f for f in (las_files, las_anywhere, las_normals, las_repaired, las_classified, las_thinned, ply_files, ply_texts, ply_to_las, side_cars, model_cameras, model_images, model_centres, model_points, class_maps, capture_tasks, image_archives, mask_kinds, model_bundles, debug_images)}
+QUERIES = {f.__name__: f for f in (las_files, las_anywhere, las_normals, las_repaired, las_classified, las_thinned, ply_files, ply_texts, ply_to_las, side_cars, model_cameras, model_images, model_centres, model_points, class_maps, capture_tasks, image_archives, mask_kinds, photo_pixels, model_bundles, debug_images)}
 _S = f"{POINTS}, s AS (SELECT point_id, {', '.join(f'CAST(round_even({c} * 1000, 0) AS INT) AS i{c}' for c in 'xyz')}, x, y, z, las_class, CAST(point_id % 65536 AS INT) AS red FROM points)"
 _XYZ = "ix AS X, iy AS Y, iz AS Z"
 ORACLE_SQL = {
@@ -294,6 +312,8 @@ ORACLE_SQL = {
     "mask_kinds": f"""WITH {RASTER}, n AS (SELECT px, py, CAST(FLOOR(v * 8 + px * py) AS BIGINT) AS n FROM raster)
         SELECT name, px, py, CAST(CASE WHEN colours > 0 THEN 255 - n % (1 << depth) WHEN depth < 8 THEN n % (1 << depth) * (255 // ((1 << depth) - 1)) ELSE n % (1 << depth) END AS INT) AS class_id
         FROM n, (VALUES {', '.join(f"('{k}', {depth}, {colours})" for k, (depth, colours, *_) in KINDS.items())}) k(name, depth, colours)""",
+    "photo_pixels": f"""WITH {RASTER}, g AS (SELECT px, py, k.range AS k, CAST(FLOOR(v * 51e0 * k.range) AS INT) AS v FROM raster, range(1, 6) k)
+        SELECT 'drawing' || k AS name, px, py, v AS r, v AS g, v AS b, 255 AS a FROM g UNION ALL SELECT 'photo' || g.k, g.px, g.py, f.v, f.v, f.v, 255 FROM g JOIN g f ON f.k = g.k AND f.px = g.px // 8 * 8 AND f.py = g.py // 8 * 8""",
     "model_bundles": f"""WITH {RASTER}, m AS (SELECT 'nation' || n_nationkey AS model, n_nationkey FROM nation) SELECT model, 'cameras.txt' AS name, CAST(1 AS BIGINT) AS n FROM m
         UNION ALL SELECT 'nation' || c_nationkey, 'images.txt', COUNT(*) FROM customer GROUP BY c_nationkey UNION ALL SELECT 'nation' || (point_id % 25), 'points3D.txt', COUNT(*) FROM points WHERE point_id % 10 = 0 GROUP BY point_id % 25
         UNION ALL SELECT model, 'images/' || model || '.png', (SELECT COUNT(*) FROM raster WHERE FLOOR(v * 255e0) > 0) FROM m""",
