@@ -45,12 +45,15 @@ def slices(points: DataFrame, cameras: DataFrame, bins: DataFrame, width: int, h
     return near.join(F.broadcast(place), ["view", "bin_id"]).select("view", "layer", "depth", "px", "py", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in CHANNELS))
 
 
-def filled(captured: DataFrame, width: int, height: int, steps: int = STEPS, method: str = "sor") -> DataFrame:
+def filled(captured: DataFrame, width: int, height: int, steps: int = STEPS, method: str = "sor", tasks: int | None = None) -> DataFrame:
     """(view, layer, depth, px, py, r, g, b, al, sdf, density): every pixel of each layer that has a captured one.
 
     One kernel call for each (view, layer) makes all of it on dense arrays: the
     holes' colours, solved from the captured pixels' (al = 1), sdf, the blurred
     distance to these, and density, their blurred mask.
+
+    Captured pixels are few bytes of much work, so Spark would put many layers into one
+    task; they are dealt to ``tasks`` of them instead, if given.
     """
     kernel = R.METHODS[method]
 
@@ -65,7 +68,8 @@ def filled(captured: DataFrame, width: int, height: int, steps: int = STEPS, met
         planes = {**dict(zip(CHANNELS, colours)), "al": al, "sdf": R.smoothed(R.jump_flood(al), *SDF_BLUR), "density": R.smoothed(al, *DENSITY_BLUR)}
         return pd.DataFrame({"view": pdf["view"].iloc[0], "layer": pdf["layer"].iloc[0], "depth": pdf["depth"].iloc[0], "px": px.ravel().astype(np.int32), "py": py.ravel().astype(np.int32), **{k: v.ravel() for k, v in planes.items()}})
 
-    return captured.groupBy("view", "layer").applyInPandas(run, "view int, layer int, depth double, px int, py int, r double, g double, b double, al double, sdf double, density double")
+    dealt = captured if tasks is None else captured.repartition(tasks, "view", "layer")
+    return dealt.groupBy("view", "layer").applyInPandas(run, "view int, layer int, depth double, px int, py int, r double, g double, b double, al double, sdf double, density double")
 
 
 def reconstructed(points: DataFrame, cameras: DataFrame, bins: DataFrame, width: int, height: int, steps: int = STEPS) -> DataFrame:
@@ -75,7 +79,8 @@ def reconstructed(points: DataFrame, cameras: DataFrame, bins: DataFrame, width:
     A layer without a point shows nothing; a view without any has no row.  Null
     colours count as 0.
     """
-    layers = cut(filled(slices(points, cameras, bins, width, height), width, height, steps))
+    tasks = max(1, min(2 * bins.count(), 100_000))  # a dozen bins of each view
+    layers = cut(filled(slices(points, cameras, bins, width, height), width, height, steps, tasks=tasks))
     depth = (F.col("start") + F.col("end")) / 2
     span = bins.groupBy("view").agg(F.min(depth).alias("d0"), F.max(depth).alias("d1"))
     return R.composited(layers, width, height, ("view",), span)
