@@ -53,12 +53,13 @@ def seen_by(points: DataFrame, cameras: DataFrame, cells: int = CELLS) -> DataFr
     tables = Tables(points.sparkSession)
     celled = _celled(points, cells)
     boxes = celled.groupBy("__cell").agg(*(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("low_", F.min), ("high_", F.max))))
-    boxes = tables.cut("boxes", boxes)  # at most cells ** 3 rows
     passes = max(1, -(-cameras.count() // VIEWS))
+    boxes = boxes if passes == 1 else tables.cut("boxes", boxes)  # at most cells ** 3 rows
     found = []
     for k in range(passes):
         part = F.broadcast(cameras.where(F.pmod(F.xxhash64("view"), F.lit(passes)) == k))
-        touching = tables.cut(f"touching{k}", boxes.crossJoin(part).where(may_touch(camera_of_row())).select("__cell", "view"))
+        planes = F.broadcast(part.select("view", frustum_planes(camera_of_row()).alias("planes")))
+        touching = tables.cut(f"touching{k}", boxes.crossJoin(planes).where(may_touch(F.col("planes"))).select("__cell", "view"))
         few = touching.count() <= FEW_PAIRS
         found.append(celled.join(F.broadcast(touching) if few else touching, "__cell").join(part, "view").drop("__cell"))
     return reduce(DataFrame.unionByName, found).select(*points.columns, *cameras.columns)
@@ -74,21 +75,26 @@ def _celled(points: DataFrame, cells: int) -> DataFrame:
     return held.crossJoin(box).withColumn("__cell", (at[0] * cells + at[1]) * cells + at[2]).drop("__x0", "__y0", "__z0", "__side")
 
 
-def may_touch(camera: dict) -> Column:
-    """Whether a box (low_x .. high_z) is not wholly beyond one of the planes of the camera's frustum, with some room for rounding."""
+def frustum_planes(camera: dict) -> Column:
+    """The planes of a camera's frustum: arrays of a, b, c, d with a x + b y + c z + d >= 0 within."""
     row = [[camera["both"][4 * c + r] for c in range(4)] for r in range(4)]  # matrices are stored column by column
-    minus, plus = (lambda a, b: [x - y for x, y in zip(a, b)]), (lambda a, b: [x + y for x, y in zip(a, b)])
-    planes = [row[3], row[2], minus(row[3], row[2]), *(f(row[3], row[k]) for k in (0, 1) for f in (minus, plus))]
+    both = [(row[3], row[k], sign) for k in (0, 1) for sign in (-1, 1)] + [(row[3], row[2], -1)]
+    planes = [row[3], row[2], *([x + y * sign for x, y in zip(a, b)] for a, b, sign in both)]
+    return F.array(*[F.array(*plane) for plane in planes])
+
+
+def may_touch(planes: Column) -> Column:
+    """Whether a box (low_x .. high_z) is not wholly beyond one of the planes, with some room for rounding."""
     ends = [(F.col(f"low_{c}"), F.col(f"high_{c}")) for c in "xyz"]
 
-    def reached(plane: list[Column]) -> Column:
+    def reached(plane: Column) -> Column:
         most, size = plane[3], F.abs(plane[3])
-        for k, (low, high) in zip(plane, ends):
-            most = most + F.greatest(k * low, k * high)
-            size = size + F.abs(k) * F.greatest(F.abs(low), F.abs(high))
+        for i, (low, high) in enumerate(ends):
+            most = most + F.greatest(plane[i] * low, plane[i] * high)
+            size = size + F.abs(plane[i]) * F.greatest(F.abs(low), F.abs(high))
         return most >= size * -1e-9
 
-    return reduce(lambda a, b: a & b, map(reached, planes))
+    return F.forall(planes, reached)
 
 
 def in_frustum() -> Column:
