@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from voxelmill.operators import cloud
 
@@ -127,3 +128,37 @@ def test_orientation_is_one_spanning_tree_in_rounds_or_at_once(spark):
                 group[k] = group[i]
     for i in place:
         assert np.allclose(found[0][i], unit[i] * sign[i] * sign[min(group[i])])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def random_clouds(spark):
+    rng = random.Random(12)
+    left = [(i, *(rng.uniform(0, 3) for _ in "xyz")) for i in range(150)] + [(900, None, 1.0, 1.0)]
+    right = [(i, *(rng.randint(0, 6) / 2 for _ in "xyz")) for i in range(60)] + [(100 + i, 1.0, 1.0, 1.0) for i in range(5)]
+    schema = "point_id long, x double, y double, z double"
+    return left, right, spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+
+
+@pytest.mark.parametrize("few", [0, cloud.FEW_RIGHT])
+def test_a_neighbour_join_ships_no_cloud(spark, monkeypatch, few):
+    """A right side that is few is shipped by cell; otherwise neither side is, whatever Spark guesses of their sizes."""
+    monkeypatch.setattr(cloud, "FEW_RIGHT", few)
+    left, right, p, q = random_clouds(spark)
+    near = cloud.within(p, q, 0.8, 3)
+    assert ("BroadcastHashJoin" in plan_of(near)) == (few > 0) and ("SortMergeJoin" in plan_of(near)) == (few == 0)
+    got, ranked = {}, {}
+    for r in near.collect():
+        got.setdefault(r.point_id, set()).add((round(r.d, 9), r.other))
+    for i, *at in left[:-1]:
+        best = sorted((round(float(np.linalg.norm(np.subtract(at, to))), 9), j) for j, *to in right)
+        ranked[i] = best
+        assert got.get(i, set()) == {b for b in best if b[0] <= 0.8} & set(best[:3])
+    assert 900 not in got
+    for k in (1, 4):
+        found = {}
+        for r in cloud.nearest(p, q, 0.4, k).collect():
+            found.setdefault(r.point_id, []).append((round(r.d, 9), r.other))
+        assert {i: sorted(v) for i, v in found.items()} == {i: b[:k] for i, b in ranked.items()}

@@ -80,6 +80,8 @@ def downsampled(points: DataFrame, size: float) -> DataFrame:
 
 #: A cell with more than one in so many of the right side's points is hot, so there are fewer hot cells than this; its points are dealt to SALTS tasks.
 HOT_CELLS, SALTS = 1000, 16
+#: Right points of a neighbour join that are shipped to all tasks, by cell; with more, both sides meet in a shuffle.
+FEW_RIGHT = 8192
 
 
 def _around() -> Column:
@@ -105,7 +107,26 @@ def _candidates(left: DataFrame, right: DataFrame, size: float, reach: float | N
         probe = probe.join(few, ["cx", "cy", "cz"], "left").withColumn("salt", F.explode(salts)).drop("hot")
     d2 = sum(((F.col(c) - F.col(f"r{c}")) * (F.col(c) - F.col(f"r{c}")) for c in "xyz"), F.lit(0.0))
     on = [c for c in probe.columns if c in held.columns]
-    return probe.join(held, on).withColumn("d", F.sqrt(d2))
+    return probe.join(held.hint("merge"), on).withColumn("d", F.sqrt(d2))  # sizes are guessed before cells are probed: a guess must not broadcast a cloud
+
+
+def _is_few(right: DataFrame) -> bool:
+    return right.select("point_id").limit(FEW_RIGHT + 1).count() <= FEW_RIGHT
+
+
+def _beside(left: DataFrame, right: DataFrame, size: float, most: int | None, radius: float | None = None) -> DataFrame:
+    """left with ``best``: its nearest (d, other, rx, ry, rz) of few right points in the 27 cells around it (within the radius), lower ids first at ties, at most so many; nothing is shuffled but the right side."""
+    near = right.select(F.struct(F.col("point_id").alias("other"), *(F.col(c).alias(f"r{c}") for c in "xyz")).alias("p"), *"xyz").withColumns(_cell(size)).withColumn("o", F.explode(_around()))
+    near = near.groupBy(*((F.col(f"c{c}") - F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip("xyz", "ijk"))).agg(F.collect_list("p").alias("near"))  # 27 entries for each of FEW_RIGHT points at most
+
+    def measured(p: Column) -> Column:
+        d2 = sum(((F.col(c) - p[f"r{c}"]) * (F.col(c) - p[f"r{c}"]) for c in "xyz"), F.lit(0.0))
+        return F.struct(F.sqrt(d2).alias("d"), *(p[c].alias(c) for c in ("other", "rx", "ry", "rz")))
+
+    best = F.transform("near", measured)
+    best = best if radius is None else F.filter(best, lambda p: p["d"] <= radius)
+    best = F.filter(F.array(F.array_min(best)), lambda p: p.isNotNull()) if most == 1 else best if most is None else F.slice(F.sort_array(best), 1, most)
+    return left.withColumns(_cell(size)).join(F.broadcast(near), ["cx", "cy", "cz"], "left").select(*left.columns, F.coalesce(best, F.array()).alias("best"))
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -145,19 +166,27 @@ def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataF
     """
     tables = Tables(left.sparkSession)
     todo, right = (tables.cut(name, df.select("point_id", *"xyz")) for name, df in (("todo", left), ("right", right)))
-    extent, done, k_found = _extent(todo, right), None, 0
-    while True:
+    extent, few, done = _extent(todo, right), _is_few(right), None
+    for n in count():
         whole = size > 1.001 * extent
-        best = tables.cut(f"best{k_found}", _best(_candidates(todo, right, size, None if whole else size), k).select("point_id", "other", "d", "k"))
-        k_found += 1
-        sure = best if whole else best.join(best.where((F.col("k") == k) & (F.col("d") <= size)).select("point_id"), "point_id", "left_semi")
-        sure = sure.select("point_id", "other", "d")
-        done = sure if done is None else done.unionByName(sure)
-        if not whole and best.isEmpty():  # nothing near anyone who is left: a wide gap
+        if few:
+            met = _beside(todo, right, size, k)
+            sure = F.lit(True) if whole else F.coalesce((F.size("best") == k) & (F.get("best", F.lit(k - 1))["d"] <= size), F.lit(False))
+            met = tables.cut(f"best{n}", met.select("point_id", *"xyz", F.transform("best", lambda p: F.struct(p["d"].alias("d"), p["other"].alias("other"))).alias("best"), sure.alias("sure")))
+            found = met.where("sure").select("point_id", F.explode("best").alias("b")).select("point_id", "b.other", "b.d")
+            none, rest = not whole and met.where(F.size("best") > 0).isEmpty(), met.where("NOT sure").select("point_id", *"xyz")
+        else:
+            met = _best(_candidates(todo, right, size, None if whole else size), k)
+            sure = F.lit(True) if whole else F.max((F.col("k") == k) & (F.col("d") <= size)).over(Window.partitionBy("point_id"))
+            met = tables.cut(f"best{n}", met.select("point_id", "other", "d", "k", sure.alias("sure")))
+            found = met.where("sure").select("point_id", "other", "d")
+            none, rest = not whole and met.isEmpty(), todo.join(met.where("sure AND k = 1").select("point_id").hint("merge"), "point_id", "left_anti")
+        done = found if done is None else done.unionByName(found)
+        if none:  # nothing near anyone who is left: a wide gap
             size *= 8
             continue
         if not whole:
-            todo = tables.cut("todo", todo.join(sure.select("point_id").distinct(), "point_id", "left_anti"))
+            todo = tables.cut("todo", rest)
             size *= 2
         if whole or todo.isEmpty():
             tables.drop("todo", "right")
@@ -165,6 +194,8 @@ def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataF
 
 
 def _near(left: DataFrame, right: DataFrame, radius: float, most: int | None) -> DataFrame:
+    if _is_few(right):
+        return _beside(left.select("point_id", *"xyz"), right, radius, most, radius).select("point_id", *"xyz", F.explode("best").alias("b")).select("point_id", *"xyz", "b.*")
     pairs = _candidates(left, right, radius, radius).where(F.col("d") <= radius)
     return pairs if most is None else _best(pairs, most)
 
@@ -299,7 +330,8 @@ def flipped_up(normal: DataFrame, up: str) -> DataFrame:
 
 def transferred(full: DataFrame, sampled: DataFrame, normal: DataFrame, size: float) -> DataFrame:
     """(point_id, nx, ny, nz) of a full cloud: each point takes its nearest sampled point's normal."""
-    return nearest(full, sampled, size).join(normal.withColumnRenamed("point_id", "other"), "other").select("point_id", "nx", "ny", "nz")
+    held = cut(normal.withColumnRenamed("point_id", "other"))
+    return nearest(full, sampled, size).join(F.broadcast(held) if held.count() <= FEW_RIGHT else held.hint("merge"), "other").select("point_id", "nx", "ny", "nz")
 
 
 def normal_stats(normal: DataFrame) -> DataFrame:
