@@ -109,12 +109,12 @@ def orbit(target: list[Column], radius: Column, yaw: Column, pitch: Column) -> l
     return [target[0] + radius * F.cos(pitch) * F.sin(yaw), target[1] + radius * F.sin(pitch), target[2] + radius * F.cos(pitch) * F.cos(yaw)]
 
 
-#: Columns of a table of cameras: a view's name, its two matrices (16 numbers, column by column) and its eye.
-CAMERA_SCHEMA = "view int, view_matrix array<double>, both array<double>, ex double, ey double, ez double"
+#: Columns of a table of cameras: a view's name, its matrices (16 numbers, column by column: view, projection, their product) and its eye.
+CAMERA_SCHEMA = "view int, view_matrix array<double>, projection array<double>, both array<double>, ex double, ey double, ez double"
 
 
-def fixed_matrices(eye: tuple[float, ...], target: tuple[float, ...], width: int, height: int, fov: float = 45.0, near: float = 0.1, far: float = 1000.0) -> tuple[list[float], list[float]]:
-    """The view matrix and projection x view of a camera whose numbers are known when a query is built: no job is needed for them."""
+def fixed_matrices(eye: tuple[float, ...], target: tuple[float, ...], width: int, height: int, fov: float = 45.0, near: float = 0.1, far: float = 1000.0) -> tuple[list[float], list[float], list[float]]:
+    """The view matrix, the projection and projection x view of a camera whose numbers are known when a query is built: no job is needed for them."""
     e, t = np.array(eye, float), np.array(target, float)
     z = (e - t) / np.linalg.norm(e - t)
     x = np.cross([0.0, 0.0, 1.0] if abs(z[1]) > 0.99 else [0.0, 1.0, 0.0], z)
@@ -124,13 +124,13 @@ def fixed_matrices(eye: tuple[float, ...], target: tuple[float, ...], width: int
     view[:3, :3], view[:3, 3] = [x, y, z], [-x @ e, -y @ e, -z @ e]
     f = 1 / math.tan(math.radians(fov) / 2)
     projection = np.array([[f / (width / height), 0, 0, 0], [0, f, 0, 0], [0, 0, far / (near - far), far * near / (near - far)], [0, 0, -1, 0]])
-    return view.T.ravel().tolist(), (projection @ view).T.ravel().tolist()
+    return view.T.ravel().tolist(), projection.T.ravel().tolist(), (projection @ view).T.ravel().tolist()
 
 
 def fixed_camera(eye: tuple[float, ...], target: tuple[float, ...], width: int, height: int, fov: float = 45.0, near: float = 0.1, far: float = 1000.0) -> dict:
     """One such camera with literal matrices."""
-    view, both = fixed_matrices(eye, target, width, height, fov, near, far)
-    return {"view": M.lit(*view), "both": M.lit(*both), "eye": M.lit(*eye)}
+    view, projection, both = fixed_matrices(eye, target, width, height, fov, near, far)
+    return {"view": M.lit(*view), "projection": M.lit(*projection), "both": M.lit(*both), "eye": M.lit(*eye)}
 
 
 def camera_rows(spark: SparkSession, eyes: dict[int, tuple[float, ...]], target: tuple[float, ...], width: int, height: int, fov: float = 45.0, near: float = 0.1, far: float = 1000.0) -> DataFrame:
@@ -140,12 +140,12 @@ def camera_rows(spark: SparkSession, eyes: dict[int, tuple[float, ...]], target:
 
 def camera_table(poses: DataFrame, camera: dict, eye: list[Column], view: str = "view") -> DataFrame:
     """A row of CAMERA_SCHEMA for each row of ``poses``, from a camera of columns."""
-    return poses.select(F.col(view).cast("int").alias("view"), F.array(*camera["view"]).alias("view_matrix"), F.array(*camera["both"]).alias("both"), *(c.alias(f"e{n}") for n, c in zip("xyz", eye)))
+    return poses.select(F.col(view).cast("int").alias("view"), F.array(*camera["view"]).alias("view_matrix"), F.array(*camera["projection"]).alias("projection"), F.array(*camera["both"]).alias("both"), *(c.alias(f"e{n}") for n, c in zip("xyz", eye)))
 
 
 def camera_of_row() -> dict:
     """The camera of a row that has the columns of CAMERA_SCHEMA."""
-    return {"view": [F.col("view_matrix")[i] for i in range(16)], "both": [F.col("both")[i] for i in range(16)], "eye": [F.col(f"e{c}") for c in "xyz"]}
+    return {"view": [F.col("view_matrix")[i] for i in range(16)], "projection": [F.col("projection")[i] for i in range(16)], "both": [F.col("both")[i] for i in range(16)], "eye": [F.col(f"e{c}") for c in "xyz"]}
 
 
 def colmap_pose_rows(cameras: DataFrame) -> DataFrame:

@@ -35,9 +35,14 @@ def _xyz() -> list[Column]:
 
 
 def clipped(points: DataFrame, camera: dict) -> DataFrame:
-    """Adds clip coordinates cx, cy, cz, cw and the linear depth d = -view z."""
-    clip = M.transform(camera["both"], _xyz())
-    return points.withColumns({**{f"c{n}": v for n, v in zip("xyzw", clip)}, "d": -M.transform(camera["view"], _xyz())[2]})
+    """Adds clip coordinates cx, cy, cz, cw and the linear depth d = -view z.
+
+    View coordinates come first and are projected then, as written in formulas: points on
+    a pixel's edge, or equally deep, are told apart by last bits, which a product of both matrices changes.
+    """
+    df, at = M.held(points, "__at", M.transform(camera["view"], _xyz())[:3])
+    clip = M.transform(camera["projection"], at)
+    return df.withColumns({**{f"c{n}": v for n, v in zip("xyzw", clip)}, "d": -at[2]}).drop(*(f"__at{i}" for i in range(3)))
 
 
 def seen_by(points: DataFrame, cameras: DataFrame, cells: int = CELLS) -> DataFrame:
