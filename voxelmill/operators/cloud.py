@@ -209,7 +209,7 @@ def without_outliers(points: DataFrame, neighbours: int = 64, sigmas: float = 5.
     """Points whose mean distance to their nearest neighbours, themselves included, is above 0 and below the mean of all by so many sample deviations; ``size`` is that of the first search's cells, in which nearly all find theirs if points are spread evenly."""
     mean = cut(nearest(points, points, size or spacing(points, 2 * neighbours), neighbours).groupBy("point_id").agg(F.avg("d").alias("m")))
     bound = F.broadcast(mean.agg((F.avg("m") + sigmas * F.coalesce(F.stddev_samp("m"), F.lit(0.0))).alias("top")))  # one row
-    return points.join(mean.crossJoin(bound).where("m > 0 AND m < top").select("point_id"), "point_id", "left_semi")
+    return points.join(mean.crossJoin(bound).where("m > 0 AND m < top").select("point_id").hint("merge"), "point_id", "left_semi")
 
 
 def covariances(points: DataFrame, radius: float, most: int = 512) -> DataFrame:
