@@ -120,7 +120,7 @@ def ply_texts(spark, d):
     lines = points(spark, d).select(F.concat_ws(" ", "x", "y", "z", (F.col("point_id") % 256), F.lit(1), F.lit(2)).alias("line"), F.col("point_id").alias("piece"))
     head_ = f"ply\nformat ascii 1.0\nelement vertex {n}\n" + "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue")) + "element face 2\nproperty list uchar int vertex_indices\nend_header\n"
     ends = spark.createDataFrame([(head_, -1), ("3 0 1 2\n3 1 2 3\n", 1 << 40)], "line string, piece long")
-    pieces = lines.withColumn("line", F.concat("line", F.lit("\n"))).unionByName(ends).select(F.lit("cloud.ply").alias("name"), "piece", F.encode("line", "utf-8").alias("content"))
+    pieces = ply.text_pieces(lines, "cloud.ply").unionByName(ends.select(F.lit("cloud.ply").alias("name"), "piece", F.encode("line", "utf-8").alias("content")))
     pieces.transform(files.by_file("name", "piece")).write.format("pieces").mode("append").save(out)
     back = ply.read_ranges(spark, out, range_bytes=10_000)
     return back.groupBy("red", "green", "blue").agg(F.count("*").alias("n"), F.countDistinct("point_id").alias("ids"), F.max(F.col("point_id") < n).alias("within"), *(micros(F.sum(c)).alias(c) for c in "xyz"))

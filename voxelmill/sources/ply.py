@@ -101,6 +101,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(vertices, SCHEMA)
 
 
+def _tasks(spark: SparkSession, ranges: int, size: float) -> int:
+    """How many tasks ranges of so many bytes in all are dealt to: they are small rows of much work, which Spark must not put together, but a task for each small range would cost more than its work."""
+    return max(1, min(ranges, max(2 * spark.sparkContext.defaultParallelism, int(size) // RANGE_BYTES), 100_000))
+
+
 def read_ranges(spark: SparkSession, path: str, rows: int = ROWS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The same rows with the same ids as read(), of files in folders that all machines have mounted, a file in many ranges.
 
@@ -122,8 +127,10 @@ def read_ranges(spark: SparkSession, path: str, rows: int = ROWS, range_bytes: i
     end, step = F.when(F.col("binary"), F.col("count")).otherwise(F.col("length")), F.when(F.col("binary"), F.lit(rows)).otherwise(F.lit(range_bytes))
     first = F.when(F.col("binary"), F.lit(0)).otherwise(F.col("start"))
     ranges = heads.where("count > 0").withColumn("low", F.explode(F.sequence(first.cast("long"), end - 1, step.cast("long")))).withColumn("high", F.least(F.col("low") + step, end))
-    ranges = cut(ranges.select("path", "file", ((F.col("low") - first) / step).cast("long").alias("range"), "low", "high", "start", "binary", "count", "names"))
-    tasks = max(1, min(ranges.count(), 100_000))  # the ranges are small rows of much work: Spark must not put them together
+    record = F.when(F.col("binary"), (F.col("length") - F.col("start")) / F.col("count")).otherwise(1.0)
+    ranges = cut(ranges.select("path", "file", ((F.col("low") - first) / step).cast("long").alias("range"), "low", "high", "start", "binary", "count", "names", ((F.col("high") - F.col("low")) * record).alias("bytes")))
+    tasks = _tasks(spark, *ranges.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0.0))).first())
+    ranges = ranges.drop("bytes")
 
     def began(f, low: int, start: int) -> int:
         """Where the first line that begins at ``low`` or after it does."""
@@ -226,6 +233,18 @@ def pieces(points: DataFrame, color: bool, name: str = "name") -> DataFrame:
     return ranged.mapInPandas(body, kind).unionByName(counts.mapInPandas(head, kind))
 
 
+def text_pieces(lines: DataFrame, name: str) -> DataFrame:
+    """(name, piece, content) of one text file of lines (piece, line) in the order of ``piece``, for format("pieces"): every task joins its own lines, so that the file's writer only copies bytes."""
+    ranged = lines.select("piece", "line").repartitionByRange("piece").sortWithinPartitions("piece")
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"name": [name], "piece": [int(b.piece.iloc[0])], "content": ["".join(f"{v}\n" for v in b.line).encode()]})
+
+    return ranged.mapInPandas(joined, "name string, piece long, content binary")
+
+
 def to_survey(points: DataFrame, scale: float = 0.001) -> DataFrame:
     """X, Y, Z in units of ``scale``, class 0 and 16-bit colours of vertices, for the LAS writer: point format 3 with colour, else 0."""
     colours = {c: F.coalesce(F.col(c), F.lit(0)) * 257 for c in ("red", "green", "blue")}
