@@ -378,24 +378,21 @@ def _dealt(rows: DataFrame, key: str, mine: Column, others: Column, own: str, ot
 def _components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(x, component): the smallest number that each end of an edge (its two columns) reaches.
 
-    Labels spread to neighbours and then jump to their label's label, two rounds for
-    each table, until none changes.
+    Labels spread to neighbours and then jump to their label's label, one round for
+    each table, until none changes.  A round reads the labels three times, so two in
+    one plan would be nine readings for the driver to plan.
     """
     a, b = edges.columns
     both, total = scratch.counted(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))))
-    labels = scratch.written(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("low")).select("x", F.least("low", "x").alias("component"), F.lit(False).alias("moved")))
+    labels = scratch.written(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("low")).select("x", F.least("low", "x").alias("component")))
     hubs = _hot(both, total, "b")[0] if total else []
-    while total:
-        for _ in range(2):
-            heard = _attached(both, labels.select(F.col("x").alias("b"), "component"), "b", hubs).groupBy("a").agg(F.min("component").alias("heard"))
-            spread = labels.join(heard, labels.x == heard.a).select("x", "component", "moved", F.least("component", "heard").alias("c"))
-            jump = labels.select(F.col("x").alias("c"), F.col("component").alias("cc"))
-            lowest = F.least("c", F.coalesce("cc", "c"))
-            labels = spread.join(jump, "c", "left").select("x", lowest.alias("component"), (F.col("moved") | (lowest != F.col("component"))).alias("moved"))
-        labels, moved = scratch.counted(labels, F.col("moved"))
-        labels = labels.withColumn("moved", F.lit(False))
-        if not moved:
-            break
+    moved = total
+    while moved:
+        heard = _attached(both, labels.select(F.col("x").alias("b"), "component"), "b", hubs).groupBy("a").agg(F.min("component").alias("heard"))
+        spread = labels.join(heard, labels.x == heard.a).select("x", "component", F.least("component", "heard").alias("c"))
+        jump = labels.select(F.col("x").alias("c"), F.col("component").alias("cc"))
+        lowest = F.least("c", F.coalesce("cc", "c"))
+        labels, moved = scratch.counted(spread.join(jump, "c", "left").select("x", lowest.alias("component"), (lowest != F.col("component")).alias("moved")), F.col("moved"))
     return labels.select("x", "component")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes of an Arrow batch in all actions of these operators.
 BATCH_BYTES = "2m"
+#: After so many tables of a run the driver collects its garbage: until then it keeps plans, broadcasts and shuffles of jobs that are over.
+COLLECT_AFTER = 8
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,8 @@ class Scratch:
         table = written(df, f"{self.folder}/{self.tables}")
         if self.tables == 1:
             gone_at_exit(self.spark, self.folder)
+        if self.tables % COLLECT_AFTER == 0:
+            self.spark._jvm.System.gc()
         return table
 
     def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
