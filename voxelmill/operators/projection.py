@@ -263,32 +263,70 @@ def facing_patch(df: DataFrame, camera: dict, basis: str = "facing") -> tuple[Da
     return normal_basis(df, [F.col(f"n{c}") for c in "xyz"], _xyz(), camera["eye"])
 
 
-def _spread(placed: DataFrame, own: list[str], boxes, width: int, height: int, solve) -> DataFrame:
-    """Fragments (own, z, px, py, r2): ``boxes`` gives the first column (which may run over the right edge, to go on at the left) and row and the extents that each of a batch's patches may cover, ``solve`` whether, where and how deep given pixels lie on given patches.  A bounded number of pixels is worked on at a time."""
+def _covered(pdf: pd.DataFrame, boxes, width: int, solve) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, px, py, z, r2) of all pixels that a batch's patches cover.  ``boxes`` gives the first column (which may run over the right edge, to go on at the left) and row and the extents that each patch may cover, ``solve`` whether, where and how deep given pixels lie on given patches.  A bounded number of pixels is worked on at a time."""
+    x0, y0, wide, high = boxes(pdf)
+    count = wide * high
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(pdf):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PIXELS, "right")))
+        row = np.repeat(np.arange(at, to), count[at:to])
+        k = np.arange(len(row)) - np.repeat(ends[at:to] - count[at:to] - done, count[at:to])
+        px, py = (x0[row] + k % np.maximum(wide[row], 1)) % width, y0[row] + k // np.maximum(wide[row], 1)
+        u, v, z, on = solve(pdf, row, px, py)
+        on = np.flatnonzero(on & (np.abs(u) <= 1) & (np.abs(v) <= 1))
+        yield row[on], px[on], py[on], z[on], (u * u + v * v)[on]
+        at = to
+
+
+def _spread(placed: DataFrame, own: list[str], boxes, width: int, height: int, solve, steps: float | None = None) -> DataFrame:
+    """Fragments (own, z, px, py, r2) of patches; with ``steps`` the nearest discs (px, py, z, point_id) of each task's pixels."""
+    if steps is not None:
+        return _nearest(placed, boxes, width, height, solve, steps)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x0, y0, wide, high = boxes(pdf)
-            count = wide * high
-            ends = np.cumsum(count)
-            at = 0
-            while at < len(pdf):
-                done = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, done + PIXELS, "right")))
-                row = np.repeat(np.arange(at, to), count[at:to])
-                k = np.arange(len(row)) - np.repeat(ends[at:to] - count[at:to] - done, count[at:to])
-                px, py = (x0[row] + k % np.maximum(wide[row], 1)) % width, y0[row] + k // np.maximum(wide[row], 1)
-                u, v, z, on = solve(pdf, row, px, py)
-                on = np.flatnonzero(on & (np.abs(u) <= 1) & (np.abs(v) <= 1))
-                out = pdf[own].iloc[row[on]].copy()
-                out["z"], out["px"], out["py"], out["r2"] = z[on], px[on].astype(np.int32), py[on].astype(np.int32), (u * u + v * v)[on]
+            for row, px, py, z, r2 in _covered(pdf, boxes, width, solve):
+                out = pdf[own].iloc[row].copy()
+                out["z"], out["px"], out["py"], out["r2"] = z, px.astype(np.int32), py.astype(np.int32), r2
                 yield out
-                at = to
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*own).schema)
     return placed.mapInPandas(spread, f"{kinds}, z double, px int, py int, r2 double")
 
 
+def _nearest(placed: DataFrame, boxes, width: int, height: int, solve, steps: float) -> DataFrame:
+    """(px, py, z, point_id): of each pixel the nearest disc that a task's points draw there, the lowest id at equal depths; z counts whole steps, rounded.
+
+    A task keeps one depth and one id a pixel over all its batches, so what leaves it
+    is a raster at most, however many fragments its discs have.
+    """
+    none, no_id = np.iinfo(np.int64).max, np.iinfo(np.int64).min  # a null id comes first, as in z_buffer()
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        depth, first = np.full(width * height, none), np.full(width * height, none)
+        drawn = np.zeros(width * height, bool)
+        for pdf in batches:
+            ids = pdf["__id"].to_numpy(np.int64)
+            for row, px, py, z, r2 in _covered(pdf, boxes, width, solve):
+                pixel, z = py * width + px, np.floor(z * steps + 0.5).astype(np.int64)
+                near = np.flatnonzero((r2 <= 1) & (z <= depth[pixel]))
+                row, pixel, z, before = row[near], pixel[near], z[near], depth.copy()
+                np.minimum.at(depth, pixel, z)
+                first[depth < before] = none
+                best = np.flatnonzero(z == depth[pixel])
+                np.minimum.at(first, pixel[best], ids[row[best]])
+                drawn[pixel] = True
+        at = np.flatnonzero(drawn)
+        yield pd.DataFrame({"px": (at % width).astype(np.int32), "py": (at // width).astype(np.int32), "z": depth[at], "id": first[at]})
+
+    named = placed.select(F.coalesce(F.col("point_id").cast("long"), F.lit(int(no_id))).alias("__id"), *[c for c in placed.columns if c.startswith("__")])
+    found = named.mapInPandas(nearest, "px int, py int, z long, id long")
+    return found.select("px", "py", "z", F.nullif("id", F.lit(int(no_id))).alias("point_id"))
+
+
 def _numbers(pdf: pd.DataFrame, name: str, n: int) -> np.ndarray:
     """Held columns of a batch as n rows of numbers."""
     return np.stack([pdf[f"{name}{i}"].to_numpy(float, na_value=np.nan) for i in range(n)])
@@ -307,7 +345,7 @@ def _turned(matrix: list[Column], v: list[Column]) -> list[Column]:
     return [sum((matrix[4 * c + r] * v[c] for c in range(1, 3)), matrix[r] * v[0]) for r in range(4)]
 
 
-def patches(points: DataFrame, camera: dict, size: float, width: int, height: int, basis: str = "facing", near: float | None = None, far: float | None = None) -> DataFrame:
+def patches(points: DataFrame, camera: dict, size: float, width: int, height: int, basis: str = "facing", near: float | None = None, far: float | None = None, steps: float | None = None) -> DataFrame:
     """Fragments (px, py, z, r2) of square patches of half-width ``size`` in the world, at each point: pixels whose centre sees the patch, with the depth z = clip z / w there and the squared distance r2 from the patch's centre in half-widths.
 
     Exact in perspective: a place on the patch, centre + u right + v up, has the clip
@@ -316,7 +354,8 @@ def patches(points: DataFrame, camera: dict, size: float, width: int, height: in
     A patch counts as a whole if its point's linear depth lies in the closed range
     ``near`` to ``far``, if given; apart from that only what lies before the near plane,
     beyond the far one or off the raster is cut off, wherever the centre is.  One
-    seen edge-on has no fragment, nor has one with a null coordinate.
+    seen edge-on has no fragment, nor has one with a null coordinate.  With ``steps``
+    only the nearest discs' fragments (px, py, z, point_id), see _nearest().
     """
     df = clipped(points, camera)
     df = df if near is None else df.where(F.col("d").between(near, far))
@@ -353,10 +392,10 @@ def patches(points: DataFrame, camera: dict, size: float, width: int, height: in
             z = (c[2] + u * a[2] + v * b[2]) / w
         return u, v, z, (np.abs(det) > 1e-12) & (w > 0) & (z >= 0) & (z <= 1)
 
-    return _spread(placed, own, boxes, width, height, solve)
+    return _spread(placed, own, boxes, width, height, solve, steps)
 
 
-def spherical_patches(points: DataFrame, camera: dict, size: float, far: float, width: int, height: int, basis: str = "facing") -> DataFrame:
+def spherical_patches(points: DataFrame, camera: dict, size: float, far: float, width: int, height: int, basis: str = "facing", steps: float | None = None) -> DataFrame:
     """The same on an equirectangular raster around the eye, with z = distance / far; what is farther than ``far`` isn't drawn.
 
     A pixel is a direction, so a patch over the seam shows on both sides, and one over
@@ -399,7 +438,7 @@ def spherical_patches(points: DataFrame, camera: dict, size: float, far: float,
             u, v = (place * a).sum(0) / size, (place * b).sum(0) / size
         return u, v, t / far, (np.abs(slope) > 1e-12) & (t > 0) & (t <= far)
 
-    return _spread(placed, own, boxes, width, height, solve)
+    return _spread(placed, own, boxes, width, height, solve, steps)
 
 
 def world_disks(points: DataFrame, camera: dict, size: float, width: int, height: int, basis: str = "facing", **depths) -> DataFrame:
@@ -412,6 +451,13 @@ def panorama_disks(points: DataFrame, camera: dict, size: float, far: float, wid
     return spherical_patches(points, camera, size, far, width, height, basis).where("r2 <= 1")
 
 
+def nearest_disks(points: DataFrame, camera: dict, size: float, width: int, height: int, steps: float, basis: str = "facing", far: float | None = None) -> DataFrame:
+    """(px, py, z, point_id): the nearest disc of each pixel, by depths in so many steps a unit; on an equirectangular raster if ``far`` is given."""
+    if far is None:
+        return z_buffer(patches(points, camera, size, width, height, basis, steps=steps))
+    return z_buffer(spherical_patches(points, camera, size, far, width, height, basis, steps))
+
+
 def panorama_gaussians(points: DataFrame, camera: dict, size: float, far: float, width: int, height: int, sigma: float = 0.4, cut_: float = 0.01) -> DataFrame:
     """Fragments of Gaussians across the points' normals on an equirectangular raster, with their weight."""
     weight = F.exp(-F.col("r2") / (2 * sigma * sigma))

@@ -228,12 +228,12 @@ def _world(spark, d, basis=None, draw=P.world_disks):
 
 def world_disk_raster(spark, d):
     """Discs of a radius of 0.4 in the world that face the eye."""
-    return P.z_buffer(_world(spark, d, "facing")).select("px", "py", "point_id")
+    return P.nearest_disks(_with_normals(spark, d), _fixed_camera(spark), SIZE, W, H, 1e6, "facing").select("px", "py", "point_id")
 
 
 def billboard_raster(spark, d):
     """Discs across the points' normals; those without one face the eye."""
-    return P.z_buffer(_world(spark, d, "guarded")).select("px", "py", "point_id")
+    return P.nearest_disks(_with_normals(spark, d), _fixed_camera(spark), SIZE, W, H, 1e6, "guarded").select("px", "py", "point_id")
 
 
 def world_gaussian_weights(spark, d):
@@ -248,12 +248,12 @@ def _inner_camera():
 
 def inner_disk_raster(spark, d):
     """Discs of a radius of 0.4 that face an eye among them."""
-    return P.z_buffer(P.world_disks(points(spark, d), _inner_camera(), SIZE, W, H).withColumn("z", micros(F.col("z")))).select("px", "py", "point_id", "z")
+    return P.nearest_disks(points(spark, d), _inner_camera(), SIZE, W, H, 1e6).select("px", "py", "point_id", "z")
 
 
 def panorama_disk_raster(spark, d):
     """The same discs on a panorama around that eye, up to a distance of 2."""
-    return P.z_buffer(P.panorama_disks(points(spark, d), _inner_camera(), SIZE, REACH, W, H).withColumn("z", micros(F.col("z")))).select("px", "py", "point_id", "z")
+    return P.nearest_disks(points(spark, d), _inner_camera(), SIZE, W, H, 1e6, far=REACH).select("px", "py", "point_id", "z")
 
 
 def panorama_gaussian_weights(spark, d):
