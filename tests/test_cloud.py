@@ -162,3 +162,25 @@ def test_a_neighbour_join_ships_no_cloud(spark, monkeypatch, few):
         for r in cloud.nearest(p, q, 0.4, k).collect():
             found.setdefault(r.point_id, []).append((round(r.d, 9), r.other))
         assert {i: sorted(v) for i, v in found.items()} == {i: b[:k] for i, b in ranked.items()}
+
+
+def test_equal_places_are_searched_once(spark, monkeypatch):
+    """Many points at few places: what is probed are the places, and ties go to the lowest ids as everywhere."""
+    monkeypatch.setattr(cloud, "FEW_RIGHT", 0)
+    rng, probed, plain = random.Random(5), [], cloud._candidates
+
+    def counted(left, *rest):
+        probed.append(left.count())
+        return plain(left, *rest)
+
+    monkeypatch.setattr(cloud, "_candidates", counted)
+    at = [tuple(rng.randint(0, 30) / 10 for _ in "xyz") for _ in range(40)]
+    rows = [(i, *rng.choice(at)) for i in range(400)]
+    p = spark.createDataFrame([*rows, (900, None, 1.0, 1.0), (901, None, 1.0, 1.0)], "point_id long, x double, y double, z double")
+    for k in (1, 15):
+        probed.clear()
+        found = {}
+        for r in cloud.nearest(p, p, 0.3, k).collect():
+            found.setdefault(r.point_id, []).append((round(r.d, 9), r.other))
+        assert {i: sorted(v) for i, v in found.items()} == {i: sorted((round(float(np.linalg.norm(np.subtract(a, to))), 9), j) for j, *to in rows)[:k] for i, *a in rows}
+        assert probed[0] == len({tuple(a) for _, *a in rows}) + 1  # and the place without x

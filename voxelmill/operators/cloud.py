@@ -163,10 +163,20 @@ def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataF
     is done; the others go on with cells twice as large (eight times where none of them
     has a candidate), until none is left.  Cells larger than the joint box end the
     search, as 27 of them hold every right point.  Fewer right points than k give as many as there are.
+    Where at least half of many left points share a place with another, each place is
+    searched once, among the k lowest ids of each right place.
     """
     tables = Tables(left.sparkSession)
     todo, right = (tables.cut(name, df.select("point_id", *"xyz")) for name, df in (("todo", left), ("right", right)))
-    extent, few, done = _extent(todo, right), _is_few(right), None
+    extent, few, done, members, places, rest_of = _extent(todo, right), _is_few(right), None, None, None, "todo"
+    if not few:
+        places = tables.cut("places", todo.groupBy(*"xyz").agg(F.min("point_id").alias("point_id")).select("point_id", *"xyz"))
+        if 2 * places.count() <= todo.count():
+            members, todo, rest_of = todo, places, "open"
+            lowest = Window.partitionBy(*"xyz").orderBy("point_id")
+            right = tables.cut("right", right.withColumn("__k", F.row_number().over(lowest)).where(F.col("__k") <= k).drop("__k"))
+        else:
+            tables.drop("places")
     for n in count():
         whole = size > 1.001 * extent
         if few:
@@ -186,11 +196,14 @@ def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataF
             size *= 8
             continue
         if not whole:
-            todo = tables.cut("todo", rest)
+            todo = tables.cut(rest_of, rest)
             size *= 2
         if whole or todo.isEmpty():
-            tables.drop("todo", "right")
-            return done
+            tables.drop("right", *({rest_of} & tables.versions.keys()))
+            if members is None:
+                return done
+            found = places.join(done.hint("merge"), "point_id").select(*"xyz", "other", "d")
+            return members.join(found.hint("merge"), [*"xyz"]).select("point_id", "other", "d")
 
 
 def _near(left: DataFrame, right: DataFrame, radius: float, most: int | None) -> DataFrame:
