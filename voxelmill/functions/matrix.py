@@ -18,6 +18,12 @@ def held(df: DataFrame, name: str, values: list[Column]) -> tuple[DataFrame, lis
     return df.withColumns(dict(zip(names, values))), [F.col(n) for n in names]
 
 
+def once(df: DataFrame, name: str, values: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """The same by a generator of one row: Spark pushes no filter through it, which would write long formulas out again in every use."""
+    names = [f"{name}{i}" for i in range(len(values))]
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(n) for v, n in zip(values, names)))))), [F.col(n) for n in names]
+
+
 def lit(*values: float) -> list[Column]:
     return [F.lit(float(v)) for v in values]
 

@@ -40,9 +40,9 @@ def clipped(points: DataFrame, camera: dict) -> DataFrame:
     View coordinates come first and are projected then, as written in formulas: points on
     a pixel's edge, or equally deep, are told apart by last bits, which a product of both matrices changes.
     """
-    df, at = M.held(points, "__at", M.transform(camera["view"], _xyz())[:3])
-    clip = M.transform(camera["projection"], at)
-    return df.withColumns({**{f"c{n}": v for n, v in zip("xyzw", clip)}, "d": -at[2]}).drop(*(f"__at{i}" for i in range(3)))
+    df, at = M.once(points, "__at", M.transform(camera["view"], _xyz())[:3])
+    df, clip = M.once(df, "__clip", M.transform(camera["projection"], at))
+    return df.withColumns({**{f"c{n}": v for n, v in zip("xyzw", clip)}, "d": -at[2]}).drop(*(f"__at{i}" for i in range(3)), *(f"__clip{i}" for i in range(4)))
 
 
 def seen_by(points: DataFrame, cameras: DataFrame, cells: int = CELLS) -> DataFrame:
