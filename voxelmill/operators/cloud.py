@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .tables import Tables, cut
 
 #: Query vectors that one pass of nearest_vectors() ships to the executors.
@@ -163,20 +164,26 @@ def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataF
     is done; the others go on with cells twice as large (eight times where none of them
     has a candidate), until none is left.  Cells larger than the joint box end the
     search, as 27 of them hold every right point.  Fewer right points than k give as many as there are.
-    Where at least half of many left points share a place with another, each place is
-    searched once, among the k lowest ids of each right place.
+    Where at least half of many left points share a place with another, or a place has more
+    than a block's, each place is searched once, among the k lowest ids of each right place.
+    A large cloud is searched in itself by blocks, where no probes are shuffled.
     """
-    tables = Tables(left.sparkSession)
+    tables, itself = Tables(left.sparkSession), left is right
     todo, right = (tables.cut(name, df.select("point_id", *"xyz")) for name, df in (("todo", left), ("right", right)))
     extent, few, done, members, places, rest_of = _extent(todo, right), _is_few(right), None, None, None, "todo"
     if not few:
-        places = tables.cut("places", todo.groupBy(*"xyz").agg(F.min("point_id").alias("point_id")).select("point_id", *"xyz"))
-        if 2 * places.count() <= todo.count():
+        places = tables.cut("places", todo.groupBy(*"xyz").agg(F.min("point_id").alias("point_id"), F.count("*").alias("n")).select("point_id", *"xyz", "n"))
+        alone, every, most = places.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        places = places.drop("n")
+        if 2 * alone <= every or most > blocks.BLOCK:
             members, todo, rest_of = todo, places, "open"
             lowest = Window.partitionBy(*"xyz").orderBy("point_id")
-            right = tables.cut("right", right.withColumn("__k", F.row_number().over(lowest)).where(F.col("__k") <= k).drop("__k"))
+            right = tables.cut("right", right.withColumn("__k", F.row_number().over(lowest)).where(F.col("__k") <= k).withColumn("asks", F.col("__k") == 1).drop("__k"))
         else:
             tables.drop("places")
+        if itself and every > blocks.BLOCK and todo.where(_odd()).isEmpty():
+            done = blocks.searched(tables, right if members is not None else right.withColumn("asks", F.lit(True)), k)
+            return done if members is None else _of_members(members, places, done)
     for n in count():
         whole = size > 1.001 * extent
         if few:
@@ -200,10 +207,18 @@ def nearest(left: DataFrame, right: DataFrame, size: float, k: int = 1) -> DataF
             size *= 2
         if whole or todo.isEmpty():
             tables.drop("right", *({rest_of} & tables.versions.keys()))
-            if members is None:
-                return done
-            found = places.join(done.hint("merge"), "point_id").select(*"xyz", "other", "d")
-            return members.join(found.hint("merge"), [*"xyz"]).select("point_id", "other", "d")
+            return done if members is None else _of_members(members, places, done)
+
+
+def _odd() -> Column:
+    """Whether a point has a coordinate that is infinite or no number."""
+    return reduce(lambda a, b: a | b, [~F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(True)) for c in "xyz"])
+
+
+def _of_members(members: DataFrame, places: DataFrame, done: DataFrame) -> DataFrame:
+    """What was found for the point that stands for each place, for all points there."""
+    found = places.join(done.hint("merge"), "point_id").select(*"xyz", "other", "d")
+    return members.join(found.hint("merge"), [*"xyz"]).select("point_id", "other", "d")
 
 
 def _near(left: DataFrame, right: DataFrame, radius: float, most: int | None) -> DataFrame:
